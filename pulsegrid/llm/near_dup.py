@@ -6,8 +6,8 @@ from the start, and only its smallest doc_id goes on.
 
 Buckets of any size are searched without their square: first each member is compared to the bucket's first, and links make
 components; then only pairs from different components are left, with at least one side outside the
-bucket's largest component. Those pairs pass a size and a signature filter (which leaves out a true pair with a probability
-of 1e-5) and all links are confirmed on the full sets. Components are contracted by joins; nothing is collected.
+bucket's largest component. Those pairs pass a size and a signature filter (512 values for large buckets, four and a half standard
+deviations wide: it leaves out a true pair with a probability of 1e-5) and all links are confirmed on the full sets. Components are contracted by joins; nothing is collected.
 
 Words are lower-cased in A-Z only and split at space, tab, line feed, vertical tab, form feed and return. Fewer words than a shingle
 make one shingle of all of them; null texts and texts without words have empty sets and link to nothing.
@@ -27,6 +27,7 @@ from .common import look_up, rows_map, small_batches, written
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 SMALL = 64
+LONG_PERMS = 256
 BLOCK = 1000
 
 
@@ -118,16 +119,23 @@ def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def _sets(members: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, set) of the documents that share a bucket with another; made once, from the whole texts.
+
+    The hint keeps one plan at every size: texts are dealt out by doc_id, where ids of a large corpus could not be broadcast.
+    """
+    ids = members.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi")
 
     def make():
         words = Words()
         return lambda rows: {"doc_id": rows["doc_id"], "set": [shingles(t, size, words).tobytes() for t in rows["text"]]}
 
-    sets = written(rows_map(texts, make, "doc_id long, set binary"), "sets")
+    return written(rows_map(texts, make, "doc_id long, set binary"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets have 100 * intersection >= percent * union."""
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
 
     def run(batches):
@@ -142,6 +150,17 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _long_signatures(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rep, long): the low bytes of LONG_PERMS minima and as many maxima, for members of large buckets alone."""
+    some = sets.join(large.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    def make():
+        minmax = MinMax(LONG_PERMS)
+        return lambda rows: {"rep": rows["doc_id"], "long": [(minmax(np.frombuffer(x, np.uint64)) & np.uint32(255)).astype(np.uint8).tobytes() for x in rows["set"]]}
+
+    return written(rows_map(some, make, "rep long, long binary"), "long-signatures")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in ``links``(a, b); component is the smallest id that can be reached.
 
@@ -160,7 +179,7 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+def _cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs of a bucket that are in different components, at least one of them outside its largest."""
     rows = written(members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), "members")
     sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
@@ -172,8 +191,8 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, leas
     pairs = x.join(y, "key").filter((F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    # large buckets: blocks of their members against each other, by signature, in tasks of bounded size
-    side = large.join(classes.select("rep", "sig"), "rep").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
+    # large buckets: blocks of their members against each other, by longer signatures, in tasks of bounded size
+    side = large.join(_long_signatures(large, sets).withColumnRenamed("long", "sig"), "rep").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
     side = side.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows_side = side.filter("component <> main").select("key", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("role"), "rep", "n", "component", "sig")
     cols_side = side.select("key", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("role"), "rep", "n", "component", "sig")
@@ -181,11 +200,11 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, leas
     def block(t: pa.Table) -> pa.Table:
         role = t.column("role").to_numpy()
         rep, n, comp = (t.column(c).to_numpy() for c in ("rep", "n", "component"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(t.num_rows, -1)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
         cols, a, b = np.flatnonzero(role == 1), [], []
         for r in np.flatnonzero(role == 0):
             some = cols[(comp[cols] != comp[r]) & (np.minimum(n[cols], n[r]) >= least * np.maximum(n[cols], n[r]))]
-            some = some[(sig[some] == sig[r]).mean(axis=1) >= least - 0.2] if some.size else some
+            some = some[(sig[some] == sig[r]).mean(axis=1) >= least - 0.07] if some.size else some
             a.append(np.minimum(rep[some], rep[r]))
             b.append(np.maximum(rep[some], rep[r]))
         empty = [np.empty(0, np.int64)]
@@ -208,9 +227,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, perms: in
     buckets = band.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = written(band.join(buckets, "key"), "buckets")
     first = written(members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "first-pairs")
-    links = written(_confirmed(written(_alike(first, classes, least), "alike"), docs, size, percent), "links")
-    cross = _cross_pairs(members.select("key", "rep", "n"), components(links), classes, least).distinct().join(first, ["a", "b"], "left_anti")
-    more = written(_confirmed(written(_alike(cross, classes, least), "alike"), docs, size, percent), "links")
+    sets = _sets(members, docs, size)
+    links = written(_confirmed(written(_alike(first, classes, least), "alike"), sets, percent), "links")
+    cross = _cross_pairs(members.select("key", "rep", "n"), components(links), sets, least).distinct().join(first, ["a", "b"], "left_anti")
+    more = written(_confirmed(written(_alike(cross, classes, least), "alike"), sets, percent), "links")
     labels = components(links.union(more))
     named = classes.join(labels, F.col("rep") == F.col("id"), "left").select("class", F.coalesce("component", "rep").alias("component"), "copies")
     out = look_up(own.select("doc_id", "n", "class"), written(named, "named"), "class", "component", "copies", own.count())
