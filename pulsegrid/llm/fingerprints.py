@@ -103,8 +103,13 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
     return float((a == b).mean())
 
 
+def packed(signature: np.ndarray | None) -> bytes:
+    return b"" if signature is None else signature.astype(">u2").tobytes()
+
+
 def shown(signature: np.ndarray | None) -> str:
-    return "" if signature is None else signature.astype(">u2").tobytes().hex()
+    """A fingerprint as text: four hexadecimal digits a sample."""
+    return packed(signature).hex()
 
 
 def edited(text: str, following: str) -> str:
@@ -113,14 +118,14 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_FIELDS = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _ROWS = f"part int, kind string, text string, {_FIELDS}"
 
 
 def _row(sampler: Sampler, text: str, following: str, own, then) -> tuple:
     new = edited(text, following)
     changed = own if new == text else sampler(new)
-    return len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), shown(own), shown(changed), likeness(own, changed), likeness(own, then)
+    return len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).digest(), packed(own), packed(changed), likeness(own, changed), likeness(own, then)
 
 
 def with_edits(docs: DataFrame, samples: int = 128) -> DataFrame:
@@ -177,7 +182,8 @@ def with_edits(docs: DataFrame, samples: int = 128) -> DataFrame:
             yield pa.RecordBatch.from_pydict({n: pa.array([r[j] for r in out], _ARROW[j + 3]) for j, n in enumerate(names)})
 
     columns = [f.split()[0] for f in _FIELDS.split(", ")]
-    return rows.filter("kind = 'row'").select(*columns).unionByName(tails.mapInArrow(finish, _FIELDS))
+    out = rows.filter("kind = 'row'").select(*columns).unionByName(tails.mapInArrow(finish, _FIELDS))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
-_ARROW = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_ARROW = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
