@@ -7,7 +7,9 @@ from the start, and only its smallest doc_id goes on.
 Buckets of any size are searched without their square: first each member is compared to the bucket's first, and links make
 components; then only pairs from different components are left, with at least one side outside the
 bucket's largest component. Those pairs pass a size and a signature filter (512 values for large buckets, four and a half standard
-deviations wide: it leaves out a true pair with a probability of 1e-5) and all links are confirmed on the full sets. Components are contracted by joins; nothing is collected.
+deviations wide: it leaves out a true pair with a probability of 1e-5) and all links are confirmed on the full sets. In large buckets
+that happens within the blocks, which return a spanning forest of the links between components. Components are contracted by joins;
+nothing is collected.
 
 Words are lower-cased in A-Z only and split at space, tab, line feed, vertical tab, form feed and return. Fewer words than a shingle
 make one shingle of all of them; null texts and texts without words have empty sets and link to nothing.
@@ -28,7 +30,9 @@ from .common import look_up, rows_map, small_batches, written
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 SMALL = 64
 LONG_PERMS = 256
+#: A block takes two parts of about BLOCK members and BLOCK_VALUES shingles (16 MB) each.
 BLOCK = 1000
+BLOCK_VALUES = 2_000_000
 
 
 class Words(dict):
@@ -151,14 +155,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _long_signatures(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """(rep, long): the low bytes of LONG_PERMS minima and as many maxima, for members of large buckets alone."""
+    """(rep, sig, set) of members of large buckets alone; sig is the low bytes of LONG_PERMS minima and as many maxima."""
     some = sets.join(large.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     def make():
         minmax = MinMax(LONG_PERMS)
-        return lambda rows: {"rep": rows["doc_id"], "long": [(minmax(np.frombuffer(x, np.uint64)) & np.uint32(255)).astype(np.uint8).tobytes() for x in rows["set"]]}
+        return lambda rows: {"rep": rows["doc_id"], "sig": [(minmax(np.frombuffer(x, np.uint64)) & np.uint32(255)).astype(np.uint8).tobytes() for x in rows["set"]], "set": rows["set"]}
 
-    return written(rows_map(some, make, "rep long, long binary"), "long-signatures")
+    return written(rows_map(some, make, "rep long, sig binary, set binary"), "long-signatures")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -179,39 +183,59 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs of a bucket that are in different components, at least one of them outside its largest."""
+def _block_links(t: pa.Table, least: float, percent: int) -> pa.Table:
+    """Links between members of two parts of a bucket that join components not joined before in this block.
+
+    ``own`` tells the part, ``i`` and ``j`` the two parts of the block. Pairs within the bucket's largest component are never looked at.
+    """
+    own, rep, n, comp = (t.column(c).to_numpy() for c in ("own", "rep", "n", "component"))
+    outside, comp = t.column("outside").to_numpy(), comp.copy()
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum([x.size for x in sets])
+    codes, mark = np.split(codes, ends[:-1]), np.zeros(codes.size, bool)
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    a, b = [], []
+    for r in left:
+        some = right[right > r] if i == j else right
+        some = some[(comp[some] != comp[r]) & (outside[some] | outside[r]) & (np.minimum(n[some], n[r]) >= least * np.maximum(n[some], n[r]))]
+        some = some[(sig[some] == sig[r]).mean(axis=1) >= least - 0.07] if some.size else some
+        mark[codes[r]] = True
+        for c in some:
+            if comp[c] != comp[r]:
+                common = np.count_nonzero(mark[codes[c]])
+                if 100 * common >= percent * (n[r] + n[c] - common):
+                    comp[comp == comp[c]] = comp[r]
+                    a.append(min(rep[r], rep[c]))
+                    b.append(max(rep[r], rep[c]))
+        mark[codes[r]] = False
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _cross(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What a bucket's members in different components give, at least one of a pair outside its largest.
+
+    Small buckets give pairs that are still to be confirmed. Large ones are cut into parts by rows and bytes; every two parts are one
+    task, which confirms on full sets and returns only links that join components there: fewer than it has rows.
+    """
+    least = percent / 100
     rows = written(members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), "members")
-    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("total"), F.count(F.lit(1)).alias("parts")).filter("parts > 1 and total > 2")
-    rows = written(rows.join(mixed.select("key", "total", F.col("top.component").alias("main")), "key"), "mixed")
+    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("values"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("total"), F.sum("values").alias("values"), F.count(F.lit(1)).alias("parts")).filter("parts > 1 and total > 2")
+    rows = written(rows.join(mixed.select("key", "total", "values", F.col("top.component").alias("main")), "key").withColumn("outside", F.col("component") != F.col("main")), "mixed")
     little, large = rows.filter(F.col("total") <= SMALL), rows.filter(F.col("total") > SMALL)
-    x = little.filter("component <> main").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    x = little.filter("outside").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     y = little.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     pairs = x.join(y, "key").filter((F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb")))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    # large buckets: blocks of their members against each other, by longer signatures, in tasks of bounded size
-    side = large.join(_long_signatures(large, sets).withColumnRenamed("long", "sig"), "rep").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
-    side = side.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows_side = side.filter("component <> main").select("key", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("role"), "rep", "n", "component", "sig")
-    cols_side = side.select("key", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("role"), "rep", "n", "component", "sig")
-
-    def block(t: pa.Table) -> pa.Table:
-        role = t.column("role").to_numpy()
-        rep, n, comp = (t.column(c).to_numpy() for c in ("rep", "n", "component"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
-        cols, a, b = np.flatnonzero(role == 1), [], []
-        for r in np.flatnonzero(role == 0):
-            some = cols[(comp[cols] != comp[r]) & (np.minimum(n[cols], n[r]) >= least * np.maximum(n[cols], n[r]))]
-            some = some[(sig[some] == sig[r]).mean(axis=1) >= least - 0.07] if some.size else some
-            a.append(np.minimum(rep[some], rep[r]))
-            b.append(np.maximum(rep[some], rep[r]))
-        empty = [np.empty(0, np.int64)]
-        return pa.table({"a": np.concatenate(a or empty), "b": np.concatenate(b or empty)})
-
-    more = rows_side.union(cols_side).groupBy("key", "i", "j").applyInArrow(block, "a long, b long")
-    return pairs.union(more)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    blocks = F.greatest(F.ceil(F.col("total") / BLOCK), F.ceil(F.col("values") / BLOCK_VALUES)).cast("int")
+    side = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    side = side.join(_long_signatures(large, sets), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = side.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "component", "outside", "sig", "set")
+    return pairs, side.groupBy("key", "i", "j").applyInArrow(lambda t: _block_links(t, least, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, perms: int = 32, rows: int = 4) -> DataFrame:
@@ -229,9 +253,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, perms: in
     first = written(members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "first-pairs")
     sets = _sets(members, docs, size)
     links = written(_confirmed(written(_alike(first, classes, least), "alike"), sets, percent), "links")
-    cross = _cross_pairs(members.select("key", "rep", "n"), components(links), sets, least).distinct().join(first, ["a", "b"], "left_anti")
+    pairs, joined = _cross(members.select("key", "rep", "n"), components(links), sets, percent)
+    cross = pairs.join(first, ["a", "b"], "left_anti")
     more = written(_confirmed(written(_alike(cross, classes, least), "alike"), sets, percent), "links")
-    labels = components(links.union(more))
+    labels = components(links.union(more).union(written(joined, "links")))
     named = classes.join(labels, F.col("rep") == F.col("id"), "left").select("class", F.coalesce("component", "rep").alias("component"), "copies")
     out = look_up(own.select("doc_id", "n", "class"), written(named, "named"), "class", "component", "copies", own.count())
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
