@@ -92,3 +92,8 @@ def aggregates_equal(a: DataFrame, b: DataFrame, keys, measures, rel: float = 1e
     far = lambda m: F.abs(F.col("x")[m] - F.col("y")[m]) > F.greatest(F.lit(rel) * F.greatest(F.abs(F.col("x")[m]), F.abs(F.col("y")[m])), F.lit(absolute))
     off = sum((F.coalesce(far(m), F.lit(False)).cast("int") for m in measures), F.lit(0))
     return both.agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("one_sided"), F.coalesce(F.sum(off), F.lit(0)).cast("long").alias("mismatches"))
+
+
+def read_evolved(spark, path: str, measures: list[str]) -> DataFrame:
+    """Cells of all schema versions under ``path``; measures that older files lack are 0."""
+    return spark.read.option("mergeSchema", "true").parquet(path).fillna(0, measures)

@@ -336,3 +336,88 @@ def snapshot_view(s, sf):
 
 
 query("snapshot_view", SQL["view_country_risk"])(snapshot_view)
+
+
+# streams of batches, schema versions, published files -------------------------------------------------------------------
+BATCH = 366 * DAY
+
+
+def ingested(s, sf, late: bool):
+    """Batches through the ingest stream, one file holding whole batches.
+
+    Late: the older half arrives after the newer one was taken in. Else: two runs with one checkpoint, then one that starts over.
+    """
+    import uuid
+
+    from ..streaming.ingest import ingest
+
+    path = f"{shared(s)}/stream-{uuid.uuid4().hex}"
+    rows = B.ev(s, sf).withColumn("kind", F.lit("events")).withColumn("file_ts", S.bucket("file_ts", BATCH))
+    older = F.col("file_ts") < S.bucket(F.lit(NOW), BATCH) - 2 * BATCH
+    for part in (rows.filter(~older), rows.filter(older)) if late else (rows, None):
+        if part is not None:
+            part.repartition("kind", "file_ts").write.mode("append").parquet(f"{path}/in")
+        ingest(s, f"{path}/in", rows.schema, f"{path}/out", f"{path}/check")
+    if not late:
+        ingest(s, f"{path}/in", rows.schema, f"{path}/out", f"{path}/check-new")
+    return rollup.window_agg(s.read.parquet(f"{path}/out"), 0, 1 << 40, ["geo_country"], ["n_events", "sum_w"])
+
+
+query("stream_idempotent", SQL["ingest_idempotent"])(lambda s, sf: ingested(s, sf, late=False))
+query("stream_late", SQL["ingest_idempotent"])(lambda s, sf: ingested(s, sf, late=True))
+
+
+def deduplicated_stream(s, sf):
+    """The events table sent twice; every id comes out once."""
+    import uuid
+
+    from ..streaming.ingest import deduplicated
+
+    path = f"{shared(s)}/dedup-{uuid.uuid4().hex}"
+    rows = B.table(s, sf, "events").select("event_id", "event_type", "ts", "value")
+    for _ in range(2):
+        rows.write.mode("append").parquet(f"{path}/in")
+
+    def keep(df, batch):
+        df.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
+
+    stream = deduplicated(s.readStream.schema(rows.schema).parquet(f"{path}/in"), "3650 days")
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{path}/out").select("event_id", "event_type", "value")
+
+
+query("stream_dedup", f"select event_id, event_type, {r('value', 'value')} from events")(deduplicated_stream)
+
+
+def evolved(s, sf):
+    """Cells of the last year with a measure that older cells, written before it existed, lack."""
+    import uuid
+
+    path = f"{shared(s)}/versions-{uuid.uuid4().hex}"
+    cells = B.geo_cells(s, sf).select("geo_country", "bucket", "root_code", "n_events", "sum_tone_w")
+    cells.filter(F.col("bucket") < START).drop("sum_tone_w").write.parquet(f"{path}/version=1")
+    cells.filter(F.col("bucket") >= START).write.parquet(f"{path}/version=2")
+    return rollup.read_evolved(s, path, ["sum_tone_w"]).drop("version")
+
+
+query("schema_evolution", f"with {GEO} select geo_country, bucket, root_code, n_events, {r(f'case when bucket<{START} then 0 else sum_tone_w end', 'sum_tone_w')} from geo")(evolved)
+
+
+def monthly(s, sf):
+    """The index file of balances by nation, with a header line before each month, read back for month 3."""
+    import uuid
+
+    from ..sources.monthly import SCORES, one_month, read_index
+
+    path = f"{shared(s)}/index-{uuid.uuid4().hex}"
+    rows = B.table(s, sf, "customer").groupBy((F.col("c_custkey") % 12 + 1).alias("Month"), F.col("c_nationkey").alias("Country"))
+    values = (F.min("c_acctbal"), F.max("c_acctbal"), F.count(F.lit(1)), F.min("c_custkey"), F.max("c_custkey"))
+    rows = rows.agg(*(v.alias(c) for c, v in zip(SCORES, values)))
+    text = rows.select(*(F.col(c).cast("string").alias(c) for c in rows.columns))
+    heads = rows.select("Month").distinct().select(*(F.lit(c).alias(c) for c in rows.columns))
+    text.union(heads).write.csv(path)
+    return one_month(read_index(s, path), 3)
+
+
+query("monthly_index_clean", """select 3 as "Month", cast(c_nationkey as varchar) as "Country", round(cast(min(c_acctbal) as double),6)+0.0 as "Social_Stability_Risk", round(cast(max(c_acctbal) as double),6)+0.0 as "Political_Institutional_Risk",
+  cast(count(*) as double) as "International_Conflict_Risk", cast(min(c_custkey) as double) as "Media_Sentiment_Risk", cast(max(c_custkey) as double) as "General_Risk_Index" from customer where c_custkey%12+1=3 group by c_nationkey""")(monthly)

@@ -18,7 +18,12 @@ def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: st
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def deduplicated(events: DataFrame, watermark: str) -> DataFrame:
+    """The first row of each event id within the watermark."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
+
+
 def hourly(events: DataFrame, watermark: str = "2 hours") -> DataFrame:
     """Tumbling hours of an event stream after de-duplication by id."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
+    timed = deduplicated(events, watermark)
     return timed.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
