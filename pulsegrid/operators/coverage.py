@@ -62,6 +62,16 @@ def coverage_summary(buckets: DataFrame, slots: DataFrame, now: int, stale: int
     return out.withColumn("stale", F.coalesce(F.lit(now) - F.col("last_ts") > stale, F.lit(True)))
 
 
+def coverage_by_range(slots: DataFrame, ranges: tuple[int, ...], now: int) -> DataFrame:
+    """The coverage summary of each range of days that ends now."""
+    out = None
+    for days in ranges:
+        span = Span(days, now)
+        part = coverage_summary(coverage_buckets(slots, slots, span.start, now, span.step, now), slots, now).withColumn("days", F.lit(days))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def gap_fill(points: DataFrame, entities: DataFrame, key: str, span: Span, zero: list[str]) -> DataFrame:
     """Every entity at every bucket; what no point has is 0."""
     cells = grid(points.sparkSession, span.start, span.end, span.step).crossJoin(entities.select(key).distinct())

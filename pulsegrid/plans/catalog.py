@@ -421,3 +421,25 @@ def monthly(s, sf):
 
 query("monthly_index_clean", """select 3 as "Month", cast(c_nationkey as varchar) as "Country", round(cast(min(c_acctbal) as double),6)+0.0 as "Social_Stability_Risk", round(cast(max(c_acctbal) as double),6)+0.0 as "Political_Institutional_Risk",
   cast(count(*) as double) as "International_Conflict_Risk", cast(min(c_custkey) as double) as "Media_Sentiment_Risk", cast(max(c_custkey) as double) as "General_Risk_Index" from customer where c_custkey%12+1=3 group by c_nationkey""")(monthly)
+
+
+COVERED = (1, 7, 30)
+STARTS = ", ".join(f"({d}, {coverage.Span(d, L_END).start}, {coverage.Span(d, L_END).step})" for d in COVERED)
+query("coverage_by_range", f"""with {SLOTS}, r(days, start, step) as (values {STARTS}), g as (select days, step, kind, unnest(generate_series(start, {L_END - 1}, 900)) as slot from r cross join (select distinct kind from slots)),
+b as (select days, g.kind, slot-slot%step as bucket, count(*) as expected, count(s.file_ts) as done from g left join slots s on s.kind=g.kind and s.file_ts=g.slot group by 1,2,3), l as (select kind, max(file_ts) as last_ts from slots group by 1)
+select days, b.kind, cast(sum(expected) as bigint) as expected, cast(sum(done) as bigint) as done, count(*) filter (expected=done) as complete_buckets, any_value(last_ts) as last_ts, {r('100.0*sum(done)/sum(expected)', 'percent')}, {L_END}-any_value(last_ts)>2700 as stale from b join l on l.kind=b.kind group by 1,2""")(
+    lambda s, sf: coverage.coverage_by_range(B.slots(s, sf), COVERED, L_END))
+
+
+def checked(s, sf):
+    """Checks of a ranking and a series table; the second one is asked for a column that it lacks and a range that is not published."""
+    from .snapshot import output_checks
+
+    ranking, series = QUERIES["view_country_risk"](s, sf), QUERIES["trend_country_risk"](s, sf)
+    one = output_checks(ranking, "country_risk", 365, "geo_country", ("geo_country", "risk_score"))
+    return one.unionByName(output_checks(series, "trend_country_risk", 366, "geo_country", ("bucket", "no_such_column")))
+
+
+query("snapshot_checks", " union all ".join(
+    f"select '{view}' as view, {days} as days, {missing} as missing_columns, 0 as repeated_columns, {bad} as unsupported_range, count(*) as series, coalesce(max(n), 0) as points, count(*) filter (n>10000) as too_long from (select geo_country, count(*) as n from ({SQL[name]}) group by 1)"
+    for view, name, days, missing, bad in (("country_risk", "view_country_risk", 365, 0, 0), ("trend_country_risk", "trend_country_risk", 366, 1, 1))))(checked)

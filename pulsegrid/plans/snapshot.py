@@ -27,3 +27,16 @@ def publish(views: dict[tuple[str, int], DataFrame], path: str, version: str, cr
 def read_view(spark: SparkSession, path: str, version: str, view: str, days: int) -> DataFrame:
     """One published view; only its own directory is read."""
     return spark.read.parquet(f"{path}/version={version}/view={view}/days={days}")
+
+
+#: The ranges in days that may be published, and the most points of a series.
+RANGES, MOST_POINTS = (1, 7, 30, 90, 365, 1095), 10_000
+
+
+def output_checks(df: DataFrame, view: str, days: int, key: str, required: tuple[str, ...]) -> DataFrame:
+    """One row: numbers of violations of a published table, and its series and their longest length."""
+    missing, repeated = len(set(required) - set(df.columns)), len(df.columns) - len({c.lower() for c in df.columns})
+    series = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    out = series.agg(F.count(F.lit(1)).alias("series"), F.coalesce(F.max("n"), F.lit(0)).alias("points"), F.count_if(F.col("n") > MOST_POINTS).alias("too_long"))
+    fixed = {"missing_columns": missing, "repeated_columns": repeated, "unsupported_range": int(days not in RANGES)}
+    return out.select(F.lit(view).alias("view"), F.lit(days).alias("days"), *(F.lit(v).alias(c) for c, v in fixed.items()), "series", "points", "too_long")
