@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rollup import rollup_geo, write_partials
 
 
-def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, per_round: int = 32) -> None:
-    """Read new event files (bounded a round) and write geo partials by batch; a rerun rewrites the same partitions."""
+def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, per_round: int = 32, then: Callable[[int], None] | None = None) -> None:
+    """Read new event files (bounded a round) and write geo partials by batch; a rerun rewrites the same partitions.
+
+    ``then`` is called with the round's number after a round that brought rows, to publish anew.
+    """
 
-    def step(df: DataFrame, _: int) -> None:
+    def step(df: DataFrame, number: int) -> None:
         write_partials(rollup_geo(df, "hour", "kind", "file_ts"), target)
+        if then and not df.isEmpty():
+            then(number)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_round).parquet(source)
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
