@@ -12,10 +12,11 @@ from ..functions.scores import DAY, HOUR, SLOT, bucket
 
 @dataclass(frozen=True)
 class Span:
-    """A time window: up to 7 days by hours, else by days."""
+    """A time window: up to 7 days by hours, else by days unless ``hourly``."""
 
     days: int
     now: int
+    hourly: bool = False
 
     @property
     def length(self) -> int:
@@ -23,7 +24,7 @@ class Span:
 
     @property
     def grain(self) -> str:
-        return "hour" if self.length <= 7 else "day"
+        return "hour" if self.hourly or self.length <= 7 else "day"
 
     @property
     def step(self) -> int:

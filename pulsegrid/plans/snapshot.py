@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.coverage import Span
+
 
 def content_hash(df: DataFrame) -> DataFrame:
     """Row count and an order-independent hash of a table."""
@@ -24,6 +28,11 @@ def publish(views: dict[tuple[str, int], DataFrame], path: str, version: str, cr
     return manifest.sparkSession.read.parquet(f"{path}/manifest/version={version}").withColumn("version", F.lit(version))
 
 
+def build(views: dict[str, Callable[[Span], DataFrame]], ranges: tuple[int, ...], path: str, version: str, as_of: int) -> DataFrame:
+    """Publish every view over every range, all as of one time; the views read cells that were written before."""
+    return publish({(name, days): view(Span(days, as_of)) for days in ranges for name, view in views.items()}, path, version, as_of)
+
+
 def read_view(spark: SparkSession, path: str, version: str, view: str, days: int) -> DataFrame:
     """One published view; only its own directory is read."""
     return spark.read.parquet(f"{path}/version={version}/view={view}/days={days}")

@@ -27,9 +27,17 @@ def attitude(rel: DataFrame, span: Span, o: Options = Options()) -> DataFrame:
     return ranked(rows.select("actor1", "n_events", "sum_mentions", "evidence", "attitude_score", "avg_goldstein", "avg_tone", "conflict_share", "thin"), "n_events", "actor1")
 
 
-def trend_attitude(rel: DataFrame, coverage: DataFrame, span: Span, o: Options = Options()) -> DataFrame:
+def only(cells: DataFrame, key: str, country: str | None, points: DataFrame | None = None) -> DataFrame:
+    """Cells of one country, or all; given ``points``, whose keys a series is drawn for: the country even where it has none."""
+    if country is None:
+        return cells if points is None else points
+    return cells.filter(F.col(key) == country) if points is None else cells.sparkSession.range(1).select(F.lit(country).alias(key))
+
+
+def trend_attitude(rel: DataFrame, coverage: DataFrame, span: Span, o: Options = Options(), country: str | None = None) -> DataFrame:
+    rel = only(rel, "actor1", country)
     points = add_attitude(partners(rel, span, o, "actor1", "bucket"), o).select("actor1", "bucket", "n_events", "sum_mentions", "attitude_score", "avg_tone")
-    filled = gap_fill(points, points, "actor1", span, ["n_events", "sum_mentions", "attitude_score", "avg_tone"])
+    filled = gap_fill(points, only(rel, "actor1", country, points), "actor1", span, ["n_events", "sum_mentions", "attitude_score", "avg_tone"])
     return mask(filled, coverage, ["n_events", "sum_mentions", "attitude_score", "avg_tone"])
 
 
@@ -58,10 +66,11 @@ def country_risk(geo: DataFrame, geo_days: DataFrame, coverage_days: DataFrame,
     return ranked(rows, "shown", "geo_country").select(*columns, "rank")
 
 
-def trend_country_risk(geo: DataFrame, geo_days: DataFrame, coverage: DataFrame, coverage_days: DataFrame, span: Span, o: Options = Options()) -> DataFrame:
+def trend_country_risk(geo: DataFrame, geo_days: DataFrame, coverage: DataFrame, coverage_days: DataFrame, span: Span, o: Options = Options(), country: str | None = None) -> DataFrame:
+    geo, geo_days = only(geo, "geo_country", country), only(geo_days, "geo_country", country)
     points = add_country_risk(geo_window(geo, span, o, "geo_country", "bucket"), o)
     points = points.select("geo_country", "bucket", "n_events", F.when(F.col("n_events") >= o.min_events, F.col("risk_score")).alias("risk_score"), "evidence", "security", "conflict", "avg_tone")
-    filled = gap_fill(points, points, "geo_country", span, ["n_events", "evidence", "security", "conflict", "avg_tone"])
+    filled = gap_fill(points, only(geo, "geo_country", country, points), "geo_country", span, ["n_events", "evidence", "security", "conflict", "avg_tone"])
     moved = momentum_series(daily_counts(geo_days, Span(span.length + 31, span.now), o), coverage_days, "geo_country", o.momentum_days, 30, o.sensitivity)
     filled = filled.withColumn("_day", F.col("bucket") - F.pmod("bucket", F.lit(DAY))).join(moved.withColumnRenamed("bucket", "_day"), ["geo_country", "_day"], "left").drop("_day")
     filled = filled.withColumn("momentum_available", F.col("momentum").isNotNull()).drop("momentum")
@@ -85,6 +94,24 @@ def trend_enterprise(gkg: DataFrame, coverage: DataFrame, span: Span, o: Options
     return mask(filled, coverage, ["total_docs", "risk_score", "joint_coverage", "avg_tone"])
 
 
+def series_enterprise(gkg: DataFrame, coverage: DataFrame, span: Span, country: str, o: Options = Options()) -> DataFrame:
+    """One country's articles by bucket: all, with an alias, by category, and their mean tone (null where there are none)."""
+    docs = ["total_docs", "alias_docs", *(f"{c}_docs" for c in CATEGORIES)]
+    rows = only(gkg, "country", country)
+    points = window_agg(rows, span.start, span.now, ["country", "bucket"], [*docs, "sum_tone"])
+    points = points.withColumn("avg_tone", F.try_divide(F.col("sum_tone"), F.col("total_docs"))).drop("sum_tone")
+    return mask(gap_fill(points, only(rows, "country", country, points), "country", span, docs), coverage, [*docs, "avg_tone"])
+
+
+def history(parts: dict[str, tuple[DataFrame, str, str, str | None]]) -> DataFrame:
+    """Trends by name, each with its key, count and score columns, under one shape."""
+    out = None
+    for view, (df, key, count, score) in parts.items():
+        part = df.select(F.lit(view).alias("view"), F.col(key).alias("code"), "bucket", F.col(count).alias("n"), F.col(score).alias("score"), "collected", "expected", "complete")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def event_types(rel: DataFrame, span: Span, key: str = "actor1") -> DataFrame:
     """Root codes of each country by count, with their place."""
     rows = window_agg(rel, span.start, span.now, [key, "root_code"], ["n_events"])
