@@ -15,16 +15,21 @@ def code(c) -> Column:
     return F.upper(F.trim(F.coalesce(c, F.lit(""))))
 
 
+def number(c: str) -> Column:
+    """A text as a double, or null; Java's type suffixes, as in 1.5d, are no part of a number."""
+    return F.when(~F.col(c).cast("string").rlike(r"[dDfF]\s*$"), F.expr(f"try_cast({c} as double)"))
+
+
 def count_value(c: str) -> Column:
     """Empty is 0; else a finite whole number, or null for what is none."""
-    x = F.expr(f"try_cast({c} as double)")
+    x = number(c)
     good = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(9.2e18)) & (x == F.floor(x))
     return F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(0).cast("long")).when(good, x.cast("long"))
 
 
 def score_value(c: str) -> Column:
     """A finite number, or null."""
-    x = F.expr(f"try_cast({c} as double)")
+    x = number(c)
     return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
 
 
@@ -50,18 +55,20 @@ def event_status(o: Options = Options()) -> Column:
     )
 
 
-def article_status(countries, tone: str) -> Column:
+def article_status(countries, tone: str, polarity: str | None = None) -> Column:
+    """The first rule that an article meets; a tone or polarity that is given must be a number."""
+    bad = score_value(tone).isNull() | (score_bad(polarity) if polarity else F.lit(False))
     return (
         F.when(F.size(countries) == 0, "skip_country")
         .when(F.trim(F.coalesce(F.col(tone), F.lit(""))) == "", "skip_tone")
-        .when(score_value(tone).isNull(), "reject_tone")
+        .when(bad, "reject_tone")
         .otherwise("ok")
     )
 
 
 def location_countries(c: str, excluded: tuple[str, ...]) -> Column:
     """Distinct two-character country codes of a ';' list of '#' records, without the excluded."""
-    parts = F.transform(F.split(F.col(c), ";"), lambda x: F.upper(F.trim(F.coalesce(F.get(F.split(x, "#"), F.lit(2)), F.lit("")))))
+    parts = F.transform(F.split(F.col(c), ";"), lambda x: F.upper(F.coalesce(F.get(F.split(x, "#"), F.lit(2)), F.lit(""))))
     return F.array_sort(F.array_except(F.array_distinct(F.filter(parts, lambda x: F.length(x) == 2)), F.array(*map(F.lit, excluded))))
 
 

@@ -34,10 +34,10 @@ def rollup_geo(ev: DataFrame, grain: str = "day", *extra: str) -> DataFrame:
     return some.withColumn("bucket", bucket("file_ts", SIZES[grain])).groupBy(*extra, *GEO_KEYS).agg(*_event_measures(False))
 
 
-def rollup_articles(art: DataFrame, grain: str = "day", o: Options = Options()) -> DataFrame:
+def rollup_articles(art: DataFrame, grain: str = "day", o: Options = Options(), *extra: str) -> DataFrame:
     """Each article counts once for each of its distinct countries."""
     rows = art.select(
-        bucket("file_ts", SIZES[grain]).alias("bucket"), F.col("tone").cast("double").alias("tone"), F.col("polarity").cast("double").alias("polarity"),
+        *extra, bucket("file_ts", SIZES[grain]).alias("bucket"), F.col("tone").cast("double").alias("tone"), F.col("polarity").cast("double").alias("polarity"),
         theme_categories("themes", o.themes).alias("cats"), mentions_alias("organizations", o.aliases).alias("alias"),
         F.explode(F.array_distinct("countries")).alias("country"),
     )
@@ -47,7 +47,7 @@ def rollup_articles(art: DataFrame, grain: str = "day", o: Options = Options())
     measures += [F.count_if("alias").alias("alias_docs"), F.count(F.lit(1)).alias("modeled_docs"), *(F.count_if(h).alias(f"{c}_modeled_docs") for c, h in has.items())]
     measures += [F.sum("tone").alias("sum_tone"), F.sum("polarity").alias("sum_polarity"), F.sum("tone").alias("sum_modeled_tone"), F.sum(neg).alias("sum_negative_tone")]
     measures += [F.sum(F.when(h, neg).otherwise(0.0)).alias(f"{c}_negative") for c, h in has.items()]
-    return rows.groupBy(*ARTICLE_KEYS).agg(*measures)
+    return rows.groupBy(*extra, *ARTICLE_KEYS).agg(*measures)
 
 
 def merge_partials(df: DataFrame, keys) -> DataFrame:

@@ -1,3 +1,3 @@
 """Composite views, snapshots, and the registered queries."""
 
-from . import catalog, history  # noqa: F401
+from . import archived, catalog, history  # noqa: F401

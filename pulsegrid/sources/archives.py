@@ -3,13 +3,25 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
+import zlib
+from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.fields import article_status, code, count_value, event_status, location_countries, score_value
+from ..options import Options
+
 MOST_BYTES = 1 << 30
+#: The most characters that may follow an article record on lines of their own.
+MOST_TAIL = 1 << 20
+#: Names of batch files by kind, and the schema of files as Spark reads them.
+SUFFIXES = {"events": ".export.CSV.zip", "gkg": ".gkg.csv.zip"}
+FILES = "path string, modificationTime timestamp, length long, content binary"
+RECORD_ID = r"^\d{14}-\d+"
 
 
 def batch_key(df: DataFrame, column: str = "path") -> DataFrame:
@@ -21,40 +33,79 @@ def batch_key(df: DataFrame, column: str = "path") -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """path, line_no, line, error: lines of each archive's only member; archives that aren't so give one row with an error."""
+    return lines_of(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path), most_bytes)
+
+
+def lines_of(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """path, line_no, line, error: lines of each archive's only member; archives that aren't so end with a row with an error."""
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(zip(*rows), _TYPES)], names=["path", "line_no", "line", "error"])
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows: dict = {"path": [], "line_no": [], "line": [], "error": []}
-
-                def add(no, line, error=None, rows=rows, name=name):
-                    for k, v in zip(rows, (name, no, line, error)):
-                        rows[k].append(v)
-
+                rows: list[tuple] = []
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        members = z.infolist()
+                        members = [m for m in z.infolist() if not m.is_dir()]
                         if len(members) != 1 or not 0 < members[0].file_size <= most_bytes:
                             raise ValueError("one member of an allowed size is needed")
                         with z.open(members[0]) as f:
                             for no, raw in enumerate(f):
-                                add(no, raw.decode("utf-8", "replace").rstrip("\r\n"))
-                                if len(rows["line"]) >= 10_000:
-                                    yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(rows.items(), _TYPES)})
-                                    rows = {k: [] for k in rows}
-                                    add.__defaults__ = (None, rows, name)
-                except (ValueError, zipfile.BadZipFile) as e:
-                    rows = {"path": [name], "line_no": [0], "line": [None], "error": [str(e)]}
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(rows.items(), _TYPES)})
+                                rows.append((name, no, raw.decode("utf-8", "replace").rstrip("\r\n"), None))
+                                if len(rows) >= 10_000:
+                                    yield batch_of(rows)
+                                    rows = []
+                except (ValueError, NotImplementedError, zipfile.BadZipFile, zlib.error, EOFError) as e:
+                    rows.append((name, -1, None, str(e)))
+                if rows:
+                    yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, line_no long, line string, error string")
+    return files.select("path", "content").mapInArrow(run, "path string, line_no long, line string, error string")
 
 
 _TYPES = (pa.string(), pa.int64(), pa.string(), pa.string())
 
 
+def write_archives(lines: DataFrame, folder: str) -> None:
+    """One archive per (kind, file_ts) in the shared ``folder``, of its lines in the order of line_no.
+
+    Lines are streamed into a file with a name of its own, which then takes the batch's name: a repeated attempt of a task leaves the same archive.
+    """
+    named = lines.withColumn("name", F.concat(F.date_format(F.timestamp_seconds("file_ts"), "yyyyMMddHHmmss"), F.create_map(*(F.lit(x) for kv in SUFFIXES.items() for x in kv))[F.col("kind")]))
+    spread = named.select("name", "line_no", "line").repartition("name").sortWithinPartitions("name", "line_no").select("name", "line")
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, base = (fs.FileSystem.from_uri(folder) if urlparse(folder).scheme else (fs.LocalFileSystem(), folder))
+        system.create_dir(base, recursive=True)
+        now = temporary = stream = archive = member = None
+
+        def close():
+            member.close()
+            archive.close()
+            stream.close()
+            system.move(temporary, f"{base}/{now}")
+
+        for batch in batches:
+            for name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if name != now:
+                    if now:
+                        close()
+                    now, temporary = name, f"{base}/_{uuid.uuid4().hex}"
+                    stream = system.open_output_stream(temporary, compression=None)
+                    archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
+                    member = archive.open(zipfile.ZipInfo(name.removesuffix(".zip")), "w", force_zip64=True)
+                member.write(line.encode("utf-8", "replace") + b"\n")
+        if now:
+            close()
+        yield from ()
+
+    spread.mapInArrow(run, "done string").write.format("noop").mode("overwrite").save()
+
+
 def event_rows(lines: DataFrame) -> DataFrame:
     """Fields of event lines of 58 or 61 columns; others have layout_ok = false."""
     f = F.split("line", "\t")
@@ -62,19 +113,53 @@ def event_rows(lines: DataFrame) -> DataFrame:
     geo = F.when(F.size(f) >= 61, at(53)).otherwise(at(51))
     codes = {"actor1": at(7), "actor2": at(17), "event_code": at(26), "root_code": at(28), "geo": geo}
     rest = {"quad": at(29), "goldstein": at(30), "mentions": at(31), "sources": at(32), "articles": at(33), "tone": at(34)}
-    return batch_key(lines).select("kind", "file_ts", "line_no", F.size(f).isin(58, 61).alias("layout_ok"), *(F.upper(c).alias(k) for k, c in codes.items()), *(c.alias(k) for k, c in rest.items()))
+    ok = F.coalesce(F.size(f).isin(58, 61), F.lit(False))
+    return batch_key(lines).select("kind", "file_ts", "line_no", at(0).alias("event_id"), ok.alias("layout_ok"), *(code(c).alias(k) for k, c in codes.items()), *(c.alias(k) for k, c in rest.items()))
+
+
+def checked_events(lines: DataFrame, o: Options = Options()) -> DataFrame:
+    """Event rows with their ``row_status``; a line of another layout, an archive that can't be read or one whose name gives no batch is a reject."""
+    rows = event_rows(lines)
+    return rows.withColumn("row_status", F.when(F.col("kind").isNull() | F.col("file_ts").isNull(), "reject_name").when(~F.col("layout_ok"), "reject_layout").otherwise(event_status(o)))
+
+
+def typed_events(rows: DataFrame) -> DataFrame:
+    """Checked rows with numbers as numbers, as the rollups take them."""
+    numbers = {**{c: count_value(c) for c in ("mentions", "sources", "articles")}, **{c: score_value(c) for c in ("goldstein", "tone")}, "quad": F.col("quad").try_cast("int")}
+    return rows.withColumns(numbers)
 
 
 def article_records(lines: DataFrame) -> DataFrame:
-    """Logical article records: short lines continue the last field of the record before them."""
-    from pyspark.sql import Window
-
-    n = F.size(F.split("line", "\t"))
-    order = Window.partitionBy("path").orderBy("line_no")
-    rows = lines.withColumn("record", F.sum((n >= 27).cast("int")).over(order))
-    whole = rows.groupBy("path", "record").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    text = F.array_join(F.col("l")["line"], "\n")
-    first = F.get(F.col("l"), F.lit(0))["line"]
-    open_ = (F.size("l") == 1) | (F.contains(first, F.lit("<PAGE_LINKS>")) & ~F.contains(first, F.lit("</PAGE_TITLE>")) & F.get(F.split(first, "\t"), F.lit(0)).rlike(r"^\d{14}-\d+$"))
-    fits = F.octet_length(text) - F.octet_length(first) <= 1 << 20
-    return whole.select("path", "record", text.alias("line"), ((F.col("record") > 0) & open_ & fits).alias("valid"))
+    """Logical article records: a short line continues the last field of the record before it while its page title is open.
+
+    Lines of a file stay in one task, as files are bounded in size; of longer tails than MOST_TAIL no more than that is kept.
+    """
+    f = F.split("line", "\t")
+    file = Window.partitionBy("path").orderBy("line_no")
+    rows = lines.withColumn("starts", F.coalesce(F.size(f) >= 27, F.lit(False))).withColumn("record", F.sum(F.col("starts").cast("int")).over(file))
+    tail = F.sum(F.when(~F.col("starts"), F.length("line"))).over(Window.partitionBy("path", "record").orderBy("line_no"))
+    fits = F.coalesce(tail, F.lit(0)) <= MOST_TAIL
+    plain = F.col("starts") | (F.col("line").isNotNull() & ~F.contains("line", F.lit("\t")) & ~F.col("line").rlike(RECORD_ID))
+    rows = rows.select("path", "record", fits.alias("fits"), F.coalesce(plain, F.lit(False)).alias("plain"), F.struct("line_no", "line").alias("l"))
+    whole = rows.groupBy("path", "record").agg(F.array_sort(F.collect_list(F.when(F.col("fits"), F.col("l")))).alias("l"), F.bool_and(F.col("fits") & F.col("plain")).alias("good"))
+    parts = F.col("l")["line"]
+    first, before = F.split(F.get(parts, F.lit(0)), "\t"), F.array_join(F.slice(parts, 1, F.greatest(F.size("l") - 1, F.lit(0))), "\n")
+    extras = F.array_join(F.slice(F.split(before, "\t"), 27, 1 << 20), "\t")
+    open_ = F.get(first, F.lit(0)).rlike(RECORD_ID + "$") & F.contains(extras, F.lit("<PAGE_LINKS>")) & ~F.contains(extras, F.lit("</PAGE_TITLE>"))
+    valid = (F.col("record") > 0) & F.col("good") & ((F.size("l") == 1) | open_)
+    return whole.select("path", "record", F.array_join(parts, "\n").alias("line"), F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
+def checked_articles(records: DataFrame, o: Options = Options()) -> DataFrame:
+    """Article fields with their ``row_status``; a record that isn't whole is a reject."""
+    f = F.split("line", "\t")
+    at = lambda i: F.coalesce(F.trim(F.get(f, F.lit(i))), F.lit(""))
+    rows = batch_key(records).select("kind", "file_ts", "record", "valid", at(0).alias("record_id"), at(7).alias("themes"), at(9).alias("locations"), at(13).alias("organizations"), at(15).alias("tones"))
+    rows = rows.withColumn("countries", location_countries("locations", (*o.excluded_geo, o.home_geo)))
+    rows = rows.withColumns({"tone": F.coalesce(F.get(F.split("tones", ","), F.lit(0)), F.lit("")), "polarity": F.coalesce(F.get(F.split("tones", ","), F.lit(3)), F.lit(""))})
+    status = F.when(F.col("kind").isNull() | F.col("file_ts").isNull(), "reject_name").when(~F.col("valid"), "reject_layout").otherwise(article_status(F.col("countries"), "tone", "polarity"))
+    return rows.select("kind", "file_ts", "record", "record_id", "countries", F.split("themes", ";").alias("themes"), "organizations", "tone", "polarity", status.alias("row_status"))
+
+
+def typed_articles(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"tone": score_value("tone"), "polarity": F.coalesce(score_value("polarity"), F.lit(0.0))})

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.rollup import rollup_geo, write_partials
+from ..operators.ledger import accepted, account
+from ..operators.rollup import rollup_articles, rollup_geo, rollup_relation, write_partials
+from ..options import Options
+from ..sources.archives import FILES, article_records, batch_key, checked_articles, checked_events, lines_of, typed_articles, typed_events
 
 
 def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, per_round: int = 32, then: Callable[[int], None] | None = None) -> None:
@@ -25,6 +28,29 @@ def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: st
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def ingest_archives(spark: SparkSession, source: str, target: str, checkpoint: str, per_round: int = 32, o: Options = Options()) -> None:
+    """Read new archives of events and articles (bounded a round), check their rows, and write hour cells and the ledger by batch.
+
+    A batch with a rejected row is failed and gives no cells. The ledger is written after the cells; a rerun rewrites the same partitions.
+    """
+    batch = ("kind", "file_ts")
+
+    def step(files: DataFrame, number: int) -> None:
+        named = batch_key(files)
+        events = checked_events(lines_of(named.filter("kind = 'events'")), o).persist()
+        articles = checked_articles(article_records(lines_of(named.filter("kind = 'gkg'"))), o).persist()
+        good = typed_events(accepted(events))
+        write_partials(rollup_relation(good, "hour", *batch), f"{target}/relation")
+        write_partials(rollup_geo(good, "hour", *batch), f"{target}/geo")
+        write_partials(rollup_articles(typed_articles(accepted(articles)), "hour", o, *batch), f"{target}/articles")
+        write_partials(account(events.select(*batch, "row_status").union(articles.select(*batch, "row_status"))), f"{target}/ledger")
+        events.unpersist()
+        articles.unpersist()
+
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.zip").option("maxFilesPerTrigger", per_round)
+    files.load(source).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def deduplicated(events: DataFrame, watermark: str) -> DataFrame:
     """The first row of each event id within the watermark."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])

@@ -9,7 +9,7 @@ from pulsegrid.functions import scores as S
 from pulsegrid.operators.coverage import momentum
 from pulsegrid.operators.rollup import masses, rollup_geo, rollup_relation
 from pulsegrid.options import Options
-from pulsegrid.sources.archives import article_records, batch_key, event_rows, read_lines
+from pulsegrid.sources.archives import article_records, batch_key, checked_articles, checked_events, event_rows, read_lines, write_archives
 
 
 @pytest.fixture(scope="module")
@@ -64,3 +64,60 @@ def test_archives(spark, tmp_path):
     got = article_records(spark.createDataFrame([("20240101001500.gkg.csv.zip", n, t) for n, t in text], "path string, line_no long, line string")).orderBy("record").collect()
     assert [r["valid"] for r in got] == [True, False]
     assert batch_key(spark.createDataFrame([("x/bad.zip",)], "path string")).first()["file_ts"] is None
+
+
+def test_archives_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "20240101001500.export.CSV.zip").write_bytes(b"no archive")
+    with zipfile.ZipFile(tmp_path / "20240101003000.export.CSV.zip", "w") as z:
+        z.writestr("a", "")
+    got = checked_events(read_lines(spark, str(tmp_path))).collect()
+    assert [r["row_status"] for r in got] == ["reject_layout"] * 2
+
+
+def test_archive_name_without_a_batch(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "today.zip", "w") as z:
+        z.writestr("a", "\t" * 60)
+    assert checked_events(read_lines(spark, str(tmp_path))).first()["row_status"] == "reject_name"
+
+
+@pytest.mark.parametrize(
+    ("lines", "valid"),
+    [
+        (["<PAGE_LINKS>a", "b", "", "c</PAGE_TITLE>"], True),
+        (["<PAGE_LINKS>a", "b</PAGE_TITLE>", "c"], False),
+        (["<PAGE_LINKS>a</PAGE_TITLE>", "b"], False),
+        (["a", "b"], False),
+        (["<PAGE_LINKS>a", "b\tc"], False),
+        (["<PAGE_LINKS>a", "20240101000000-2"], False),
+        (["<PAGE_LINKS>a", "x" * (1 << 20)], True),
+        (["<PAGE_LINKS>a", "x" * (1 << 20), "y"], False),
+    ],
+)
+def test_continued_records(spark, lines, valid):
+    head = "\t".join(["20240101000000-1", *[""] * 25, lines[0]])
+    rows = [("20240101001500.gkg.csv.zip", i, t) for i, t in enumerate([head, *lines[1:]])]
+    got = article_records(spark.createDataFrame(rows, "path string, line_no long, line string")).collect()
+    assert [r["valid"] for r in got] == [valid]
+
+
+@pytest.mark.parametrize(
+    ("places", "tones", "status"),
+    [
+        ("1#a#us#x;1#b#US#x;1#c#FR#x;1#d#CH#x", "-2,1,2,3", "ok"), ("1#d#CH#x", "", "skip_country"), ("1#a#US#x", " ,1", "skip_tone"), ("1#a#US#x", "nan,1,2,3", "reject_tone"),
+        ("1#a#US#x", "1,1,1,inf", "reject_tone"), ("1#a#US#x", "1.5d", "reject_tone"), ("1#a#US#x", "1.5", "ok"), ("", "x", "skip_country"),
+    ],
+)
+def test_article_rows(spark, places, tones, status):
+    line = "\t".join(["1", *[""] * 8, places, *[""] * 5, tones, *[""] * 11])
+    row = checked_articles(spark.createDataFrame([("20240101001500.gkg.csv.zip", 1, line, True)], "path string, record long, line string, valid boolean")).first()
+    assert row["row_status"] == status
+    assert status != "ok" or row["countries"] in (["FR", "US"], ["US"])
+
+
+def test_archives_round_trip(spark, tmp_path):
+    rows = [(kind, 900 * b, i, f"{kind} {b} {i} \u00e9\t") for kind in ("events", "gkg") for b in range(3) for i in range(5)]
+    lines = spark.createDataFrame(rows, "kind string, file_ts long, line_no long, line string")
+    for _ in range(2):
+        write_archives(lines, str(tmp_path))
+    got = batch_key(read_lines(spark, str(tmp_path))).select("kind", "file_ts", "line_no", "line").collect()
+    assert sorted(map(tuple, got)) == sorted(rows)
