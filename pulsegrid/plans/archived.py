@@ -27,7 +27,7 @@ def at_places(places: dict[str, int], n: int):
 
 
 def event_archives(s, sf, path: str | None = None) -> str:
-    """The folder of archives of raw events, one for 90 days; both layouts stand in each."""
+    """The folder of archives of raw events in batches of 90 days; both layouts stand in each."""
     path = path or f"{C.shared(s)}/archives-{uuid.uuid4().hex}"
     rows = B.raw_events(s, sf).withColumn("event_id", F.concat_ws("-", "order_id", "line_id"))
     line = F.when(F.col("order_id") % 2 == 0, at_places(PLACES | {"geo": 53}, 61)).otherwise(at_places(PLACES | {"geo": 51}, 58))
@@ -36,7 +36,7 @@ def event_archives(s, sf, path: str | None = None) -> str:
 
 
 def article_archives(s, sf, spoilt: bool, path: str | None = None) -> str:
-    """The folder of archives of articles, one for each day; the last field of every third goes on after a line end.
+    """The folder of archives of articles in batches of a day; the last field of every third goes on after a line end.
 
     Spoilt: every 13th has an id after which no line may go on, every 17th a page title that is closed before the line end.
     """

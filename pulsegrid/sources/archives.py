@@ -1,8 +1,12 @@
-"""Batch archives: one zipped, tab-separated member each; the batch key comes from the file's name."""
+"""Batch archives: one zipped, tab-separated member each; the batch key comes from the file's name.
+
+A batch is an archive of the batch's name, its head, and as many numbered parts (20240101000000.gkg.csv.1.0.zip) as its size asks for.
+"""
 
 from __future__ import annotations
 
 import io
+import re
 import uuid
 import zipfile
 import zlib
@@ -16,6 +20,10 @@ from ..functions.fields import article_status, code, count_value, event_status,
 from ..options import Options
 
 MOST_BYTES = 1 << 30
+#: Bytes of lines in an archive that is written; a longer line has an archive to itself.
+PART_BYTES = 1 << 24
+#: Names of heads, without the numbered parts.
+HEADS = "*[!0-9].zip"
 #: The most characters that may follow an article record on lines of their own.
 MOST_TAIL = 1 << 20
 #: Names of batch files by kind, and the schema of files as Spark reads them.
@@ -68,42 +76,68 @@ def lines_of(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
 _TYPES = (pa.string(), pa.int64(), pa.string(), pa.string())
 
 
-def write_archives(lines: DataFrame, folder: str) -> None:
-    """One archive per (kind, file_ts) in the shared ``folder``, of its lines in the order of line_no.
+def parts_of(spark: SparkSession, source: str, heads: list[str]) -> DataFrame:
+    """The files of whole batches in ``source``: their heads, and all numbered parts."""
+    stems = (re.sub(r"([*?{}\[\]\\,])", r"\\\1", h.rsplit("/", 1)[-1].removesuffix(".zip")) for h in heads)
+    names = ",".join(f"{x}{end}" for x in stems for end in (".zip", ".*.zip"))
+    return spark.read.format("binaryFile").option("pathGlobFilter", f"{{{names}}}").load(source)
 
-    Lines are streamed into a file with a name of its own, which then takes the batch's name: a repeated attempt of a task leaves the same archive.
-    """
-    named = lines.withColumn("name", F.concat(F.date_format(F.timestamp_seconds("file_ts"), "yyyyMMddHHmmss"), F.create_map(*(F.lit(x) for kv in SUFFIXES.items() for x in kv))[F.col("kind")]))
-    spread = named.select("name", "line_no", "line").repartition("name").sortWithinPartitions("name", "line_no").select("name", "line")
 
-    def run(batches):
+def write_archives(lines: DataFrame, folder: str, part_bytes: int = PART_BYTES) -> None:
+    """Archives of at most ``part_bytes`` of lines for each (kind, file_ts) in the shared ``folder``; each has its lines in the order of line_no.
+
+    A row's line is a whole record and isn't cut. Rows are dealt over a batch's parts by a hash; a part that grows too large goes on in a further file.
+    Lines are streamed into a file with a name of its own, which then takes the part's name: a repeated attempt of a task leaves the same archives.
+    Heads take theirs last, so that a batch whose head is there is whole.
+    """
+    stem = F.create_map(*(F.lit(x) for kind, suffix in SUFFIXES.items() for x in (kind, suffix.removesuffix(".zip"))))[F.col("kind")]
+    named = lines.select(F.concat(F.date_format(F.timestamp_seconds("file_ts"), "yyyyMMddHHmmss"), stem).alias("name"), "line_no", "line")
+    sizes = named.groupBy("name").agg(F.ceil(F.sum(F.octet_length("line") + F.lit(1)) / F.lit(part_bytes)).alias("n"), F.min("line_no").alias("first"))
+    part = F.when(F.col("line_no") == F.col("first"), F.lit(0)).otherwise(F.pmod(F.xxhash64("line_no", "line"), F.greatest("n", F.lit(1))))  # the head isn't empty
+    dealt = named.join(F.broadcast(sizes), "name").select("name", part.cast("long").alias("part"), "line_no", "line")
+    spread = dealt.repartition("name", "part").sortWithinPartitions("name", "part", "line_no").select("name", "part", "line")
+
+    def base_of():
         from pyarrow import fs
 
-        system, base = (fs.FileSystem.from_uri(folder) if urlparse(folder).scheme else (fs.LocalFileSystem(), folder))
+        return fs.FileSystem.from_uri(folder) if urlparse(folder).scheme else (fs.LocalFileSystem(), folder)
+
+    def run(batches):
+        system, base = base_of()
         system.create_dir(base, recursive=True)
         now = temporary = stream = archive = member = None
+        size = roll = 0
+        heads: list[tuple] = []
 
         def close():
             member.close()
             archive.close()
             stream.close()
-            system.move(temporary, f"{base}/{now}")
+            if now[1] or roll:
+                system.move(temporary, f"{base}/{now[0]}.{now[1]}.{roll}.zip")
+            else:
+                heads.append((temporary, f"{base}/{now[0]}.zip"))
 
         for batch in batches:
-            for name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if name != now:
+            for name, part, line in zip(*(batch.column(j).to_pylist() for j in range(3))):
+                raw = line.encode("utf-8", "replace") + b"\n"
+                if (name, part) != now or size + len(raw) > part_bytes:
                     if now:
                         close()
-                    now, temporary = name, f"{base}/_{uuid.uuid4().hex}"
+                    roll = roll + 1 if (name, part) == now else 0
+                    now, temporary, size = (name, part), f"{base}/_{uuid.uuid4().hex}", 0
                     stream = system.open_output_stream(temporary, compression=None)
                     archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
-                    member = archive.open(zipfile.ZipInfo(name.removesuffix(".zip")), "w", force_zip64=True)
-                member.write(line.encode("utf-8", "replace") + b"\n")
+                    member = archive.open(zipfile.ZipInfo(name), "w", force_zip64=True)
+                member.write(raw)
+                size += len(raw)
         if now:
             close()
-        yield from ()
+        yield pa.RecordBatch.from_pydict({k: pa.array([h[i] for h in heads], pa.string()) for i, k in enumerate(("temporary", "head"))})
 
-    spread.mapInArrow(run, "done string").write.format("noop").mode("overwrite").save()
+    system, _ = base_of()
+    for temporary, head in spread.mapInArrow(run, "temporary string, head string").collect():  # a row a batch
+        system.move(temporary, head)
 
 
 def event_rows(lines: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.ledger import accepted, account
 from ..operators.rollup import rollup_articles, rollup_geo, rollup_relation, write_partials
 from ..options import Options
-from ..sources.archives import FILES, article_records, batch_key, checked_articles, checked_events, lines_of, typed_articles, typed_events
+from ..sources.archives import FILES, HEADS, article_records, batch_key, checked_articles, checked_events, lines_of, parts_of, typed_articles, typed_events
 
 
 def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, per_round: int = 32, then: Callable[[int], None] | None = None) -> None:
@@ -29,14 +29,17 @@ def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: st
 
 
 def ingest_archives(spark: SparkSession, source: str, target: str, checkpoint: str, per_round: int = 32, o: Options = Options()) -> None:
-    """Read new archives of events and articles (bounded a round), check their rows, and write hour cells and the ledger by batch.
+    """Read new batches of events and articles (bounded a round), check their rows, and write hour cells and the ledger by batch.
 
-    A batch with a rejected row is failed and gives no cells. The ledger is written after the cells; a rerun rewrites the same partitions.
+    The stream follows the heads; all parts of a batch are read in its head's round. A batch with a rejected row is failed and gives no cells. The ledger is written after the cells; a rerun rewrites the same partitions.
     """
     batch = ("kind", "file_ts")
 
     def step(files: DataFrame, number: int) -> None:
-        named = batch_key(files)
+        heads = [r["path"] for r in files.select("path").collect()]  # per_round at most
+        if not heads:
+            return
+        named = batch_key(parts_of(spark, source, heads))
         events = checked_events(lines_of(named.filter("kind = 'events'")), o).persist()
         articles = checked_articles(article_records(lines_of(named.filter("kind = 'gkg'"))), o).persist()
         good = typed_events(accepted(events))
@@ -47,7 +50,7 @@ def ingest_archives(spark: SparkSession, source: str, target: str, checkpoint: s
         events.unpersist()
         articles.unpersist()
 
-    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.zip").option("maxFilesPerTrigger", per_round)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", HEADS).option("maxFilesPerTrigger", per_round)
     files.load(source).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 

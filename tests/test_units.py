@@ -9,7 +9,8 @@ from pulsegrid.functions import scores as S
 from pulsegrid.operators.coverage import momentum
 from pulsegrid.operators.rollup import masses, rollup_geo, rollup_relation
 from pulsegrid.options import Options
-from pulsegrid.sources.archives import article_records, batch_key, checked_articles, checked_events, event_rows, read_lines, write_archives
+from pulsegrid.sources.archives import article_records, batch_key, checked_articles, checked_events, event_rows, parts_of, read_lines, write_archives
+from pulsegrid.streaming.ingest import ingest_archives
 
 
 @pytest.fixture(scope="module")
@@ -121,3 +122,30 @@ def test_archives_round_trip(spark, tmp_path):
         write_archives(lines, str(tmp_path))
     got = batch_key(read_lines(spark, str(tmp_path))).select("kind", "file_ts", "line_no", "line").collect()
     assert sorted(map(tuple, got)) == sorted(rows)
+
+
+def test_archives_of_a_large_batch(spark, tmp_path):
+    lines = spark.range(200).selectExpr("'gkg' as kind", "900L as file_ts", "id as line_no", "concat(id, ' ', repeat('x', 90), '\n', 'y') as line")
+    for _ in range(2):
+        write_archives(lines, f"file://{tmp_path}", 2000)
+    names = [p.name for p in tmp_path.glob("[0-9]*.zip")]
+    assert len(names) > 5 and "19700101001500.gkg.csv.zip" in names
+    for name in names:
+        with zipfile.ZipFile(tmp_path / name) as z:
+            assert z.infolist()[0].file_size <= 2000
+    got = batch_key(read_lines(spark, str(tmp_path), 2000))
+    assert got.filter("error is not null or kind <> 'gkg' or file_ts <> 900").count() == 0
+    assert sorted(r["line"] for r in got.collect()) == sorted(x for r in lines.collect() for x in r["line"].split("\n"))
+    assert parts_of(spark, str(tmp_path), [f"file://{tmp_path}/19700101001500.gkg.csv.zip"]).count() == len(names)
+
+
+@pytest.mark.parametrize("per_round", [1, 32])
+def test_stream_of_a_batch_in_parts(spark, tmp_path, per_round):
+    places = {0: "'e'", 7: "'USA'", 17: "'FRA'", 26: "'010'", 28: "'01'", 29: "'1'", 30: "'1'", 31: "if(file_ts = 900 and id = 77, 'broken', '1')", 32: "'1'", 33: "'1'", 34: "'1'", 53: "'US'"}
+    line = f"concat_ws('\t', {', '.join(places.get(i, repr('')) for i in range(61))})"
+    lines = spark.range(100).selectExpr("id", "explode(array(0L, 900L)) as file_ts").selectExpr("'events' as kind", "file_ts", "id as line_no", f"{line} as line")
+    write_archives(lines, f"file://{tmp_path}/in", 1000)
+    ingest_archives(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check", per_round)
+    got = spark.read.parquet(f"{tmp_path}/out/ledger").orderBy("file_ts").collect()
+    assert [(r["file_ts"], r["row_count"], r["rejected"], r["status"]) for r in got] == [(0, 100, 0, "done"), (900, 99, 1, "failed")]
+    assert [(r["file_ts"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/out/relation").groupBy("file_ts").agg({"n_events": "sum"}).toDF("file_ts", "n").collect()] == [(0, 100)]
