@@ -7,8 +7,9 @@ and each document finds its own pieces. When a queue runs dry, a new phase begin
 What is left when all have run dry (less than a window's share each) is packed plainly, and the last window is cut
 into powers of two, so that no padding is needed.
 
-Queues are sources; beyond ``MOST_QUEUES`` distinct ones, sources share queues by hash, and queues whose share is
-under four tokens a window are served as one. All tokens are packed either way. Null source is a queue of its own; null
+Queues are sources. Those with under four tokens a window by size and by weight, however many, share one more queue: their
+documents are cut into an eighth of a window at most and sorted by the share of their source (or of its weight) that is served
+before them, so that all sources run along together. All tokens are packed. Null source is a queue of its own; null
 text is an empty text, which has the end id only. Repeated rows are packed as often as they occur.
 """
 
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import small_batches, written
 from .tokens import encoder
 
+#: The most sources with a queue of their own; the sources' totals and weights go to the driver for these alone.
 MOST_QUEUES = 1024
+NULL = "\x00null"
 GRID_BITS = 20
 
 
@@ -161,6 +164,44 @@ def tokenised(docs: DataFrame, queue, path: str, kind: str, end_id: int) -> Data
     return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), queue.alias("queue")).mapInArrow(run, _TOKENS), "tokens")
 
 
+def interleaved(rows: DataFrame, size: int) -> DataFrame:
+    """Rows of many sources as cuts in one order, a row a cut: x, its place among all tokens; first, its start in the document.
+
+    Rows have y, their place in their source, and share, what the source's whole turn is in tokens; sources with ``last`` come
+    after the others. A cut's turn lies within it, by a hash of the source, so that sources of one document spread out too.
+    """
+    cuts = "doc_id long, doc_tokens long, first long, n long, last boolean, turn double, tie long, place long, ids binary"
+
+    def cut(batches):
+        for batch in batches:
+            out: dict = {k.split()[0]: [] for k in cuts.split(", ")}
+            for doc_id, y, n, share, last, tie, ids in zip(*(batch.column(j).to_pylist() for j in range(7))):
+                for first in range(0, n, max(1, size // 8)):
+                    m = min(max(1, size // 8), n - first)
+                    turn = (y + first + (tie % (1 << 20)) / (1 << 20) * m) / share
+                    for k, v in zip(out, (doc_id, n, first, m, last, turn, tie, y + first, ids[2 * first : 2 * (first + m)])):
+                        out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(),) * 4 + (pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.binary()))], names=list(out))
+
+    def count(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.column(3).to_numpy()
+            ends = at + np.cumsum(n)
+            at = int(ends[-1]) if len(n) else at
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(ends - n, pa.int64()), *batch.columns], names=["part", "at", "doc_id", "doc_tokens", "first", "n", "ids"])
+
+    order = ("last", "turn", "tie", "place")
+    done = rows.select("doc_id", "y", "n", "share", "last", F.xxhash64("queue").alias("tie"), "ids").mapInArrow(cut, cuts).repartitionByRange(*order).sortWithinPartitions(*order)
+    done = written(done.select("doc_id", "doc_tokens", "first", "n", "ids").mapInArrow(count, "part int, at long, doc_id long, doc_tokens long, first long, n long, ids binary"), "interleaved")
+    ahead, before = [], 0
+    for part, n in done.groupBy("part").agg(F.sum("n")).orderBy("part").collect():  # a row a task
+        ahead.append((part, before))
+        before += n
+    ahead = rows.sparkSession.createDataFrame(ahead, "part int, ahead long")
+    return done.join(F.broadcast(ahead), "part").withColumn("x", F.col("ahead") + F.col("at"))
+
+
 def pack(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 1, size: int = 2048, by: str = "source", mixture: dict | None = None) -> DataFrame:
     """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
@@ -169,42 +210,49 @@ def pack(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 1, size:
     """
     if size & (size - 1) or size > 1 << 16:
         raise ValueError("size must be a power of two of at most 65536")
-    source = F.coalesce(F.col(by).cast("string"), F.lit("\x00null")) if by in docs.columns else F.lit("")
-    many = docs.select(source.alias("q")).distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES
-    queue = F.concat(F.lit("bucket "), F.pmod(F.xxhash64(source), F.lit(MOST_QUEUES)).cast("string")) if many else source
-    rows = tokenised(docs, queue, path, kind, end_id)
-
-    sums = rows.groupBy("queue", "part").agg(F.sum("n").alias("tokens"))
-    total = {r["queue"]: int(r["t"]) for r in sums.groupBy("queue").agg(F.sum("tokens").alias("t")).collect()}  # MOST_QUEUES rows at most
-    everything = sum(total.values())
-    small = sorted(q for q, n in total.items() if n * size < 4 * everything)
-    names = sorted(set(total) - set(small))
-    if small and (sum(total[q] for q in small) * size >= 4 * everything or not names):
-        lanes = [[q] for q in names] + [small]
-    else:
-        lanes = [[q] for q in names[:-1]] + [[*names[-1:], *small]] if names else []
-    lane_of = {q: i for i, lane in enumerate(lanes) for q in lane}
-    totals = [sum(total[q] for q in lane) for lane in lanes]
-    weights = [sum((mixture or {}).get(q, 0.0) if mixture else total[q] for q in lane) for lane in lanes]
+    source = F.coalesce(F.col(by).cast("string"), F.lit(NULL)) if by in docs.columns else F.lit("")
+    rows, spark = tokenised(docs, source, path, kind, end_id), docs.sparkSession
+
+    sums = written(rows.groupBy("queue", "part").agg(F.sum("n").alias("tokens")), "sums")
+    total = sums.groupBy("queue").agg(F.sum("tokens").alias("t"))
+    everything = total.agg(F.sum("t")).first()[0] or 0
+    target = {NULL if q is None else q: float(w) for q, w in (mixture or {}).items() if w}
+    heavy = [q for q, w in target.items() if w * size >= 4 * sum(target.values())]
+    found = total.filter((F.col("t") * size >= 4 * everything) | F.col("queue").isin(heavy)).orderBy(F.desc("t"), "queue").limit(MOST_QUEUES)
+    own = {r["queue"]: int(r["t"]) for r in found.collect()}
+    rest = everything - sum(own.values())
+    while rest and own and rest * size < 4 * everything:  # the shared queue has four tokens a window, too
+        rest += own.pop(min(own, key=lambda q: (own[q], q)))
+    names = sorted(own)
+    totals, weights = [own[q] for q in names], [target.get(q, 0.0) if mixture else own[q] for q in names]
+    if rest:
+        totals.append(rest)
+        light = [r["queue"] for r in total.filter(F.col("queue").isin([q for q in target if q not in own])).collect()]
+        weights.append(sum(target[q] for q in light) if mixture else rest)
     layout = Layout(totals, weights, size)
 
-    spark = docs.sparkSession
-    lane_rows = spark.createDataFrame([(q, i) for q, i in lane_of.items()] or [("", 0)], "queue string, lane int")
-    before = Window.partitionBy("lane").orderBy("queue", "part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sums.join(F.broadcast(lane_rows), "queue").select("queue", "part", "lane", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("ahead"))
-    placed = rows.join(firsts, ["queue", "part"]).select("doc_id", "lane", (F.col("ahead") + F.col("at")).alias("x"), "n", "ids")
+    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    lanes = F.broadcast(spark.createDataFrame([(q, i) for i, q in enumerate(names)], "queue string, lane int"))
+    firsts = sums.select("queue", "part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("ahead")).join(lanes, "queue", "left")
+    place = (F.col("ahead") + F.col("at")).alias("x")
+    placed = rows.join(firsts.filter("lane is not null"), ["queue", "part"]).select("doc_id", "lane", place, "n", F.lit(0).cast("long").alias("first"), F.col("n").alias("doc_tokens"), "ids")
+    if rest:
+        share = spark.createDataFrame([(q, target[q]) for q in light] if mixture else [], "queue string, w double")
+        firsts = firsts.filter("lane is null").join(total, "queue").join(F.broadcast(share), "queue", "left")
+        small = rows.join(firsts, ["queue", "part"]).select("queue", "doc_id", place.alias("y"), "n", F.coalesce("w", F.col("t").cast("double")).alias("share"), (F.col("w").isNull() & F.lit(bool(mixture))).alias("last"), "ids")
+        placed = placed.union(interleaved(small, size).select("doc_id", F.lit(len(names)).alias("lane"), "x", "n", "first", "doc_tokens", "ids"))
 
     def run(batches):
         names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
         for batch in batches:
             out: dict = {k: [] for k in names}
             cut: list = []
-            for doc_id, lane, x, n, ids in zip(*(batch.column(j).to_pylist() for j in range(5))):
+            for doc_id, lane, x, n, first, doc_tokens, ids in zip(*(batch.column(j).to_pylist() for j in range(7))):
                 wide = memoryview(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
                 start, length, seq, offset = layout.pieces(lane, x, n)
                 out["doc_id"] += [doc_id] * len(start)
-                out["doc_tokens"] += [n] * len(start)
-                for k, v in zip(("start", "length", "sequence_id", "offset"), (start, length, seq, offset)):
+                out["doc_tokens"] += [doc_tokens] * len(start)
+                for k, v in zip(("start", "length", "sequence_id", "offset"), (start + first, length, seq, offset)):
                     out[k] += v.tolist()
                 parts = [wide[4 * a : 4 * (a + m)] for a, m in zip(start.tolist(), length.tolist())]
                 out["ids_crc32"] += map(zlib.crc32, parts)

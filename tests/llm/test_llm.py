@@ -154,6 +154,20 @@ def test_packing(docs, odd, empty, many, monkeypatch):
     assert packing.pack(empty, vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+@pytest.mark.parametrize(("sources", "mixture", "share", "others"), [(600, None, 0.167, 50), (1100, {"s0": 3.0} | {f"s{i}": 1 / 1099 for i in range(1, 1100)}, 75.0, 10)])
+def test_packing_mixes_many_sources(spark, sources, mixture, share, others):
+    rows = [(1000 * i + j, f"one two three {i} " * 5, f"s{i}") for i in range(sources) for j in range(2 if i else 2 if not mixture else 900)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), vocabulary("byte_bpe_50k.json"), size=2048, mixture=mixture).collect()
+    by, whole = defaultdict(Counter), defaultdict(set)
+    for r in got:
+        by[r["sequence_id"]][r["doc_id"] // 1000] += r["length"]
+        whole[r["doc_id"], r["doc_tokens"]] |= set(range(r["start"], r["start"] + r["length"]))
+    assert len(whole) == len(rows) and all(len(v) == n for (_, n), v in whole.items())
+    full = [by[s] for s in sorted(by) if sum(by[s].values()) == 2048]
+    assert len(full) > 5 and all(len(w) > others for w in full[:5])
+    assert all(abs(w[0] - 2048 * share / 100) < 60 for w in full[:5])
+
+
 def test_packing_layout_keeps_the_mixture():
     totals = [300_000, 90_000, 32_345, 40_000]
     layout = packing.Layout(totals, [float(t) for t in totals], 64)
