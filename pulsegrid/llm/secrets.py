@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and strings that a primed compressor finds new.
 
 Three patterns give the base spans. The method adds others: behind a word of sensitive context (key,
-secret, credential ...) a candidate string of 16 or more key characters is compressed by Zstandard
+secret, credential ...) a candidate string of 16 or more key characters, with a digit or a frequent change of case, is compressed by Zstandard
 behind its surrounding text, primed with a dictionary of common identifiers. Its marginal bytes, that is
 the frame with it less the frame without it, tell novelty: an identifier or a word met nearby costs a few bytes,
 a random key most of its entropy. Candidates above ``min_ratio`` marginal bytes a character are reported as 'novel'.
@@ -27,9 +27,24 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 #: Words that make the text behind them sensitive.
-CONTEXT = (b"secret", b"token", b"passw", b"api", b"key", b"credential", b"bearer", b"auth", b"private")
-_CONTEXT = re.compile("(?i:secret|token|passw(?:or)?d|api_?key|access_?key|private_?key|credential|bearer|auth)", re.ASCII)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CONTEXT = (b"secret", b"token", b"passw", b"pwd", b"api", b"key", b"credential", b"bearer", b"auth", b"private")
+#: All of ``CONTEXT``; 'key' stands for api key, access-key, private_key and the like.
+_CONTEXT = re.compile(f"(?i:{b'|'.join(CONTEXT).decode()})", re.ASCII)
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+LEAST = 16
+
+
+def keylike(s: str) -> bool:
+    """Whether the measure may decide: with a digit, or where upper and lower case change at a third or more of the pairs of letters.
+
+    Long words in letters alone cost as many bytes as the shortest random strings do.
+    """
+    if re.search("[0-9]", s):
+        return True
+    case = [c.isupper() for c in s if c.isalpha()]
+    return len(case) > 1 and 3 * sum(a != b for a, b in zip(case, case[1:])) >= len(case) - 1
+
+
 #: Identifiers and phrases that are common in code and configuration, for the dictionary.
 IDENTIFIERS = (
     "import export default function return const public static private protected class struct interface "
@@ -75,17 +90,26 @@ def novel_spans(text: str, known: list, novelty: Novelty, reach: int, around: in
     if not any(w in low for w in CONTEXT):
         return []
     found: dict = {}
+    tried: set = set()
+    run = (0, 0)
     for word in _CONTEXT.finditer(text):
-        for m in _CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + reach)):
-            end = m.end()
-            while end < len(text) and re.match("[A-Za-z0-9+/_=-]", text[end]):  # a string that the reach cuts counts whole
-                end += 1
-            if m.start() in found or any(a < end and m.start() < b for a, _, b in known):
+        at, limit = word.end(), word.end() + reach
+        while at < limit:
+            if not run[0] <= at < run[1]:  # words within a long run don't search it again
+                m = _RUN.search(text, at)
+                if not m:
+                    break
+                run = m.span()
+            start, end = max(at, run[0]), run[1]
+            at = end
+            if start >= limit or end - start < LEAST or start in tried:
+                continue
+            tried.add(start)
+            s = text[start:end]
+            if any(a < end and start < b for a, _, b in known) or not keylike(s):
                 continue
-            s = text[m.start() : end]
-            if re.search("[0-9]", s) and re.search("[A-Za-z]", s):
-                if novelty.marginal(text[max(0, m.start() - around) : m.start()], s, text[end : end + around]) >= min_ratio * len(s):
-                    found[m.start()] = (m.start(), "novel", end)
+            if novelty.marginal(text[max(0, start - around) : start], s, text[end : end + around]) >= min_ratio * len(s):
+                found[start] = (start, "novel", end)
     out: list = []
     for span in sorted(found.values()):
         if not out or span[0] >= out[-1][2]:
