@@ -2,33 +2,36 @@
 
 A short word is held as its part boundaries and the ranks of adjacent parts. Each step scans the ranks
 for the minimum, deletes that boundary and refreshes the two neighbouring ranks, until no rank is left.
-Ranks come from the merge list of a tokenizer file, whose path is a parameter.
+The scan would be quadratic on long words: those of more than ``SHORT`` parts keep the same ranks in a heap over linked parts,
+and merge in the same order. Ranks come from the merge list of a tokenizer file, whose path is a parameter.
 
 Null text counts as empty: no ids, decoded text empty. Repeated rows are encoded alike; other columns
-are not read. Very long words (a thousand characters without a break) take a quadratic scan each.
+are not read. A text is one row of one task whatever its length; a word of a megabyte takes seconds. A part that
+the vocabulary lacks is an error.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 from array import array
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows_map, small_batches
-from .tokens import Encoder, spell
+from .tokens import Encoder, checked, spell
 
 NEVER = 1 << 30
+#: The most parts of a word in the rank array.
+SHORT = 256
 
 
 class RankArray:
     """The BPE model of a tokenizer file: merge ranks, ids and tokens."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, path: str, kind: str = "word"):
+        model = checked(path, kind)["model"]
         self.end = model.get("end_of_word_suffix") or ""
         self.id = model["vocab"]
         pairs = (m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"])
@@ -37,6 +40,8 @@ class RankArray:
     def parts(self, word: str) -> list[str]:
         """The parts of a word that is spelt in the byte alphabet."""
         part = [*word[:-1], word[-1] + self.end] if word else []
+        if len(part) > SHORT:
+            return self._long(part)
         rank_of = self.rank.get
         rank = [rank_of(p, NEVER) for p in zip(part, part[1:])]
         while rank and (least := min(rank)) < NEVER:
@@ -49,17 +54,40 @@ class RankArray:
                 rank[i - 1] = rank_of((part[i - 1], part[i]), NEVER)
         return part
 
+    def _long(self, part: list[str]) -> list[str]:
+        """The same merges from a heap of (rank, place); an entry whose parts have changed since is passed over."""
+        n, rank_of = len(part), self.rank.get
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(part, part[1:])) if (r := rank_of((a, b))) is not None]
+        heapify(heap)
+
+        def meet(i: int, j: int) -> None:
+            if i >= 0 and j < n and (r := rank_of((part[i], part[j]))) is not None:
+                heappush(heap, (r, i, part[i], part[j]))
+
+        while heap:
+            _, i, a, b = heappop(heap)
+            j = after[i]
+            if part[i] != a or j >= n or part[j] != b:
+                continue
+            part[i], part[j] = a + b, ""
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            meet(before[i], i)
+            meet(i, after[i])
+        return [p for p in part if p]
+
     def ids(self, word: str) -> bytes:
         whole = self.id.get(word + self.end) if len(word) == 1 else None
-        known = [whole] if whole is not None else [self.id[p] for p in self.parts(word) if p in self.id]
-        return array("H", known).tobytes()
+        return array("H", [whole] if whole is not None else [self.id[p] for p in self.parts(word)]).tobytes()
 
 
 class Codec:
     """Whole texts to ids and back."""
 
     def __init__(self, path: str, kind: str):
-        model = RankArray(path)
+        model = RankArray(path, kind)
         self.encoder = Encoder(path, kind, lambda word: model.ids(spell(word)))
         vocabulary = self.encoder.library.get_vocab(with_added_tokens=True)
         self.token = [""] * (max(vocabulary.values()) + 1)
