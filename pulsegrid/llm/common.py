@@ -30,8 +30,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's tables and files in the shared folder."""
+    return f"{scratch_dir(spark)}/pulsegrid-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote there. Its owner calls this once the results are stored; the operators never do, as their results read from it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,8 +53,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Rows a batch for Python, so that a batch of long texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Let the session hand Python at most ``rows`` rows a batch, so that a batch of long texts stays small.
+
+    Spark reads the setting when a plan runs, so it stays in the session; a smaller value of the user or of another operator is left.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def rows_map(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
@@ -71,21 +88,26 @@ def id_residue(n: int, doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % n
 
 
-def hot_keys(groups: DataFrame, n: str, total: int) -> DataFrame:
-    """Groups with a thousandth of all rows or more: a thousand at most, so they may be broadcast."""
-    return groups.filter(F.col(n) >= F.lit(max(2, int(total * HOT_SHARE))))
+def spread_join(df: DataFrame, table: DataFrame, key: str, n: str, total: int, by: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """Join ``table`` by ``key``, which is unique in it; its column ``n`` counts the rows of ``df`` with the key, ``total`` all of them.
+
+    A key with a thousandth of all rows or more is hot. Rows of hot keys are dealt over several parts by a hash of ``by``, and the key's row
+    in ``table`` is given to each of them; rows without a key are dealt out likewise. Only the hot keys are broadcast, with their numbers of parts: two numbers each, and a thousand at most.
+    """
+    most = max(2, int(total * HOT_SHARE))
+    ways = F.when(F.col(n) >= most, F.ceil(F.col(n) / most)).otherwise(F.lit(1)).cast("int")
+    hot = table.filter(F.col(n) >= most).select(F.col(key).alias("_hot"), ways.alias("_ways"))
+    left = df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").drop("_hot")
+    part = F.pmod(F.xxhash64(*by), F.coalesce("_ways", F.when(F.col(key).isNull(), 1_000_003).otherwise(1)))
+    left = left.withColumn("_part", part.cast("int")).drop("_ways")
+    right = table.withColumn("_part", F.explode(F.sequence(F.lit(0), ways - 1))).drop(n)
+    return left.join(right, [key, "_part"], how).drop("_part")
 
 
-def look_up(df: DataFrame, table: DataFrame, key: str, value: str, n: str, total: int) -> DataFrame:
-    """Left join of ``value`` by ``key``; ``table`` has unique keys with row counts ``n``.
+def dealt(rows: DataFrame, size: str, each: int = 32 << 20) -> DataFrame:
+    """``rows`` (places in files) over as many tasks as their bytes need, ``each`` a task; fewer only where there are fewer rows than cores.
 
-    Hot keys come by a broadcast of a thousand rows at most; their rows are dealt out by a random-like
-    key in the join for the others, so that no task gets all rows of a key.
+    The number is fixed, so that adaptive execution, which sees the small rows alone, doesn't put them together.
     """
-    hot = hot_keys(table, n, total).select(F.col(key).alias("_hot_key"), F.col(value).alias("_hot_value"))
-    cold = table.filter(F.col(n) < F.lit(max(2, int(total * HOT_SHARE)))).select(F.col(key).alias("_cold_key"), F.col(value).alias("_cold_value"))
-    out = df.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    out = out.withColumn("_spread", F.when(F.col("_hot_key").isNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() % 100_003 + 1))
-    cold = cold.withColumn("_cold_spread", F.lit(0).cast("long"))
-    out = out.join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_spread") == F.col("_cold_spread")), "left")
-    return out.withColumn(value, F.coalesce("_hot_value", "_cold_value")).drop("_hot_key", "_hot_value", "_spread", "_cold_key", "_cold_value", "_cold_spread")
+    n, whole = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows.repartition(max(1, min(n, max(-(-int(whole) // each), 2 * rows.sparkSession.sparkContext.defaultParallelism))))

@@ -23,7 +23,8 @@ class Output:
     """A new file ``name`` in ``folder``; ``at`` is the position of the next byte."""
 
     def __init__(self, folder: str, name: str, suffix: str):
-        self.uri = f"{folder}/{name}-{uuid.uuid4().hex}{suffix}"
+        self.name = f"{name}-{uuid.uuid4().hex}{suffix}"
+        self.uri = f"{folder}/{self.name}"
         system, path = opened(self.uri)
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
         self.stream, self.at = system.open_output_stream(path, compression=None), 0

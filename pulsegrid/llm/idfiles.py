@@ -4,23 +4,28 @@ Code lengths (16 bits at most, by package-merge) come from the counts of all ids
 ascending doc_id order; files are numbered in that order too. A block can be read alone: it lists its documents, and the
 bit offset of every 64th id. Decoding looks up 16 bits at a time in a table, for all of these offsets at once.
 
+A folder can be read by any later session: ``read_ids(spark, folder)``. Its ``index`` table lists the blocks. Each file begins with the
+code: 'HUFC', little-endian u32 bytes, and the code lengths of the ids 0 .. 65535, a byte each, compressed by zlib.
+
 Block: 'HUF1', then little-endian u32 documents, ids, payload words; per document i64 doc_id and u32 ids;
 a u32 bit offset for each 64 ids; payload in big-endian u32 words and one empty word.
-Null text counts as empty: a document of the end id alone. Repeated doc_ids stay in the order of their texts; null ids come first.
+Null text counts as empty: a document of the end id alone. Repeated doc_ids stay in the order of their ids; null doc_ids come first.
+A document is one row, of one block, whatever its length. Other columns are not read. An empty table gives a folder without files.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small_batches, written
+from .common import dealt, scratch_path, small_batches, written
 from .files import Output, read_at
 from .tokens import encoder
 
@@ -130,8 +135,26 @@ class Decoder:
         return [(None if d == NO_ID else d, i) for d, i in zip(doc_ids.tolist(), np.split(ids, cuts))] if n_docs else []
 
 
-def write_ids(docs: DataFrame, path: str, folder: str, kind: str = "word", end_id: int = 1) -> tuple[DataFrame, np.ndarray]:
-    """Encode all texts, count ids, write files. Returns the index (a row a block) and the code lengths."""
+def code_head(lengths: np.ndarray) -> bytes:
+    data = zlib.compress(lengths.tobytes(), 9)
+    return struct.pack("<4sI", b"HUFC", len(data)) + data
+
+
+def code_of(f) -> Decoder:
+    """The decoder of a file."""
+    magic, size = struct.unpack("<4sI", f.read_at(8, 0))
+    if magic != b"HUFC":
+        raise ValueError("not a file of ids")
+    return decoder(f.read_at(size, 8))
+
+
+@lru_cache(maxsize=4)
+def decoder(data: bytes) -> Decoder:
+    return Decoder(np.frombuffer(zlib.decompress(data), np.uint8))
+
+
+def write_ids(docs: DataFrame, path: str, folder: str, kind: str = "word", end_id: int = 1) -> None:
+    """Encode all texts, count ids, write files and their index (a row a block) into ``folder``."""
     spark = docs.sparkSession
     small_batches(spark)
 
@@ -146,10 +169,8 @@ def write_ids(docs: DataFrame, path: str, folder: str, kind: str = "word", end_i
     def count(batches):
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(ids, "<u2"), minlength=1 << 16) if len(ids) > 1 << 14 else 0
-                if len(ids) <= 1 << 14:
-                    np.add.at(total, np.frombuffer(ids, "<u2"), 1)
+            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2")
+            total += np.bincount(ids, minlength=1 << 16)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
 
@@ -157,7 +178,7 @@ def write_ids(docs: DataFrame, path: str, folder: str, kind: str = "word", end_i
     for r in rows.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # the vocabulary at most
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
-    codes = canonical(lengths)
+    codes, head = canonical(lengths), code_head(lengths)
 
     def write(batches):
         part, file, waiting, size, first, index = TaskContext.get().partitionId(), None, [], 0, 0, []
@@ -165,12 +186,14 @@ def write_ids(docs: DataFrame, path: str, folder: str, kind: str = "word", end_i
         def flush():
             nonlocal waiting, size, first
             data = block(waiting, lengths, codes)
-            index.append((part, file.uri, file.write(data), len(data), first, size))
+            index.append((part, file.name, file.write(data), len(data), first, size))
             waiting, size, first = [], 0, first + size
 
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                file = file or Output(folder, f"part-{part:05d}", ".ids")
+                if file is None:
+                    file = Output(folder, f"part-{part:05d}", ".ids")
+                    file.write(head)
                 waiting.append((doc_id, np.frombuffer(ids, "<u2")))
                 size += len(ids) // 2
                 if size >= BLOCK_IDS:
@@ -179,36 +202,40 @@ def write_ids(docs: DataFrame, path: str, folder: str, kind: str = "word", end_i
             flush()
         if file:
             file.close()
-        names = ("part", "uri", "offset", "bytes", "first", "n_ids")
-        yield pa.RecordBatch.from_pydict({k: pa.array([r[j] for r in index], pa.string() if k == "uri" else pa.int64()) for j, k in enumerate(names)})
+        names = ("part", "file", "offset", "bytes", "first", "n_ids")
+        yield pa.RecordBatch.from_pydict({k: pa.array([r[j] for r in index], pa.string() if k == "file" else pa.int64()) for j, k in enumerate(names)})
 
     ordered = rows.repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids")
-    index = written(ordered.mapInArrow(write, "part long, uri string, offset long, bytes long, first long, n_ids long"), "id-index")
-    return index, lengths
+    ordered.mapInArrow(write, INDEX).write.parquet(f"{folder}/index")
+
+
+INDEX = "part long, file string, offset long, bytes long, first long, n_ids long"
 
 
-def read_ids(index: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """A row a document: doc_id, start, n_tokens, ids_crc32, ids, from the files alone."""
+def read_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """A row a document: doc_id, start, n_tokens, ids_crc32, ids, from the folder alone; blocks are dealt over tasks by their bytes."""
+    index = spark.read.schema(INDEX).parquet(f"{folder}/index")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     parts = index.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    blocks = index.join(parts, "part").select("uri", "offset", "bytes", (F.col("ahead") + F.col("first")).alias("start")).repartition("uri", "offset")
+    blocks = index.join(parts, "part").select("file", "offset", "bytes", (F.col("ahead") + F.col("first")).alias("start"))
 
     def read(batches):
-        decode = Decoder(lengths)
+        code: dict = {}
         for batch in batches:
-            for uri, offset, size, start in zip(*(batch.column(j).to_pylist() for j in range(4))):
-                with read_at(uri) as f:
-                    found = decode(f.read_at(size, offset))
+            for file, offset, size, start in zip(*(batch.column(j).to_pylist() for j in range(4))):
+                with read_at(f"{folder}/{file}") as f:
+                    code[file] = code.get(file) or code_of(f)
+                    found = code[file](f.read_at(size, offset))
                 n = [i.size for _, i in found]
                 starts = (start + np.concatenate(([0], np.cumsum(n)))[:-1]).tolist()
                 wide = [i.astype("<u4").tobytes() for _, i in found]
                 columns = [pa.array([d for d, _ in found], pa.int64()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(map(zlib.crc32, wide), pa.int64()), pa.array(wide, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    small_batches(index.sparkSession)
-    return blocks.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return dealt(blocks, "bytes").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def write_and_read(docs: DataFrame, path: str, kind: str = "word", end_id: int = 1) -> DataFrame:
-    index, lengths = write_ids(docs, path, scratch_path(docs.sparkSession, "id-files"), kind, end_id)
-    return read_ids(index, lengths)
+    folder = scratch_path(docs.sparkSession, "id-files")
+    write_ids(docs, path, folder, kind, end_id)
+    return read_ids(docs.sparkSession, folder)

@@ -6,30 +6,37 @@ from the start, and only its smallest doc_id goes on.
 
 Buckets of any size are searched without their square: first each member is compared to the bucket's first, and links make
 components; then only pairs from different components are left, with at least one side outside the
-bucket's largest component. Those pairs pass a size and a signature filter (512 values for large buckets, four and a half standard
-deviations wide: it leaves out a true pair with a probability of 1e-5) and all links are confirmed on the full sets. In large buckets
+bucket's largest component. Those pairs pass a size and a signature filter (512 values for large buckets, five and a half standard
+deviations wide: it leaves out a true pair with a probability of 2e-8) and all links are confirmed on the full sets. In large buckets
 that happens within the blocks, which return a spanning forest of the links between components. Components are contracted by joins;
-nothing is collected.
+nothing is collected. Keys with many rows (a bucket, a bucket's first, a large component) are dealt over several tasks.
+
+There are as many bands as leave a pair at the threshold without a common bucket with a probability of ``miss``: 16 at 0.85, 22 at 0.8.
 
 Words are lower-cased in A-Z only and split at space, tab, line feed, vertical tab, form feed and return. Fewer words than a shingle
 make one shingle of all of them; null texts and texts without words have empty sets and link to nothing.
-Repeated rows give a row each. A row without doc_id is its own component (null).
+Repeated rows give a row each. Rows that share a doc_id are one document in several texts: what one text links to, all do.
+A row without doc_id is its own component (null). A text is one row of one task, whatever its length; its shingles are hashed in
+pieces. Other columns are not read. Ties between equal documents go to the smallest doc_id.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import look_up, rows_map, small_batches, written
+from .common import rows_map, small_batches, spread_join, written
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 SMALL = 64
 LONG_PERMS = 256
+#: Standard deviations below the threshold at which a signature still lets a pair through.
+WIDTH = 5.5
 #: A block takes two parts of about BLOCK members and BLOCK_VALUES shingles (16 MB) each.
 BLOCK = 1000
 BLOCK_VALUES = 2_000_000
@@ -108,19 +115,30 @@ def sketches(docs: DataFrame, size: int, perms: int) -> DataFrame:
     return rows_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "doc_id long, n long, class binary, sig binary")
 
 
+def margin(share: float, values: int) -> float:
+    """How far the share of equal signature values of a pair at the threshold may lie below it."""
+    return WIDTH * math.sqrt(share * (1 - share) / values)
+
+
+def _both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs with both sides' columns; ``a`` may have any number of pairs."""
+    side = lambda x: table.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
+    return spread_join(pairs.join(side("b"), "b"), side("a").join(counts, "a"), "a", "_n", pairs.count(), ("b",))
+
+
 def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose sizes and signatures allow the similarity."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").filter(F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b"))
+    both = _both(pairs, classes, ["n", "sig"]).filter(F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b"))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(j).to_pylist()), "<u4").reshape(batch.num_rows, -1) for j in (2, 3))
-                near = (x == y).mean(axis=1) >= least - 0.2
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], names=["a", "b"])
+                near = pa.array((x == y).mean(axis=1) >= least - margin(least, x.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _sets(members: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -140,7 +158,7 @@ def _sets(members: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
+    both = _both(pairs, sets.withColumnRenamed("doc_id", "rep"), ["set"])
 
     def run(batches):
         for batch in batches:
@@ -156,7 +174,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _long_signatures(large: DataFrame, sets: DataFrame) -> DataFrame:
     """(rep, sig, set) of members of large buckets alone; sig is the low bytes of LONG_PERMS minima and as many maxima."""
-    some = sets.join(large.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    some = sets.join(large.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct()
 
     def make():
         minmax = MinMax(LONG_PERMS)
@@ -165,21 +183,30 @@ def _long_signatures(large: DataFrame, sets: DataFrame) -> DataFrame:
     return written(rows_map(some, make, "rep long, sig binary, set binary"), "long-signatures")
 
 
+def _mapped(rows: DataFrame, column: str, parent: DataFrame, by: str) -> DataFrame:
+    """``rows`` (a written table) with the parents of ``column``, where there are any, in its place; a node may stand in any number of rows."""
+    counts = rows.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("_n"))
+    table = parent.join(counts, "v").select(F.col("v").alias(column), F.col("p").alias("_p"), "_n")
+    return spread_join(rows, table, column, "_n", rows.count(), (by,), "left").withColumn(column, F.coalesce("_p", column)).drop("_p")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in ``links``(a, b); component is the smallest id that can be reached.
 
-    Each round hooks every node to its smallest neighbour, then contracts the links; links within a component go.
+    Each round hooks every node to its smallest neighbour, jumps from parents to their parents until all are roots, then contracts the
+    links; links within a component go. A round leaves half of the nodes that had links at most, and a tree of depth d takes log d jumps.
     """
-    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "links")
-    labels = written(links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct().withColumn("component", F.col("id")), "labels")
-    while not links.isEmpty():
+    flat = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+    links, labels = written(flat(links), "links"), None
+    while labels is None or not links.isEmpty():
         ends = links.union(links.select("b", "a")).toDF("v", "w")
         parent = written(ends.groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("p")), "parents")
-        twice = parent.alias("x").join(parent.alias("y"), F.col("x.p") == F.col("y.v")).select(F.col("x.v").alias("v"), F.least("x.p", "y.p").alias("p"))
-        parent = written(twice, "parents")
-        pa_, pb = parent.toDF("a", "pa"), parent.toDF("b", "pb")
-        links = written(links.join(pa_, "a").join(pb, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).filter("a < b").distinct(), "links")
-        labels = written(labels.join(parent.toDF("component", "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component")), "labels")
+        moved = True
+        while moved:
+            jumped = written(_mapped(parent.withColumn("q", F.col("p")), "p", parent, "v"), "parents")
+            parent, moved = jumped.select("v", "p"), not jumped.filter("p <> q").isEmpty()
+        labels = parent.toDF("id", "component") if labels is None else written(_mapped(labels, "component", parent, "id"), "labels")
+        links = written(flat(_mapped(written(_mapped(links, "a", parent, "b"), "links"), "b", parent, "a")), "links")
     return labels
 
 
@@ -201,7 +228,7 @@ def _block_links(t: pa.Table, least: float, percent: int) -> pa.Table:
     for r in left:
         some = right[right > r] if i == j else right
         some = some[(comp[some] != comp[r]) & (outside[some] | outside[r]) & (np.minimum(n[some], n[r]) >= least * np.maximum(n[some], n[r]))]
-        some = some[(sig[some] == sig[r]).mean(axis=1) >= least - 0.07] if some.size else some
+        some = some[(sig[some] == sig[r]).mean(axis=1) >= least - margin(least, sig.shape[1])] if some.size else some
         mark[codes[r]] = True
         for c in some:
             if comp[c] != comp[r]:
@@ -224,7 +251,8 @@ def _cross(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     rows = written(members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), "members")
     sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("values"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("total"), F.sum("values").alias("values"), F.count(F.lit(1)).alias("parts")).filter("parts > 1 and total > 2")
-    rows = written(rows.join(mixed.select("key", "total", "values", F.col("top.component").alias("main")), "key").withColumn("outside", F.col("component") != F.col("main")), "mixed")
+    mixed = mixed.select("key", "total", "values", F.col("top.component").alias("main"), F.col("total").alias("_n"))
+    rows = written(spread_join(rows, mixed, "key", "_n", rows.count(), ("rep",)).withColumn("outside", F.col("component") != F.col("main")), "mixed")
     little, large = rows.filter(F.col("total") <= SMALL), rows.filter(F.col("total") > SMALL)
     x = little.filter("outside").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     y = little.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
@@ -238,34 +266,34 @@ def _cross(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     return pairs, side.groupBy("key", "i", "j").applyInArrow(lambda t: _block_links(t, least, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, perms: int = 32, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 4, miss: float = 1e-5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document, links at ``percent`` per cent similarity of sets."""
-    spark: SparkSession = docs.sparkSession
     least = percent / 100
-    own = written(sketches(docs, size, perms), "sketches")
+    bands = math.ceil(math.log(miss) / math.log(1 - least**rows) / 2) * 2 if percent < 100 else 2
+    own = written(sketches(docs, size, bands * rows // 2), "sketches")
     some = own.filter("n > 0 and doc_id is not null")
     classes = written(some.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "classes")
-    bands = 2 * perms // rows
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * rows * i, 4 * rows)) for i in range(bands)))
     band = classes.select("rep", "n", F.explode(keys).alias("key"))
-    buckets = band.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = written(band.join(buckets, "key"), "buckets")
+    buckets = band.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    members = written(spread_join(band, buckets, "key", "_n", bands * classes.count(), ("rep",)), "buckets")
     first = written(members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "first-pairs")
     sets = _sets(members, docs, size)
     links = written(_confirmed(written(_alike(first, classes, least), "alike"), sets, percent), "links")
     pairs, joined = _cross(members.select("key", "rep", "n"), components(links), sets, percent)
-    cross = pairs.join(first, ["a", "b"], "left_anti")
+    cross = written(pairs.join(first, ["a", "b"], "left_anti"), "cross-pairs")
     more = written(_confirmed(written(_alike(cross, classes, least), "alike"), sets, percent), "links")
-    labels = components(links.union(more).union(written(joined, "links")))
+    several = some.groupBy("doc_id").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("doc_id")
+    twins = some.select("doc_id", "class").join(several, "doc_id", "left_semi").join(classes, "class").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    labels = components(links.union(more).union(written(joined, "links")).union(twins))
     named = classes.join(labels, F.col("rep") == F.col("id"), "left").select("class", F.coalesce("component", "rep").alias("component"), "copies")
-    out = look_up(own.select("doc_id", "n", "class"), written(named, "named"), "class", "component", "copies", own.count())
-    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    small_batches(spark)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = spread_join(own.select("doc_id", "n", "class"), written(named, "named"), "class", "copies", own.count(), ("doc_id",), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest doc_id; repeated rows of it are one."""
+    """``docs`` with one document of each group, the one with the smallest doc_id, with all its texts; rows that repeat its id and text are one."""
     kept = near_duplicates(docs, size, percent).filter("kept").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
     return known.unionByName(docs.filter(F.col("doc_id").isNull()))
