@@ -1,16 +1,21 @@
 """Mixture-controlled packing: deficit round-robin over source queues, in closed form.
 
-Every window of ``size`` tokens serves every queue by its share. After w windows a queue has been credited
+Every window of ``size`` tokens serves every lane by its share. After w windows a lane has been credited
 size * w * share tokens and served the whole tokens of that credit; the rest is its deficit and carries over to the next
 window, whichever task makes it. Served totals are therefore known for each w without visiting the windows before,
-and each document finds its own pieces. When a queue runs dry, a new phase begins among the others.
+and each document finds its own pieces. When a lane runs dry, a new phase begins among the others.
 What is left when all have run dry (less than a window's share each) is packed plainly, and the last window is cut
 into powers of two, so that no padding is needed.
 
-Queues are sources. Those with under four tokens a window by size and by weight, however many, share one more queue: their
-documents are cut into an eighth of a window at most and sorted by the share of their source (or of its weight) that is served
-before them, so that all sources run along together. All tokens are packed. Null source is a queue of its own; null
-text is an empty text, which has the end id only. Repeated rows are packed as often as they occur.
+A source whose target is an eighth of a window or more has a lane to itself: there are eight at most. The others, however many, share one lane
+of their joint target, and each is served in it by its own: their documents are cut into quanta of an eighth of a window at most, and
+a quantum's turn is the tokens of its source before it over the source's target. So a source that earns a few tokens a window is
+served a quantum in every so many windows. Quanta are sorted by their turns, by ranges, as rows without ids. With a ``mixture``, sources that
+it doesn't name are a lane that begins when all the others have run dry. Nothing about the small sources goes to the driver.
+
+All tokens are packed. Null source is a queue of its own; null text is an empty text, which has the end id only. Repeated rows are packed as
+often as they occur; ties go by a hash of the source. A document is one row of one task, whatever its length. Only doc_id,
+text and the source are read of the table. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -27,10 +32,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, written
 from .tokens import encoder
 
-#: The most sources with a queue of their own; the sources' totals and weights go to the driver for these alone.
-MOST_QUEUES = 1024
 NULL = "\x00null"
 GRID_BITS = 20
+#: A quantum, and the least share of a lane of one source, is a window's tokens over this.
+PARTS = 8
 
 
 @dataclass(frozen=True)
@@ -44,14 +49,14 @@ class Phase:
 
 
 def shares(weights: list[float], active: list[int], size: int) -> list[int]:
-    """Grid units of each queue: at least those of two tokens a window for an active one, 0 for others."""
+    """Grid units of each lane: at least those of two tokens a window for an active one, 0 for others."""
     unit = (1 << GRID_BITS) // size
     total = sum(weights[i] for i in active)
     out = [0] * len(weights)
     for i in active:
         out[i] = max(2 * unit, int((weights[i] / total if total else 1 / len(active)) * (1 << GRID_BITS)))
     spare = (1 << GRID_BITS) - sum(out)
-    for i in sorted(active, key=lambda i: -out[i]):  # the largest queues take what rounding left or took
+    for i in sorted(active, key=lambda i: -out[i]):  # the largest lanes take what rounding left or took
         step = max(spare, 2 * unit - out[i]) if spare < 0 else spare
         out[i] += step
         spare -= step
@@ -61,16 +66,19 @@ def shares(weights: list[float], active: list[int], size: int) -> list[int]:
 
 
 def served(w: int, edges: list[int], i: int, shift: int) -> int:
-    """Tokens of queue ``i`` after ``w`` windows of a phase."""
+    """Tokens of lane ``i`` after ``w`` windows of a phase."""
     return (w * edges[i + 1] >> shift) - (w * edges[i] >> shift)
 
 
 def plan(totals: list[int], weights: list[float], size: int) -> tuple[list[Phase], list[int], int]:
-    """Phases, tokens that each queue has served in them, and the number of their windows."""
+    """Phases, tokens that each lane has served in them, and the number of their windows; lanes without weight come after the others."""
     shift = GRID_BITS - size.bit_length() + 1
     left, base = list(totals), [0] * len(totals)
-    active, phases, first = [i for i, n in enumerate(totals) if n], [], 0
-    while active:
+    phases, first = [], 0
+    active, waiting = ([i for i, n in enumerate(totals) if n and (weights[i] > 0) == some] for some in (True, False))
+    while active or waiting:
+        if not active:
+            active, waiting = waiting, []
         units = shares(weights, active, size)
         edges = [0]
         for u in units:
@@ -101,7 +109,7 @@ def tail_sequences(n: int, size: int) -> list[int]:
 
 
 class Layout:
-    """Where each token of each queue goes."""
+    """Where each token of each lane goes."""
 
     def __init__(self, totals: list[int], weights: list[float], size: int):
         self.size, self.shift = size, GRID_BITS - size.bit_length() + 1
@@ -110,12 +118,12 @@ class Layout:
         self.tail_at = np.concatenate(([0], np.cumsum(rest)))[:-1]
         self.cuts = np.concatenate(([0], np.cumsum(tail_sequences(sum(rest), size)))).astype(np.int64)
 
-    def pieces(self, queue: int, x: int, n: int):
-        """(start in the range, length, sequence, offset) of the tokens x .. x + n of a queue, as arrays."""
+    def pieces(self, lane: int, x: int, n: int):
+        """(start in the range, length, sequence, offset) of the tokens x .. x + n of a lane, as arrays."""
         starts, lengths, seqs, offsets = [], [], [], []
         for p in self.phases:
-            lo, hi = p.edges[queue], p.edges[queue + 1]
-            a, b = max(x, p.base[queue]) - p.base[queue], min(x + n - p.base[queue], served(p.windows, p.edges, queue, self.shift))
+            lo, hi = p.edges[lane], p.edges[lane + 1]
+            a, b = max(x, p.base[lane]) - p.base[lane], min(x + n - p.base[lane], served(p.windows, p.edges, lane, self.shift))
             if hi == lo or a >= b:
                 continue
             w = np.arange(max(0, (a << self.shift) // (hi - lo) - 2), min(p.windows, (b << self.shift) // (hi - lo) + 3) + 1, dtype=np.int64)
@@ -124,13 +132,13 @@ class Layout:
             start, end = np.maximum(at[:-1], a), np.minimum(at[1:], b)
             some = end > start
             ahead = (before[1:] - before[:-1])[some]
-            starts.append(start[some] + p.base[queue] - x)
+            starts.append(start[some] + p.base[lane] - x)
             lengths.append((end - start)[some])
             seqs.append(p.first + w[:-1][some])
             offsets.append(ahead + (start - at[:-1])[some])
-        a, b = max(x, self.done[queue]), x + n
+        a, b = max(x, self.done[lane]), x + n
         if a < b:
-            shift = int(self.tail_at[queue]) - self.done[queue]
+            shift = int(self.tail_at[lane]) - self.done[lane]
             first, last = np.searchsorted(self.cuts, (a + shift, b + shift - 1), side="right") - 1
             k = np.arange(first, last + 1)
             start, end = np.maximum(self.cuts[k], a + shift), np.minimum(self.cuts[k + 1], b + shift)
@@ -141,65 +149,70 @@ class Layout:
         return tuple(np.concatenate(v) for v in (starts, lengths, seqs, offsets))
 
 
-_TOKENS = "part int, queue string, doc_id long, at long, n long, ids binary"
+_TOKENS = "part int, row long, queue string, doc_id long, at long, n long, ids binary"
 
 
 def tokenised(docs: DataFrame, queue, path: str, kind: str, end_id: int) -> DataFrame:
-    """A row a document: ids, and its place among the rows of its queue in this part. Written once."""
+    """A row a document: ids, and its place among the tokens of its queue in this part. Written once."""
     small_batches(docs.sparkSession)
 
     def run(batches):
-        ids_of, part, at = encoder(path, kind).ids, TaskContext.get().partitionId(), {}
+        ids_of, part, at, row = encoder(path, kind).ids, TaskContext.get().partitionId(), {}, 0
         end = int(end_id).to_bytes(2, "little")
         for batch in batches:
-            out: dict = {k: [] for k in ("part", "queue", "doc_id", "at", "n", "ids")}
-            for doc_id, text, q in zip(*(batch.column(j).to_pylist() for j in range(3))):
-                ids = ids_of(text) + end
-                n, x = len(ids) // 2, at.get(q, 0)
-                at[q] = x + n
-                for k, v in zip(out, (part, q, doc_id, x, n, ids)):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))})
+            queues, ids = batch.column(2).to_pylist(), [ids_of(t) + end for t in batch.column(1).to_pylist()]
+            n, places = [len(i) // 2 for i in ids], []
+            for q, m in zip(queues, n):
+                places.append(x := at.get(q, 0))
+                at[q] = x + m
+            columns = ([part] * len(n), range(row, row + len(n)), queues, batch.column(0), places, n, ids)
+            row += len(n)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, _ARROW)], names=_NAMES)
 
     return written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), queue.alias("queue")).mapInArrow(run, _TOKENS), "tokens")
 
 
-def interleaved(rows: DataFrame, size: int) -> DataFrame:
-    """Rows of many sources as cuts in one order, a row a cut: x, its place among all tokens; first, its start in the document.
+_NAMES = [c.split()[0] for c in _TOKENS.split(", ")]
+_ARROW = (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
-    Rows have y, their place in their source, and share, what the source's whole turn is in tokens; sources with ``last`` come
-    after the others. A cut's turn lies within it, by a hash of the source, so that sources of one document spread out too.
-    """
-    cuts = "doc_id long, doc_tokens long, first long, n long, last boolean, turn double, tie long, place long, ids binary"
 
-    def cut(batches):
-        for batch in batches:
-            out: dict = {k.split()[0]: [] for k in cuts.split(", ")}
-            for doc_id, y, n, share, last, tie, ids in zip(*(batch.column(j).to_pylist() for j in range(7))):
-                for first in range(0, n, max(1, size // 8)):
-                    m = min(max(1, size // 8), n - first)
-                    turn = (y + first + (tie % (1 << 20)) / (1 << 20) * m) / share
-                    for k, v in zip(out, (doc_id, n, first, m, last, turn, tie, y + first, ids[2 * first : 2 * (first + m)])):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(),) * 4 + (pa.bool_(), pa.float64(), pa.int64(), pa.int64(), pa.binary()))], names=list(out))
-
-    def count(batches):
-        part, at = TaskContext.get().partitionId(), 0
+def interleaved(rows: DataFrame, quantum: int) -> DataFrame:
+    """Runs of tokens of small sources in the order of their turns: part, row, first (their place in the document), n, lane and x, their place in the lane.
+
+    ``rows`` have y, their place in their source, the source's weight, and the lane, of which one comes wholly before the next.
+    """
+    spark = rows.sparkSession
+    cuts = rows.select("part", "row", "n", "y", "weight", "lane", F.xxhash64("queue").alias("tie"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(quantum).cast("long"))).alias("first"))
+    cuts = cuts.withColumn("n", F.least(F.lit(quantum), F.col("n") - F.col("first"))).withColumn("y", F.col("y") + F.col("first"))
+    # a source's first turn lies within its first quantum, by a hash, so that sources of one document spread out
+    turn = (F.col("y") + F.pmod("tie", F.lit(1 << 20)) / F.lit(float(1 << 20)) * F.col("n")) / F.col("weight")
+    order = ("lane", "turn", "tie", "y")
+    cuts = cuts.withColumn("turn", turn).select(*order, "part", "row", "first", "n").repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def runs(batches):
+        """Quanta that follow each other in one document become one run."""
+        task, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            n = batch.column(3).to_numpy()
+            if not batch.num_rows:
+                continue
+            lane, part, row, first, n = (batch.column(j).to_numpy() for j in range(5))
+            new = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (row[1:] != row[:-1]) | (first[1:] != first[:-1] + n[:-1]))))
+            n = np.add.reduceat(n, new)
             ends = at + np.cumsum(n)
-            at = int(ends[-1]) if len(n) else at
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(ends - n, pa.int64()), *batch.columns], names=["part", "at", "doc_id", "doc_tokens", "first", "n", "ids"])
-
-    order = ("last", "turn", "tie", "place")
-    done = rows.select("doc_id", "y", "n", "share", "last", F.xxhash64("queue").alias("tie"), "ids").mapInArrow(cut, cuts).repartitionByRange(*order).sortWithinPartitions(*order)
-    done = written(done.select("doc_id", "doc_tokens", "first", "n", "ids").mapInArrow(count, "part int, at long, doc_id long, doc_tokens long, first long, n long, ids binary"), "interleaved")
-    ahead, before = [], 0
-    for part, n in done.groupBy("part").agg(F.sum("n")).orderBy("part").collect():  # a row a task
-        ahead.append((part, before))
-        before += n
-    ahead = rows.sparkSession.createDataFrame(ahead, "part int, ahead long")
-    return done.join(F.broadcast(ahead), "part").withColumn("x", F.col("ahead") + F.col("at"))
+            at = int(ends[-1])
+            columns = (np.full(n.size, task, np.int32), lane[new], ends - n, part[new], row[new], first[new], n)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["task", "lane", "at", "part", "row", "first", "n"])
+
+    done = written(cuts.select("lane", "part", "row", "first", "n").mapInArrow(runs, "task int, lane int, at long, part int, row long, first long, n long"), "turns")
+    ahead, total, start = [], 0, {}
+    for task, lane, n in done.groupBy("task", "lane").agg(F.sum("n")).orderBy("task", "lane").collect():  # two rows a task at most
+        start.setdefault(lane, total)
+        if not ahead or ahead[-1][0] != task:
+            before = total
+        ahead.append((task, lane, before - start[lane]))
+        total += n
+    ahead = spark.createDataFrame(ahead, "task int, lane int, ahead long")
+    return done.join(F.broadcast(ahead), ["task", "lane"]).select("part", "row", "first", "n", "lane", (F.col("ahead") + F.col("at")).alias("x"))
 
 
 def pack(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 1, size: int = 2048, by: str = "source", mixture: dict | None = None) -> DataFrame:
@@ -215,48 +228,47 @@ def pack(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 1, size:
 
     sums = written(rows.groupBy("queue", "part").agg(F.sum("n").alias("tokens")), "sums")
     total = sums.groupBy("queue").agg(F.sum("tokens").alias("t"))
-    everything = total.agg(F.sum("t")).first()[0] or 0
-    target = {NULL if q is None else q: float(w) for q, w in (mixture or {}).items() if w}
-    heavy = [q for q, w in target.items() if w * size >= 4 * sum(target.values())]
-    found = total.filter((F.col("t") * size >= 4 * everything) | F.col("queue").isin(heavy)).orderBy(F.desc("t"), "queue").limit(MOST_QUEUES)
-    own = {r["queue"]: int(r["t"]) for r in found.collect()}
-    rest = everything - sum(own.values())
-    while rest and own and rest * size < 4 * everything:  # the shared queue has four tokens a window, too
-        rest += own.pop(min(own, key=lambda q: (own[q], q)))
-    names = sorted(own)
-    totals, weights = [own[q] for q in names], [target.get(q, 0.0) if mixture else own[q] for q in names]
-    if rest:
-        totals.append(rest)
-        light = [r["queue"] for r in total.filter(F.col("queue").isin([q for q in target if q not in own])).collect()]
-        weights.append(sum(target[q] for q in light) if mixture else rest)
-    layout = Layout(totals, weights, size)
+    if mixture:
+        target = spark.createDataFrame([(NULL if q is None else q, float(w)) for q, w in mixture.items() if w], "queue string, target double")
+        total = total.join(target, "queue", "left").select("queue", "t", F.coalesce("target", F.lit(0.0)).alias("w"))
+    else:
+        total = total.select("queue", "t", F.col("t").cast("double").alias("w"))
+    total = written(total, "queues")
+    whole = total.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    own = total.filter((F.col("w") > 0) & (F.col("w") * PARTS >= F.lit(whole))).orderBy("queue").collect()  # PARTS at most
+    mine = spark.createDataFrame([(r["queue"], i) for i, r in enumerate(own)], "queue string, lane int")
+    lanes = total.join(F.broadcast(mine), "queue", "left").withColumn("lane", F.coalesce("lane", F.when(F.col("w") > 0, len(own)).otherwise(len(own) + 1)))
+    sizes = {r["lane"]: r for r in lanes.groupBy("lane").agg(F.sum("t").alias("t"), F.sum("w").alias("w")).collect()}  # PARTS + 2 at most
+    layout = Layout(*([sizes[i][c] if i in sizes else 0 for i in range(len(own) + 2)] for c in "tw"), size)
 
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    lanes = F.broadcast(spark.createDataFrame([(q, i) for i, q in enumerate(names)], "queue string, lane int"))
-    firsts = sums.select("queue", "part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("ahead")).join(lanes, "queue", "left")
-    place = (F.col("ahead") + F.col("at")).alias("x")
-    placed = rows.join(firsts.filter("lane is not null"), ["queue", "part"]).select("doc_id", "lane", place, "n", F.lit(0).cast("long").alias("first"), F.col("n").alias("doc_tokens"), "ids")
-    if rest:
-        share = spark.createDataFrame([(q, target[q]) for q in light] if mixture else [], "queue string, w double")
-        firsts = firsts.filter("lane is null").join(total, "queue").join(F.broadcast(share), "queue", "left")
-        small = rows.join(firsts, ["queue", "part"]).select("queue", "doc_id", place.alias("y"), "n", F.coalesce("w", F.col("t").cast("double")).alias("share"), (F.col("w").isNull() & F.lit(bool(mixture))).alias("last"), "ids")
-        placed = placed.union(interleaved(small, size).select("doc_id", F.lit(len(names)).alias("lane"), "x", "n", "first", "doc_tokens", "ids"))
+    firsts = sums.select("queue", "part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("ahead"))
+    weight = F.when(F.col("w") > 0, F.col("w")).otherwise(F.col("t").cast("double")).alias("weight")
+    firsts = firsts.join(lanes.select("queue", weight, "lane"), "queue")
+    put = rows.select("part", "row", "queue", "at", "n").join(firsts, ["queue", "part"]).withColumn("y", F.col("ahead") + F.col("at"))
+    runs = put.filter(F.col("lane") < len(own)).select("part", "row", F.lit(0).cast("long").alias("first"), "n", "lane", F.col("y").alias("x"))
+    if any(i >= len(own) for i in sizes):
+        runs = runs.union(interleaved(put.filter(F.col("lane") >= len(own)), size // PARTS or 1))
+    placed = rows.join(runs.groupBy("part", "row").agg(F.collect_list(F.struct("first", "n", "lane", "x")).alias("runs")), ["part", "row"])
+    placed = placed.select("doc_id", "n", *(F.col(f"runs.{c}").alias(f"run_{c}") for c in ("first", "n", "lane", "x")), "ids")
 
     def run(batches):
         names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
         for batch in batches:
             out: dict = {k: [] for k in names}
             cut: list = []
-            for doc_id, lane, x, n, first, doc_tokens, ids in zip(*(batch.column(j).to_pylist() for j in range(7))):
+            for doc_id, doc_tokens, *runs, ids in zip(*(batch.column(j).to_pylist() for j in range(7))):
                 wide = memoryview(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
-                start, length, seq, offset = layout.pieces(lane, x, n)
-                out["doc_id"] += [doc_id] * len(start)
-                out["doc_tokens"] += [doc_tokens] * len(start)
-                for k, v in zip(("start", "length", "sequence_id", "offset"), (start + first, length, seq, offset)):
-                    out[k] += v.tolist()
-                parts = [wide[4 * a : 4 * (a + m)] for a, m in zip(start.tolist(), length.tolist())]
-                out["ids_crc32"] += map(zlib.crc32, parts)
-                cut += map(bytes, parts)
+                for first, n, lane, x in zip(*runs):
+                    start, length, seq, offset = (v.tolist() for v in layout.pieces(lane, x, n))
+                    out["doc_id"] += [doc_id] * len(start)
+                    out["doc_tokens"] += [doc_tokens] * len(start)
+                    start = [first + a for a in start]
+                    for k, v in (("start", start), ("length", length), ("sequence_id", seq), ("offset", offset)):
+                        out[k] += v
+                    parts = [wide[4 * a : 4 * (a + m)] for a, m in zip(start, length)]
+                    out["ids_crc32"] += map(zlib.crc32, parts)
+                    cut += map(bytes, parts)
             columns = [pa.array(out[k], pa.int64()) for k in names] + [pa.array(cut, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids"])
 

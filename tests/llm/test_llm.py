@@ -118,10 +118,7 @@ def test_toxicity_folding_and_exceptions():
     assert m.score("an 1d1ot") > m.score("a text") == m.score(None) == m.score("")
 
 
-@pytest.mark.parametrize("many", [False, True])
-def test_packing(docs, odd, empty, many, monkeypatch):
-    if many:
-        monkeypatch.setattr(packing, "MOST_QUEUES", 2)
+def test_packing(docs, odd, empty):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
@@ -154,7 +151,10 @@ def test_packing(docs, odd, empty, many, monkeypatch):
     assert packing.pack(empty, vocabulary("byte_bpe_50k.json")).count() == 0
 
 
-@pytest.mark.parametrize(("sources", "mixture", "share", "others"), [(600, None, 0.167, 50), (1100, {"s0": 3.0} | {f"s{i}": 1 / 1099 for i in range(1, 1100)}, 75.0, 10)])
+@pytest.mark.parametrize(
+    ("sources", "mixture", "share", "others"),
+    [(600, None, 0.167, 50), (1100, {"s0": 3.0} | {f"s{i}": 1 / 1099 for i in range(1, 1100)}, 75.0, 10), (3000, {"s0": 65.0} | {f"s{i}": 35 / 2999 for i in range(1, 3000)}, 65.0, 10)],
+)
 def test_packing_mixes_many_sources(spark, sources, mixture, share, others):
     rows = [(1000 * i + j, f"one two three {i} " * 5, f"s{i}") for i in range(sources) for j in range(2 if i else 2 if not mixture else 900)]
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), vocabulary("byte_bpe_50k.json"), size=2048, mixture=mixture).collect()
@@ -183,6 +183,30 @@ def test_packing_layout_keeps_the_mixture():
     assert [len(even.phases) >= 2, even.phases[0].edges[1] == 1 << 19] == [True, True]
 
 
+@pytest.mark.parametrize("mixture", [None, {"a": 4.0, "b": 3.0, "c": 1.0, None: 0.01}])
+def test_packing_against_targets(spark, mixture):
+    """Windows of long documents against the targets, with sources that run dry, and one that the mixture doesn't name."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "word " * int(rng.integers(1, 3000)), q) for i, q in enumerate(rng.choice(["a", "b", "c", "", "rest"], 400, p=[0.5, 0.2, 0.15, 0.05, 0.1]).tolist())]
+    rows = [(i, t, q or None) for i, t, q in rows]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(3), vocabulary("byte_bpe_50k.json"), size=1024, mixture=mixture).collect()
+    source, total = {i: q for i, _, q in rows}, Counter()
+    by = defaultdict(Counter)
+    for r in got:
+        by[r["sequence_id"]][source[r["doc_id"]]] += r["length"]
+        total[source[r["doc_id"]]] += r["length"]
+    weight = mixture or dict(total)
+    left, full = Counter(total), 0
+    for s in sorted(by):
+        if all(left[q] > 1024 for q in weight if weight[q] > 0.1):
+            full += 1
+            assert sum(by[s].values()) == 1024 and all(abs(by[s][q] - 1024 * w / sum(weight.values())) <= 256 for q, w in weight.items())
+        if mixture and any(left[q] > 1024 for q in mixture):
+            assert by[s]["rest"] == 0
+        left.subtract(by[s])
+    assert full > 50 and not any(left.values()) and len(got) < 2 * sum(-(-n // 128) for n in total.values())
+
+
 def test_fingerprints(docs, odd, empty):
     for df in (docs, odd.dropDuplicates(["doc_id"])):
         rows = sorted(texts_of(df), key=lambda r: (r[0] is None, -(r[0] or 0)))
