@@ -6,7 +6,9 @@ document's posterior probability of being good replaces the demand that all rule
 is visited again in the iterations.
 
 Words are runs without space, tab, line feed, vertical tab, form feed and return. Null text has no words and fails the
-base check, as does any text of less than 50 words. Repeated rows are judged alike. No text leaves its task.
+base check, as does any text of less than 50 words. Repeated rows are judged alike; a posterior at the threshold keeps. No text leaves its
+task; a text is one row whatever its length, and its counts take memory in proportion to it. Columns of any name pass through untouched.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ RULES = ("length", "repetition", "symbols", "lines", "word_size", "capitals", "l
 
 
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_q_*`` columns: what the rules look at."""
+    """``docs`` with ``_q_*`` columns: what the rules look at. ``docs`` has none of such names."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     spelt = docs.select(
         "*",
@@ -100,9 +102,9 @@ def posterior(fit: Fit) -> Column:
 
 
 def estimate(patterns: DataFrame, rounds: int = 20) -> Fit:
-    """EM from equal accuracies. A vote never counts against its name: on_good + on_bad stays at 1 or more.
+    """EM from equal accuracies, which count as two votes of each kind. A vote never counts against its name: on_good + on_bad stays at 1 or more.
 
-    on_good stays within 0.9 .. 0.95: no rule is taken to fail good documents less than one time in twenty, so one bad vote alone seldom rejects.
+    Accuracies stay within 0.5 .. 0.99 on good documents and below 0.99 on bad ones, so that no vote decides alone for ever.
     """
     fit, p, n = START, F.col("_p"), F.col("_n")
     for _ in range(rounds):
@@ -114,8 +116,8 @@ def estimate(patterns: DataFrame, rounds: int = 20) -> Fit:
         row = patterns.withColumn("_p", posterior(fit)).agg(*sums).first()
         if not row["n"]:
             return fit
-        a = {r: min(0.95, max(0.9, (row[f"gg_{r}"] + 2 * START.on_good[r]) / (row[f"g_{r}"] + 2))) for r in RULES}
-        b = {r: min(0.99, max(1 - a[r], 0.02, (row[f"bb_{r}"] + 2 * START.on_bad[r]) / (row[f"b_{r}"] + 2))) for r in RULES}
+        a = {r: min(0.99, max(0.5, (row[f"gg_{r}"] + 2 * START.on_good[r]) / (row[f"g_{r}"] + 2))) for r in RULES}
+        b = {r: min(0.99, max(1 - a[r], 0.01, (row[f"bb_{r}"] + 2 * START.on_bad[r]) / (row[f"b_{r}"] + 2))) for r in RULES}
         new = Fit(min(0.98, max(0.02, (row["good"] + 1) / (row["n"] + 2))), a, b)
         moved = max([abs(new.good - fit.good), *(abs(a[r] - fit.on_good[r]) + abs(b[r] - fit.on_bad[r]) for r in RULES)])
         fit = new
@@ -124,9 +126,9 @@ def estimate(patterns: DataFrame, rounds: int = 20) -> Fit:
     return fit
 
 
-def judged(docs: DataFrame, columns: list[str], threshold: float = 0.5, rounds: int = 20) -> DataFrame:
+def judged(docs: DataFrame, columns: list[str], text: str = "text", threshold: float = 0.5, rounds: int = 20) -> DataFrame:
     """``columns`` of ``docs`` with counts, votes, ``_q_failed``, ``_q_posterior`` and ``_q_kept``. Counts are made once and written."""
-    rows = counts(docs)
+    rows = counts(docs, text)
     made = [c for c in rows.columns if c.startswith("_q_")]
     rows = written(rows.select(*columns, *made).select("*", *(c.alias(f"_v_{r}") for r, c in votes().items())), "quality")
     patterns = written(rows.groupBy(*(f"_v_{r}" for r in RULES)).agg(F.count(F.lit(1)).alias("_n")), "quality-patterns")
@@ -139,7 +141,7 @@ def judged(docs: DataFrame, columns: list[str], threshold: float = 0.5, rounds:
 def quality(docs: DataFrame, threshold: float = 0.5, rounds: int = 20) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the posterior."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return judged(base, ["doc_id"], threshold, rounds).select(
+    return judged(base, ["doc_id"], "text", threshold, rounds).select(
         "doc_id", F.col("_q_n").alias("n_words"), F.col("_q_chars").alias("word_chars"), F.col("_q_symbols").alias("n_symbols"),
         F.col("_q_dup_lines").alias("n_dup_lines"), F.col("_q_repeat").alias("n_repeat_words"), F.col("_q_failed").alias("base_failed"),
         F.col("_q_kept").alias("kept"), F.col("_q_posterior").alias("posterior"),
@@ -148,4 +150,5 @@ def quality(docs: DataFrame, threshold: float = 0.5, rounds: int = 20) -> DataFr
 
 def passing(docs: DataFrame, threshold: float = 0.5, rounds: int = 20) -> DataFrame:
     """Rows of ``docs`` that are kept, with their columns as they are."""
-    return judged(docs, docs.columns, threshold, rounds).filter("_q_kept").select(*docs.columns)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # its columns' names meet none of ours
+    return judged(whole, ["row"], "row.text", threshold, rounds).filter("_q_kept").select("row.*")
