@@ -5,14 +5,19 @@ Gamma(2, 1) and b from [0, 1), seeded by the word and the sample alone; with t =
 least ln c - r (t - b) - r wins, and (word, t) is the sample. Two texts share a sample with a probability equal to
 their generalised Jaccard similarity (sum of least weights over sum of greatest).
 
+Draws are made anew for each word, from 64-bit hashes; a worker keeps those of the words it met last. Samples are shown in 16 bits, so
+two that differ look alike once in 65,536 times.
+
 Null text counts as empty. Empty texts (no word) have the fingerprint '' and likeness 1 to each other, 0 to
-others. Equal texts have equal fingerprints. Texts with more words than a block are sampled block by block.
+others. Equal texts have equal fingerprints. Long texts are sampled in blocks of words. Repeated doc_ids are in the order of their
+texts; rows without doc_id come last. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,25 +38,44 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Sampler:
-    """Signatures of K 16-bit samples.
-
-    A word's draws are rows of two tables, one of (r, b) and one of ln c, picked by separate bits of its hash:
-    ``rows`` squared combinations. A word that occurs once has ln w = 0 and t = 0, so its cost is a sum of two rows.
-    """
+    """Signatures of K 16-bit samples. The draws of ``room`` words are kept: 2 KB each at 128 samples."""
 
-    def __init__(self, samples: int = 128, rows: int = 8192):
+    def __init__(self, samples: int = 128, room: int = 32_768):
         import xxhash
 
-        self.hash, self.k, self.rows = xxhash.xxh3_64_intdigest, samples, rows
-        u = [self._uniform(j) for j in range(5)]
-        self.r, self.b = -np.log(u[0] * u[1]), u[4]
-        self.once = -self.r * (np.float32(1) - self.b)
-        self.c = np.log(-np.log(u[2] * u[3]))
+        self.hash, self.k, self.room = xxhash.xxh3_64_intdigest, samples, room
+        self.place: dict[int, int] = {}
+        self.r, self.b, self.c, self.once = (np.empty((room, samples), np.float32) for _ in range(4))
+        self.seed = (np.arange(1, 1 + 2 * samples, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, 1, samples)
+
+    def _draw(self, words: np.ndarray, at: slice) -> None:
+        """r, b and ln c of new words, each from 21 bits of its own. A word that occurs once has ln w = 0 and t = 0: its cost is kept, too."""
+
+        def uniform(x: np.ndarray, shift: int) -> np.ndarray:
+            u = (x >> np.uint64(shift) & np.uint64(0x1FFFFF)).astype(np.uint32).astype(np.float32)
+            u += np.float32(0.5)
+            u *= np.float32(2.0**-21)
+            return u
 
-    def _uniform(self, j: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            seed = np.arange(1 + j * self.rows * self.k, 1 + (j + 1) * self.rows * self.k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            return (((_mixed(seed) >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)).reshape(self.rows, self.k)
+            x, y = (_mixed(words[:, None] + s) for s in self.seed)
+        r = -np.log(uniform(x, 0) * uniform(x, 21))
+        c, b = np.log(-np.log(uniform(y, 0) * uniform(y, 21))), uniform(y, 42)
+        self.r[at], self.b[at], self.c[at], self.once[at] = r, b, c, c - r * (np.float32(1) - b)
+
+    def _places(self, words: np.ndarray) -> np.ndarray:
+        """Where the draws of distinct words are kept."""
+        if len(self.place) + words.size > self.room:
+            self.place.clear()
+        at = np.fromiter(map(self.place.get, words.tolist(), repeat(-1)), np.int64, words.size)
+        new = np.flatnonzero(at < 0)
+        if new.size:
+            start = len(self.place)
+            for i in range(0, new.size, 256):
+                self._draw(words[new[i : i + 256]], slice(start + i, start + min(i + 256, new.size)))
+            at[new] = np.arange(start, start + new.size)
+            self.place.update(zip(words[new].tolist(), at[new].tolist()))
+        return at
 
     def __call__(self, text: str | None) -> np.ndarray | None:
         count = Counter((text or "").encode("utf-8", "surrogatepass").split())
@@ -59,28 +83,27 @@ class Sampler:
             return None
         words = np.fromiter(map(self.hash, count), np.uint64, len(count))
         weight = np.fromiter(count.values(), np.int64, len(count))
-        one = weight == 1
         cost, out = np.full(self.k, np.inf, np.float32), np.zeros(self.k, np.uint16)
-        for single, some in ((True, words[one]), (False, words[~one])):
-            n = np.log(weight[~one].astype(np.float64)).astype(np.float32)
-            for a in range(0, len(some), BLOCK):
-                cost, out = self._least(some[a : a + BLOCK], None if single else n[a : a + BLOCK], cost, out)
+        for a in range(0, words.size, BLOCK):
+            some, n = words[a : a + BLOCK], weight[a : a + BLOCK]
+            at = self._places(some)
+            one = n == 1
+            for single, pick in ((True, one), (False, ~one)):
+                if pick.any():
+                    cost, out = self._least(some[pick], at[pick], None if single else np.log(n[pick].astype(np.float64)).astype(np.float32), cost, out)
         return out
 
-    def _least(self, words: np.ndarray, log_weight: np.ndarray | None, cost: np.ndarray, out: np.ndarray):
-        rb = (words % np.uint64(self.rows)).astype(np.int64)
-        mine = self.c[((words >> np.uint64(32)) % np.uint64(self.rows)).astype(np.int64)]
-        t = None
+    def _least(self, words: np.ndarray, at: np.ndarray, log_weight: np.ndarray | None, cost: np.ndarray, out: np.ndarray):
         if log_weight is None:
-            mine += self.once[rb]
+            mine = self.once[at]
         else:
-            r, b = self.r[rb], self.b[rb]
+            r, b = self.r[at], self.b[at]
             t = np.floor(log_weight[:, None] / r + b)
-            mine -= r * (t - b + np.float32(1))
+            mine = self.c[at] - r * (t - b + np.float32(1))
         each = np.arange(self.k)
         first = mine.argmin(axis=0)
         least = mine[first, each]
-        times = t[first, each].astype(np.int64).astype(np.uint64) if t is not None else np.uint64(0)
+        times = np.uint64(0) if log_weight is None else t[first, each].astype(np.int64).astype(np.uint64)
         with np.errstate(over="ignore"):
             value = (_mixed(words[first] + times * np.uint64(0xD6E8FEB86659FD93) + each.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
         better = least < cost
