@@ -6,8 +6,10 @@ counts with its entry's weight, the best entry of a word only; those inside an e
 normalised by the text's length and a logistic curve turns it into a score.
 
 Entries, weights, exception phrases and the curve are fitted on a sample of labelled rows: about ``max_docs`` of them, by a
-hash of doc_id. Scores see the text alone. Null and empty texts score as texts without an occurrence. Rows that repeat
-a label count once (toxic if any says so). Without both labels in the sample the lexicon is empty and each score is the base rate.
+hash of doc_id; all entries that the sample supports are taken, so the sample alone bounds the lexicon. Scores see the text alone. Null and empty
+texts score as texts without an occurrence. Rows that repeat a label count once (toxic if any says so). Without both labels in the
+sample the lexicon is empty and each score is the base rate. Of entries that begin at the same letter the heaviest counts, and of equals the first.
+A text is one row of one task, matched in one pass whatever its length. Only doc_id and text are read of the table.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_map, small_batches
+from .common import rows_map, small_batches, written
 
 #: Letters that look like Latin ones, and digits and signs that stand for letters (fixed values).
 LOOK_ALIKES = {
@@ -147,7 +149,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return tuple(map(float, w))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, most: int = 3000, exceptions: tuple[str, ...] = ()) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """A lexicon from labelled rows (``labels``: doc_id, toxic), at most about ``max_docs`` of them."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -158,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, most: int =
     share = int(min(1.0, max_docs / total) * 1_000_000) or 1
     some = known.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lexicon")), F.lit(1_000_000)) < share).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(some), "doc_id").select("text", "toxic")  # about max_docs rows of two numbers
+    rows = written(texts.join(F.broadcast(some), "doc_id").select("text", "toxic"), "labelled")  # about max_docs rows of two numbers
 
     def count():
         def each(batch: dict) -> dict:
@@ -179,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, most: int =
     counted = rows_map(rows, count, "entry string, n0 long, n1 long").groupBy("entry").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     m, k = F.col("n0") + F.col("n1"), F.col("n1")
     gain = 2 * (k * F.log(k / (m * base)) + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / (m * (1 - base)))).otherwise(0.0))
-    top = counted.filter((k >= 4) & (k >= 0.7 * m)).withColumn("gain", gain).filter("gain >= 24").orderBy(F.desc("gain"), "entry").limit(most).collect()
+    top = counted.filter((k >= 4) & (k >= 0.7 * m)).withColumn("gain", gain).filter("gain >= 24").orderBy(F.desc("gain"), "entry").collect()  # of the sample
     lexicon = Lexicon(exceptions=list(exceptions))
     for r in top:
         weight = math.log((r["n1"] + 0.5) / (r["n0"] + 0.5)) - math.log(base / (1 - base))
@@ -202,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, most: int =
         return each
 
     harmless = rows_map(rows, phrases, "entry string, n0 long, n1 long").groupBy("entry").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    lexicon.exceptions += [r["entry"] for r in harmless.filter("n0 >= 5 and n1 = 0").orderBy(F.desc("n0"), "entry").limit(most).collect()]
+    lexicon.exceptions += [r["entry"] for r in harmless.filter("n0 >= 5 and n1 = 0").orderBy(F.desc("n0"), "entry").collect()]  # of the sample
 
     def measure():
         matcher = Matcher(lexicon)
