@@ -4,9 +4,11 @@ A profile ranks a language's most frequent letter n-grams (one to three letters,
 space). A document's own most frequent n-grams are compared to each profile by the out-of-place distance:
 the sum over its n-grams of the difference in rank, or of the profile's size where the profile lacks it.
 
-Profiles are fitted on a sample of labelled rows: about ``max_docs`` of them, chosen by a hash of doc_id.
+Profiles are fitted on a sample of labelled rows: about ``max_docs`` of each language, chosen by a hash of doc_id, so that rare languages
+have a profile whatever the size of the others. Languages are a closed set: their counts go to the driver, and more than ``LANGUAGES`` are an error.
 Null text, and text without a letter, is ``und`` with score 0. Equal distances go to the language that
-sorts first. Without labelled rows every document is ``und``. Repeated rows are predicted alike.
+sorts first; equal counts of n-grams to the n-gram that sorts first. Without labelled rows every document is ``und``. Repeated rows are
+predicted alike. A text is one row of one task; its n-grams take memory in proportion to it. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import rows_map, small_batches
 
 UND = "und"
+LANGUAGES = 10_000
 
 
 @lru_cache(maxsize=1)
@@ -58,14 +61,17 @@ def ranked(text: str, size: int) -> np.ndarray:
     return keys[np.argsort(-counts, kind="stable")][:size]
 
 
-def fit(docs: DataFrame, size: int = 300, max_docs: int = 20_000) -> dict[str, list[int]]:
+def fit(docs: DataFrame, size: int = 300, max_docs: int = 5_000) -> dict[str, list[int]]:
     """Profiles of the values of ``lang``, from a sample of the rows of ``docs`` that have one."""
-    known = docs.select(F.col("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string")).filter("lang is not null and text is not null")
-    total = known.count()
-    if not total:
+    known = docs.select(F.col("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string")).filter("lang is not null")
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(LANGUAGES + 1).collect()}  # a row a language
+    if len(counts) > LANGUAGES:
+        raise ValueError("too many values of lang")
+    if not counts:
         return {}
-    share = min(1.0, max_docs / total)
-    sample = known.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("profile")), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) or 1))
+    shares = docs.sparkSession.createDataFrame([(k, int(min(1.0, max_docs / n) * 1_000_000) or 1) for k, n in counts.items()], "lang string, share long")
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("profile")), F.lit(1_000_000))
+    sample = known.join(F.broadcast(shares), "lang").filter((place < F.col("share")) & F.col("text").isNotNull())
     small_batches(docs.sparkSession)
 
     def make():
@@ -104,16 +110,20 @@ class Judge:
             self.rank[np.searchsorted(self.known, np.array(profiles[lang], np.int64)), j] = np.arange(len(profiles[lang]))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
+        return self.nearest(text)[:2]
+
+    def nearest(self, text: str | None) -> tuple[str, float, float]:
+        """The nearest profile, its score, and its distance as a share of the greatest one."""
         own = ranked(text, self.size) if text else np.empty(0, np.int64)
         if not own.size or not self.langs:
-            return UND, 0.0
+            return UND, 0.0, 1.0
         i = np.searchsorted(self.known, own)
         i[(i < self.known.size) & (self.known[np.minimum(i, self.known.size - 1)] != own)] = self.known.size
         there = self.rank[i]
         away = np.where(there < 0, self.size, np.abs(there - np.arange(own.size)[:, None])).sum(axis=0) / (own.size * self.size)
         p = np.exp(-self.sharpness * (away - away.min()))
         best = int(np.argmin(away))
-        return self.langs[best], float(p[best] / p.sum())
+        return self.langs[best], float(p[best] / p.sum()), float(away[best])
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = 300, sharpness: float = 20.0) -> DataFrame:
@@ -132,14 +142,17 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = 300, sh
     return rows_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "doc_id long, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, profiles: dict[str, list[int]], min_score: float = 0.0, size: int = 300, sharpness: float = 20.0) -> DataFrame:
-    """Rows of ``docs`` that resemble a profile: a letter at least, and ``min_score``. Columns stay as they are."""
+def identified(docs: DataFrame, profiles: dict[str, list[int]], most_away: float = 1.0, size: int = 300) -> DataFrame:
+    """Rows of ``docs`` with a letter at least whose nearest profile is no farther than ``most_away``. Columns stay as they are.
+
+    The distance is a share of the greatest one, and depends on the nearest profile alone, not on how many others there are.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches):
-        judge = Judge(profiles, size, sharpness)
+        judge = Judge(profiles, size, 0.0)
         for batch in batches:
-            found = [judge(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            yield batch.filter(pa.array([lang != UND and score >= min_score for lang, score in found], pa.bool_()))
+            found = [judge.nearest(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            yield batch.filter(pa.array([lang != UND and away <= most_away for lang, _, away in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -78,8 +78,8 @@ def test_quality_em(spark, docs):
             cast = [r for r in table if r[f"_v_{k}"]]
             g, gg = (sum(r["_n"] * r["p"] for r in rows) for rows in (cast, [r for r in cast if r[f"_v_{k}"] > 0]))
             d, dd = (sum(r["_n"] * (1 - r["p"]) for r in rows) for rows in (cast, [r for r in cast if r[f"_v_{k}"] < 0]))
-            a[k] = min(0.95, max(0.9, (gg + 1.8) / (g + 2)))
-            b[k] = min(0.99, max(1 - a[k], 0.02, (dd + 0.8) / (d + 2)))
+            a[k] = min(0.99, max(0.5, (gg + 1.8) / (g + 2)))
+            b[k] = min(0.99, max(1 - a[k], 0.01, (dd + 0.8) / (d + 2)))
         moved = max([abs(new - good), *(abs(a[k] - last[0][k]) + abs(b[k] - last[1][k]) for k in a)])
         good = new
         if moved < 1e-4:
