@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter that stand nearer to one profile than the mean of the others."""
-    return langid.identified(docs, langid.fit(docs.filter(id_residue(5) != 0)), min_score=0.3)
+    """Documents with a letter whose n-grams stand within three quarters of the greatest distance to a profile."""
+    return langid.identified(docs, langid.fit(docs.filter(id_residue(5) != 0)), most_away=0.75)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
