@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..options import ROOTS, Options
@@ -16,43 +17,63 @@ def code(c) -> Column:
 
 
 def number(c: str) -> Column:
-    """A text as a double, or null; Java's type suffixes, as in 1.5d, are no part of a number."""
-    return F.when(~F.col(c).cast("string").rlike(r"[dDfF]\s*$"), F.expr(f"try_cast({c} as double)"))
+    """A text as a double, or null. What Java alone takes for a number (1.5d, 0x1p3, Infinity) is none; NaN is one."""
+    return F.translate(F.col(c).cast("string"), "dDfFxXpP", "????????").try_cast("double")
+
+
+def finite(x: Column) -> Column:
+    """A number, or null where it is none that is finite."""
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
+
+
+def whole(x: Column) -> Column:
+    """A number that is a long, or null."""
+    return F.when(x == F.floor(x), F.floor(x))
+
+
+def blank(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit("")) == ""
 
 
 def count_value(c: str) -> Column:
     """Empty is 0; else a finite whole number, or null for what is none."""
-    x = number(c)
-    good = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(9.2e18)) & (x == F.floor(x))
-    return F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(0).cast("long")).when(good, x.cast("long"))
+    return F.when(blank(c), F.lit(0).cast("long")).otherwise(whole(number(c)))
 
 
 def score_value(c: str) -> Column:
     """A finite number, or null."""
-    x = number(c)
-    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
+    return finite(number(c))
 
 
 def score_bad(c: str) -> Column:
-    return (F.coalesce(F.col(c), F.lit("")) != "") & score_value(c).isNull()
-
-
-def event_status(o: Options = Options()) -> Column:
-    """The first rule that a raw row meets, in the order of the checks: 'ok', 'skip_*' or 'reject_*'."""
-    skip = F.col("actor1").isin(*o.excluded_actors) | F.col("actor2").isin(*o.excluded_actors) | F.col("geo").isin(*o.excluded_geo)
-    counts = [count_value(c) for c in ("mentions", "sources", "articles")]
-    broken = counts[0].isNull() | counts[1].isNull() | counts[2].isNull()
-    placeholder = F.col("event_code").isin("---", "--") & F.col("root_code").isin("---", "--")
-    return (
-        F.when(F.coalesce(skip, F.lit(False)), "skip_region")
-        .when(broken, "reject_count")
-        .when(placeholder, "skip_placeholder")
-        .when(~F.coalesce(F.col("root_code").isin(*ROOTS), F.lit(False)) | ~F.coalesce(F.col("quad").isin("1", "2", "3", "4"), F.lit(False)), "reject_enum")
-        .when(score_bad("goldstein") | score_bad("tone"), "reject_score")
-        .when(score_value("goldstein").isNull() | score_value("tone").isNull(), "skip_score")
-        .when((counts[0] < 0) | (counts[1] < 0) | (counts[2] < 0), "reject_negative")
+    return ~blank(c) & score_value(c).isNull()
+
+
+COUNTS, SCORES = ("mentions", "sources", "articles"), ("goldstein", "tone")
+
+
+def with_event_status(rows: DataFrame, o: Options = Options()) -> DataFrame:
+    """``rows`` with row_status, the first rule that a raw row meets in the order of the checks: 'ok', 'skip_*' or 'reject_*'.
+
+    Texts become numbers once, in a projection of their own; the checks then look at numbers.
+    """
+    texts = (*COUNTS, *SCORES, "quad")
+    made = rows.withColumns({f"_x_{c}": score_value(c) if c in SCORES else count_value(c) for c in texts})
+    x = {c: F.col(f"_x_{c}") for c in texts}
+    any_of = lambda tests: functools.reduce(lambda a, b: a | b, tests)
+    region = F.col("actor1").isin(*o.excluded_actors) | F.col("actor2").isin(*o.excluded_actors) | F.col("geo").isin(*o.excluded_geo)
+    placeholder = F.col("root_code").isin("---", "--") & (F.col("event_code") == "---") & x["goldstein"].isNull()
+    status = (
+        F.when(F.coalesce(region, F.lit(False)), "skip_region")
+        .when(any_of(x[c].isNull() for c in (*COUNTS, "quad")), "reject_count")
+        .when(F.coalesce(placeholder, F.lit(False)), "skip_placeholder")
+        .when(~F.coalesce(F.col("root_code").isin(*ROOTS), F.lit(False)) | ~x["quad"].isin(1, 2, 3, 4), "reject_enum")
+        .when(any_of(~blank(c) & x[c].isNull() for c in SCORES), "reject_score")
+        .when(any_of(x[c] < 0 for c in COUNTS), "reject_negative")
+        .when(any_of(x[c].isNull() for c in SCORES), "skip_score")
         .otherwise("ok")
     )
+    return made.withColumn("row_status", status).drop(*(f"_x_{c}" for c in texts))
 
 
 def article_status(countries, tone: str, polarity: str | None = None) -> Column:
@@ -77,20 +98,14 @@ def tone_part(c: str, i: int) -> Column:
 
 
 def theme_categories(themes, markers: dict[str, list[str]]) -> Column:
-    """Categories, in order, of which a marker stands in a theme between underscores or at its ends."""
-    themes = F.col(themes) if isinstance(themes, str) else themes
-    met = lambda t, m: F.contains(F.concat(F.lit("_"), F.upper(t), F.lit("_")), F.lit("_" + m.rstrip("_") + "_"))
+    """Categories, in order, of which a marker stands in a theme between underscores or at its ends.
 
-    def any_of(names):
-        def test(t):
-            out = F.lit(False)
-            for m in names:
-                out = out | met(t, m)
-            return out
-
-        return test
-
-    return F.filter(F.array(*(F.when(F.exists(themes, any_of(names)), F.lit(k)) for k, names in markers.items())), lambda x: x.isNotNull())
+    The distinct themes are joined once, between bars, and each category is one search for its markers.
+    """
+    themes = F.col(themes) if isinstance(themes, str) else themes
+    text = F.concat(F.lit("|_"), F.upper(F.array_join(F.array_distinct(themes), "_|_")), F.lit("_|"))
+    found = {k: text.rlike(f"_(?:{'|'.join(re.escape(m.rstrip('_')) for m in names)})_") for k, names in markers.items()}
+    return F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in found.items())), lambda x: x.isNotNull())
 
 
 def mentions_alias(c: str, aliases: tuple[str, ...]) -> Column:

@@ -45,15 +45,15 @@ def grid(spark: SparkSession, start: int, end: int, step: int, name: str = "buck
 
 
 def coverage_buckets(slots: DataFrame, kinds: DataFrame, start: int, end: int, step: int, now: int, slot: int = SLOT) -> DataFrame:
-    """kind, bucket, expected, done, complete. ``slots``: distinct (kind, file_ts) that are done."""
+    """kind, bucket, expected, done, complete. ``slots``: distinct (kind, file_ts) that are done. Only slots that are over count, up to the horizon before ``now``."""
     horizon = now - now % slot
-    done = slots.filter((F.col("file_ts") >= start) & (F.col("file_ts") < end)).groupBy("kind", bucket("file_ts", step).alias("bucket")).agg(F.countDistinct(bucket("file_ts", slot)).alias("done"))
-    first = start - start % step
-    cells = grid(slots.sparkSession, first, end - 1, step).crossJoin(F.broadcast(kinds.select("kind").distinct()))
+    last = min(end, horizon)
+    done = slots.filter((F.col("file_ts") >= start) & (F.col("file_ts") < last)).groupBy("kind", bucket("file_ts", step).alias("bucket")).agg(F.countDistinct(bucket("file_ts", slot)).alias("done"))
+    cells = grid(slots.sparkSession, start - start % step, end - 1, step).crossJoin(F.broadcast(kinds.select("kind").distinct()))  # a calendar and the kinds of files
     out = cells.join(done, ["kind", "bucket"], "left").withColumn("done", F.coalesce("done", F.lit(0)).cast("long"))
-    span = F.least(F.col("bucket") + step, F.lit(end)) - F.greatest(F.col("bucket"), F.lit(start))
-    out = out.withColumn("expected", F.floor(span / slot).cast("long"))
-    return out.withColumn("complete", (F.col("expected") > 0) & (F.col("done") == F.col("expected")) & (F.least(F.col("bucket") + step, F.lit(end)) <= horizon)).select("kind", "bucket", "expected", "done", "complete")
+    span = F.least(F.col("bucket") + step, F.lit(last)) - F.greatest(F.col("bucket"), F.lit(start))
+    out = out.withColumn("expected", F.floor(F.greatest(span, F.lit(0)) / slot).cast("long"))
+    return out.withColumn("complete", (F.col("expected") > 0) & (F.col("done") == F.col("expected")) & (F.col("bucket") + step <= horizon)).select("kind", "bucket", "expected", "done", "complete")
 
 
 def coverage_summary(buckets: DataFrame, slots: DataFrame, now: int, stale: int = 2700) -> DataFrame:
@@ -81,7 +81,7 @@ def gap_fill(points: DataFrame, entities: DataFrame, key: str, span: Span, zero:
 
 def mask(series: DataFrame, coverage: DataFrame, columns: list[str]) -> DataFrame:
     """Attach done, expected and complete; buckets without a collected slot have null measures."""
-    out = series.join(F.broadcast(coverage.select("bucket", F.col("done").alias("collected"), F.col("expected"), "complete")), "bucket", "left")
+    out = series.join(coverage.select("bucket", F.col("done").alias("collected"), F.col("expected"), "complete"), "bucket", "left")
     out = out.fillna(0, ["collected", "expected"]).fillna(False, ["complete"])
     return out.withColumns({c: F.when(F.col("collected") > 0, F.col(c)) for c in columns})
 
@@ -89,7 +89,7 @@ def mask(series: DataFrame, coverage: DataFrame, columns: list[str]) -> DataFram
 def momentum(daily: DataFrame, coverage: DataFrame, key: str, today: int, start: int, k: int = 1, sensitivity: float = 25.0) -> DataFrame:
     """Mean of the last k days against the complete days before them; null where a recent day isn't complete."""
     days = coverage.filter((F.col("bucket") >= start) & (F.col("bucket") < today)).withColumn("recent", F.col("bucket") >= today - k * DAY)
-    cells = daily.select(key).distinct().crossJoin(F.broadcast(days.select(F.col("bucket").alias("day"), "complete", "recent")))
+    cells = daily.select(key).distinct().crossJoin(F.broadcast(days.select(F.col("bucket").alias("day"), "complete", "recent")))  # a calendar
     rows = cells.join(daily.withColumnRenamed("bucket", "day"), [key, "day"], "left").withColumn("n", F.coalesce("n_events", F.lit(0)).cast("double"))
     sums = rows.groupBy(key).agg(
         F.count_if(F.col("recent") & F.col("complete")).alias("fresh"), F.sum(F.when(F.col("recent"), F.col("n"))).alias("now_n"),
@@ -102,7 +102,7 @@ def momentum(daily: DataFrame, coverage: DataFrame, key: str, today: int, start:
 
 def momentum_series(daily: DataFrame, coverage: DataFrame, key: str, k: int = 1, back: int = 30, sensitivity: float = 25.0) -> DataFrame:
     """Momentum at every day of the calendar, looking ``back`` days; two range frames a key."""
-    cells = daily.select(key).distinct().crossJoin(F.broadcast(coverage.select("bucket", "complete")))
+    cells = daily.select(key).distinct().crossJoin(F.broadcast(coverage.select("bucket", "complete")))  # a calendar
     rows = cells.join(daily, [key, "bucket"], "left").withColumn("n", F.coalesce("n_events", F.lit(0)).cast("double"))
     order = Window.partitionBy(key).orderBy("bucket")
     recent, before = order.rangeBetween(-k * DAY, -DAY), order.rangeBetween(-back * DAY, -(k + 1) * DAY)

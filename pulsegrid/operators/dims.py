@@ -5,35 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Labels of the four quad classes.
+#: Labels of the four quad classes and of the twenty root codes.
 QUADS = {1: "verbal cooperation", 2: "material cooperation", 3: "verbal conflict", 4: "material conflict"}
+ROOT_LABELS = {
+    "01": "public statement", "02": "appeal", "03": "intent to cooperate", "04": "consultation", "05": "diplomatic cooperation",
+    "06": "material cooperation", "07": "aid", "08": "concession", "09": "investigation", "10": "demand",
+    "11": "disapproval", "12": "rejection", "13": "threat", "14": "protest", "15": "show of force",
+    "16": "reduced relations", "17": "coercion", "18": "assault", "19": "fight", "20": "unconventional violence",
+}
 
 
 def code_reference(spark: SparkSession, countries: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
-    """kind, code, label of countries (code, label) without the excluded, and of the quad classes."""
-    quads = spark.createDataFrame([("quad", str(k), v) for k, v in QUADS.items()], "kind string, code string, label string")
-    return countries.filter(~F.col("code").isin(*excluded)).select(F.lit("country").alias("kind"), "code", "label").unionByName(quads)
+    """kind, code, label of countries (code, label) without the excluded, of the root codes and of the quad classes."""
+    fixed = [("root", k, v) for k, v in ROOT_LABELS.items()] + [("quad", str(k), v) for k, v in QUADS.items()]
+    rows = spark.createDataFrame(fixed, "kind string, code string, label string")
+    return countries.filter(~F.col("code").isin(*excluded)).select(F.lit("country").alias("kind"), "code", "label").unionByName(rows)
 
 
 def with_label(df: DataFrame, dim: DataFrame, key: str, prefix: str = "unidentified") -> DataFrame:
     """Left join of ``dim``(code, label); unknown codes get a label that says so."""
-    out = df.join(F.broadcast(dim.select(F.col("code").alias(key), "label")), key, "left")
+    out = df.join(dim.select(F.col("code").alias(key), "label"), key, "left")
     return out.withColumn("label", F.coalesce("label", F.concat(F.lit(prefix + " ("), F.col(key), F.lit(")"))))
 
 
+def _first(df: DataFrame, key: str) -> DataFrame:
+    """The first code of each value of ``key``."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("code"))).filter("_r = 1").drop("_r")
+
+
 def crosswalk(a: DataFrame, b: DataFrame, supplements: DataFrame) -> DataFrame:
-    """a_code, b_code by equal names, the first code of a name on either side; supplements where a code has none."""
-    first = lambda df: df.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("code"))).filter("_r = 1")
-    known = first(a).select("label", F.col("code").alias("a_code")).join(first(b).select("label", F.col("code").alias("b_code")), "label").select("a_code", "b_code")
+    """a_code, b_code by equal names: every a code, with the first b code of its name; supplements where a code has none."""
+    known = a.select("label", F.col("code").alias("a_code")).join(_first(b, "label").select("label", F.col("code").alias("b_code")), "label").select("a_code", "b_code")
     return known.unionByName(supplements.join(known.select("a_code"), "a_code", "left_anti").select("a_code", "b_code"))
 
 
-def resolve_names(df: DataFrame, column: str, dim: DataFrame) -> DataFrame:
-    """``resolved`` code of a free-form value: its code, else its exact name, else the first name that contains it or that it contains."""
-    value = F.upper(F.trim(F.col(column)))
-    names = F.broadcast(dim.select(F.col("code").alias("_code"), F.upper("label").alias("_name"), F.upper("code").alias("_key")))
-    keys = df.select(column).distinct().withColumn("_v", value)
-    rows = keys.join(names, (F.col("_v") == F.col("_key")) | (F.length("_v") >= 2) & (F.contains(F.col("_v"), F.col("_name")) | F.contains(F.col("_name"), F.col("_v"))), "left")
-    rank = F.when(F.col("_v") == F.col("_key"), 0).when(F.col("_v") == F.col("_name"), 1).otherwise(2)
-    best = rows.withColumn("_r", F.row_number().over(Window.partitionBy(column).orderBy(rank, "_code"))).filter("_r = 1")
-    return df.join(best.select(F.col(column), F.col("_code").alias("resolved")), column, "left")
+def resolve_countries(df: DataFrame, column: str, a: DataFrame, b: DataFrame, cross: DataFrame, names: DataFrame, excluded_a: tuple[str, ...] = (), excluded_b: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with a_code, b_code and name of a free-form value; null where there is no match, or an excluded one.
+
+    A three-letter value that is a code of ``a``, else a two-letter one that is a code of ``b``, else an exact name of ``names``(label, a_code, place: table
+    first, then aliases), else the first of them in that order, of two letters or more, that contains the value or is contained in it. A code of ``b``
+    without one of ``a`` stands alone. Codes match in any case, names as they are.
+    """
+    raw = F.trim(F.col(column).cast("string"))
+    keys = df.select(column).distinct().withColumns({"_raw": raw, "_key": F.upper(raw)}).filter("_raw <> ''")
+    first_a = cross.groupBy("b_code").agg(F.min("a_code").alias("_from_b"))
+    own = a.select(F.col("code").alias("_key"), F.col("code").alias("_a3")).filter(F.length("_key") == 3)
+    two = b.filter(F.length("code") == 2).select(F.col("code").alias("_key"), F.col("code").alias("_b2"), F.col("label").alias("_b_label"))
+    keys = keys.join(own, "_key", "left").join(two, "_key", "left").join(first_a.withColumnRenamed("b_code", "_b2"), "_b2", "left")
+    open_ = keys.filter("_a3 is null and _b2 is null").select(column, "_raw")
+    pairs = open_.join(names, (F.col("_raw") == F.col("label")) | ((F.length("label") >= 2) & (F.contains(F.col("_raw"), F.col("label")) | F.contains(F.col("label"), F.col("_raw")))))
+    best = pairs.groupBy(column).agg(F.min_by("a_code", F.struct(F.col("_raw") != F.col("label"), "place")).alias("_named"))
+    keys = keys.join(best, column, "left").withColumn("a_code", F.coalesce("_a3", "_from_b", "_named"))
+    labels = a.select(F.col("code").alias("a_code"), F.col("label").alias("_a_label"))
+    keys = keys.join(labels, "a_code", "left").join(cross.groupBy("a_code").agg(F.min("b_code").alias("_b")), "a_code", "left")
+    out = F.coalesce(F.col("a_code").isin(*excluded_a) | F.col("_key").isin(*excluded_b), F.lit(False)) | F.coalesce("a_code", "_b2").isNull()
+    shown = {"a_code": F.coalesce("a_code", F.lit("")), "b_code": F.coalesce("_b", F.when(F.col("a_code").isNull(), F.col("_b2")), F.lit("")), "name": F.coalesce("_a_label", F.when(F.col("a_code").isNull(), F.col("_b_label")), "_raw")}
+    return df.join(keys.select(column, *(F.when(~out, c).alias(k) for k, c in shown.items())), column, "left")

@@ -21,20 +21,23 @@ def recent(ledger: DataFrame, status: str, k: int) -> DataFrame:
     return ledger.filter(F.col("status") == status).orderBy(F.desc("file_ts"), "kind").limit(k)
 
 
-def progress(ledger: DataFrame, start: int, end: int, slot: int = SLOT) -> DataFrame:
-    """One row: slots of all kinds in the range, by what became of them."""
+def progress(ledger: DataFrame, start: int, end: int, kinds: int = 2, slot: int = SLOT) -> DataFrame:
+    """One row: slots of all ``kinds`` in the range, by what became of them; an empty range is done."""
     some = ledger.filter((F.col("file_ts") >= start) & (F.col("file_ts") < end))
-    total = F.countDistinct("kind") * F.lit((end - start) // slot)
-    out = some.agg(total.cast("long").alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in ("done", "failed", "exhausted")), F.count(F.lit(1)).alias("seen"))
-    out = out.withColumn("unseeded", F.col("total") - F.col("seen"))
-    return out.withColumn("percent", F.coalesce(F.try_divide(F.lit(100.0) * F.col("done"), F.col("total")), F.lit(0.0))).drop("seen")
+    total = F.lit(max(0, (end - start) // slot * kinds)).cast("long")
+    out = some.agg(total.alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in ("done", "pending", "failed", "exhausted")), F.count(F.lit(1)).alias("seen"))
+    out = out.withColumn("unseeded", F.greatest(F.lit(0), F.col("total") - F.col("seen")))
+    out = out.withColumn("percent", F.coalesce(F.try_divide(F.lit(100.0) * F.col("done"), F.col("total")), F.lit(100.0))).drop("seen")
+    return out.withColumn("finished", (F.col("pending") + F.col("failed") + F.col("unseeded")) == 0)
 
 
 def attempt_rollup(log: DataFrame, now: int, most: int = 5) -> DataFrame:
-    """Attempts by batch, whether they are used up, and when the next may start."""
-    out = log.groupBy("kind", "file_ts").agg(F.count(F.lit(1)).alias("attempts"))
-    wait = F.least(F.lit(21_600.0), F.lit(60.0) * F.pow(F.lit(2.0), F.least(F.col("attempts"), F.lit(9)).cast("double")))
-    return out.withColumn("exhausted", F.col("attempts") >= most).withColumn("next_retry", (F.lit(now) + wait).cast("long"))
+    """Attempts by batch, all and those of its last ``round``, whether these are used up, and when the next may start (0: never)."""
+    rounds = log.groupBy("kind", "file_ts", "round").agg(F.count(F.lit(1)).alias("n"))
+    out = rounds.groupBy("kind", "file_ts").agg(F.sum("n").alias("attempts"), F.max_by("n", "round").alias("round_attempts"))
+    wait = F.least(F.lit(21_600.0), F.lit(60.0) * F.pow(F.lit(2.0), F.least(F.col("round_attempts"), F.lit(9)).cast("double")))
+    out = out.withColumn("exhausted", F.col("round_attempts") >= most)
+    return out.withColumn("next_retry", F.when(F.col("exhausted"), F.lit(0)).otherwise((F.lit(now) + wait)).cast("long"))
 
 
 def retain(cells: DataFrame, now: int, hour_days: int = 60, day_days: int = 730) -> DataFrame:

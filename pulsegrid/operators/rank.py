@@ -26,3 +26,9 @@ def zscore_index(df: DataFrame, weights: dict[str, float], partition: list[str])
     mean, sd = F.avg("raw").over(w), F.stddev_pop("raw").over(w)
     z = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(50.0) + (F.col("raw") - mean) / sd * F.lit(100.0) / F.lit(6.0)))
     return df.withColumn("raw", raw).withColumn("index", F.when(sd > 1e-12, z).otherwise(F.col("raw")))
+
+
+def index_error(rebuilt: DataFrame, published: str = "published", column: str = "index") -> DataFrame:
+    """One row: countries, and the greatest and mean absolute difference between the rebuilt and the published index."""
+    off = F.abs(F.col(published) - F.col(column))
+    return rebuilt.agg(F.count(F.lit(1)).alias("countries"), F.max(off).alias("max_error"), F.avg(off).alias("mean_error"))

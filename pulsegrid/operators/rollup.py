@@ -59,9 +59,34 @@ def to_day(cells: DataFrame, keys) -> DataFrame:
     return merge_partials(cells.withColumn("bucket", bucket("bucket", DAY)), keys)
 
 
-def write_partials(df: DataFrame, path: str) -> None:
-    """Per-batch partials by (kind, day): a rewritten batch replaces its own directory, so reruns never double."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "file_ts").parquet(path)
+def both_grains(hours: DataFrame, keys, *extra: str) -> DataFrame:
+    """Hour cells and the day cells made of them, told apart by ``granularity``."""
+    days = to_day(hours, (*extra, *keys))
+    return hours.withColumn("granularity", F.lit("hour")).unionByName(days.withColumn("granularity", F.lit("day")))
+
+
+def finite_cells(cells: DataFrame) -> DataFrame:
+    """The cells as they are; a measure that is not a finite number is an error, so that no sum is spoilt for ever."""
+    odd = lambda c: F.isnan(c) | (F.abs(F.col(c)) == F.lit(float("inf")))
+    return cells.withColumns({c: F.when(odd(c), F.raise_error(F.lit(f"{c} is not a finite number")).cast("double")).otherwise(F.col(c)) for c, t in cells.dtypes if t == "double"})
+
+
+def not_finite(cells: DataFrame) -> DataFrame:
+    """One row: cells, and for each measure how many are no finite numbers."""
+    some = [c for c, t in cells.dtypes if t == "double"]
+    return cells.agg(F.count(F.lit(1)).alias("cells"), *(F.count_if(F.isnan(c) | (F.abs(F.col(c)) == F.lit(float("inf")))).alias(c) for c in some))
+
+
+def write_partials(df: DataFrame, path: str, *parts: str) -> None:
+    """Partials by batch (kind, file_ts) and ``parts``: what is written again replaces its own directory, so reruns never double. A batch is one file."""
+    by = ("kind", "file_ts", *parts)
+    finite_cells(df).repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def compact(cells: DataFrame, path: str, keys) -> None:
+    """Partials of all batches merged into a new table, a directory a kind and day of the bucket: few files, the same sums for readers."""
+    whole = merge_partials(cells.drop("file_ts", "part"), ("kind", "granularity", *keys)).withColumn("day", bucket("bucket", DAY))
+    whole.repartition("kind", "day").write.mode("overwrite").partitionBy("kind", "day").parquet(path)
 
 
 def new_batches(batches: DataFrame, ledger: DataFrame) -> DataFrame:

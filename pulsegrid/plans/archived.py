@@ -13,11 +13,11 @@ from ..operators import ledger, rollup
 from ..sources import archives as A
 from . import bindings as B
 from . import catalog as C
-from .catalog import DAY, GD, RAW, ROUND, query, r
+from .catalog import DAY, GD, ROUND, query, r
 
 #: Columns of a line by place: the geo code stands at 53 of 61 columns, or at 51 of 58.
 PLACES = {"event_id": 0, "actor1": 7, "actor2": 17, "event_code": 26, "root_code": 28, "quad": 29, "goldstein": 30, "mentions": 31, "sources": 32, "articles": 33, "tone": 34}
-BATCH = 90 * DAY
+BATCH, EVERY = 90 * DAY, 27
 
 
 def at_places(places: dict[str, int], n: int):
@@ -26,10 +26,10 @@ def at_places(places: dict[str, int], n: int):
     return F.concat_ws("\t", *(F.coalesce(F.col(by[i]).cast("string"), F.lit("")) if i in by else F.lit("") for i in range(n)))
 
 
-def event_archives(s, sf, path: str | None = None) -> str:
-    """The folder of archives of raw events in batches of 90 days; both layouts stand in each."""
+def event_archives(s, sf, path: str | None = None, rows=None) -> str:
+    """The folder of archives of raw events in batches of 90 days, five of 27 with rows that reject them; both layouts stand in each."""
     path = path or f"{C.shared(s)}/archives-{uuid.uuid4().hex}"
-    rows = B.raw_events(s, sf).withColumn("event_id", F.concat_ws("-", "order_id", "line_id"))
+    rows = (B.raw_events(s, sf, BATCH, EVERY) if rows is None else rows).withColumn("event_id", F.concat_ws("-", "order_id", "line_id"))
     line = F.when(F.col("order_id") % 2 == 0, at_places(PLACES | {"geo": 53}, 61)).otherwise(at_places(PLACES | {"geo": 51}, 58))
     A.write_archives(rows.select("kind", S.bucket("file_ts", BATCH).alias("file_ts"), (F.col("order_id") * 8 + F.col("line_id")).alias("line_no"), line.alias("line")), path)
     return path
@@ -55,7 +55,7 @@ def article_archives(s, sf, spoilt: bool, path: str | None = None) -> str:
     return path
 
 
-BATCHED = RAW.replace("'events' as kind, file_ts,", f"'events' as kind, file_ts-file_ts%{BATCH} as file_ts,")
+BATCHED = C.raw_sql(BATCH, EVERY).replace("'events' as kind, file_ts,", f"'events' as kind, file_ts-file_ts%{BATCH} as file_ts,")
 query("read_event_rows", f"with {BATCHED} select kind, file_ts, order_id||'-'||line_id as event_id, actor1, geo, mentions, row_status from st")(
     lambda s, sf: A.checked_events(A.read_lines(s, event_archives(s, sf)), B.EVENTS).select("kind", "file_ts", "event_id", "actor1", "geo", "mentions", "row_status"))
 query("batch_key", "select distinct 'gkg' as kind, cast(1704067200+(doc_id%2880)*900 as bigint) as file_ts from documents union all select null, null")(
@@ -88,7 +88,7 @@ def stream_cells(s, sf):
     """Cells of the three tables by code: rows, and a sum of each."""
     path, out = streamed(s, sf), None
     for name, key, n, total in (("relation", "actor1", "n_events", "sum_w"), ("geo", "geo_country", "n_events", "sum_w"), ("articles", "country", "total_docs", "sum_tone")):
-        part = rollup.window_agg(s.read.parquet(f"{path}/{name}"), 0, 1 << 40, [key], [n, total]).toDF("code", "n", "total").select(F.lit(name).alias("cells"), "code", "n", "total")
+        part = rollup.window_agg(s.read.parquet(f"{path}/{name}").filter("granularity = 'hour'"), 0, 1 << 40, [key], [n, total]).toDF("code", "n", "total").select(F.lit(name).alias("cells"), "code", "n", "total")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -101,3 +101,36 @@ union all select 'geo', geo, count(*), {r('sum(w)', 'total')} from good group by
 query("stream_ledger", f"""with {BATCHED} select kind, file_ts, count(*) filter (row_status='ok') as row_count, count(*) filter (row_status like 'skip%') as skipped_rows, count(*) filter (row_status like 'reject%') as rejected, case when count(*) filter (row_status like 'reject%')>0 then 'failed' else 'done' end as status from st group by 1,2
 union all select 'gkg', cast(1704067200+(doc_id%2880)*900 as bigint)//{DAY}*{DAY}, count(*) filter (lang<>'es' or right(source,1)<>'9'), count(*) filter (lang='es' and right(source,1)='9'), 0, 'done' from documents group by 2""")(
     lambda s, sf: s.read.parquet(f"{streamed(s, sf)}/ledger"))
+
+
+def sent_again(s, sf) -> str:
+    """The folder of cells and ledger after every batch of events was sent a second time, in another folder: even ones without a fault, odd ones with a broken count in every row."""
+    from ..streaming.ingest import ingest_archives
+
+    path = f"{C.shared(s)}/again-{uuid.uuid4().hex}"
+    event_archives(s, sf, f"{path}/in/first")
+    ingest_archives(s, f"{path}/in", f"{path}/out", f"{path}/check", o=OPTIONS)
+    rows = B.raw_events(s, sf, BATCH, 1 << 40)
+    rows = rows.withColumn("mentions", F.when(F.floor(F.col("file_ts") / BATCH) % 2 == 1, "broken").otherwise(F.col("mentions")))
+    event_archives(s, sf, f"{path}/in/second", rows)
+    ingest_archives(s, f"{path}/in", f"{path}/out", f"{path}/check", o=OPTIONS)
+    return f"{path}/out"
+
+
+def cells_sent_again(s, sf):
+    """Day cells of the relation table by batch, beside the ledger's verdict."""
+    path = sent_again(s, sf)
+    cells = s.read.parquet(f"{path}/relation").filter("granularity = 'day'").groupBy("file_ts").agg(F.sum("n_events").alias("n"), F.sum("sum_w").alias("total"))
+    return s.read.parquet(f"{path}/ledger").join(cells, "file_ts", "left").select("file_ts", "status", "row_count", "n", "total")
+
+
+#: A batch that was done stays as it was; one that had failed is taken from its second, whole copy.
+SECOND = C.raw_sql(BATCH, 1 << 40).replace("'events' as kind, file_ts,", f"'events' as kind, file_ts-file_ts%{BATCH} as file_ts,")
+LEDGER_SQL = "(select file_ts, case when count(*) filter (row_status like 'reject%')>0 then 'failed' else 'done' end as status, count(*) filter (row_status='ok') as row_count from st group by 1)"
+CELLS_SQL = "(select file_ts, count(*) as n, sum(cast(1+least(greatest(cast(mentions as int),0),20)/10.0 as double)) as total from st where row_status='ok' and actor1<>actor2 group by 1)"
+query("stream_resend", f"""select a.file_ts, case when a.status='done' or (a.file_ts//{BATCH})%2=0 then 'done' else 'failed' end as status,
+case when a.status='done' then a.row_count when (a.file_ts//{BATCH})%2=0 then b.row_count else c.row_count end as row_count,
+case when a.status='done' then x.n when (a.file_ts//{BATCH})%2=0 then y.n end as n, {r(f"case when a.status='done' then x.total when (a.file_ts//{BATCH})%2=0 then y.total end", 'total')}
+from (with {BATCHED} select * from {LEDGER_SQL}) a join (with {SECOND} select * from {LEDGER_SQL}) b on a.file_ts=b.file_ts
+join (with {BATCHED} select file_ts, cast(0 as bigint) as row_count from st group by 1) c on c.file_ts=a.file_ts
+left join (with {BATCHED} select * from {CELLS_SQL}) x on x.file_ts=a.file_ts left join (with {SECOND} select * from {CELLS_SQL}) y on y.file_ts=a.file_ts""")(cells_sent_again)

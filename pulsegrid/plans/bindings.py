@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,26 +45,30 @@ def ev(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def raw_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Event rows as text, some of them spoilt by a fixed rule."""
-    rows = ev(spark, sf)
-    text = {c: F.col(c).cast("string") for c in ("quad", "goldstein", "sources", "articles")}
+def raw_events(spark: SparkSession, sf: str, batch: int = DAY, every: int = 50) -> DataFrame:
+    """Event rows as text. Some are to be skipped; of every ``every`` batches five hold rows that must reject them: a broken count, another
+    root code, a negative count beside an empty score, a broken score, a placeholder with a score."""
+    rows = ev(spark, sf).withColumn("k", F.when(F.col("line_id") == 1, F.floor(F.col("file_ts") / batch) % every))
+    text = {c: F.col(c).cast("string") for c in ("quad", "goldstein", "sources", "articles", "mentions", "tone")}
+    none, k = F.col("order_id") % 89 == 0, F.coalesce("k", F.lit(-1))
     return rows.select(
         F.lit("events").alias("kind"), "file_ts", "order_id", "line_id", F.concat(F.lit(" "), F.lower("actor1")).alias("actor1"), "actor2", "geo",
-        F.when(F.col("order_id") % 89 == 0, "---").otherwise(F.col("root_code")).alias("event_code"),
-        F.when(F.col("order_id") % 89 == 0, "---").when(F.col("order_id") % 7919 == 0, "21").otherwise(F.col("root_code")).alias("root_code"),
-        *(c.alias(k) for k, c in text.items()),
-        F.when(F.col("order_id") % 9973 == 0, "broken").otherwise(F.col("mentions").cast("string")).alias("mentions"),
-        F.when(F.col("order_id") % 97 == 0, "").otherwise(F.col("tone").cast("string")).alias("tone"),
+        F.when(none | (k == 4), "---").otherwise(F.col("root_code")).alias("event_code"),
+        F.when(none, "---").when(k == 4, "--").when(k == 1, "21").otherwise(F.col("root_code")).alias("root_code"),
+        F.when(F.col("order_id") % 5 == 0, F.concat(text["quad"], F.lit(".0"))).otherwise(text["quad"]).alias("quad"),
+        F.when(k == 3, "x").when(none & (k != 4), "").otherwise(text["goldstein"]).alias("goldstein"), text["sources"].alias("sources"), text["articles"].alias("articles"),
+        F.when(k == 0, "broken").when(k == 2, "-3").otherwise(text["mentions"]).alias("mentions"),
+        F.when((F.col("order_id") % 97 == 0) | k.isin(2, 3), "").otherwise(text["tone"]).alias("tone"),
     )
 
 
 def art(spark: SparkSession, sf: str) -> DataFrame:
-    lang, tokens = F.upper("lang"), F.filter(F.split("text", "[^A-Za-z]+"), lambda x: x != "")
+    lang, words = F.upper("lang"), F.upper(F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")))
+    themes = F.split(F.concat(lang, F.lit("_"), F.replace(words, F.lit(" "), F.concat(F.lit(" "), lang, F.lit("_")))), " ")
     return table(spark, sf, "documents").select(
         "doc_id", (F.lit(1704067200) + F.col("doc_id") % 2880 * 900).cast("long").alias("file_ts"),
         F.array(lang, F.concat(F.lit("S"), F.substring("source", -1, 1))).alias("countries"), ((F.col("n_chars") % 41 - 20) / F.lit(2.0)).cast("double").alias("tone"),
-        (F.col("n_chars") % 7).cast("double").alias("polarity"), F.lower("text").alias("organizations"), F.transform(tokens, lambda t: F.concat(lang, F.lit("_"), F.upper(t))).alias("themes"),
+        (F.col("n_chars") % 7).cast("double").alias("polarity"), F.lower("text").alias("organizations"), F.when(words == "", F.expr("cast(array() as array<string>)")).otherwise(themes).alias("themes"),
     )
 
 
@@ -87,12 +94,31 @@ def gkg_cells(spark: SparkSession, sf: str) -> DataFrame:
     return rollup_articles(art(spark, sf), "day", ARTICLES)
 
 
-def day_coverage(spark: SparkSession, sf: str, back: int = 0) -> DataFrame:
-    """Coverage of the event days; a day is one slot here."""
-    days = ev(spark, sf).select(F.lit("events").alias("kind"), "file_ts").distinct()
+def day_coverage(spark: SparkSession, sf: str, back: int = 0, cells: DataFrame | None = None) -> DataFrame:
+    """Coverage of the event days, of the rows or of ``cells`` made of them; a day is one slot here."""
+    seen = ev(spark, sf).select("file_ts") if cells is None else cells.select(F.col("bucket").alias("file_ts"))
+    days = seen.distinct().withColumn("kind", F.lit("events"))
     return coverage_buckets(days, days, SPAN.start - back * DAY, SPAN.end + DAY, DAY, AS_OF, DAY)
 
 
 def art_coverage(spark: SparkSession, sf: str) -> DataFrame:
     days = art(spark, sf).select(F.lit("gkg").alias("kind"), "file_ts").distinct()
     return coverage_buckets(days, days, ART_SPAN.start, ART_SPAN.end + DAY, DAY, ART_AS_OF)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, made once; views over cells read it, however often they do."""
+    path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; a temporary one in local sessions without it, kept in the session's settings."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.pulsegrid.shared", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
+        spark.conf.set("spark.pulsegrid.shared", base)
+    return f"{base.rstrip('/')}/pulsegrid-{spark.sparkContext.applicationId}"

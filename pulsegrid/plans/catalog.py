@@ -69,6 +69,14 @@ WIN = f"bucket >= {START} and bucket < {NOW}"
 EVID = lambda n, p=20: f"round(100.0*{n}/({n}+{p}.0),1)"
 
 
+def cover_sql(source: str, start: int, end: int, step: int, now: int, slot: int) -> str:
+    """bucket, expected, done, complete of the file_ts of a table."""
+    horizon = now - now % slot
+    last = min(end, horizon)
+    return f"""(select *, expected>0 and done=expected and bucket+{step}<={horizon} as complete from (select g as bucket, cast(greatest(0, least(g+{step},{last})-greatest(g,{start}))//{slot} as bigint) as expected, count(distinct a.file_ts-a.file_ts%{slot}) as done
+  from (select unnest(generate_series({start - start % step},{end - 1},{step})) as g) left join (select distinct file_ts from {source}) a on a.file_ts>=greatest(g,{start}) and a.file_ts<least(g+{step},{last}) group by 1))"""
+
+
 # rollups ------------------------------------------------------------------------------------------------------------
 query("rollup_relation", f"with {REL} select * replace ({ROUND([*D, 'sum_quad_w', 'sum_absgold_w'])}) from rel")(B.rel_cells)
 query("rollup_geo", f"with {GEO} select * replace ({ROUND(D)}) from geo")(B.geo_cells)
@@ -108,14 +116,15 @@ A_SCORE = f"coalesce(100*((0.7*sg+0.2*sq+0.1*st)/nullif(sw,0)),0)*{EVID('n_event
 HOME = "actor2='N06' and actor1<>'N06' and actor1<>'N24'"
 ATT = f"att as (select actor1, n_events, sum_mentions, {r(EVID('n_events'), 'evidence')}, {r(A_SCORE, 'attitude_score')}, {r('10*gold/n_events', 'avg_goldstein')}, {r('10*tone/n_events', 'avg_tone')}, {r('100.0*q34/n_events', 'conflict_share')}, n_events<20 as thin, cast(row_number() over (order by n_events desc, actor1) as int) as rank from (select actor1, {A_SUM} from rel where {WIN} and {HOME} group by 1))"
 query("view_attitude", f"with {REL}, {ATT} select * from att")(lambda s, sf: views.attitude(B.rel_cells(s, sf), B.SPAN, B.EVENTS))
+HORIZON = NOW - NOW % DAY
 COV = f"""days as (select distinct file_ts-file_ts%{DAY} as bucket from ev),
-cov as (select g as bucket, d.bucket is not null as done, d.bucket is not null and g+{DAY} <= {NOW - NOW % DAY} as complete from (select unnest(generate_series({START - 31 * DAY},{END},{DAY})) as g) left join days d on d.bucket=g)"""
+cov as (select g as bucket, d.bucket is not null as done, cast(case when g<{HORIZON} then 1 else 0 end as bigint) as expected, d.bucket is not null and g+{DAY} <= {HORIZON} as complete from (select unnest(generate_series({START - 31 * DAY},{END},{DAY})) as g) left join days d on d.bucket=g and d.bucket<{HORIZON})"""
 query("trend_attitude", f"""with {REL}, {COV}, p as (select actor1, bucket, n_events, sum_mentions, {A_SCORE} as attitude_score, 10*tone/n_events as avg_tone from (select actor1, bucket, {A_SUM} from rel where {WIN} and {HOME} group by 1,2))
 select c.bucket, e.actor1, case when c.done then coalesce(n_events,0) end as n_events, case when c.done then coalesce(sum_mentions,0) end as sum_mentions, case when c.done then {'round(coalesce(attitude_score,0),6)+0.0'} end as attitude_score,
-case when c.done then round(coalesce(avg_tone,0),6)+0.0 end as avg_tone, cast(c.done as bigint) as collected, cast(1 as bigint) as expected, c.complete
+case when c.done then round(coalesce(avg_tone,0),6)+0.0 end as avg_tone, cast(c.done as bigint) as collected, c.expected, c.complete
 from (select * from cov where bucket>={START}) c cross join (select distinct actor1 from p) e left join p on p.bucket=c.bucket and p.actor1=e.actor1""")(lambda s, sf: views.trend_attitude(B.rel_cells(s, sf), B.day_coverage(s, sf), B.SPAN, B.EVENTS))
 query("trend_global", f"""with {REL}, {COV}, p as (select bucket, n_events, {A_SCORE} as attitude_score from (select bucket, {A_SUM} from rel where {WIN} group by 1))
-select c.bucket, 'all' as scope, case when c.done then coalesce(n_events,0) end as n_events, case when c.done then round(coalesce(attitude_score,0),6)+0.0 end as attitude_score, cast(c.done as bigint) as collected, cast(1 as bigint) as expected, c.complete
+select c.bucket, 'all' as scope, case when c.done then coalesce(n_events,0) end as n_events, case when c.done then round(coalesce(attitude_score,0),6)+0.0 end as attitude_score, cast(c.done as bigint) as collected, c.expected, c.complete
 from (select * from cov where bucket>={START}) c left join p on p.bucket=c.bucket""")(lambda s, sf: views.trend_global(B.rel_cells(s, sf), B.day_coverage(s, sf), B.SPAN, B.EVENTS))
 
 G_SUM = f"cast(sum(n_events) as bigint) as n_events, sum(sum_w) as sw, sum(sum_tone) as tone, sum(n_quad3)+sum(n_quad4) as q34, {MASS}"
@@ -134,7 +143,21 @@ CR = f"""cr as (select geo_country, n_events, {GEV} as evidence, {SUB('sec')} as
   from (select geo_country, {G_SUM} from geo where {WIN} and geo_country not in ('06','24') group by 1) where n_events>=20)"""
 CR_VIEW = f"""select cr.geo_country, n_events, {ROUND(['evidence', 'security', 'social', 'political', 'media', 'conflict', 'avg_tone', 'risk_score'])}, round(coalesce(momentum,50),6)+0.0 as momentum, momentum is not null as momentum_available,
 cast(row_number() over (order by round(risk_score,1) desc, cr.geo_country) as int) as rank from cr left join mom on mom.geo_country=cr.geo_country"""
-country_risk = query("view_country_risk", f"with {GEO}, {COV}, {MOM}, {CR} {CR_VIEW}")(lambda s, sf: views.country_risk(B.geo_cells(s, sf), B.geo_cells(s, sf), B.day_coverage(s, sf), B.SPAN, B.EVENTS))
+def stored_geo(s, sf):
+    return B.stored(B.geo_cells(s, sf), "geo")
+
+
+def ranked_risk(s, sf):
+    geo = stored_geo(s, sf)
+    return views.country_risk(geo, geo, B.day_coverage(s, sf, cells=geo), B.SPAN, B.EVENTS)
+
+
+def risk_trend(s, sf, country=None):
+    geo = stored_geo(s, sf)
+    return views.trend_country_risk(geo, geo, B.day_coverage(s, sf, cells=geo), B.day_coverage(s, sf, 31, geo), B.SPAN, B.EVENTS, country)
+
+
+country_risk = query("view_country_risk", f"with {GEO}, {COV}, {MOM}, {CR} {CR_VIEW}")(ranked_risk)
 query("rank_countries", f"with {GEO}, {CR} select geo_country, round(risk_score,6)+0.0 as risk_score, cast(row_number() over (order by round(risk_score,1) desc, geo_country) as int) as rank from cr")(
     lambda s, sf: rank.ranked(S.add_country_risk(views.geo_window(B.geo_cells(s, sf), B.SPAN, B.EVENTS, "geo_country"), B.EVENTS).filter("n_events >= 20").withColumn("shown", F.round("risk_score", 1)), "shown", "geo_country").select("geo_country", "risk_score", "rank"))
 SERIES = f"""dcs as (select geo_country, bucket, sum(n_events) as n from geo where bucket >= {START - 31 * DAY} and bucket < {NOW} and geo_country not in ('06','24') group by 1,2),
@@ -145,9 +168,9 @@ mser as (select geo_country, bucket, case when fresh=1 and base is not null then
 query("momentum_series", f"with {GEO}, {COV}, {SERIES} select geo_country, bucket, round(momentum,6)+0.0 as momentum from mser")(lambda s, sf: coverage.momentum_series(views.daily_counts(B.geo_cells(s, sf), coverage.Span(396, NOW), B.EVENTS), B.day_coverage(s, sf, 31), "geo_country"))
 query("trend_country_risk", f"""with {GEO}, {COV}, {SERIES}, p as (select geo_country, bucket, n_events, case when n_events>=20 then {RISK} end as risk_score, {GEV} as evidence, {SUB('sec')} as security, 100.0*q34/n_events as conflict, 10*tone/n_events as avg_tone from (select geo_country, bucket, {G_SUM} from geo where {WIN} and geo_country not in ('06','24') group by 1,2))
 select c.bucket, e.geo_country, case when c.done then coalesce(n_events,0) end as n_events, case when c.done then round(risk_score,6)+0.0 end as risk_score, {', '.join(f'case when c.done then round(coalesce({x},0),6)+0.0 end as {x}' for x in ('evidence', 'security', 'conflict', 'avg_tone'))},
-case when c.done then mser.momentum is not null end as momentum_available, cast(c.done as bigint) as collected, cast(1 as bigint) as expected, c.complete
+case when c.done then mser.momentum is not null end as momentum_available, cast(c.done as bigint) as collected, c.expected, c.complete
 from (select * from cov where bucket>={START}) c cross join (select distinct geo_country from p) e left join p on p.bucket=c.bucket and p.geo_country=e.geo_country left join mser on mser.bucket=c.bucket and mser.geo_country=e.geo_country""")(
-    lambda s, sf: views.trend_country_risk(B.geo_cells(s, sf), B.geo_cells(s, sf), B.day_coverage(s, sf), B.day_coverage(s, sf, 31), B.SPAN, B.EVENTS))
+    risk_trend)
 
 E_START, E_NOW, E_END = B.ART_SPAN.start, B.ART_AS_OF, B.ART_SPAN.end
 E_SUM = ", ".join([*(f"cast(sum({c}) as bigint) as {c}" for c in ("total_docs", "alias_docs", "modeled_docs", *(f"{k}_{m}" for k in CATEGORIES for m in ("docs", "modeled_docs")))), *(f"sum({c}) as {c}" for c in GD)])
@@ -159,10 +182,10 @@ E_WHERE = f"bucket >= {E_START} and bucket < {E_NOW} and country not in ('ES','S
 ENT = f"""ent as (select country, total_docs, alias_docs, {r(E_EV, 'evidence')}, {', '.join(r(s, c + '_score') for c, s in E_SC.items())}, {r(E_RISK, 'risk_score')}, round(100.0*modeled_docs/total_docs,6)+0.0 as joint_coverage, 'measured' as measure,
 {r('sum_tone/total_docs', 'avg_tone')}, {r('sum_polarity/total_docs', 'avg_polarity')}, cast(row_number() over (order by round({E_RISK},1) desc, country) as int) as rank from (select country, {E_SUM} from gkg where {E_WHERE} group by 1) where total_docs>=20)"""
 query("view_enterprise_risk", f"with {GKG}, {ENT} select * from ent")(lambda s, sf: views.enterprise_risk(B.gkg_cells(s, sf), B.ART_SPAN, B.ARTICLES))
-query("trend_enterprise", f"""with {GKG}, acov as (select g as bucket, count(distinct a.file_ts) as done from (select unnest(generate_series({E_START},{E_END},{DAY})) as g) left join art a on a.file_ts>=g and a.file_ts<g+{DAY} group by 1),
+query("trend_enterprise", f"""with {GKG}, acov as (select * from {cover_sql('art', E_START, E_END + DAY, DAY, E_NOW, 900)}),
 p as (select country, bucket, total_docs, case when total_docs>=20 then {E_RISK} end as risk_score, 100.0*modeled_docs/total_docs as joint_coverage, sum_tone/total_docs as avg_tone from (select country, bucket, {E_SUM} from gkg where {E_WHERE} group by 1,2))
 select c.bucket, e.country, case when done>0 then coalesce(total_docs,0) end as total_docs, case when done>0 then round(risk_score,6)+0.0 end as risk_score, case when done>0 then round(coalesce(joint_coverage,0),6)+0.0 end as joint_coverage, case when done>0 then round(coalesce(avg_tone,0),6)+0.0 end as avg_tone,
-cast(done as bigint) as collected, cast(96 as bigint) as expected, done=96 and c.bucket+{DAY}<={E_NOW - E_NOW % 900} as complete
+done as collected, expected, complete
 from acov c cross join (select distinct country from p) e left join p on p.bucket=c.bucket and p.country=e.country""")(lambda s, sf: views.trend_enterprise(B.gkg_cells(s, sf), B.art_coverage(s, sf), B.ART_SPAN, B.ARTICLES))
 query("view_brief", f"with {REL}, geo as ({geo_sql()}), {COV}, {CR}, {ATT}, {GKG}, {ENT}, crr as (select geo_country, round(risk_score,6)+0.0 as risk_score, cast(row_number() over (order by round(risk_score,1) desc, geo_country) as int) as rank from cr) select * from (select 'attitude' as section, actor1 as code, attitude_score as score, rank from att union all select 'country_risk', geo_country, risk_score, rank from crr union all select 'enterprise_risk', country, risk_score, rank from ent) where rank<=8")(
     lambda s, sf: views.brief(views.attitude(B.rel_cells(s, sf), B.SPAN, B.EVENTS), country_risk(s, sf), views.enterprise_risk(B.gkg_cells(s, sf), B.ART_SPAN, B.ARTICLES)))
@@ -180,25 +203,38 @@ query("trend_semi", f"with {GEO}, {CR} select g.geo_country, g.bucket, cast(sum(
 
 # ledger and coverage ------------------------------------------------------------------------------------------------
 SLOTS = "slots as (select event_type as kind, cast(floor(epoch(ts)/900)*900 as bigint) as file_ts, count(*) as row_count, count(*) filter (value<1) as skipped_rows, case when count(*) filter (value<1)>0 then 'failed' else 'done' end as status from events group by 1,2)"
-CB = f"""cb as (select k.kind, g as bucket, cast(4 as bigint) as expected, count(distinct s.file_ts) as done, count(distinct s.file_ts)=4 and g+3600<={L_END} as complete
-  from (select unnest(generate_series({L_START},{L_END - 1},3600)) as g) cross join (select distinct kind from slots) k left join slots s on s.kind=k.kind and s.file_ts>=g and s.file_ts<g+3600 group by 1,2)"""
+#: Coverage is asked from within an hour to within another, two days before the end of the table.
+C_START, C_NOW = L_START + 1800, L_END - 2 * DAY + 5000
+CB = f"""cb as (select k.kind, c.bucket, c.expected, c.done, c.complete from (select distinct kind from slots) k, lateral {cover_sql('(select * from slots x where x.kind=k.kind)', C_START, L_END, 3600, C_NOW, 900)} c)"""
 
 
 def hours(s, sf):
     x = B.slots(s, sf)
-    return coverage.coverage_buckets(x, x, L_START, L_END, 3600, L_END)
+    return coverage.coverage_buckets(x, x, C_START, L_END, 3600, C_NOW)
 
 
 query("coverage_buckets", f"with {SLOTS}, {CB} select * from cb")(hours)
-query("coverage_summary", f"with {SLOTS}, {CB}, l as (select kind, max(file_ts) as last_ts from slots group by 1) select cb.kind, cast(sum(expected) as bigint) as expected, cast(sum(done) as bigint) as done, count(*) filter (complete) as complete_buckets, any_value(last_ts) as last_ts, {r('100.0*sum(done)/sum(expected)', 'percent')}, {L_END}-any_value(last_ts)>2700 as stale from cb join l on l.kind=cb.kind group by 1")(
-    lambda s, sf: coverage.coverage_summary(hours(s, sf), B.slots(s, sf), L_END))
+query("coverage_summary", f"with {SLOTS}, {CB}, l as (select kind, max(file_ts) as last_ts from slots group by 1) select cb.kind, cast(sum(expected) as bigint) as expected, cast(sum(done) as bigint) as done, count(*) filter (complete) as complete_buckets, any_value(last_ts) as last_ts, {r('100.0*sum(done)/sum(expected)', 'percent')}, {C_NOW}-any_value(last_ts)>2700 as stale from cb join l on l.kind=cb.kind group by 1")(
+    lambda s, sf: coverage.coverage_summary(hours(s, sf), B.slots(s, sf), C_NOW))
 query("missing_slots", f"with {SLOTS} select k.kind, g as file_ts from (select unnest(generate_series({L_START},{L_END - 1},900)) as g) cross join (select distinct kind from slots) k where not exists (select 1 from slots s where s.kind=k.kind and s.file_ts=g)")(lambda s, sf: coverage.missing_slots(B.slots(s, sf), B.slots(s, sf), L_START, L_END))
 query("ledger_summary", f"with {SLOTS} select kind, count(*) filter (status='done') as done, count(*) filter (status='failed') as failed, max(file_ts) filter (status='done') as latest, cast(sum(row_count) as bigint) as rows_parsed, cast(sum(skipped_rows) as bigint) as rows_skipped from slots group by 1")(lambda s, sf: ledger.summary(B.slots(s, sf)))
 for name, status, k in (("recent_failures", "failed", 8), ("recent_batches", "done", 12)):
     query(name, f"with {SLOTS} select * from slots where status='{status}' order by file_ts desc, kind limit {k}")(lambda s, sf, status=status, k=k: ledger.recent(B.slots(s, sf), status, k))
-query("backfill_progress", f"with {SLOTS}, x as (select cast(count(distinct kind)*{(L_END - L_START) // 900} as bigint) as total, count(*) filter (status='done') as done, count(*) filter (status='failed') as failed, count(*) filter (status='exhausted') as exhausted, count(*) as seen from slots where file_ts>={L_START} and file_ts<{L_END}) select total, done, failed, exhausted, total-seen as unseeded, {r('100.0*done/total', 'percent')} from x")(lambda s, sf: ledger.progress(B.slots(s, sf), L_START, L_END))
-query("attempt_rollup", f"select event_type as kind, cast(floor(epoch(ts)/900)*900 as bigint) as file_ts, count(*) as attempts, count(*)>=5 as exhausted, cast({L_END}+least(21600, 60*pow(2, least(count(*),9))) as bigint) as next_retry from events group by 1,2")(
-    lambda s, sf: ledger.attempt_rollup(B.table(s, sf, "events").select(F.col("event_type").alias("kind"), (F.floor(B.epoch("ts") / 900) * 900).cast("long").alias("file_ts")), L_END))
+PROGRESS = f"select *, pending+failed+unseeded=0 as finished from (select total, done, pending, failed, exhausted, greatest(0, total-seen) as unseeded, case when total=0 then 100.0 else {'round(100.0*done/total, 6) + 0.0'} end as percent from"
+STATES = ", ".join(f"count(*) filter (status='{x}') as {x}" for x in ("done", "pending", "failed", "exhausted"))
+STATED = "stated as (select kind, file_ts, case when row_count%7=0 then 'pending' when row_count%5=0 then 'exhausted' else status end as status from slots)"
+
+
+def stated(s, sf):
+    n = F.col("row_count")
+    return B.slots(s, sf).withColumn("status", F.when(n % 7 == 0, "pending").when(n % 5 == 0, "exhausted").otherwise(F.col("status")))
+
+
+query("backfill_progress", f"with {SLOTS}, {STATED} {PROGRESS} (select cast({(L_END - L_START) // 900 * 5} as bigint) as total, {STATES}, count(*) as seen from stated where file_ts>={L_START} and file_ts<{L_END})) union all {PROGRESS} (select cast(0 as bigint) as total, {STATES}, count(*) as seen from stated where false))")(
+    lambda s, sf: ledger.progress(stated(s, sf), L_START, L_END, 5).unionByName(ledger.progress(stated(s, sf), L_END, L_END, 5)))
+query("attempt_rollup", f"""with a as (select event_type as kind, cast(floor(epoch(ts)/900)*900 as bigint) as file_ts, event_id%2 as round, count(*) as n from events group by 1,2,3),
+b as (select kind, file_ts, cast(sum(n) as bigint) as attempts, max_by(n, round) as round_attempts from a group by 1,2) select *, round_attempts>=2 as exhausted, case when round_attempts>=2 then 0 else cast({L_END}+least(21600, 60*pow(2, least(round_attempts,9))) as bigint) end as next_retry from b""")(
+    lambda s, sf: ledger.attempt_rollup(B.table(s, sf, "events").select(F.col("event_type").alias("kind"), (F.floor(B.epoch("ts") / 900) * 900).cast("long").alias("file_ts"), (F.col("event_id") % 2).alias("round")), L_END, 2))
 query("retention_filter", f"with {GEO}, c as (select 'hour' as granularity, bucket, geo_country, n_events from geo union all select 'day', bucket, geo_country, n_events from geo) select * from c where (granularity='hour' and bucket>={TODAY - 60 * DAY}) or (granularity='day' and bucket>={TODAY - 730 * DAY})")(
     lambda s, sf: ledger.retain(B.geo_cells(s, sf).select(F.explode(F.array(F.lit("hour"), F.lit("day"))).alias("granularity"), "bucket", "geo_country", "n_events"), NOW))
 query("ledger_expiry", f"with {SLOTS} select kind, file_ts, row_count, skipped_rows, case when file_ts<{L_END - 20 * DAY} then 'expired' else status end as status from slots")(lambda s, sf: ledger.expire(B.slots(s, sf), L_END, 10, 20))
@@ -228,19 +264,26 @@ query("location_countries", "select doc_id, array_to_string(list_sort(list_filte
 query("tone_vector", "select doc_id, cast(n_chars%41 as double) as tone, cast(n_chars%7 as double) as polarity from documents")(lambda s, sf: B.table(s, sf, "documents").select("doc_id", F.concat_ws(",", F.col("n_chars") % 41, F.lit("x"), F.lit(""), F.col("n_chars") % 7).alias("v")).select("doc_id", fields.tone_part("v", 0).alias("tone"), F.coalesce(fields.tone_part("v", 3), F.lit(0.0)).alias("polarity")))
 
 # raw rows -----------------------------------------------------------------------------------------------------------
-RAW = f"""{EV}, raw as (select 'events' as kind, file_ts, order_id, line_id, actor1, actor2, geo, case when order_id%89=0 then '---' else root_code end as event_code,
-  case when order_id%89=0 then '---' when order_id%7919=0 then '21' else root_code end as root_code, case when order_id%9973=0 then 'broken' else cast(mentions as varchar) end as mentions, case when order_id%97=0 then '' else cast(tone as varchar) end as tone from ev),
-st as (select *, case when actor1='N24' or actor2='N24' or geo='24' then 'skip_region' when mentions='broken' then 'reject_count' when event_code='---' and root_code='---' then 'skip_placeholder' when root_code='21' then 'reject_enum' when tone='' then 'skip_score' else 'ok' end as row_status from raw)"""
+def raw_sql(batch: int = DAY, every: int = 50) -> str:
+    return f"""{EV}, spoilt as (select *, case when line_id=1 then (file_ts//{batch})%{every} else -1 end as k, order_id%89=0 as none_ from ev),
+  raw as (select 'events' as kind, file_ts, order_id, line_id, actor1, actor2, geo, case when none_ or k=4 then '---' else root_code end as event_code,
+  case when none_ then '---' when k=4 then '--' when k=1 then '21' else root_code end as root_code, case when k=0 then 'broken' when k=2 then '-3' else cast(mentions as varchar) end as mentions,
+  case when k=3 then 'x' when none_ and k<>4 then '' else cast(goldstein as varchar) end as goldstein, case when order_id%97=0 or k in (2,3) then '' else cast(tone as varchar) end as tone from spoilt),
+st as (select *, case when actor1='N24' or actor2='N24' or geo='24' then 'skip_region' when mentions='broken' then 'reject_count' when event_code='---' and root_code in ('---','--') and goldstein in ('','x') then 'skip_placeholder'
+  when root_code in ('21','--','---') then 'reject_enum' when goldstein='x' then 'reject_score' when mentions='-3' then 'reject_negative' when tone='' or goldstein='' then 'skip_score' else 'ok' end as row_status from raw)"""
+
+
+RAW = raw_sql()
 
 
 def status(s, sf):
     rows = B.raw_events(s, sf).withColumn("actor1", fields.code("actor1"))
-    return rows.withColumn("row_status", fields.event_status(B.EVENTS))
+    return fields.with_event_status(rows, B.EVENTS)
 
 
 query("normalize_codes", f"with {EV} select order_id, line_id, actor1 from ev")(lambda s, sf: B.raw_events(s, sf).select("order_id", "line_id", fields.code("actor1").alias("actor1")))
 query("strict_counts", f"with {RAW} select order_id, line_id, try_cast(mentions as bigint) as mentions from raw")(lambda s, sf: B.raw_events(s, sf).select("order_id", "line_id", fields.count_value("mentions").alias("mentions")))
-query("lenient_scores", f"with {RAW} select order_id, line_id, round(try_cast(tone as double),6)+0.0 as tone, false as bad from raw")(lambda s, sf: B.raw_events(s, sf).select("order_id", "line_id", fields.score_value("tone").alias("tone"), fields.score_bad("tone").alias("bad")))
+query("lenient_scores", f"with {RAW} select order_id, line_id, round(try_cast(goldstein as double),6)+0.0 as goldstein, goldstein='x' as bad from raw")(lambda s, sf: B.raw_events(s, sf).select("order_id", "line_id", fields.score_value("goldstein").alias("goldstein"), fields.score_bad("goldstein").alias("bad")))
 query("row_status", f"with {RAW} select order_id, line_id, row_status from st")(lambda s, sf: status(s, sf).select("order_id", "line_id", "row_status"))
 for name, value in (("exclude_regions", "skip_region"), ("skip_placeholders", "skip_placeholder"), ("validate_enums", "reject_enum")):
     query(name, f"with {RAW} select order_id, line_id from st where row_status<>'{value}'")(lambda s, sf, value=value: status(s, sf).filter(F.col("row_status") != value).select("order_id", "line_id"))
@@ -254,13 +297,45 @@ NAT = "nat as (select lpad(cast(n_nationkey as varchar),2,'0') as code, n_name a
 query("dim_lookup", f"with {GEO}, {NAT} select geo_country, bucket, root_code, n_events, coalesce(label, 'unidentified ('||geo_country||')') as label from geo left join nat on code=geo_country")(lambda s, sf: dims.with_label(B.geo_cells(s, sf).select("geo_country", "bucket", "root_code", "n_events"), B.nations(s, sf), "geo_country"))
 query("labels_fallback", f"with {NAT}, c as (select lpad(cast(c_nationkey+10 as varchar),2,'0') as code, count(*) as n from customer group by 1) select c.code, n, coalesce(label, 'unidentified ('||c.code||')') as label from c left join nat on nat.code=c.code")(
     lambda s, sf: dims.with_label(B.table(s, sf, "customer").groupBy(F.lpad((F.col("c_nationkey") + 10).cast("string"), 2, "0").alias("code")).agg(F.count(F.lit(1)).alias("n")), B.nations(s, sf), "code"))
-query("code_reference", f"with {NAT} select 'country' as kind, code, label from nat where code<>'24' union all select * from (values ('quad','1','verbal cooperation'),('quad','2','material cooperation'),('quad','3','verbal conflict'),('quad','4','material conflict'))")(lambda s, sf: dims.code_reference(s, B.nations(s, sf), ("24",)))
-query("code_crosswalk", "select lpad(cast(n_nationkey as varchar),2,'0') as a_code, 'N'||lpad(cast(n_nationkey as varchar),2,'0') as b_code from nation where n_nationkey%5<>0 union all select lpad(cast(n_nationkey as varchar),2,'0'), 'X0' from nation where n_nationkey=5")(
-    lambda s, sf: dims.crosswalk(B.nations(s, sf), B.nations(s, sf).filter("cast(code as int) % 5 <> 0").withColumn("code", F.concat(F.lit("N"), "code")), B.nations(s, sf).filter("code in ('05', '06')").select(F.col("code").alias("a_code"), F.lit("X0").alias("b_code"))))
-query("resolve_country", """with v as (select n_nationkey as id, case n_nationkey%3 when 0 then lpad(cast(n_nationkey as varchar),2,'0') when 1 then lower(n_name) else 'THE '||n_name||'!' end as raw from nation),
-d as (select lpad(cast(n_nationkey as varchar),2,'0') as code, upper(n_name) as name from nation)
-select id, raw, (select code from d where upper(raw)=code or contains(upper(raw),name) or contains(name,upper(raw)) order by case when upper(raw)=code then 0 when upper(raw)=name then 1 else 2 end, code limit 1) as resolved from v""")(
-    lambda s, sf: dims.resolve_names(B.table(s, sf, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 3 == 0, B.code("n_nationkey")).when(F.col("n_nationkey") % 3 == 1, F.lower("n_name")).otherwise(F.concat(F.lit("THE "), "n_name", F.lit("!"))).alias("raw")), "raw", B.nations(s, sf)))
+ROOTS_SQL = ", ".join(f"('root','{k}','{v}')" for k, v in dims.ROOT_LABELS.items())
+query("code_reference", f"with {NAT} select 'country' as kind, code, label from nat where code<>'24' union all select * from (values {ROOTS_SQL}, ('quad','1','verbal cooperation'),('quad','2','material cooperation'),('quad','3','verbal conflict'),('quad','4','material conflict'))")(lambda s, sf: dims.code_reference(s, B.nations(s, sf), ("24",)))
+
+
+def two_tables(s, sf):
+    """Codes N00 .. of three letters, every sixth nation with a second one, and codes of two; every fourth name has two of these, every fifth none."""
+    n = B.nations(s, sf)
+    a = n.select(F.concat(F.lit("N"), "code").alias("code"), "label").union(n.filter("cast(code as int) % 6 = 0").select(F.concat(F.lit("M"), "code").alias("code"), "label"))
+    some = n.filter("cast(code as int) % 5 <> 0")
+    b = some.union(some.filter("cast(code as int) % 4 = 0").select(F.concat(F.lit("Z"), F.substring("code", 2, 1)).alias("code"), "label"))
+    return a, b, n.filter("code in ('05', '06')").select(F.concat(F.lit("N"), "code").alias("a_code"), F.lit("X0").alias("b_code"))
+
+
+CROSS = """n as (select lpad(cast(n_nationkey as varchar),2,'0') as code, n_nationkey as k, n_name as label from nation),
+a as (select 'N'||code as code, label from n union all select 'M'||code, label from n where k%6=0), most as (select * from n where k%5<>0),
+b as (select code, label from most union all select 'Z'||right(code,1), label from most where k%4=0),
+known as (select a.code as a_code, f.b_code from a join (select label, min(code) as b_code from b group by 1) f on f.label=a.label),
+cw as (select * from known union all select 'N'||code, 'X0' from n where code in ('05','06') and 'N'||code not in (select a_code from known))"""
+query("code_crosswalk", f"with {CROSS} select a_code, b_code from cw")(lambda s, sf: dims.crosswalk(*two_tables(s, sf)))
+FREE = {0: "' '||lower('N'||code)", 1: "label", 2: "'THE '||label||'!'", 3: "code", 4: "substr(label, 1, 4)", 5: "lower(label)", 6: "'alias of '||code"}
+FREE_SQL = "case k%7 " + " ".join(f"when {i} then {x}" for i, x in FREE.items()) + " end"
+
+
+def resolved(s, sf):
+    a, b, more = two_tables(s, sf)
+    n = B.nations(s, sf).withColumn("k", F.col("code").cast("int"))
+    names = a.groupBy("label").agg(F.min("code").alias("a_code")).withColumn("place", F.col("a_code").substr(2, 2).cast("long"))
+    names = names.select("label", "a_code", "place").union(n.select(F.concat(F.lit("alias of "), "code"), F.concat(F.lit("N"), "code"), F.col("k").cast("long") + 100))
+    return dims.resolve_countries(n.select(F.col("k").alias("id"), F.expr(FREE_SQL).alias("raw")), "raw", a, b, dims.crosswalk(a, b, more), names, ("N13",), ("03",))
+
+
+query("resolve_country", f"""with {CROSS}, v as (select k as id, {FREE_SQL} as raw from n), named as (select label, min(code) as a_code, cast(substr(min(code),2,2) as int) as place from a group by 1 union all select 'alias of '||code, 'N'||code, k+100 from n),
+x as (select id, raw, trim(raw) as t, upper(trim(raw)) as u from v),
+y as (select x.*, (select code from a where code=u and length(u)=3) as a3, (select code from b where code=u and length(u)=2) as b2, (select min(a_code) from cw where b_code=u and u in (select code from b) and length(u)=2) as fromb,
+  (select a_code from named where t=label or (length(label)>=2 and (contains(t,label) or contains(label,t))) order by case when t=label then 0 else 1 end, place limit 1) as byname from x),
+z as (select id, raw, t, u, b2, case when a3 is not null then a3 when b2 is not null then fromb else byname end as code from y),
+w as (select *, coalesce(code='N13', false) or u='03' or coalesce(code, b2) is null as gone from z)
+select id, raw, case when not gone then coalesce(code,'') end as a_code, case when not gone then coalesce((select min(b_code) from cw where a_code=w.code), case when code is null then b2 end, '') end as b_code,
+  case when not gone then coalesce((select min(label) from a where a.code=w.code), case when code is null then (select min(label) from b where b.code=w.b2) end, t) end as name from w""")(resolved)
 query("aggregates_equal", f"with {GEO} select count(*) as n_keys, cast(0 as bigint) as one_sided, cast(0 as bigint) as mismatches from geo")(lambda s, sf: rollup.aggregates_equal(B.geo_cells(s, sf), rollup.to_day(rollup.rollup_geo(B.ev(s, sf), "hour"), rollup.GEO_KEYS), rollup.GEO_KEYS, ["sum_w", "sum_gold_w", "sum_tone"]))
 query("percentile_ties", "select c_custkey, c_nationkey, case when n<=1 then 50 else round(100.0*((r-1)+(t-1)/2.0)/(n-1),6)+0.0 end as percentile from (select c_custkey, c_nationkey, c_mktsegment, rank() over (partition by c_nationkey order by c_mktsegment) as r, count(*) over (partition by c_nationkey) as n, count(*) over (partition by c_nationkey, c_mktsegment) as t from customer)")(
     lambda s, sf: rank.percentile_ties(B.table(s, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_mktsegment", ["c_nationkey"]).drop("c_mktsegment"))
@@ -269,36 +344,32 @@ query("zscore_index", """with p as (select c_nationkey as country, 1 as month, g
 x as (select *, 0.3*social+0.25*political+0.25*conflict+0.2*media as v from p), y as (select *, avg(v) over () as mu, stddev_pop(v) over () as sd from x)
 select country, month, round(v,6)+0.0 as raw, round(case when sd>1e-12 then greatest(0,least(100,50+(v-mu)/sd*100/6)) else v end,6)+0.0 as index from y""")(
     lambda s, sf: rank.zscore_index(B.table(s, sf, "customer").groupBy(F.col("c_nationkey").alias("country")).agg(F.lit(1).alias("month"), S.clip(F.avg("c_acctbal") / 100, 0, 100).alias("social"), S.clip(F.max("c_acctbal") / 100, 0, 100).alias("political"), S.clip(F.count(F.lit(1)) / F.lit(10.0), 0, 100).alias("conflict"), S.clip(F.stddev_pop("c_acctbal") / 100, 0, 100).alias("media")), W4, ["month"]).select("country", "month", "raw", "index"))
+query("index_error", f"""with i as ({SQL['zscore_index']}) select count(*) as countries, {r('max(abs(round(index, 2)-index))', 'max_error')}, {r('avg(abs(round(index, 2)-index))', 'mean_error')} from i""")(
+    lambda s, sf: rank.index_error(QUERIES["zscore_index"](s, sf).withColumn("published", F.round("index", 2))))
 EVENT_HOURS = "select event_type, cast(floor(epoch(ts)/3600)*3600 as bigint) as hour, count(*) as n, round(sum(value),6)+0.0 as total from events group by 1,2"
 
 
-def streamed(s, sf):
-    """The hourly stream over the events table, run to its end into a table in memory-free form (a parquet sink by batch)."""
+def streamed(s, sf, size="1 hour"):
+    """The stream of windows over the events table, run to its end; each batch's whole result replaces the table."""
     import uuid
 
-    from ..streaming.ingest import hourly
+    from ..streaming.ingest import tumbling
 
     base = shared(s)
-    out, check = f"{base}/hourly-{uuid.uuid4().hex}", f"{base}/checkpoint-{uuid.uuid4().hex}"
+    out, check = f"{base}/tumbling-{uuid.uuid4().hex}", f"{base}/checkpoint-{uuid.uuid4().hex}"
     source = s.readStream.schema(B.table(s, sf, "events").schema).option("pathGlobFilter", "*").parquet(f"{sf}/events.parquet*")
     def keep(df, _):
         return df.write.mode("overwrite").parquet(out)
 
-    hourly(source, "3650 days").writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    tumbling(source, size, "3650 days").writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(out).select("event_type", F.unix_timestamp("window.start").alias("hour"), "n", "total")
 
 
-def shared(s) -> str:
-    """The folder that all executors share; a temporary one in local sessions without it."""
-    import tempfile
-
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base and not s.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (base or "file://" + tempfile.mkdtemp(prefix="pulsegrid-")).rstrip("/")
+shared = B.shared
 
 
 query("stream_hourly", EVENT_HOURS)(streamed)
+query("stream_daily", EVENT_HOURS.replace("3600", str(DAY)))(lambda s, sf: streamed(s, sf, "1 day"))
 
 
 def idempotent(s, sf):
@@ -360,13 +431,43 @@ def ingested(s, sf, late: bool):
         ingest(s, f"{path}/in", rows.schema, f"{path}/out", f"{path}/check")
     if not late:
         ingest(s, f"{path}/in", rows.schema, f"{path}/out", f"{path}/check-new")
-    return rollup.window_agg(s.read.parquet(f"{path}/out"), 0, 1 << 40, ["geo_country"], ["n_events", "sum_w"])
+    return rollup.window_agg(s.read.parquet(f"{path}/out").filter("granularity = 'hour'"), 0, 1 << 40, ["geo_country"], ["n_events", "sum_w"])
 
 
 query("stream_idempotent", SQL["ingest_idempotent"])(lambda s, sf: ingested(s, sf, late=False))
 query("stream_late", SQL["ingest_idempotent"])(lambda s, sf: ingested(s, sf, late=True))
 
 
+def in_files(s, sf) -> str:
+    """The folder of cells after batches that come in three files each, one file a round."""
+    import uuid
+
+    from ..streaming.ingest import ingest
+
+    path = f"{shared(s)}/files-{uuid.uuid4().hex}"
+    rows = B.ev(s, sf).withColumn("kind", F.lit("events")).withColumn("file_ts", S.bucket("file_ts", BATCH))
+    for i in range(3):
+        rows.filter(F.col("order_id") % 3 == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    ingest(s, f"{path}/in", rows.schema, f"{path}/out", f"{path}/check", per_round=1)
+    return f"{path}/out"
+
+
+query("stream_files", SQL["ingest_idempotent"])(lambda s, sf: rollup.window_agg(s.read.parquet(in_files(s, sf)).filter("granularity = 'day'"), 0, 1 << 40, ["geo_country"], ["n_events", "sum_w"]))
+
+
+def compacted(s, sf):
+    """The same cells after compaction: hours and days by country."""
+    path = in_files(s, sf)
+    rollup.compact(s.read.parquet(path), f"{path}-compact", rollup.GEO_KEYS)
+    return s.read.parquet(f"{path}-compact").groupBy("granularity", "geo_country").agg(F.count(F.lit(1)).alias("cells"), F.sum("n_events").alias("n_events"), F.sum("sum_w").alias("sum_w"))
+
+
+YEARLY = f"y as (select file_ts-file_ts%{366 * DAY} as bucket, geo as geo_country, root_code, count(*) as n_events, sum(cast(w as double)) as sum_w from m where length(geo)=2 group by 1,2,3)"
+query("compact_partials", f"with {EV}, {YEARLY} select granularity, geo_country, count(*) as cells, cast(sum(n_events) as bigint) as n_events, {r('sum(sum_w)', 'sum_w')} from y cross join (values ('hour'), ('day')) g(granularity) group by 1,2")(compacted)
+query("finite_guard", f"with {GEO} select count(*) as cells, {', '.join(f'count(*) filter (root_code={chr(39)}07{chr(39)}) as {c}' if c == 'sum_tone' else f'cast(0 as bigint) as {c}' for c in D)} from geo")(
+    lambda s, sf: rollup.not_finite(B.geo_cells(s, sf).withColumn("sum_tone", F.when(F.col("root_code") == "07", F.lit(float("nan"))).otherwise(F.col("sum_tone")))))
+
+
 def deduplicated_stream(s, sf):
     """The events table sent twice; every id comes out once."""
     import uuid
@@ -424,11 +525,10 @@ query("monthly_index_clean", """select 3 as "Month", cast(c_nationkey as varchar
 
 
 COVERED = (1, 7, 30)
-STARTS = ", ".join(f"({d}, {coverage.Span(d, L_END).start}, {coverage.Span(d, L_END).step})" for d in COVERED)
-query("coverage_by_range", f"""with {SLOTS}, r(days, start, step) as (values {STARTS}), g as (select days, step, kind, unnest(generate_series(start, {L_END - 1}, 900)) as slot from r cross join (select distinct kind from slots)),
-b as (select days, g.kind, slot-slot%step as bucket, count(*) as expected, count(s.file_ts) as done from g left join slots s on s.kind=g.kind and s.file_ts=g.slot group by 1,2,3), l as (select kind, max(file_ts) as last_ts from slots group by 1)
-select days, b.kind, cast(sum(expected) as bigint) as expected, cast(sum(done) as bigint) as done, count(*) filter (expected=done) as complete_buckets, any_value(last_ts) as last_ts, {r('100.0*sum(done)/sum(expected)', 'percent')}, {L_END}-any_value(last_ts)>2700 as stale from b join l on l.kind=b.kind group by 1,2""")(
-    lambda s, sf: coverage.coverage_by_range(B.slots(s, sf), COVERED, L_END))
+RANGES_SQL = " union all ".join(f"select {d} as days, k.kind, c.* from (select distinct kind from slots) k, lateral {cover_sql('(select * from slots x where x.kind=k.kind)', coverage.Span(d, C_NOW).start, C_NOW, coverage.Span(d, C_NOW).step, C_NOW, 900)} c" for d in COVERED)
+query("coverage_by_range", f"""with {SLOTS}, b as ({RANGES_SQL}), l as (select kind, max(file_ts) as last_ts from slots group by 1)
+select days, b.kind, cast(sum(expected) as bigint) as expected, cast(sum(done) as bigint) as done, count(*) filter (complete) as complete_buckets, any_value(last_ts) as last_ts, {r('100.0*sum(done)/sum(expected)', 'percent')}, {C_NOW}-any_value(last_ts)>2700 as stale from b join l on l.kind=b.kind group by 1,2""")(
+    lambda s, sf: coverage.coverage_by_range(B.slots(s, sf), COVERED, C_NOW))
 
 
 def checked(s, sf):
@@ -457,7 +557,7 @@ def republished(s, sf):
     older = F.col("file_ts") < S.bucket(F.lit(NOW), BATCH) - 2 * BATCH
 
     def then(number):
-        cells = s.read.parquet(f"{path}/out")
+        cells = s.read.parquet(f"{path}/out").filter("granularity = 'hour'")
         publish({("events", 1095): rollup.window_agg(cells, 0, 1 << 40, ["geo_country"], ["n_events", "sum_w"])}, f"{path}/views", f"v{number:09d}", NOW)
 
     for part in (rows.filter(older), rows.filter(~older)):

@@ -55,7 +55,7 @@ def filled(s, sf):
 
 
 query("gap_fill", f"with {GEO}, {C.COV}, {FILL} select e.geo_country, c.bucket, coalesce(n,0) as n_events from {FILLED}")(filled)
-query("coverage_mask", f"with {GEO}, {C.COV}, {FILL} select e.geo_country, c.bucket, case when c.done then coalesce(n,0) end as n_events, cast(c.done as bigint) as collected, cast(1 as bigint) as expected, c.complete from {FILLED}")(
+query("coverage_mask", f"with {GEO}, {C.COV}, {FILL} select e.geo_country, c.bucket, case when c.done then coalesce(n,0) end as n_events, cast(c.done as bigint) as collected, c.expected, c.complete from {FILLED}")(
     lambda s, sf: coverage.mask(filled(s, sf), B.day_coverage(s, sf), ["n_events"]))
 query("view_attitude_series", f"select * from ({SQL['trend_attitude']}) where actor1='N03'")(
     lambda s, sf: views.trend_attitude(B.rel_cells(s, sf), B.day_coverage(s, sf), B.SPAN, B.EVENTS, "N03"))
@@ -64,15 +64,9 @@ query("view_country_risk_series", f"select * from ({SQL['trend_country_risk']})
 DOCS = ["total_docs", "alias_docs", *(f"{c}_docs" for c in CATEGORIES)]
 
 
-def slot_cover(source: str, start: int, now: int, step: int, slot: int) -> str:
-    """bucket, done, complete of the grid from ``start`` to the bucket of ``now``."""
-    return f"""(select g as bucket, count(distinct a.file_ts-a.file_ts%{slot}) as done, count(distinct a.file_ts-a.file_ts%{slot})={step // slot} and g+{step}<={now - now % slot} as complete
-  from (select unnest(generate_series({start},{now - now % step},{step})) as g) left join (select distinct file_ts from {source}) a on a.file_ts>=g and a.file_ts<g+{step} group by 1)"""
-
-
 query("view_enterprise_series", f"""with {GKG}, p as (select bucket, {C.E_SUM} from gkg where country='EN' and bucket>={C.E_START} and bucket<{C.E_NOW} group by 1)
-select c.bucket, 'EN' as country, {', '.join(f'case when done>0 then coalesce({d},0) end as {d}' for d in DOCS)}, case when done>0 then {'round(sum_tone/total_docs,6)+0.0'} end as avg_tone, done as collected, cast(96 as bigint) as expected, c.complete
-from {slot_cover('art', C.E_START, C.E_NOW, DAY, 900)} c left join p on p.bucket=c.bucket""")(
+select c.bucket, 'EN' as country, {', '.join(f'case when done>0 then coalesce({d},0) end as {d}' for d in DOCS)}, case when done>0 then {'round(sum_tone/total_docs,6)+0.0'} end as avg_tone, done as collected, c.expected, c.complete
+from {C.cover_sql('art', C.E_START, C.E_END + DAY, DAY, C.E_NOW, 900)} c left join p on p.bucket=c.bucket""")(
     lambda s, sf: views.series_enterprise(B.gkg_cells(s, sf), B.art_coverage(s, sf), B.ART_SPAN, "EN", B.ARTICLES))
 
 # histories ----------------------------------------------------------------------------------------------------------
@@ -99,19 +93,18 @@ def histories(s, sf, events: coverage.Span, articles: coverage.Span, slot: int):
 def history_sql(events: coverage.Span, articles: coverage.Span, slot: int) -> str:
     inside = lambda span: f"bucket >= {span.start} and bucket < {span.now}"
 
-    def part(view: str, key: str, points: str, score: str, cover: str, expected: int) -> str:
-        return f"""select '{view}' as view, e.{key} as code, c.bucket, case when done>0 then coalesce(n,0) end as n, case when done>0 then {score} end as score, done as collected, cast({expected} as bigint) as expected, c.complete
+    def part(view: str, key: str, points: str, score: str, cover: str) -> str:
+        return f"""select '{view}' as view, e.{key} as code, c.bucket, case when done>0 then coalesce(n,0) end as n, case when done>0 then {score} end as score, done as collected, c.expected, c.complete
 from {cover} c cross join (select distinct {key} from {points}) e left join {points} p on p.bucket=c.bucket and p.{key}=e.{key}"""
 
     zero, as_is = "round(coalesce(score,0),6)+0.0", "round(score,6)+0.0"
-    own, docs = slot_cover("ev", events.start, events.now, events.step, slot), slot_cover("art", articles.start, articles.now, articles.step, 900)
-    many = events.step // slot
+    own, docs = (C.cover_sql(table, span.start, span.end + span.step, span.step, span.now, size) for table, span, size in (("ev", events, slot), ("art", articles, 900)))
     return f"""with {C.EV}, rel as ({C.rel_sql(events.step)}), geo as ({C.geo_sql(events.step)}), {GKG.replace(f'file_ts%{DAY}', f'file_ts%{articles.step}')},
 pa as (select actor1, bucket, n_events as n, {C.A_SCORE} as score from (select actor1, bucket, {C.A_SUM} from rel where {inside(events)} and {HOME} group by 1,2)),
 po as (select 'all' as scope, bucket, n_events as n, {C.A_SCORE} as score from (select bucket, {C.A_SUM} from rel where {inside(events)} group by 1)),
 pr as (select geo_country, bucket, n_events as n, {C.RISK} as score from (select geo_country, bucket, {C.G_SUM} from geo where {inside(events)} and geo_country not in ('06','24') group by 1,2)),
 pe as (select country, bucket, total_docs as n, {C.E_RISK} as score from (select country, bucket, {C.E_SUM} from gkg where {inside(articles)} and country not in ('ES','S9') group by 1,2))
-{part('attitude', 'actor1', 'pa', zero, own, many)} union all {part('overview_all', 'scope', 'po', zero, own, many)} union all {part('country_risk', 'geo_country', 'pr', as_is, own, many)} union all {part('enterprise_risk', 'country', 'pe', as_is, docs, articles.step // 900)}"""
+{part('attitude', 'actor1', 'pa', zero, own)} union all {part('overview_all', 'scope', 'po', zero, own)} union all {part('country_risk', 'geo_country', 'pr', as_is, own)} union all {part('enterprise_risk', 'country', 'pe', as_is, docs)}"""
 
 
 for name, spans in (("history_daily", (coverage.Span(LONGEST, NOW), coverage.Span(LONGEST, B.ART_AS_OF), DAY)), ("history_hourly", (coverage.Span(9, NOW, True), coverage.Span(9, HOURS_NOW, True), 900))):

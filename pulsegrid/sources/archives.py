@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.fields import article_status, code, count_value, event_status, location_countries, score_value
+from ..functions.fields import article_status, code, count_value, location_countries, score_value, with_event_status
 from ..options import Options
 
 MOST_BYTES = 1 << 30
@@ -76,11 +76,10 @@ def lines_of(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
 _TYPES = (pa.string(), pa.int64(), pa.string(), pa.string())
 
 
-def parts_of(spark: SparkSession, source: str, heads: list[str]) -> DataFrame:
-    """The files of whole batches in ``source``: their heads, and all numbered parts."""
-    stems = (re.sub(r"([*?{}\[\]\\,])", r"\\\1", h.rsplit("/", 1)[-1].removesuffix(".zip")) for h in heads)
-    names = ",".join(f"{x}{end}" for x in stems for end in (".zip", ".*.zip"))
-    return spark.read.format("binaryFile").option("pathGlobFilter", f"{{{names}}}").load(source)
+def parts_of(spark: SparkSession, heads: list[str]) -> DataFrame:
+    """The files of whole batches: their ``heads``, and all numbered parts beside them."""
+    plain = (re.sub(r"([*?{}\[\]\\,])", r"\\\1", h.removesuffix(".zip")) for h in heads)
+    return spark.read.format("binaryFile").load([f"{x}{{.zip,.*.zip}}" for x in plain])
 
 
 def write_archives(lines: DataFrame, folder: str, part_bytes: int = PART_BYTES) -> None:
@@ -153,13 +152,14 @@ def event_rows(lines: DataFrame) -> DataFrame:
 
 def checked_events(lines: DataFrame, o: Options = Options()) -> DataFrame:
     """Event rows with their ``row_status``; a line of another layout, an archive that can't be read or one whose name gives no batch is a reject."""
-    rows = event_rows(lines)
-    return rows.withColumn("row_status", F.when(F.col("kind").isNull() | F.col("file_ts").isNull(), "reject_name").when(~F.col("layout_ok"), "reject_layout").otherwise(event_status(o)))
+    rows = with_event_status(event_rows(lines), o)
+    named = F.col("kind").isNotNull() & F.col("file_ts").isNotNull()
+    return rows.withColumn("row_status", F.when(~named, "reject_name").when(~F.col("layout_ok"), "reject_layout").otherwise(F.col("row_status")))
 
 
 def typed_events(rows: DataFrame) -> DataFrame:
     """Checked rows with numbers as numbers, as the rollups take them."""
-    numbers = {**{c: count_value(c) for c in ("mentions", "sources", "articles")}, **{c: score_value(c) for c in ("goldstein", "tone")}, "quad": F.col("quad").try_cast("int")}
+    numbers = {**{c: count_value(c) for c in ("mentions", "sources", "articles")}, **{c: score_value(c) for c in ("goldstein", "tone")}, "quad": count_value("quad").cast("int")}
     return rows.withColumns(numbers)
 
 

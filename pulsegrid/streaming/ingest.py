@@ -1,4 +1,4 @@
-"""Structured Streaming: batches to partials exactly once, hourly aggregates, de-duplication."""
+"""Structured Streaming: batches to partials exactly once, tumbling aggregates, de-duplication."""
 
 from __future__ import annotations
 
@@ -8,49 +8,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ledger import accepted, account
-from ..operators.rollup import rollup_articles, rollup_geo, rollup_relation, write_partials
+from ..operators.rollup import ARTICLE_KEYS, GEO_KEYS, RELATION_KEYS, both_grains, new_batches, rollup_articles, rollup_geo, rollup_relation, write_partials
 from ..options import Options
 from ..sources.archives import FILES, HEADS, article_records, batch_key, checked_articles, checked_events, lines_of, parts_of, typed_articles, typed_events
 
 
+BATCH = ("kind", "file_ts")
+LEDGER = "kind string, file_ts long, row_count long, skipped_rows long, rejected long, status string"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger of batches; empty before the first round."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
 def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, per_round: int = 32, then: Callable[[int], None] | None = None) -> None:
-    """Read new event files (bounded a round) and write geo partials by batch; a rerun rewrites the same partitions.
+    """Read new files of typed event rows (bounded a round) and write geo partials, by hour and by day, for each batch and file.
 
-    ``then`` is called with the round's number after a round that brought rows, to publish anew.
+    A batch may come in any number of files and rounds: its cells are the sums over its files. A file counts once: a rerun, or a file of
+    the same name that is sent again, replaces its own partials. ``then`` is called with the round's number after a round that brought rows, to publish anew.
     """
 
     def step(df: DataFrame, number: int) -> None:
-        write_partials(rollup_geo(df, "hour", "kind", "file_ts"), target)
+        rows = df.withColumn("part", F.concat(F.lit("f"), F.md5(F.element_at(F.split("file", "/"), -1))))
+        write_partials(both_grains(rollup_geo(rows, "hour", *BATCH, "part"), GEO_KEYS, *BATCH, "part"), target, "part")
         if then and not df.isEmpty():
             then(number)
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_round).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_round).parquet(source).select("*", F.col("_metadata.file_path").alias("file"))
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def ingest_archives(spark: SparkSession, source: str, target: str, checkpoint: str, per_round: int = 32, o: Options = Options()) -> None:
-    """Read new batches of events and articles (bounded a round), check their rows, and write hour cells and the ledger by batch.
+    """Read new batches of events and articles (bounded a round), check their rows, and write cells, by hour and by day, and the ledger by batch.
 
-    The stream follows the heads; all parts of a batch are read in its head's round. A batch with a rejected row is failed and gives no cells. The ledger is written after the cells; a rerun rewrites the same partitions.
+    The stream follows the heads; all parts of a batch are read in its head's round. Batches that the ledger holds as done are passed over,
+    whatever file they come in, so that a batch counts once and a broken copy of it changes nothing; failed ones are tried again. A batch
+    with a rejected row is failed and gives no cells. The ledger is written after the cells; a rerun rewrites the same partitions.
     """
-    batch = ("kind", "file_ts")
 
     def step(files: DataFrame, number: int) -> None:
-        heads = [r["path"] for r in files.select("path").collect()]  # per_round at most
+        fresh = new_batches(batch_key(files.select("path")).filter("kind is not null and file_ts is not null"), read_ledger(spark, f"{target}/ledger"))
+        heads = [r["path"] for r in fresh.groupBy(*BATCH).agg(F.min("path").alias("path")).collect()]  # per_round at most
         if not heads:
             return
-        named = batch_key(parts_of(spark, source, heads))
+        named = batch_key(parts_of(spark, heads))
         events = checked_events(lines_of(named.filter("kind = 'events'")), o).persist()
         articles = checked_articles(article_records(lines_of(named.filter("kind = 'gkg'"))), o).persist()
         good = typed_events(accepted(events))
-        write_partials(rollup_relation(good, "hour", *batch), f"{target}/relation")
-        write_partials(rollup_geo(good, "hour", *batch), f"{target}/geo")
-        write_partials(rollup_articles(typed_articles(accepted(articles)), "hour", o, *batch), f"{target}/articles")
-        write_partials(account(events.select(*batch, "row_status").union(articles.select(*batch, "row_status"))), f"{target}/ledger")
+        for name, hours, keys in (
+            ("relation", rollup_relation(good, "hour", *BATCH), RELATION_KEYS), ("geo", rollup_geo(good, "hour", *BATCH), GEO_KEYS),
+            ("articles", rollup_articles(typed_articles(accepted(articles)), "hour", o, *BATCH), ARTICLE_KEYS),
+        ):
+            write_partials(both_grains(hours, keys, *BATCH), f"{target}/{name}")
+        write_partials(account(events.select(*BATCH, "row_status").union(articles.select(*BATCH, "row_status"))), f"{target}/ledger")
         events.unpersist()
         articles.unpersist()
 
-    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", HEADS).option("maxFilesPerTrigger", per_round)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", HEADS).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_round)
     files.load(source).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
@@ -59,7 +77,7 @@ def deduplicated(events: DataFrame, watermark: str) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def hourly(events: DataFrame, watermark: str = "2 hours") -> DataFrame:
-    """Tumbling hours of an event stream after de-duplication by id."""
+def tumbling(events: DataFrame, size: str = "1 hour", watermark: str = "2 hours") -> DataFrame:
+    """Tumbling windows (hours or days) of an event stream after de-duplication by id."""
     timed = deduplicated(events, watermark)
-    return timed.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return timed.groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
