@@ -119,12 +119,14 @@ query("view_attitude", f"with {REL}, {ATT} select * from att")(lambda s, sf: vie
 HORIZON = NOW - NOW % DAY
 COV = f"""days as (select distinct file_ts-file_ts%{DAY} as bucket from ev),
 cov as (select g as bucket, d.bucket is not null as done, cast(case when g<{HORIZON} then 1 else 0 end as bigint) as expected, d.bucket is not null and g+{DAY} <= {HORIZON} as complete from (select unnest(generate_series({START - 31 * DAY},{END},{DAY})) as g) left join days d on d.bucket=g and d.bucket<{HORIZON})"""
-query("trend_attitude", f"""with {REL}, {COV}, p as (select actor1, bucket, n_events, sum_mentions, {A_SCORE} as attitude_score, 10*tone/n_events as avg_tone from (select actor1, bucket, {A_SUM} from rel where {WIN} and {HOME} group by 1,2))
-select c.bucket, e.actor1, case when c.done then coalesce(n_events,0) end as n_events, case when c.done then coalesce(sum_mentions,0) end as sum_mentions, case when c.done then {'round(coalesce(attitude_score,0),6)+0.0'} end as attitude_score,
-case when c.done then round(coalesce(avg_tone,0),6)+0.0 end as avg_tone, cast(c.done as bigint) as collected, c.expected, c.complete
+POINT = f"n_events, sum_mentions, {A_SCORE} as attitude_score, 10*gold/n_events as avg_goldstein, 10*tone/n_events as avg_tone"
+SHOWN = "case when c.done then coalesce(n_events,0) end as n_events, case when c.done then coalesce(sum_mentions,0) end as sum_mentions, " + ", ".join(f"case when c.done then round({x},6)+0.0 end as {x}" for x in ("attitude_score", "avg_goldstein", "avg_tone")) + ", cast(c.done as bigint) as collected, c.expected, c.complete"
+query("trend_attitude", f"""with {REL}, {COV}, p as (select actor1, bucket, {POINT} from (select actor1, bucket, {A_SUM} from rel where {WIN} and {HOME} group by 1,2))
+select c.bucket, e.actor1, {SHOWN}
 from (select * from cov where bucket>={START}) c cross join (select distinct actor1 from p) e left join p on p.bucket=c.bucket and p.actor1=e.actor1""")(lambda s, sf: views.trend_attitude(B.rel_cells(s, sf), B.day_coverage(s, sf), B.SPAN, B.EVENTS))
-query("trend_global", f"""with {REL}, {COV}, p as (select bucket, n_events, {A_SCORE} as attitude_score from (select bucket, {A_SUM} from rel where {WIN} group by 1))
-select c.bucket, 'all' as scope, case when c.done then coalesce(n_events,0) end as n_events, case when c.done then round(coalesce(attitude_score,0),6)+0.0 end as attitude_score, cast(c.done as bigint) as collected, c.expected, c.complete
+TOWARDS = "actor2='N06' and actor1<>'N06'"
+query("trend_global", f"""with {REL}, {COV}, p as (select bucket, {POINT} from (select bucket, {A_SUM} from rel where {WIN} and {TOWARDS} group by 1))
+select c.bucket, 'all' as scope, {SHOWN}
 from (select * from cov where bucket>={START}) c left join p on p.bucket=c.bucket""")(lambda s, sf: views.trend_global(B.rel_cells(s, sf), B.day_coverage(s, sf), B.SPAN, B.EVENTS))
 
 G_SUM = f"cast(sum(n_events) as bigint) as n_events, sum(sum_w) as sw, sum(sum_tone) as tone, sum(n_quad3)+sum(n_quad4) as q34, {MASS}"
@@ -166,8 +168,9 @@ ms as (select geo_country, bucket, sum(cast(complete as int)) over r as fresh, s
   window r as (partition by geo_country order by bucket range between {DAY} preceding and {DAY} preceding), b as (partition by geo_country order by bucket range between {30 * DAY} preceding and {2 * DAY} preceding)),
 mser as (select geo_country, bucket, case when fresh=1 and base is not null then greatest(0,least(100,50+25*(now_n/greatest(base,1)-1))) end as momentum from ms)"""
 query("momentum_series", f"with {GEO}, {COV}, {SERIES} select geo_country, bucket, round(momentum,6)+0.0 as momentum from mser")(lambda s, sf: coverage.momentum_series(views.daily_counts(B.geo_cells(s, sf), coverage.Span(396, NOW), B.EVENTS), B.day_coverage(s, sf, 31), "geo_country"))
-query("trend_country_risk", f"""with {GEO}, {COV}, {SERIES}, p as (select geo_country, bucket, n_events, case when n_events>=20 then {RISK} end as risk_score, {GEV} as evidence, {SUB('sec')} as security, 100.0*q34/n_events as conflict, 10*tone/n_events as avg_tone from (select geo_country, bucket, {G_SUM} from geo where {WIN} and geo_country not in ('06','24') group by 1,2))
-select c.bucket, e.geo_country, case when c.done then coalesce(n_events,0) end as n_events, case when c.done then round(risk_score,6)+0.0 end as risk_score, {', '.join(f'case when c.done then round(coalesce({x},0),6)+0.0 end as {x}' for x in ('evidence', 'security', 'conflict', 'avg_tone'))},
+SECURITY = f"cast(sum(case when root_code in {B.EVENTS.security_roots} then n_events else 0 end) as bigint) as n_sec"
+query("trend_country_risk", f"""with {GEO}, {COV}, {SERIES}, p as (select geo_country, bucket, n_events, n_sec as security, cast(q34 as bigint) as conflict, 10*tone/n_events as avg_tone, case when n_events>=20 then {RISK} end as risk_score, {GEV} as evidence from (select geo_country, bucket, {SECURITY}, {G_SUM} from geo where {WIN} and geo_country not in ('06','24') group by 1,2))
+select c.bucket, e.geo_country, {', '.join(f'case when c.done then coalesce({x},0) end as {x}' for x in ('n_events', 'security', 'conflict'))}, {', '.join(f'case when c.done then round({x},6)+0.0 end as {x}' for x in ('avg_tone', 'risk_score', 'evidence'))},
 case when c.done then mser.momentum is not null end as momentum_available, cast(c.done as bigint) as collected, c.expected, c.complete
 from (select * from cov where bucket>={START}) c cross join (select distinct geo_country from p) e left join p on p.bucket=c.bucket and p.geo_country=e.geo_country left join mser on mser.bucket=c.bucket and mser.geo_country=e.geo_country""")(
     risk_trend)
@@ -183,17 +186,52 @@ ENT = f"""ent as (select country, total_docs, alias_docs, {r(E_EV, 'evidence')},
 {r('sum_tone/total_docs', 'avg_tone')}, {r('sum_polarity/total_docs', 'avg_polarity')}, cast(row_number() over (order by round({E_RISK},1) desc, country) as int) as rank from (select country, {E_SUM} from gkg where {E_WHERE} group by 1) where total_docs>=20)"""
 query("view_enterprise_risk", f"with {GKG}, {ENT} select * from ent")(lambda s, sf: views.enterprise_risk(B.gkg_cells(s, sf), B.ART_SPAN, B.ARTICLES))
 query("trend_enterprise", f"""with {GKG}, acov as (select * from {cover_sql('art', E_START, E_END + DAY, DAY, E_NOW, 900)}),
-p as (select country, bucket, total_docs, case when total_docs>=20 then {E_RISK} end as risk_score, 100.0*modeled_docs/total_docs as joint_coverage, sum_tone/total_docs as avg_tone from (select country, bucket, {E_SUM} from gkg where {E_WHERE} group by 1,2))
-select c.bucket, e.country, case when done>0 then coalesce(total_docs,0) end as total_docs, case when done>0 then round(risk_score,6)+0.0 end as risk_score, case when done>0 then round(coalesce(joint_coverage,0),6)+0.0 end as joint_coverage, case when done>0 then round(coalesce(avg_tone,0),6)+0.0 end as avg_tone,
+p as (select country, bucket, total_docs, alias_docs, {', '.join(f'{c}_docs' for c in CATEGORIES)}, sum_tone/total_docs as avg_tone, case when total_docs>=20 then {E_RISK} end as risk_score, case when total_docs>=20 then {E_EV} end as evidence, 100.0*modeled_docs/total_docs as joint_coverage from (select country, bucket, {E_SUM} from gkg where {E_WHERE} group by 1,2))
+select c.bucket, e.country, {', '.join(f'case when done>0 then coalesce({x},0) end as {x}' for x in ('total_docs', 'alias_docs', *(f'{c}_docs' for c in CATEGORIES)))}, {', '.join(f'case when done>0 then round({x},6)+0.0 end as {x}' for x in ('avg_tone', 'risk_score', 'evidence', 'joint_coverage'))},
 done as collected, expected, complete
 from acov c cross join (select distinct country from p) e left join p on p.bucket=c.bucket and p.country=e.country""")(lambda s, sf: views.trend_enterprise(B.gkg_cells(s, sf), B.art_coverage(s, sf), B.ART_SPAN, B.ARTICLES))
 query("view_brief", f"with {REL}, geo as ({geo_sql()}), {COV}, {CR}, {ATT}, {GKG}, {ENT}, crr as (select geo_country, round(risk_score,6)+0.0 as risk_score, cast(row_number() over (order by round(risk_score,1) desc, geo_country) as int) as rank from cr) select * from (select 'attitude' as section, actor1 as code, attitude_score as score, rank from att union all select 'country_risk', geo_country, risk_score, rank from crr union all select 'enterprise_risk', country, risk_score, rank from ent) where rank<=8")(
     lambda s, sf: views.brief(views.attitude(B.rel_cells(s, sf), B.SPAN, B.EVENTS), country_risk(s, sf), views.enterprise_risk(B.gkg_cells(s, sf), B.ART_SPAN, B.ARTICLES)))
-for name, country, where, partner in (("view_overview_home", None, "actor2='N06' and actor1<>'N06'", "actor1"), ("view_overview_partner", "N03", "actor1='N03' and actor2<>'N03'", "actor2")):
-    query(name, f"with {REL} select n_events, sum_mentions, partners, {r('10*absg', 'impact')}, {r(EVID('n_events'), 'evidence')}, {r(A_SCORE, 'attitude_score')}, {r('10*gold/n_events', 'avg_goldstein')}, {r('10*tone/n_events', 'avg_tone')}, {r('100.0*q34/n_events', 'conflict_share')} from (select {A_SUM}, count(distinct {partner}) as partners, sum(sum_absgold_w) as absg from rel where {WIN} and {where})")(
+OVER = (("home", None, TOWARDS, "actor1"), ("partner", "N03", "actor1='N03' and actor2<>'N03'", "actor2"))
+C34 = "cast(q34 as bigint) as conflict_count"
+PART = f"n_events, sum_mentions, {r('10*gold/n_events', 'avg_goldstein')}, {r('10*tone/n_events', 'avg_tone')}, {C34}, {r('100.0*q34/n_events', 'conflict_share')}, cast(row_number() over (order by n_events desc, code) as int) as rank"
+
+
+def over_parts(s, sf, country):
+    """Partners, root codes and quad classes of an overview, under one shape."""
+    rel = B.rel_cells(s, sf)
+    parts = views.overview_parts(rel, B.day_coverage(s, sf), B.SPAN, B.EVENTS, country)
+    quads = parts["quad_classes"].select(F.col("quad").cast("string").alias("code"), "n_events")
+    out = None
+    for k in ("countries", "event_roots"):
+        part = parts[k].withColumn("section", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out.unionByName(quads.withColumn("section", F.lit("quad_classes")), allowMissingColumns=True)
+
+
+for name, country, where, partner in OVER:
+    query(f"view_overview_{name}", f"with {REL} select n_events, sum_mentions, sum_sources, sum_articles, partners, {r('10*absg', 'impact')}, {r(EVID('n_events'), 'evidence')}, {r(A_SCORE, 'attitude_score')}, {r('10*gold/n_events', 'avg_goldstein')}, {r('10*tone/n_events', 'avg_tone')}, {r('100.0*q34/n_events', 'conflict_share')} from (select {A_SUM}, cast(sum(sum_sources) as bigint) as sum_sources, cast(sum(sum_articles) as bigint) as sum_articles, count(distinct case when {partner}<>'N24' then {partner} end) as partners, sum(sum_absgold_w) as absg from rel where {WIN} and {where})")(
         lambda s, sf, country=country: views.overview(B.rel_cells(s, sf), B.SPAN, B.EVENTS, country))
-ET = f"et as (select actor1, root_code, cast(sum(n_events) as bigint) as n_events, cast(row_number() over (partition by actor1 order by sum(n_events) desc, root_code) as int) as place from rel where {WIN} group by 1,2)"
-query("event_types_by_country", f"with {REL}, {ET} select * from et")(lambda s, sf: views.event_types(B.rel_cells(s, sf), B.SPAN))
+    query(f"overview_parts_{name}", f"""with {REL} select 'countries' as section, code, {PART} from (select {partner} as code, {A_SUM} from rel where {WIN} and {where} and {partner}<>'N24' group by 1)
+union all select * from (select 'event_roots', code, {PART} from (select root_code as code, {A_SUM} from rel where {WIN} and {where} group by 1)) where rank<=12
+union all {' union all '.join(f"select 'quad_classes', '{i}', cast(coalesce(sum(n_quad{i}),0) as bigint), null, null, null, null, null, null from rel where {WIN} and {where}" for i in (1, 2, 3, 4))}""")(
+        lambda s, sf, country=country: over_parts(s, sf, country))
+    query(f"overview_series_{name}", f"""with {REL}, {COV}, p as (select bucket, {POINT} from (select bucket, {A_SUM} from rel where {WIN} and {where} group by 1)) select c.bucket, 'all' as scope, {SHOWN} from (select * from cov where bucket>={START}) c left join p on p.bucket=c.bucket""")(
+        lambda s, sf, country=country: views.overview_parts(B.rel_cells(s, sf), B.day_coverage(s, sf), B.SPAN, B.EVENTS, country)["series"])
+ET = f"et as (select actor1, root_code, cast(sum(n_events) as bigint) as n_events, {r('10*sum(sum_absgold_w)', 'impact')}, {r('10*sum(sum_gold)/sum(n_events)', 'avg_goldstein')}, cast(row_number() over (partition by actor1 order by sum(n_events) desc, root_code) as int) as place from rel where {WIN} and {TOWARDS} group by 1,2)"
+query("event_types_by_country", f"with {REL}, {ET} select * from et")(lambda s, sf: views.event_types(B.rel_cells(s, sf), B.SPAN, B.EVENTS))
+query("view_brief_focus", f"with {REL}, geo as ({geo_sql()}), {COV}, {CR}, {ATT}, {GKG}, {ENT}, {ET}, crr as (select geo_country, round(risk_score,6)+0.0 as risk_score, cast(row_number() over (order by round(risk_score,1) desc, geo_country) as int) as rank from cr) select 'focus_attitude' as section, actor1 as code, attitude_score as score, rank from att where actor1='N03' union all select 'focus_country_risk', geo_country, risk_score, rank from crr where geo_country='03' union all select 'focus_enterprise_risk', country, risk_score, rank from ent where country='03' union all select 'focus_event_mix', root_code, cast(n_events as double), place from et where actor1='N03' and place<=8")(
+    lambda s, sf: views.focus(views.attitude(B.rel_cells(s, sf), B.SPAN, B.EVENTS), country_risk(s, sf), views.enterprise_risk(B.gkg_cells(s, sf), B.ART_SPAN, B.ARTICLES), views.event_types(B.rel_cells(s, sf), B.SPAN, B.EVENTS), "N03", "03"))
+VERSIONS = {"data_version": 7, "parameter_version": 1, "model_version": "cells-1"}
+COVSUM = f"select cast(sum(expected) as bigint) as expected, cast(sum(cast(done as int)) as bigint) as done, {r('100.0*sum(cast(done as int))/sum(expected)', 'percent')}, count(*) filter (complete) as complete_days, (select max(file_ts) from ev) as last_ts, {NOW}-(select max(file_ts) from ev)>2700 as stale from cov where bucket>={START}"
+
+
+def stamped(s, sf):
+    days = B.ev(s, sf).select(F.lit("events").alias("kind"), "file_ts").distinct()
+    return views.stamped(views.attitude(B.rel_cells(s, sf), B.SPAN, B.EVENTS), coverage.coverage_summary(B.day_coverage(s, sf), days, NOW), VERSIONS)
+
+
+query("view_stamped", f"with {REL}, {COV}, {ATT} select att.*, x.*, 7 as data_version, 1 as parameter_version, 'cells-1' as model_version from att cross join ({COVSUM}) x")(stamped)
 query("top_roots", f"with {REL} select root_code, cast(sum(n_events) as bigint) as n_events from rel where {WIN} group by 1 order by 2 desc, 1 limit 12")(lambda s, sf: rollup.window_agg(B.rel_cells(s, sf), START, NOW, ["root_code"], ["n_events"]).orderBy(F.desc("n_events"), "root_code").limit(12))
 query("topk_slim", f"with {REL}, {ATT} select actor1, attitude_score, rank from att where rank<=8")(lambda s, sf: views.attitude(B.rel_cells(s, sf), B.SPAN, B.EVENTS).filter("rank <= 8").select("actor1", "attitude_score", "rank"))
 query("expand_series", f"with {GEO} select geo_country, bucket, cast(sum(n_events) as bigint) as n_events from geo where {WIN} and geo_country not in ('06','24') group by 1,2")(lambda s, sf: views.expand_series(views.pack_series(views.daily_counts(B.geo_cells(s, sf), B.SPAN, B.EVENTS), "geo_country", ["n_events"]), "geo_country", ["n_events"]))

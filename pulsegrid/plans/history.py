@@ -97,14 +97,14 @@ def history_sql(events: coverage.Span, articles: coverage.Span, slot: int) -> st
         return f"""select '{view}' as view, e.{key} as code, c.bucket, case when done>0 then coalesce(n,0) end as n, case when done>0 then {score} end as score, done as collected, c.expected, c.complete
 from {cover} c cross join (select distinct {key} from {points}) e left join {points} p on p.bucket=c.bucket and p.{key}=e.{key}"""
 
-    zero, as_is = "round(coalesce(score,0),6)+0.0", "round(score,6)+0.0"
+    as_is = "round(score,6)+0.0"
     own, docs = (C.cover_sql(table, span.start, span.end + span.step, span.step, span.now, size) for table, span, size in (("ev", events, slot), ("art", articles, 900)))
     return f"""with {C.EV}, rel as ({C.rel_sql(events.step)}), geo as ({C.geo_sql(events.step)}), {GKG.replace(f'file_ts%{DAY}', f'file_ts%{articles.step}')},
 pa as (select actor1, bucket, n_events as n, {C.A_SCORE} as score from (select actor1, bucket, {C.A_SUM} from rel where {inside(events)} and {HOME} group by 1,2)),
-po as (select 'all' as scope, bucket, n_events as n, {C.A_SCORE} as score from (select bucket, {C.A_SUM} from rel where {inside(events)} group by 1)),
+po as (select 'all' as scope, bucket, n_events as n, {C.A_SCORE} as score from (select bucket, {C.A_SUM} from rel where {inside(events)} and {C.TOWARDS} group by 1)),
 pr as (select geo_country, bucket, n_events as n, {C.RISK} as score from (select geo_country, bucket, {C.G_SUM} from geo where {inside(events)} and geo_country not in ('06','24') group by 1,2)),
 pe as (select country, bucket, total_docs as n, {C.E_RISK} as score from (select country, bucket, {C.E_SUM} from gkg where {inside(articles)} and country not in ('ES','S9') group by 1,2))
-{part('attitude', 'actor1', 'pa', zero, own)} union all {part('overview_all', 'scope', 'po', zero, own)} union all {part('country_risk', 'geo_country', 'pr', as_is, own)} union all {part('enterprise_risk', 'country', 'pe', as_is, docs)}"""
+{part('attitude', 'actor1', 'pa', as_is, own)} union all {part('overview_all', 'scope', 'po', as_is, own)} union all {part('country_risk', 'geo_country', 'pr', as_is, own)} union all {part('enterprise_risk', 'country', 'pe', as_is, docs)}"""
 
 
 for name, spans in (("history_daily", (coverage.Span(LONGEST, NOW), coverage.Span(LONGEST, B.ART_AS_OF), DAY)), ("history_hourly", (coverage.Span(9, NOW, True), coverage.Span(9, HOURS_NOW, True), 900))):

@@ -34,21 +34,31 @@ def only(cells: DataFrame, key: str, country: str | None, points: DataFrame | No
     return cells.filter(F.col(key) == country) if points is None else cells.sparkSession.range(1).select(F.lit(country).alias(key))
 
 
+RELATION_SERIES = ["n_events", "sum_mentions", "attitude_score", "avg_goldstein", "avg_tone"]
+
+
 def trend_attitude(rel: DataFrame, coverage: DataFrame, span: Span, o: Options = Options(), country: str | None = None) -> DataFrame:
+    """Counts and scores by bucket; where there are no events, counts are 0 and scores are null."""
     rel = only(rel, "actor1", country)
-    points = add_attitude(partners(rel, span, o, "actor1", "bucket"), o).select("actor1", "bucket", "n_events", "sum_mentions", "attitude_score", "avg_tone")
-    filled = gap_fill(points, only(rel, "actor1", country, points), "actor1", span, ["n_events", "sum_mentions", "attitude_score", "avg_tone"])
-    return mask(filled, coverage, ["n_events", "sum_mentions", "attitude_score", "avg_tone"])
+    points = add_attitude(partners(rel, span, o, "actor1", "bucket"), o).select("actor1", "bucket", *RELATION_SERIES)
+    return mask(gap_fill(points, only(rel, "actor1", country, points), "actor1", span, RELATION_SERIES[:2]), coverage, RELATION_SERIES)
+
+
+def towards_home(o: Options):
+    return (F.col("actor2") == o.home_actor) & (F.col("actor1") != o.home_actor)
 
 
-def trend_global(rel: DataFrame, coverage: DataFrame, span: Span, o: Options = Options()) -> DataFrame:
-    points = add_attitude(window_agg(rel, span.start, span.now, ["bucket"], ATTITUDE), o).select(F.lit("all").alias("scope"), "bucket", "n_events", "attitude_score")
-    return mask(gap_fill(points, points, "scope", span, ["n_events", "attitude_score"]), coverage, ["n_events", "attitude_score"])
+def trend_global(rel: DataFrame, coverage: DataFrame, span: Span, o: Options = Options(), where=None) -> DataFrame:
+    """The series of everyone towards the home actor, or of other pairs."""
+    sums = window_agg(rel, span.start, span.now, ["bucket"], ATTITUDE, towards_home(o) if where is None else where)
+    points = add_attitude(sums, o).select(F.lit("all").alias("scope"), "bucket", *RELATION_SERIES)
+    one = rel.sparkSession.range(1).select(F.lit("all").alias("scope"))
+    return mask(gap_fill(points, one, "scope", span, RELATION_SERIES[:2]), coverage, RELATION_SERIES)
 
 
 def geo_window(geo: DataFrame, span: Span, o: Options, *keys: str) -> DataFrame:
     where = ~F.col("geo_country").isin(o.home_geo, *o.excluded_geo)
-    return window_agg(geo, span.start, span.now, keys, [*(F.sum(m).cast("double" if m.startswith("sum_w") or m == "sum_tone" else "long").alias(m) for m in GEO), *masses(o)], where)
+    return window_agg(geo, span.start, span.now, keys, [*(F.sum(m).cast("double" if m.startswith("sum_w") or m == "sum_tone" else "long").alias(m) for m in GEO), *masses(o), F.sum(F.when(F.col("root_code").isin(*o.security_roots), F.col("n_events")).otherwise(0)).alias("n_security")], where)
 
 
 def daily_counts(geo_days: DataFrame, span: Span, o: Options = Options()) -> DataFrame:
@@ -69,8 +79,9 @@ def country_risk(geo: DataFrame, geo_days: DataFrame, coverage_days: DataFrame,
 def trend_country_risk(geo: DataFrame, geo_days: DataFrame, coverage: DataFrame, coverage_days: DataFrame, span: Span, o: Options = Options(), country: str | None = None) -> DataFrame:
     geo, geo_days = only(geo, "geo_country", country), only(geo_days, "geo_country", country)
     points = add_country_risk(geo_window(geo, span, o, "geo_country", "bucket"), o)
-    points = points.select("geo_country", "bucket", "n_events", F.when(F.col("n_events") >= o.min_events, F.col("risk_score")).alias("risk_score"), "evidence", "security", "conflict", "avg_tone")
-    filled = gap_fill(points, only(geo, "geo_country", country, points), "geo_country", span, ["n_events", "evidence", "security", "conflict", "avg_tone"])
+    score = F.when(F.col("n_events") >= o.min_events, F.col("risk_score")).alias("risk_score")
+    points = points.select("geo_country", "bucket", "n_events", F.col("n_security").alias("security"), (F.col("n_quad3") + F.col("n_quad4")).alias("conflict"), "avg_tone", score, "evidence")
+    filled = gap_fill(points, only(geo, "geo_country", country, points), "geo_country", span, ["n_events", "security", "conflict"])
     moved = momentum_series(daily_counts(geo_days, Span(span.length + 31, span.now), o), coverage_days, "geo_country", o.momentum_days, 30, o.sensitivity)
     filled = filled.withColumn("_day", F.col("bucket") - F.pmod("bucket", F.lit(DAY))).join(moved.withColumnRenamed("bucket", "_day"), ["geo_country", "_day"], "left").drop("_day")
     filled = filled.withColumn("momentum_available", F.col("momentum").isNotNull()).drop("momentum")
@@ -88,10 +99,12 @@ def enterprise_risk(gkg: DataFrame, span: Span, o: Options = Options()) -> DataF
 
 
 def trend_enterprise(gkg: DataFrame, coverage: DataFrame, span: Span, o: Options = Options()) -> DataFrame:
+    docs = ["total_docs", "alias_docs", *(f"{c}_docs" for c in CATEGORIES)]
     points = enterprise_rows(gkg, span, o, "country", "bucket")
-    points = points.select("country", "bucket", "total_docs", F.when(F.col("total_docs") >= o.min_docs, F.col("risk_score")).alias("risk_score"), "joint_coverage", "avg_tone")
-    filled = gap_fill(points, points, "country", span, ["total_docs", "joint_coverage", "avg_tone"])
-    return mask(filled, coverage, ["total_docs", "risk_score", "joint_coverage", "avg_tone"])
+    score = F.when(F.col("total_docs") >= o.min_docs, F.col("risk_score")).alias("risk_score")
+    ev = F.when(F.col("total_docs") >= o.min_docs, F.col("evidence")).alias("evidence")
+    points = points.select("country", "bucket", *docs, "avg_tone", score, ev, "joint_coverage")
+    return mask(gap_fill(points, points, "country", span, docs), coverage, [*docs, "avg_tone", "risk_score", "evidence", "joint_coverage"])
 
 
 def series_enterprise(gkg: DataFrame, coverage: DataFrame, span: Span, country: str, o: Options = Options()) -> DataFrame:
@@ -112,24 +125,50 @@ def history(parts: dict[str, tuple[DataFrame, str, str, str | None]]) -> DataFra
     return out
 
 
-def event_types(rel: DataFrame, span: Span, key: str = "actor1") -> DataFrame:
-    """Root codes of each country by count, with their place."""
-    rows = window_agg(rel, span.start, span.now, [key, "root_code"], ["n_events"])
+def event_types(rel: DataFrame, span: Span, o: Options = Options(), key: str = "actor1") -> DataFrame:
+    """Root codes of each country towards the home actor by count, with their place, impact and mean score."""
+    rows = window_agg(rel, span.start, span.now, [key, "root_code"], ["n_events", "sum_absgold_w", "sum_gold"], towards_home(o))
+    rows = rows.select(key, "root_code", "n_events", (F.lit(10.0) * F.col("sum_absgold_w")).alias("impact"), (F.lit(10.0) * F.col("sum_gold") / F.greatest("n_events", F.lit(1))).alias("avg_goldstein"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n_events"), "root_code")))
 
 
+def pair_filter(o: Options, country: str | None):
+    """Everyone towards the home actor, or one country towards all others; and the side whose actors are the partners."""
+    if country is None:
+        return towards_home(o), "actor1"
+    return (F.col("actor1") == country) & (F.col("actor2") != country), "actor2"
+
+
 def overview(rel: DataFrame, span: Span, o: Options = Options(), country: str | None = None) -> DataFrame:
     """One row of totals: everyone towards the home actor, or one country towards all others."""
-    home = (F.col("actor2") == o.home_actor) & (F.col("actor1") != o.home_actor)
-    own = (F.col("actor1") == country) & (F.col("actor2") != country)
-    extra = [F.countDistinct("actor1" if country is None else "actor2").alias("partners"), (F.lit(10.0) * F.coalesce(F.sum("sum_absgold_w"), F.lit(0.0))).alias("impact")]
-    rows = window_agg(rel, span.start, span.now, [], [*ATTITUDE, *extra], home if country is None else own)
-    return add_attitude(rows, o).select("n_events", "sum_mentions", "partners", "impact", "evidence", "attitude_score", "avg_goldstein", "avg_tone", "conflict_share")
+    where, side = pair_filter(o, country)
+    extra = [F.countDistinct(F.when(~F.col(side).isin(*o.excluded_actors), F.col(side))).alias("partners"), (F.lit(10.0) * F.coalesce(F.sum("sum_absgold_w"), F.lit(0.0))).alias("impact")]
+    rows = window_agg(rel, span.start, span.now, [], [*ATTITUDE, "sum_sources", "sum_articles", *extra], where)
+    return add_attitude(rows, o).select("n_events", "sum_mentions", "sum_sources", "sum_articles", "partners", "impact", "evidence", "attitude_score", "avg_goldstein", "avg_tone", "conflict_share")
+
+
+def overview_parts(rel: DataFrame, coverage: DataFrame, span: Span, o: Options = Options(), country: str | None = None, roots: int = 12) -> dict[str, DataFrame]:
+    """What an overview holds beside its totals: partners by count, the first root codes, quad classes, and the series."""
+    where, side = pair_filter(o, country)
+    shown = ["n_events", "sum_mentions", "avg_goldstein", "avg_tone", "conflict_count", "conflict_share"]
+    by = lambda key: add_attitude(window_agg(rel, span.start, span.now, [key], ATTITUDE, where), o).withColumn("conflict_count", F.col("n_quad3") + F.col("n_quad4")).select(F.col(key).alias("code"), *shown)
+    return {
+        "countries": ranked(by(side).filter(~F.col("code").isin(*o.excluded_actors)), "n_events", "code"),
+        "event_roots": ranked(by("root_code"), "n_events", "code").filter(F.col("rank") <= roots),
+        "quad_classes": quads(rel, span, where),
+        "series": trend_global(rel, coverage, span, o, where),
+    }
+
 
+def stamped(df: DataFrame, summary: DataFrame, versions: dict[str, object]) -> DataFrame:
+    """A view with the coverage of its source in the window (one row of ``coverage_summary``) and with its versions."""
+    one = summary.select("expected", "done", "percent", F.col("complete_buckets").alias("complete_days"), "last_ts", "stale")
+    return df.crossJoin(F.broadcast(one)).withColumns({k: F.lit(v) for k, v in versions.items()})  # one row
 
-def quads(rel: DataFrame, span: Span) -> DataFrame:
+
+def quads(rel: DataFrame, span: Span, where=None) -> DataFrame:
     """Quad classes as rows."""
-    row = window_agg(rel, span.start, span.now, [], [f"n_quad{i}" for i in (1, 2, 3, 4)])
+    row = window_agg(rel, span.start, span.now, [], [f"n_quad{i}" for i in (1, 2, 3, 4)], where)
     return row.unpivot([], [f"n_quad{i}" for i in (1, 2, 3, 4)], "quad", "n_events").withColumn("quad", F.substring("quad", 7, 1).cast("int"))
 
 
@@ -143,6 +182,15 @@ def brief(att: DataFrame, risk: DataFrame, firm: DataFrame, k: int = 8) -> DataF
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).filter(F.col("rank") <= k)
 
 
+def focus(att: DataFrame, risk: DataFrame, firm: DataFrame, types: DataFrame, actor: str, geo: str, k: int = 8) -> DataFrame:
+    """One country in the three rankings, and its first k root codes, under the brief's shape."""
+    whole = brief(att, risk, firm, 1 << 30)
+    code = F.when(F.col("section") == "attitude", F.lit(actor)).otherwise(F.lit(geo))
+    rows = whole.filter(F.col("code") == code).withColumn("section", F.concat(F.lit("focus_"), "section"))
+    mix = types.filter((F.col("actor1") == actor) & (F.col("place") <= k))
+    return rows.unionByName(mix.select(F.lit("focus_event_mix").alias("section"), F.col("root_code").alias("code"), F.col("n_events").cast("double").alias("score"), F.col("place").alias("rank")))
+
+
 def pack_series(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """A row a key: arrays of buckets and measures in time order."""
     rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bucket", *columns))).alias("p"))
