@@ -426,25 +426,42 @@ query("ingest_idempotent", f"with {GEO} select geo_country, cast(sum(n_events) a
 
 
 def published(s, sf):
+    """Two views over a year, published with the coverage of the window."""
     import uuid
 
-    from .snapshot import publish
+    from .snapshot import View, build
 
     path = f"{shared(s)}/snapshot-{uuid.uuid4().hex}"
-    made = {("country_risk", 365): country_risk(s, sf), ("attitude", 365): views.attitude(B.rel_cells(s, sf), B.SPAN, B.EVENTS)}
-    return path, publish({k: plain(v) for k, v in made.items()}, path, "v1", NOW)
+    geo, rel = stored_geo(s, sf), B.stored(B.rel_cells(s, sf), "rel")
+    days = geo.select(F.lit("events").alias("kind"), F.col("bucket").alias("file_ts")).distinct()
+    made = {
+        "country_risk": View(lambda span: plain(views.country_risk(geo, geo, B.day_coverage(s, sf, cells=geo), span, B.EVENTS)), "geo_country"),
+        "attitude": View(lambda span: plain(views.attitude(rel, span, B.EVENTS)), "actor1"),
+    }
+    return path, build(made, (365,), path, "v1", NOW, days, DAY, VERSIONS)
 
 
-query("snapshot_manifest")(lambda s, sf: published(s, sf)[1])
+query("snapshot_manifest", f"""with {GEO}, rel as ({rel_sql()}), {COV}, {MOM}, {CR}, {ATT}, x as ({COVSUM}) select 'v1' as version, view, 365 as days, cast({NOW} as bigint) as created_at, key, rows, expected, done, percent, last_ts, 7 as data_version, 1 as parameter_version, 'cells-1' as model_version
+from (select 'country_risk' as view, 'geo_country' as key, count(*) as rows from cr union all select 'attitude', 'actor1', count(*) from att) cross join x""")(lambda s, sf: published(s, sf)[1].drop("hash"))
 
 
 def snapshot_view(s, sf):
+    """A whole ranking, and the rows of one country with their freshness an hour and a day after the data."""
     from .snapshot import read_view
 
-    return read_view(s, published(s, sf)[0], "v1", "country_risk", 365)
+    path = published(s, sf)[0]
+    whole = read_view(s, path, "v1", "country_risk", 365).withColumn("stale", F.lit(None).cast("boolean"))
+    last = published_last(s, path)
+    return whole.unionByName(read_view(s, path, "v1", "country_risk", 365, "03", last + 900)).unionByName(read_view(s, path, "v1", "country_risk", 365, "03", last + DAY))
 
 
-query("snapshot_view", SQL["view_country_risk"])(snapshot_view)
+def published_last(s, path):
+    from .snapshot import read_manifest
+
+    return read_manifest(s, path, "v1").agg(F.max("last_ts")).first()[0]
+
+
+query("snapshot_view", f"with v as ({SQL['view_country_risk']}) select *, cast(null as boolean) as stale from v union all select *, false from v where geo_country='03' union all select *, true from v where geo_country='03'")(snapshot_view)
 
 
 # streams of batches, schema versions, published files -------------------------------------------------------------------

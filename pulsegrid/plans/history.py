@@ -113,36 +113,83 @@ for name, spans in (("history_daily", (coverage.Span(LONGEST, NOW), coverage.Spa
 
 # snapshots ----------------------------------------------------------------------------------------------------------
 def built(s, sf):
-    """Rankings over all ranges from one version of the cells, published and read back."""
+    """All views and series over all ranges from one version of the cells, published and read back: rankings by code, series and event types as sums by code."""
     path = f"{C.shared(s)}/build-{uuid.uuid4().hex}"
-    ev, cells = B.ev(s, sf), {}
-    for name, made, keys in (("rel", rollup.rollup_relation(ev, "hour"), rollup.RELATION_KEYS), ("geo", rollup.rollup_geo(ev, "hour"), rollup.GEO_KEYS)):
-        made.write.parquet(f"{path}/cells/{name}/hour")
-        hours = s.read.schema(made.schema).parquet(f"{path}/cells/{name}/hour")
-        rollup.to_day(hours, keys).write.parquet(f"{path}/cells/{name}/day")
-        cells[name] = {"hour": hours, "day": s.read.schema(made.schema).parquet(f"{path}/cells/{name}/day")}
-    days = B.day_coverage(s, sf)
-    rankings = {
-        "attitude": lambda span: views.attitude(cells["rel"][span.grain], span, B.EVENTS),
-        "country_risk": lambda span: views.country_risk(cells["geo"][span.grain], cells["geo"]["day"], days, span, B.EVENTS),
+    ev, art, cells = B.ev(s, sf), B.art(s, sf), {}
+    hours = {
+        "rel": (rollup.rollup_relation(ev, "hour"), rollup.RELATION_KEYS), "geo": (rollup.rollup_geo(ev, "hour"), rollup.GEO_KEYS),
+        "gkg": (rollup.rollup_articles(art.withColumn("file_ts", F.col("file_ts") - SHIFT), "hour", B.ARTICLES), rollup.ARTICLE_KEYS),
+    }
+    for name, (made, keys) in hours.items():
+        stored = B.stored(made, name)
+        cells[name] = {"hour": stored, "day": B.stored(rollup.to_day(stored, keys), name)}
+    slots = cells["geo"]["day"].select(F.lit("events").alias("kind"), F.col("bucket").alias("file_ts")).distinct()
+    slots = B.stored(slots.union(cells["gkg"]["hour"].select(F.lit("gkg"), "bucket").distinct()), "slots")
+    own = {k: slots.filter(F.col("kind") == k) for k in ("events", "gkg")}
+    cover = lambda kind, span: coverage.coverage_buckets(own[kind], own[kind], span.start, span.end + span.step, span.step, span.now, span.step)
+    grain = lambda name: lambda span: cells[name][span.grain]
+    rel, geo, gkg, days = grain("rel"), grain("geo"), grain("gkg"), B.day_coverage(s, sf, cells=cells["geo"]["day"])
+    made = {
+        "overview": snapshot.View(lambda span: views.overview_parts(rel(span), cover("events", span), span, B.EVENTS)["countries"], "code"),
+        "attitude": snapshot.View(lambda span: views.attitude(rel(span), span, B.EVENTS), "actor1"),
+        "country_risk": snapshot.View(lambda span: views.country_risk(geo(span), cells["geo"]["day"], days, span, B.EVENTS), "geo_country"),
+        "enterprise_risk": snapshot.View(lambda span: views.enterprise_risk(gkg(span), span, B.ARTICLES), "country", "gkg"),
+        "attitude_series": snapshot.View(lambda span: views.trend_attitude(rel(span), cover("events", span), span, B.EVENTS), "actor1"),
+        "overview_series": snapshot.View(lambda span: views.trend_global(rel(span), cover("events", span), span, B.EVENTS), "scope"),
+        "country_risk_series": snapshot.View(lambda span: views.trend_country_risk(geo(span), cells["geo"]["day"], cover("events", span), days, span, B.EVENTS), "geo_country"),
+        "enterprise_series": snapshot.View(lambda span: views.trend_enterprise(gkg(span), cover("gkg", span), span, B.ARTICLES), "country", "gkg"),
+        "event_types": snapshot.View(lambda span: views.event_types(rel(span), span, B.EVENTS), "actor1"),
     }
-    snapshot.build(rankings, snapshot.RANGES, path, "v1", NOW)
+    snapshot.build(made, snapshot.RANGES, path, "v1", NOW, slots, DAY, C.VERSIONS)
     out = None
-    for view, key, score in (("attitude", "actor1", "attitude_score"), ("country_risk", "geo_country", "risk_score")):
+    for view, count, score in SHOWN:
         for d in snapshot.RANGES:
-            part = snapshot.read_view(s, path, "v1", view, d).select(F.lit(view).alias("view"), F.lit(d).alias("days"), F.col(key).alias("code"), F.col(score).alias("score"), "n_events", "rank")
+            rows, key = snapshot.read_view(s, path, "v1", view, d), F.col(made[view].key).alias("code")
+            if score:
+                part = rows.select(key, F.col(score).alias("score"), F.col(count).alias("n"), F.col("rank").cast("long").alias("rank"))
+            else:
+                part = rows.groupBy(key).agg(F.lit(None).cast("double").alias("score"), F.coalesce(F.sum(count), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("rank"))
+            part = part.select(F.lit(view).alias("view"), F.lit(d).alias("days"), "code", "score", "n", "rank")
             out = part if out is None else out.unionByName(part)
     return out
 
 
+#: Articles are moved back to the days of the events, so that one clock serves both.
+SHIFT = B.ART_AS_OF - NOW // DAY * DAY
+SHOWN = (
+    ("overview", "n_events", "conflict_share"), ("attitude", "n_events", "attitude_score"), ("country_risk", "n_events", "risk_score"), ("enterprise_risk", "total_docs", "risk_score"),
+    ("attitude_series", "n_events", None), ("overview_series", "n_events", None), ("country_risk_series", "n_events", None), ("enterprise_series", "total_docs", None), ("event_types", "n_events", None),
+)
+
+
 def built_sql() -> str:
     parts = []
     for d in snapshot.RANGES:
         span = coverage.Span(d, NOW)
         inside, size = f"bucket >= {span.start} and bucket < {NOW}", "h" if span.grain == "hour" else "d"
-        parts.append(f"select 'attitude' as view, {d} as days, actor1 as code, {r(C.A_SCORE, 'score')}, n_events, cast(row_number() over (order by n_events desc, actor1) as int) as rank from (select actor1, {C.A_SUM} from rel_{size} where {inside} and {HOME} group by 1)")
-        parts.append(f"select 'country_risk', {d}, geo_country, {r('score', 'score')}, n_events, cast(row_number() over (order by round(score,1) desc, geo_country) as int) from (select geo_country, n_events, {C.RISK} as score from (select geo_country, {C.G_SUM} from geo_{size} where {inside} and geo_country not in ('06','24') group by 1) where n_events>=20)")
-    return f"with {C.EV}, " + ", ".join(f"{k}_{g} as ({f(n)})" for g, n in (("h", 3600), ("d", DAY)) for k, f in (("rel", C.rel_sql), ("geo", C.geo_sql))) + " " + " union all ".join(parts)
+        points = (span.end - span.start) // span.step + 1
+        over = lambda n, by="n desc, code": f"cast(row_number() over (order by {by}) as bigint) as rank"
+        risky = "geo_country not in ('06','24')"
+        parts += [
+            f"select 'overview' as view, {d} as days, code, {r('100.0*q34/n', 'score')}, n, {over('n')} from (select actor1 as code, sum(n_quad3)+sum(n_quad4) as q34, cast(sum(n_events) as bigint) as n from rel_{size} where {inside} and {C.TOWARDS} and actor1<>'N24' group by 1)",
+            f"select 'attitude', {d}, code, {r(C.A_SCORE, 'score')}, n_events, {over('n', 'n_events desc, code')} from (select actor1 as code, {C.A_SUM} from rel_{size} where {inside} and {HOME} group by 1)",
+            f"select 'country_risk', {d}, geo_country, {r('score', 'score')}, n_events, {over('n', 'round(score,1) desc, geo_country')} from (select geo_country, n_events, {C.RISK} as score from (select geo_country, {C.G_SUM} from geo_{size} where {inside} and {risky} group by 1) where n_events>=20)",
+            f"select 'enterprise_risk', {d}, country, {r('score', 'score')}, total_docs, {over('n', 'round(score,1) desc, country')} from (select country, total_docs, {C.E_RISK} as score from (select country, {C.E_SUM} from gkg_{size} where {inside} and country not in ('ES','S9') group by 1) where total_docs>=20)",
+            f"select 'event_types', {d}, actor1, null, cast(sum(n_events) as bigint), count(distinct root_code) from rel_{size} where {inside} and {C.TOWARDS} group by 3",
+        ]
+        cover = lambda source: C.cover_sql(source, span.start, span.end + span.step, span.step, NOW, span.step)  # noqa: B023, E731
+        for view, table, key, n, where, source in (
+            ("attitude_series", "rel", "actor1", "n_events", HOME, "geo_d_slots"), ("country_risk_series", "geo", "geo_country", "n_events", risky, "geo_d_slots"),
+            ("enterprise_series", "gkg", "country", "total_docs", "country not in ('ES','S9')", "gkg_h_slots"),
+        ):
+            parts.append(f"select '{view}', {d}, {key}, null, cast(coalesce(sum(case when c.done>0 then {n} end), 0) as bigint), cast({points} as bigint) from (select * from {table}_{size} where {inside} and {where}) x left join {cover(source)} c on c.bucket=x.bucket group by 3")
+        parts.append(f"select 'overview_series', {d}, 'all', null, cast(coalesce(sum(case when c.done>0 then n_events end), 0) as bigint), cast({points} as bigint) from (select * from rel_{size} where {inside} and {C.TOWARDS}) x left join {cover('geo_d_slots')} c on c.bucket=x.bucket")
+    tables = ", ".join(f"{k}_{g} as ({f(n)})" for g, n in (("h", 3600), ("d", DAY)) for k, f in (("rel", C.rel_sql), ("geo", C.geo_sql)))
+    gkg = GKG.replace("cast(1704067200+(doc_id%2880)*900 as bigint) as file_ts", f"cast(1704067200+(doc_id%2880)*900-{SHIFT} as bigint) as file_ts")
+    hourly = gkg[gkg.index("gkg as ("):].replace("gkg as (", "gkg_h as (").replace(f"file_ts%{DAY}", "file_ts%3600")
+    gkg = gkg.replace("gkg as (", "gkg_d as (") + ", " + hourly
+    slots = "geo_d_slots as (select distinct bucket as file_ts from geo_d), gkg_h_slots as (select distinct bucket as file_ts from gkg_h)"
+    return f"with {C.EV}, {tables}, {gkg}, {slots} " + " union all ".join(parts)
 
 
 query("snapshot_build", built_sql())(built)
