@@ -12,7 +12,7 @@ def ranked(df: DataFrame, score: str, key: str, name: str = "rank") -> DataFrame
 
 
 def percentile_ties(df: DataFrame, column: str, partition: list[str] | None = None) -> DataFrame:
-    """Empirical percentile 0..100 where ties share their middle place; 50 for a single row."""
+    """Empirical percentile 0..100 where ties share their middle place; 50 for a single row. Without ``partition`` the rows are ranked in one task: they are countries."""
     part = Window.partitionBy(*(partition or [F.lit(0)]))
     n, ties = F.count(F.lit(1)).over(part), F.count(F.lit(1)).over(Window.partitionBy(*(partition or []), column))
     rank = F.rank().over(part.orderBy(column))

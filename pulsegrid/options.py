@@ -8,13 +8,13 @@ from dataclasses import dataclass, field
 ROOTS = tuple(f"{i:02d}" for i in range(1, 21))
 #: Theme markers by category, in category order.
 THEMES = {
-    "security": "ARMEDCONFLICT TERROR TERRORISM KILL KILLING WOUND WOUNDED KIDNAP VIOLENCE GENERALCRIME SECURITY_SERVICES MILITARY".split(),
-    "political": "EPU_POLICY ELECTION GENERAL_GOVERNMENT LEGISLATION CORRUPTION REGULATION SANCTION BAN POLITICAL".split(),
-    "economic": "EPU_ECONOMY ECON_ TRADE FINANCIAL DEBT INFLATION TAX_ECON_PRICE JOBS ENTERPRISE INDUSTRY".split(),
-    "infrastructure": "INFRASTRUCTURE TRANSPORT ENERGY POWER WATER LOGISTICS MARITIME SUPPLY_CHAIN".split(),
-    "social": "PROTEST UNREST LABOR MIGRATION ARREST SOCIAL_PROTECTION".split(),
-    "health": "GENERAL_HEALTH MEDICAL DISEASE PUBLIC_HEALTH PANDEMIC HEALTH_NUTRITION".split(),
-}
+    "security": ("ARMEDCONFLICT", "TERROR", "TERRORISM", "KILL", "KILLING", "WOUND", "WOUNDED", "KIDNAP", "VIOLENCE", "GENERALCRIME", "SECURITY_SERVICES", "MILITARY"),
+    "political": ("EPU_POLICY", "ELECTION", "GENERAL_GOVERNMENT", "LEGISLATION", "CORRUPTION", "REGULATION", "SANCTION", "BAN", "POLITICAL"),
+    "economic": ("EPU_ECONOMY", "ECON_", "TRADE", "FINANCIAL", "DEBT", "INFLATION", "TAX_ECON_PRICE", "JOBS", "ENTERPRISE", "INDUSTRY"),
+    "infrastructure": ("INFRASTRUCTURE", "TRANSPORT", "ENERGY", "POWER", "WATER", "LOGISTICS", "MARITIME", "SUPPLY_CHAIN"),
+    "social": ("PROTEST", "UNREST", "LABOR", "MIGRATION", "ARREST", "SOCIAL_PROTECTION"),
+    "health": ("GENERAL_HEALTH", "MEDICAL", "DISEASE", "PUBLIC_HEALTH", "PANDEMIC", "HEALTH_NUTRITION"),
+}
 CATEGORIES = tuple(THEMES)
 #: Organisation aliases.
 ALIASES = (
@@ -27,6 +27,7 @@ ALIASES = (
 class Options:
     """Weights, root groups and gates of the scores."""
 
+    # The defaults of weights, root groups, gates and codes.
     attitude: tuple[float, float, float] = (0.7, 0.2, 0.1)
     risk: tuple[float, float, float] = (0.5, 0.25, 0.15)
     media: float = 0.1

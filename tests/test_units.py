@@ -6,9 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import scores as S
-from pulsegrid.operators.coverage import momentum
-from pulsegrid.operators.rollup import masses, rollup_geo, rollup_relation
-from pulsegrid.options import Options
+from pulsegrid.functions.fields import theme_categories
+from pulsegrid.operators.coverage import coverage_buckets, momentum
+from pulsegrid.operators.ledger import attempt_rollup, progress
+from pulsegrid.operators.rollup import masses, rollup_geo, rollup_relation, write_partials
+from pulsegrid.options import THEMES, Options
+from pulsegrid.plans.snapshot import content_hash
 from pulsegrid.sources.archives import article_records, batch_key, checked_articles, checked_events, event_rows, parts_of, read_lines, write_archives
 from pulsegrid.streaming.ingest import ingest_archives
 
@@ -115,6 +118,67 @@ def test_article_rows(spark, places, tones, status):
     assert status != "ok" or row["countries"] in (["FR", "US"], ["US"])
 
 
+EVENT = {0: "1", 6: "Actor A", 7: "USA", 16: "Actor B", 17: "CHN", 26: "19", 28: "19", 29: "4", 30: "-10", 31: "5", 32: "2", 33: "3", 34: "-2", 53: "US"}
+
+
+@pytest.mark.parametrize(
+    ("changes", "status"),
+    [
+        ({}, "ok"), ({29: "4.0", 31: "5e0"}, "ok"), ({30: ""}, "skip_score"), ({34: ""}, "skip_score"), ({31: ""}, "ok"),
+        ({31: "nan"}, "reject_count"), ({31: "inf"}, "reject_count"), ({31: "1.5"}, "reject_count"), ({31: "broken"}, "reject_count"), ({29: "x"}, "reject_count"), ({32: "5d"}, "reject_count"),
+        ({26: "---", 28: "--", 30: ""}, "skip_placeholder"), ({26: "---", 28: "---", 30: "x"}, "skip_placeholder"), ({26: "---", 28: "--"}, "reject_enum"), ({26: "--", 28: "--", 30: ""}, "reject_enum"),
+        ({28: ""}, "reject_enum"), ({28: "21"}, "reject_enum"), ({29: "5"}, "reject_enum"), ({29: ""}, "reject_enum"), ({30: "broken", 34: ""}, "reject_score"), ({34: "inf"}, "reject_score"),
+        ({31: "-1"}, "reject_negative"), ({31: "-1", 30: ""}, "reject_negative"), ({7: "TWN", 31: "broken"}, "skip_region"), ({53: "hk"}, "skip_region"),
+    ],
+)
+def test_event_rows(spark, changes, status):
+    fields = {**EVENT, **changes}
+    line = "\t".join(fields.get(i, "") for i in range(61))
+    rows = checked_events(spark.createDataFrame([("20240101001500.export.CSV.zip", 0, line, None)], "path string, line_no long, line string, error string"))
+    assert rows.first()["row_status"] == status
+
+
+def test_coverage_stops_at_the_horizon(spark):
+    day, slots = 86_400, [(900 * i,) for i in range(24)]
+    rows = spark.createDataFrame(slots, "file_ts long").selectExpr("'events' as kind", "file_ts")
+    now = coverage_buckets(rows, rows, 0, day, day, 24 * 900 + 100).first()
+    assert (now["expected"], now["done"], now["complete"]) == (24, 24, False)
+    cut = coverage_buckets(rows, rows, 0, 12 * 900, day, 2 * day).first()
+    assert (cut["expected"], cut["done"], cut["complete"]) == (12, 12, True)
+    assert coverage_buckets(rows, rows, day, 2 * day, day, day).first()["expected"] == 0
+
+
+def test_progress_and_attempts(spark):
+    rows = spark.createDataFrame([("events", 0, "done"), ("gkg", 900, "failed")], "kind string, file_ts long, status string")
+    got = progress(rows, 0, 3600).first()
+    assert (got["total"], got["percent"], got["pending"] + got["unseeded"], got["finished"]) == (8, 12.5, 6, False)
+    assert progress(rows, 0, 0).first()["percent"] == 100.0
+    log = spark.createDataFrame([("events", 0, r) for r in (1, 1, 1, 1, 1, 2)] + [("events", 900, 1)] * 5, "kind string, file_ts long, round int")
+    by = {r["file_ts"]: r for r in attempt_rollup(log, 1000).collect()}
+    assert (by[0]["attempts"], by[0]["round_attempts"], by[0]["exhausted"], by[0]["next_retry"]) == (6, 1, False, 1120)
+    assert (by[900]["exhausted"], by[900]["next_retry"]) == (True, 0)
+
+
+def test_hash_of_many_rows(spark):
+    assert int(content_hash(spark.range(100_000).selectExpr("id % 3 as x")).first()["rows"]) == 100_000
+
+
+def test_cells_must_be_finite(spark, tmp_path):
+    rows = spark.createDataFrame([("events", 0, float("nan"))], "kind string, file_ts long, sum_w double")
+    with pytest.raises(Exception, match="finite"):
+        write_partials(rows, f"{tmp_path}/cells")
+
+
+@pytest.mark.parametrize("themes", [["TAX_ECON_PRICE"], ["ECON_TRADE", "x"], ["KILL"], ["SKILLS"], ["WB_KILL_X"], ["TRADE"], ["a|KILL|b"], ["econ_x", "Medical"], [], None])
+def test_themes(spark, themes):
+    plain = []
+    for name, markers in THEMES.items():
+        if any(f"_{m.rstrip('_')}_" in f"_{t.upper()}_" for t in themes or [] for m in markers):
+            plain.append(name)
+    got = spark.createDataFrame([(themes,)], "t array<string>").select(theme_categories("t", THEMES).alias("c")).first()["c"]
+    assert got == plain
+
+
 def test_archives_round_trip(spark, tmp_path):
     rows = [(kind, 900 * b, i, f"{kind} {b} {i} \u00e9\t") for kind in ("events", "gkg") for b in range(3) for i in range(5)]
     lines = spark.createDataFrame(rows, "kind string, file_ts long, line_no long, line string")
