@@ -235,7 +235,16 @@ query("view_stamped", f"with {REL}, {COV}, {ATT} select att.*, x.*, 7 as data_ve
 query("top_roots", f"with {REL} select root_code, cast(sum(n_events) as bigint) as n_events from rel where {WIN} group by 1 order by 2 desc, 1 limit 12")(lambda s, sf: rollup.window_agg(B.rel_cells(s, sf), START, NOW, ["root_code"], ["n_events"]).orderBy(F.desc("n_events"), "root_code").limit(12))
 query("topk_slim", f"with {REL}, {ATT} select actor1, attitude_score, rank from att where rank<=8")(lambda s, sf: views.attitude(B.rel_cells(s, sf), B.SPAN, B.EVENTS).filter("rank <= 8").select("actor1", "attitude_score", "rank"))
 query("expand_series", f"with {GEO} select geo_country, bucket, cast(sum(n_events) as bigint) as n_events from geo where {WIN} and geo_country not in ('06','24') group by 1,2")(lambda s, sf: views.expand_series(views.pack_series(views.daily_counts(B.geo_cells(s, sf), B.SPAN, B.EVENTS), "geo_country", ["n_events"]), "geo_country", ["n_events"]))
-query("pack_series")(lambda s, sf: views.pack_series(views.daily_counts(B.geo_cells(s, sf), B.SPAN, B.EVENTS), "geo_country", ["n_events"]))
+PACKED = "string_agg(cast(bucket as varchar), ',' order by bucket) as buckets, string_agg(cast(n_events as varchar), ',' order by bucket) as counts"
+
+
+def packed(s, sf):
+    """A row a country: its packed series, shown as text."""
+    rows = views.pack_series(views.daily_counts(B.geo_cells(s, sf), B.SPAN, B.EVENTS), "geo_country", ["n_events"])
+    return rows.select("geo_country", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(k) for c, k in (("bucket", "buckets"), ("n_events", "counts"))))
+
+
+query("pack_series", f"with {GEO} select geo_country, {PACKED} from (select geo_country, bucket, cast(sum(n_events) as bigint) as n_events from geo where {WIN} and geo_country not in ('06','24') group by 1,2) group by 1")(packed)
 query("trend_semi", f"with {GEO}, {CR} select g.geo_country, g.bucket, cast(sum(g.n_events) as bigint) as n_events from geo g where {WIN} and geo_country not in ('06','24') and geo_country in (select geo_country from cr) group by 1,2")(
     lambda s, sf: views.daily_counts(B.geo_cells(s, sf), B.SPAN, B.EVENTS).join(country_risk(s, sf).select("geo_country"), "geo_country", "left_semi"))
 
