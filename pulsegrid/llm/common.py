@@ -83,24 +83,33 @@ def rows_map(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
     return df.mapInArrow(run, schema)
 
 
+def map_whole(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``df`` through Arrow with all its columns, which ``run`` finds by place: Spark's own map takes no names with dots."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def id_residue(n: int, doc_id: str = "doc_id") -> Column:
     """crc32 of doc_id as text, modulo ``n``."""
     return F.crc32(F.col(doc_id).cast("string")) % n
 
 
-def spread_join(df: DataFrame, table: DataFrame, key: str, n: str, total: int, by: tuple[str, ...], how: str = "inner") -> DataFrame:
-    """Join ``table`` by ``key``, which is unique in it; its column ``n`` counts the rows of ``df`` with the key, ``total`` all of them.
+def spread_join(df: DataFrame, table: DataFrame, key: str, n: str, total: int, by: tuple[str, ...], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """Join ``table`` by ``key``, which is unique in it; the column ``n`` of ``counts`` (or of ``table``) is the number of rows of ``df`` with the key, ``total`` all of them.
 
-    A key with a thousandth of all rows or more is hot. Rows of hot keys are dealt over several parts by a hash of ``by``, and the key's row
-    in ``table`` is given to each of them; rows without a key are dealt out likewise. Only the hot keys are broadcast, with their numbers of parts: two numbers each, and a thousand at most.
+    A key with a thousandth of all rows or more is hot: there are a thousand at most, and they alone go to the driver. Rows of hot keys are dealt
+    over several parts by a hash of ``by``, and the key's row in ``table`` is given to each of them; rows without a key are dealt out likewise.
     """
     most = max(2, int(total * HOT_SHARE))
-    ways = F.when(F.col(n) >= most, F.ceil(F.col(n) / most)).otherwise(F.lit(1)).cast("int")
-    hot = table.filter(F.col(n) >= most).select(F.col(key).alias("_hot"), ways.alias("_ways"))
-    left = df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").drop("_hot")
-    part = F.pmod(F.xxhash64(*by), F.coalesce("_ways", F.when(F.col(key).isNull(), 1_000_003).otherwise(1)))
-    left = left.withColumn("_part", part.cast("int")).drop("_ways")
-    right = table.withColumn("_part", F.explode(F.sequence(F.lit(0), ways - 1))).drop(n)
+    found = table if counts is None else counts
+    hot: dict[int, list] = {}
+    for k, m in found.filter((F.col(n) >= most) & F.col(key).isNotNull()).select(key, n).collect():  # a thousand at most
+        hot.setdefault((int(m) // most).bit_length(), []).append(k)
+    ways = F.lit(1)
+    for bits, keys in sorted(hot.items()):
+        ways = F.when(F.col(key).isin(keys), F.lit(1 << bits)).otherwise(ways)
+    left = df.withColumn("_part", F.pmod(F.xxhash64(*by), F.when(F.col(key).isNull(), F.lit(1_000_003)).otherwise(ways)).cast("int"))
+    right = table.withColumn("_part", F.explode(F.sequence(F.lit(0), ways - 1))).drop(*([n] if counts is None else []))
     return left.join(right, [key, "_part"], how).drop("_part")
 
 

@@ -124,7 +124,7 @@ def _both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
     """Pairs with both sides' columns; ``a`` may have any number of pairs."""
     side = lambda x: table.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
     counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
-    return spread_join(pairs.join(side("b"), "b"), side("a").join(counts, "a"), "a", "_n", pairs.count(), ("b",))
+    return spread_join(pairs.join(side("b"), "b"), side("a").join(counts.select("a"), "a", "left_semi"), "a", "_n", pairs.count(), ("b",), counts=counts)
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -185,9 +185,9 @@ def _long_signatures(large: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _mapped(rows: DataFrame, column: str, parent: DataFrame, by: str) -> DataFrame:
     """``rows`` (a written table) with the parents of ``column``, where there are any, in its place; a node may stand in any number of rows."""
-    counts = rows.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("_n"))
-    table = parent.join(counts, "v").select(F.col("v").alias(column), F.col("p").alias("_p"), "_n")
-    return spread_join(rows, table, column, "_n", rows.count(), (by,), "left").withColumn(column, F.coalesce("_p", column)).drop("_p")
+    counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    table = parent.select(F.col("v").alias(column), F.col("p").alias("_p"))
+    return spread_join(rows, table, column, "_n", rows.count(), (by,), "left", counts).withColumn(column, F.coalesce("_p", column)).drop("_p")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def _cross(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     rows = written(members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), "members")
     sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("values"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("total"), F.sum("values").alias("values"), F.count(F.lit(1)).alias("parts")).filter("parts > 1 and total > 2")
-    mixed = mixed.select("key", "total", "values", F.col("top.component").alias("main"), F.col("total").alias("_n"))
+    mixed = written(mixed.select("key", "total", "values", F.col("top.component").alias("main"), F.col("total").alias("_n")), "mixed-buckets")
     rows = written(spread_join(rows, mixed, "key", "_n", rows.count(), ("rep",)).withColumn("outside", F.col("component") != F.col("main")), "mixed")
     little, large = rows.filter(F.col("total") <= SMALL), rows.filter(F.col("total") > SMALL)
     x = little.filter("outside").select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     classes = written(some.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "classes")
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 1 + 4 * rows * i, 4 * rows)) for i in range(bands)))
     band = classes.select("rep", "n", F.explode(keys).alias("key"))
-    buckets = band.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    buckets = written(band.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "shared-buckets")
     members = written(spread_join(band, buckets, "key", "_n", bands * classes.count(), ("rep",)), "buckets")
     first = written(members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "first-pairs")
     sets = _sets(members, docs, size)
@@ -295,5 +295,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest doc_id, with all its texts; rows that repeat its id and text are one."""
     kept = near_duplicates(docs, size, percent).filter("kept").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return known.unionByName(docs.filter(F.col("doc_id").isNull()))
+    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return known.union(docs.filter(F.col("doc_id").isNull()))
