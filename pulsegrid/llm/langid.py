@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_map, small_batches
+from .common import map_whole, rows_map, small_batches
 
 UND = "und"
 LANGUAGES = 10_000
@@ -148,11 +148,12 @@ def identified(docs: DataFrame, profiles: dict[str, list[int]], most_away: float
     The distance is a share of the greatest one, and depends on the nearest profile alone, not on how many others there are.
     """
     small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
 
     def run(batches):
         judge = Judge(profiles, size, 0.0)
         for batch in batches:
-            found = [judge.nearest(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            found = [judge.nearest(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array([lang != UND and away <= most_away for lang, _, away in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_whole(docs, run)

@@ -7,7 +7,8 @@ the frame with it less the frame without it, tell novelty: an identifier or a wo
 a random key most of its entropy. Candidates above ``min_ratio`` marginal bytes a character are reported as 'novel'.
 
 Null and empty texts have no spans. Spans are in code points, end exclusive. No row leaves its task,
-so hot sources and copies need no care; other columns are not read by ``scan``.
+so hot sources and copies need no care; other columns are not read by ``scan``. Repeated rows are scanned alike; spans that begin together
+are in the order of their kinds. A text is one row of one task, searched in time in proportion to it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_map, small_batches
+from .common import map_whole, rows_map, small_batches
 
 #: Fixed patterns of the base, by kind, in the order that ties follow.
 ASSIGN = re.compile(r"""((?:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -159,7 +160,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", reach: int = 48, around: int
     Every row and column stays; null texts stay null.
     """
     small_batches(docs.sparkSession)
-    sized = "n_chars" in docs.columns
+    i, j = (docs.columns.index(c) if c in docs.columns else None for c in ("text", "n_chars"))
 
     def run(batches):
         import pyarrow as pa
@@ -177,14 +178,12 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", reach: int = 48, around: int
             return "".join([*done, text[at:]])
 
         for batch in batches:
-            i = batch.schema.get_field_index("text")
             old = batch.column(i).to_pylist()
             new = [clean(t) for t in old]
             batch = batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type))
-            if sized:
-                j = batch.schema.get_field_index("n_chars")
+            if j is not None:
                 kept = batch.column(j).to_pylist()
                 batch = batch.set_column(j, batch.schema.field(j), pa.array([k if a == b else len(b) for k, a, b in zip(kept, old, new)], batch.schema.field(j).type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_whole(docs, run)
