@@ -5,7 +5,7 @@ Gamma(2, 1) and b from [0, 1), seeded by the word and the sample alone; with t =
 least ln c - r (t - b) - r wins, and (word, t) is the sample. Two texts share a sample with a probability equal to
 their generalised Jaccard similarity (sum of least weights over sum of greatest).
 
-Draws are made anew for each word, from 64-bit hashes; a worker keeps those of the words it met last. Samples are shown in 16 bits, so
+Draws are made anew for each word and sample, from 64-bit hashes; a worker keeps those of the words it met last. Samples are shown in 16 bits, so
 two that differ look alike once in 65,536 times.
 
 Null text counts as empty. Empty texts (no word) have the fingerprint '' and likeness 1 to each other, 0 to
@@ -37,30 +37,39 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def gamma_quantiles(n: int) -> np.ndarray:
+    """The middles of ``n`` equal shares of Gamma(2, 1), by bisection."""
+    p = (np.arange(n) + 0.5) / n
+    low, high = np.zeros(n), np.full(n, 50.0)
+    for _ in range(60):
+        x = (low + high) / 2
+        under = 1 - (1 + x) * np.exp(-x) < p
+        low, high = np.where(under, x, low), np.where(under, high, x)
+    return (low + high) / 2
+
+
 class Sampler:
-    """Signatures of K 16-bit samples. The draws of ``room`` words are kept: 2 KB each at 128 samples."""
+    """Signatures of K 16-bit samples. The draws of ``room`` words are kept: 2 KB each at 128 samples.
+
+    For each word and sample a 64-bit hash gives 16 bits each to r, c and b; r and ln c are looked up in tables of the distribution's quantiles.
+    """
 
-    def __init__(self, samples: int = 128, room: int = 32_768):
+    def __init__(self, samples: int = 128, room: int = 1 << 16):
         import xxhash
 
         self.hash, self.k, self.room = xxhash.xxh3_64_intdigest, samples, room
         self.place: dict[int, int] = {}
         self.r, self.b, self.c, self.once = (np.empty((room, samples), np.float32) for _ in range(4))
-        self.seed = (np.arange(1, 1 + 2 * samples, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, 1, samples)
+        self.seed = np.arange(1, 1 + samples, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        gamma = gamma_quantiles(1 << 16)
+        self.gamma, self.log_gamma = gamma.astype(np.float32), np.log(gamma).astype(np.float32)
 
     def _draw(self, words: np.ndarray, at: slice) -> None:
-        """r, b and ln c of new words, each from 21 bits of its own. A word that occurs once has ln w = 0 and t = 0: its cost is kept, too."""
-
-        def uniform(x: np.ndarray, shift: int) -> np.ndarray:
-            u = (x >> np.uint64(shift) & np.uint64(0x1FFFFF)).astype(np.uint32).astype(np.float32)
-            u += np.float32(0.5)
-            u *= np.float32(2.0**-21)
-            return u
-
+        """r, b and ln c of new words. A word that occurs once has ln w = 0 and t = 0: its cost is kept, too."""
         with np.errstate(over="ignore"):
-            x, y = (_mixed(words[:, None] + s) for s in self.seed)
-        r = -np.log(uniform(x, 0) * uniform(x, 21))
-        c, b = np.log(-np.log(uniform(y, 0) * uniform(y, 21))), uniform(y, 42)
+            bits = _mixed(words[:, None] + self.seed).view(np.uint16).reshape(words.size, self.k, 4)
+        r, c = self.gamma.take(bits[..., 0]), self.log_gamma.take(bits[..., 1])
+        b = (bits[..., 2].astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-16)
         self.r[at], self.b[at], self.c[at], self.once[at] = r, b, c, c - r * (np.float32(1) - b)
 
     def _places(self, words: np.ndarray) -> np.ndarray:
