@@ -118,35 +118,45 @@ class Layout:
         self.tail_at = np.concatenate(([0], np.cumsum(rest)))[:-1]
         self.cuts = np.concatenate(([0], np.cumsum(tail_sequences(sum(rest), size)))).astype(np.int64)
 
-    def pieces(self, lane: int, x: int, n: int):
-        """(start in the range, length, sequence, offset) of the tokens x .. x + n of a lane, as arrays."""
-        starts, lengths, seqs, offsets = [], [], [], []
+    def _window(self, p: Phase, lane: int, a: np.ndarray) -> np.ndarray:
+        """The window of a phase that serves the lane's token ``a``; a lane in service gets two tokens a window at least, so the guess is off by one at most."""
+        lo, hi = p.edges[lane], p.edges[lane + 1]
+        w = (a << self.shift) // (hi - lo) + 1
+        for _ in range(2):
+            w = w - ((w * hi >> self.shift) - (w * lo >> self.shift) > a)
+        return w
+
+    def pieces(self, lane: int, x: np.ndarray, n: np.ndarray):
+        """(run, start in the run, length, sequence, offset) of runs of a lane, from x to x + n each, as arrays."""
+        out: list = [[], [], [], [], []]
+
+        def put(*values) -> None:
+            for v, some in zip(values, out):
+                v is not None and some.append(v)
+
+        def spread(runs, first, last):
+            many = last - first + 1
+            return np.repeat(runs, many), np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+
         for p in self.phases:
-            lo, hi = p.edges[lane], p.edges[lane + 1]
-            a, b = max(x, p.base[lane]) - p.base[lane], min(x + n - p.base[lane], served(p.windows, p.edges, lane, self.shift))
-            if hi == lo or a >= b:
+            lo, hi, base = p.edges[lane], p.edges[lane + 1], p.base[lane]
+            a, b = np.maximum(x, base) - base, np.minimum(x + n - base, served(p.windows, p.edges, lane, self.shift))
+            some = np.flatnonzero(a < b)
+            if hi == lo or not some.size:
                 continue
-            w = np.arange(max(0, (a << self.shift) // (hi - lo) - 2), min(p.windows, (b << self.shift) // (hi - lo) + 3) + 1, dtype=np.int64)
-            before = w * lo >> self.shift
-            at = (w * hi >> self.shift) - before
-            start, end = np.maximum(at[:-1], a), np.minimum(at[1:], b)
-            some = end > start
-            ahead = (before[1:] - before[:-1])[some]
-            starts.append(start[some] + p.base[lane] - x)
-            lengths.append((end - start)[some])
-            seqs.append(p.first + w[:-1][some])
-            offsets.append(ahead + (start - at[:-1])[some])
-        a, b = max(x, self.done[lane]), x + n
-        if a < b:
+            run, w = spread(some, self._window(p, lane, a[some]), self._window(p, lane, b[some] - 1))
+            before, after = w * lo >> self.shift, (w + 1) * lo >> self.shift
+            at, end = (w * hi >> self.shift) - before, ((w + 1) * hi >> self.shift) - after
+            start = np.maximum(at, a[run])
+            put(run, start + base - x[run], np.minimum(end, b[run]) - start, p.first + w, after - before + start - at)
+        a, b = np.maximum(x, self.done[lane]), x + n
+        some = np.flatnonzero(a < b)
+        if some.size:
             shift = int(self.tail_at[lane]) - self.done[lane]
-            first, last = np.searchsorted(self.cuts, (a + shift, b + shift - 1), side="right") - 1
-            k = np.arange(first, last + 1)
-            start, end = np.maximum(self.cuts[k], a + shift), np.minimum(self.cuts[k + 1], b + shift)
-            starts.append(start - shift - x)
-            lengths.append(end - start)
-            seqs.append(self.windows + k)
-            offsets.append(start - self.cuts[k])
-        return tuple(np.concatenate(v) for v in (starts, lengths, seqs, offsets))
+            run, k = spread(some, *(np.searchsorted(self.cuts, v[some] + shift - end, side="right") - 1 for end, v in enumerate((a, b))))
+            start = np.maximum(self.cuts[k], a[run] + shift)
+            put(run, start - shift - x[run], np.minimum(self.cuts[k + 1], b[run] + shift) - start, self.windows + k, start - self.cuts[k])
+        return tuple(np.concatenate(v) if v else np.empty(0, np.int64) for v in out)
 
 
 _TOKENS = "part int, row long, queue string, doc_id long, at long, n long, ids binary"
@@ -215,8 +225,8 @@ def interleaved(rows: DataFrame, quantum: int) -> DataFrame:
     return done.join(F.broadcast(ahead), ["task", "lane"]).select("part", "row", "first", "n", "lane", (F.col("ahead") + F.col("at")).alias("x"))
 
 
-def pack(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 1, size: int = 2048, by: str = "source", mixture: dict | None = None) -> DataFrame:
-    """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
+def pack(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 1, size: int = 2048, by: str = "source", mixture: dict | None = None, with_ids: bool = True) -> DataFrame:
+    """A row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ids (unsigned 32-bit) unless ``with_ids`` is off.
 
     ``mixture`` gives target proportions by source (default: each queue's share of all tokens, so that all run dry
     together). ``size`` is a power of two.
@@ -252,25 +262,25 @@ def pack(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 1, size:
     placed = rows.join(runs.groupBy("part", "row").agg(F.collect_list(F.struct("first", "n", "lane", "x")).alias("runs")), ["part", "row"])
     placed = placed.select("doc_id", "n", *(F.col(f"runs.{c}").alias(f"run_{c}") for c in ("first", "n", "lane", "x")), "ids")
 
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
     def run(batches):
-        names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
         for batch in batches:
-            out: dict = {k: [] for k in names}
-            cut: list = []
-            for doc_id, doc_tokens, *runs, ids in zip(*(batch.column(j).to_pylist() for j in range(7))):
-                wide = memoryview(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
-                for first, n, lane, x in zip(*runs):
-                    start, length, seq, offset = (v.tolist() for v in layout.pieces(lane, x, n))
-                    out["doc_id"] += [doc_id] * len(start)
-                    out["doc_tokens"] += [doc_tokens] * len(start)
-                    start = [first + a for a in start]
-                    for k, v in (("start", start), ("length", length), ("sequence_id", seq), ("offset", offset)):
-                        out[k] += v
-                    parts = [wide[4 * a : 4 * (a + m)] for a, m in zip(start, length)]
-                    out["ids_crc32"] += map(zlib.crc32, parts)
-                    cut += map(bytes, parts)
-            columns = [pa.array(out[k], pa.int64()) for k in names] + [pa.array(cut, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids"])
+            wide = [memoryview(np.frombuffer(ids, "<u2").astype("<u4").tobytes()) for ids in batch.column(6).to_pylist()]
+            many = np.diff(batch.column(2).offsets.to_numpy())
+            doc = np.repeat(np.arange(batch.num_rows), many)
+            first, n, lane, x = (batch.column(j).flatten().to_numpy() for j in (2, 3, 4, 5))
+            found: list = [[], [], [], [], []]
+            for k in np.unique(lane).tolist():
+                own = np.flatnonzero(lane == k)
+                run, start, *rest = layout.pieces(k, x[own], n[own])
+                for some, v in zip(found, (doc[own[run]], start + first[own[run]], *rest)):
+                    some.append(v)
+            doc, start, length, seq, offset = (np.concatenate(v) if v else np.empty(0, np.int64) for v in found)
+            cut = [wide[d][4 * a : 4 * (a + m)] for d, a, m in zip(doc.tolist(), start.tolist(), length.tolist())]
+            at = pa.array(doc)
+            columns = [batch.column(0).take(at), pa.array(start), pa.array(length), pa.array(map(zlib.crc32, cut), pa.int64()), batch.column(1).take(at), pa.array(seq), pa.array(offset)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(map(bytes, cut), pa.binary())] if with_ids else columns, names=[*names, "ids"] if with_ids else names)
 
     small_batches(spark, 128)
-    return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return placed.mapInArrow(run, ", ".join(f"{c} long" for c in names) + (", ids binary" if with_ids else ""))
