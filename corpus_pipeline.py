@@ -36,7 +36,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json")).drop("ids")
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), with_ids=False)
 
 
 STAGES = [("quality rules", quality_rules), ("language id", language_id), ("near duplicates", near_duplicates), ("secret scan", secret_scan), ("packing", pack)]
