@@ -104,8 +104,9 @@ def theme_categories(themes, markers: dict[str, list[str]]) -> Column:
     """
     themes = F.col(themes) if isinstance(themes, str) else themes
     text = F.concat(F.lit("|_"), F.upper(F.array_join(F.array_distinct(themes), "_|_")), F.lit("_|"))
-    found = {k: text.rlike(f"_(?:{'|'.join(re.escape(m.rstrip('_')) for m in names)})_") for k, names in markers.items()}
-    return F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in found.items())), lambda x: x.isNotNull())
+    patterns = {k: f"_(?:{'|'.join(re.escape(m.rstrip('_')) for m in names)})_" for k, names in markers.items()}
+    found = lambda t: F.filter(F.array(*(F.when(t.rlike(p), F.lit(k)) for k, p in patterns.items())), lambda x: x.isNotNull())
+    return F.get(F.transform(F.array(text), found), F.lit(0))  # the text is made once
 
 
 def mentions_alias(c: str, aliases: tuple[str, ...]) -> Column:
