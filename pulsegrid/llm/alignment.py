@@ -16,11 +16,12 @@ its memory. Only doc_id and text are read. An empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
+from array import array
 from bisect import bisect_left
-from collections import Counter
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
-from .tokens import ALPHABET, checked
+from .tokens import ALPHABET, checked, split_bytes
 
 #: White space that begins a word, and the word behind it. Other white space within (a return, say) doesn't begin one.
 WORDS = re.compile(r"(?:\s+\S*|\S+)(?:[^\S \n\t]\s*\S*)*")
@@ -84,22 +85,26 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str, room: int = KEPT_BYTES):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
+        from tiktoken import Encoding
 
-        checked(a_path, "byte")
-        self.a, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
-        self.a.encode_special_tokens = True
         byte = {shown: value for value, shown in ALPHABET.items()}
-        entries = self.a.get_vocab()
-        self.a_bytes = [b""] * (max(entries.values(), default=0) + 1)
-        for entry, i in entries.items():
-            self.a_bytes[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
+        special, model = checked(a_path, "byte")["added_tokens"], checked(a_path, "byte")["model"]
+        entries = {i: bytes(byte[c] for c in entry) for entry, i in model["vocab"].items() if entry not in {t["content"] for t in special}}
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        if [model["vocab"][m] for m in merges] != sorted(entries)[len(entries) - len(merges) :]:
+            raise ValueError(f"{a_path} doesn't number its entries in the order of its merges")
+        self.a_bytes = [entries.get(i, b"") for i in range(max(entries) + 1)]
+        #: The BPE of one part of a text, by ids as ranks; parts are split as for other operators.
+        self.part_ids = Encoding("parts", pat_str=r"\S+", mergeable_ranks={data: i for i, data in entries.items()}, special_tokens={})._encode_single_piece
+        self.b = SentencePieceProcessor(model_file=b_path)
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)) and re.search(r"[^\s▁][▁ \n\t]|\n", piece):
                 raise ValueError(f"{b_path} has a piece that goes over from one word to the next")
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
+        self.a_sizes, self.b_sizes = [*map(len, self.a_bytes)], [*map(len, self.b_bytes)]
+        self.shown = [*map(str, range(max(len(self.a_sizes), len(self.b_sizes))))]
         if len(self.b_bytes) > 1 << B_BITS or len(self.a_bytes) > 1 << 32 - B_BITS:
             raise ValueError("pairs of ids must fit 32 bits")
         self.ahead = self.b.encode("\n")  # the space that B adds, and a line feed, which joins nothing
@@ -111,26 +116,25 @@ class Aligner:
 
     def encode(self, words: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids by A and by B of words as they stand in texts."""
-        n = len(self.ahead)
-        a = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
+        n, one = len(self.ahead), self.part_ids
+        a = [[i for part in split_bytes(w) for i in one(part)] for w in words]
         return [(x, y[n:] if y[:n] == self.ahead else []) for x, y in zip(a, self.b.encode(["\n" + w for w in words], num_threads=1))]
 
     def aligned(self, word: str, a: list[int], b: list[int]) -> Word | None:
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         data = word.encode("utf-8", "surrogatepass")
-        if b"".join(a_parts) != data or b"".join(b_parts) != data:
+        if b"".join([self.b_bytes[i] for i in b]) != data or b"".join([self.a_bytes[i] for i in a]) != data:
             return None
-        shown, links, heavy = [], [], None
-        for i, j, k, m in groups_of(ends(a_parts), ends(b_parts)):
+        shown, links, heavy, names = [], [], None, self.shown
+        for i, j, k, m in groups_of([*accumulate([self.a_sizes[i] for i in a])], [*accumulate([self.b_sizes[i] for i in b])]):
             x, y = a[i:j], b[k:m]
-            shown.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
+            shown.append(f"{','.join([names[p] for p in x])}|{','.join([names[q] for q in y])}")
             if len(x) * len(y) <= MANY:
                 links += [p << B_BITS | q for p in x for q in y]
             else:
                 (p, n), (q, m) = (np.unique(np.array(v, np.int64), return_counts=True) for v in (x, y))
                 heavy = heavy or []
                 heavy.append(((p[:, None] << B_BITS | q).ravel(), np.outer(n, m).ravel()))
-        return Word(";".join(shown), np.array(links, "<u4").tobytes(), (len(a), len(b), len(shown)), heavy)
+        return Word(";".join(shown), array("I", links).tobytes(), (len(a), len(b), len(shown)), heavy)
 
     def words(self, wanted: set[str]) -> dict[str, Word | None]:
         """All of ``wanted``; those not remembered are encoded together."""
@@ -155,15 +159,6 @@ class Aligner:
         return value
 
 
-def ends(parts: list[bytes]) -> list[int]:
-    out, at = [], 0
-    for p in parts:
-        at += len(p)
-        out.append(at)
-    return out
-
-
-_NONE = np.empty(0, "<u4")
 _kept: dict = {}
 
 
@@ -219,6 +214,13 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, digest: bool = False) ->
             yield waiting
 
     def run(batches):
+        gc.disable()  # the words kept are many objects without cycles, and searching them for some takes half the time
+        try:
+            yield from rows(batches)
+        finally:
+            gc.enable()
+
+    def rows(batches):
         align, part, row = aligner(a_path, b_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for block in blocks(batch):

@@ -56,6 +56,13 @@ def spell(word: str) -> str:
     return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(ALPHABET)
 
 
+def split_bytes(text: str) -> list[bytes]:
+    """The parts that a file of kind 'byte' encodes one by one; strings of special tokens are plain text."""
+    if text.isascii():
+        return [part.encode() for part in _BYTE_ASCII.findall(text)]
+    return [part.encode("utf-8", "surrogatepass") for part in _BYTE_WORDS.findall(text)]
+
+
 def fold(text: str) -> str:
     """NFC, then each character's own lower case (no final sigma, as the library does)."""
     if text.isascii():

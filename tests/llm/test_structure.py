@@ -206,26 +206,30 @@ def aligned(out):
 
 @pytest.mark.parametrize("most_pairs", [1 << 19, 0, 40])
 def test_alignment(spark, sf, most_pairs):
-    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()][:120] + [(1000 + i, t) for i, t in enumerate(ODD_TEXTS)] + [(None, "no id"), (1001, "a")]
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()][:60] + [(1000 + i, t) for i, t in enumerate(ODD_TEXTS)] + [(None, "no id"), (1001, "a")]
     df = spark.createDataFrame([(*d, "z") for d in docs], "doc_id long, text string, part string")
     assert aligned(alignment.align(df, vocabulary(A), vocabulary(B), most_pairs, digest=True)) == brute_alignment(docs)
 
 
-def test_alignment_of_no_rows_and_of_all(spark, sf):
+def test_alignment_of_no_rows_and_as_a_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert alignment.align(docs.limit(0), vocabulary(A), vocabulary(B)).count() == 0
-    got = queries.op12_alignment(spark, sf).withColumnRenamed("groups_sha256", "groups")
-    assert aligned(got) == brute_alignment([(r["doc_id"], r["text"]) for r in docs.collect()])
+    out = queries.op12_alignment(spark, sf)
+    assert out.count() == docs.count() and out.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"]
 
 
 def test_alignment_of_random_texts():
+    from tokenizers import Tokenizer
+
     align, rng = alignment.Aligner(vocabulary(A), vocabulary(B), room=50_000), random.Random(4)
+    lib = Tokenizer.from_file(vocabulary(A))
+    lib.encode_special_tokens = True
     for _ in range(400):
         text = "".join(rng.choice(["a", "the", "ing", " ", "  ", "\n", "\t", "\r", " ", "　", "'s", "1", "é", "中", "}", ";", "\U0001f600", " "]) for _ in range(rng.randrange(1, 30)))
         parts = alignment.WORDS.findall(" " + text)
         assert "".join(parts) == " " + text
         ids = [*map(align.encode, [[p] for p in parts])]
-        assert [i for ((a, _),) in ids for i in a] == align.a.encode(" " + text, add_special_tokens=False).ids
+        assert [i for ((a, _),) in ids for i in a] == lib.encode(" " + text, add_special_tokens=False).ids
         assert [i for ((_, b),) in ids for i in b] == align.b.encode(text)
 
 
@@ -239,10 +243,11 @@ def test_galloping():
 def test_large_groups():
     """Pairs of a large group are counted, not listed."""
     align = alignment.Aligner(vocabulary(A), vocabulary(B))
-    align.a_bytes[5], align.a_bytes[6], align.b_bytes[9], align.b_bytes[10] = b"ab", b"a", b"aab", b"ab"
+    for table, sizes, new in ((align.a_bytes, align.a_sizes, {5: b"ab", 6: b"a", 11: b"aa"}), (align.b_bytes, align.b_sizes, {9: b"aab", 10: b"ab", 11: b"a", 12: b"aa", 13: b"a"})):
+        for i, data in new.items():
+            table[i], sizes[i] = data, len(data)
     word = align.aligned("a" + "ab" * 99, [6, *[5] * 99], [9, *[10] * 98])
     assert word.heavy is None and word.sizes == (100, 99, 99)
-    align.a_bytes[11], align.b_bytes[11], align.b_bytes[12], align.b_bytes[13] = b"aa", b"a", b"aa", b"a"
     n = 200
     word = align.aligned("a" * (2 * n), [11] * n, [11, *[12] * (n - 1), 13])
     assert word.heavy and word.sizes[2] == 1
