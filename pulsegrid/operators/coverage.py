@@ -63,12 +63,11 @@ def coverage_summary(buckets: DataFrame, slots: DataFrame, now: int, stale: int
     return out.withColumn("stale", F.coalesce(F.lit(now) - F.col("last_ts") > stale, F.lit(True)))
 
 
-def coverage_by_range(slots: DataFrame, ranges: tuple[int, ...], now: int) -> DataFrame:
-    """The coverage summary of each range of days that ends now."""
+def coverage_by_range(slots: DataFrame, kinds: DataFrame, ranges: tuple[int, ...], now: int) -> DataFrame:
+    """The coverage summary of each range of days that ends now, by days however short the range. ``slots`` are those that are done."""
     out = None
     for days in ranges:
-        span = Span(days, now)
-        part = coverage_summary(coverage_buckets(slots, slots, span.start, now, span.step, now), slots, now).withColumn("days", F.lit(days))
+        part = coverage_summary(coverage_buckets(slots, kinds, Span(days, now).start, now, DAY, now), slots, now).withColumn("days", F.lit(days))
         out = part if out is None else out.unionByName(part)
     return out
 

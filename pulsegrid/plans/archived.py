@@ -100,7 +100,7 @@ query("stream_ingest", f"""with {BATCHED}, {GOOD}, {C.GKG} select 'relation' as
 union all select 'geo', geo, count(*), {r('sum(w)', 'total')} from good group by 2 union all select 'articles', country, cast(sum(total_docs) as bigint), {r('sum(sum_tone)', 'total')} from gkg where country not in ('ES','S9') group by 2""")(stream_cells)
 query("stream_ledger", f"""with {BATCHED} select kind, file_ts, count(*) filter (row_status='ok') as row_count, count(*) filter (row_status like 'skip%') as skipped_rows, count(*) filter (row_status like 'reject%') as rejected, case when count(*) filter (row_status like 'reject%')>0 then 'failed' else 'done' end as status from st group by 1,2
 union all select 'gkg', cast(1704067200+(doc_id%2880)*900 as bigint)//{DAY}*{DAY}, count(*) filter (lang<>'es' or right(source,1)<>'9'), count(*) filter (lang='es' and right(source,1)='9'), 0, 'done' from documents group by 2""")(
-    lambda s, sf: s.read.parquet(f"{streamed(s, sf)}/ledger"))
+    lambda s, sf: s.read.parquet(f"{streamed(s, sf)}/ledger").select("kind", "file_ts", "row_count", "skipped_rows", "rejected", "status"))
 
 
 def sent_again(s, sf) -> str:
@@ -134,3 +134,27 @@ case when a.status='done' then x.n when (a.file_ts//{BATCH})%2=0 then y.n end as
 from (with {BATCHED} select * from {LEDGER_SQL}) a join (with {SECOND} select * from {LEDGER_SQL}) b on a.file_ts=b.file_ts
 join (with {BATCHED} select file_ts, cast(0 as bigint) as row_count from st group by 1) c on c.file_ts=a.file_ts
 left join (with {BATCHED} select * from {CELLS_SQL}) x on x.file_ts=a.file_ts left join (with {SECOND} select * from {CELLS_SQL}) y on y.file_ts=a.file_ts""")(cells_sent_again)
+
+
+def copies_in_one_run(s, sf):
+    """Two copies of every batch in one run, in folders a and b: a's are spoilt in five of 27 batches, b's odd ones in every row. The ledger's verdict and attempts beside day cells and the log of copies."""
+    from ..streaming.ingest import ingest_archives, read_copies
+
+    path = f"{C.shared(s)}/copies-{uuid.uuid4().hex}"
+    event_archives(s, sf, f"{path}/in/a")
+    rows = B.raw_events(s, sf, BATCH, 1 << 40)
+    event_archives(s, sf, f"{path}/in/b", rows.withColumn("mentions", F.when(F.floor(F.col("file_ts") / BATCH) % 2 == 1, "broken").otherwise(F.col("mentions"))))
+    ingest_archives(s, f"{path}/in", f"{path}/out", f"{path}/check", o=OPTIONS, now=lambda: C.NOW)
+    cells = s.read.parquet(f"{path}/out/relation").filter("granularity = 'day'").groupBy("file_ts").agg(F.sum("n_events").alias("n"), F.sum("sum_w").alias("total"))
+    copies = read_copies(s, f"{path}/out/copies").groupBy("file_ts").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", F.element_at(F.split("path", "/"), -2), "status"))), ",").alias("copies"))
+    return s.read.parquet(f"{path}/out/ledger").join(cells, "file_ts", "left").join(copies, "file_ts").select("file_ts", "status", "row_count", "attempts", "retry_attempts", "done_at", "n", "total", "copies")
+
+
+EVEN = f"(a.file_ts//{BATCH})%2=0"
+query("stream_copies", f"""select a.file_ts, case when a.status='done' or {EVEN} then 'done' else 'failed' end as status, case when a.status='done' then a.row_count when {EVEN} then b.row_count else c.row_count end as row_count,
+case when a.status='done' then 1 else 2 end as attempts, case when a.status='done' then 1 else 2 end as retry_attempts, case when a.status='done' or {EVEN} then cast({C.NOW} as bigint) end as done_at,
+case when a.status='done' then x.n when {EVEN} then y.n end as n, {r(f"case when a.status='done' then x.total when {EVEN} then y.total end", 'total')},
+case when a.status='done' then 'a:done,b:spare' when {EVEN} then 'a:failed,b:done' else 'a:failed,b:failed' end as copies
+from (with {BATCHED} select * from {LEDGER_SQL}) a join (with {SECOND} select * from {LEDGER_SQL}) b on a.file_ts=b.file_ts
+join (with {BATCHED} select file_ts, cast(0 as bigint) as row_count from st group by 1) c on c.file_ts=a.file_ts
+left join (with {BATCHED} select * from {CELLS_SQL}) x on x.file_ts=a.file_ts left join (with {SECOND} select * from {CELLS_SQL}) y on y.file_ts=a.file_ts""")(copies_in_one_run)

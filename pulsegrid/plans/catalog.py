@@ -252,17 +252,21 @@ query("trend_semi", f"with {GEO}, {CR} select g.geo_country, g.bucket, cast(sum(
 SLOTS = "slots as (select event_type as kind, cast(floor(epoch(ts)/900)*900 as bigint) as file_ts, count(*) as row_count, count(*) filter (value<1) as skipped_rows, case when count(*) filter (value<1)>0 then 'failed' else 'done' end as status from events group by 1,2)"
 #: Coverage is asked from within an hour to within another, two days before the end of the table.
 C_START, C_NOW = L_START + 1800, L_END - 2 * DAY + 5000
-CB = f"""cb as (select k.kind, c.bucket, c.expected, c.done, c.complete from (select distinct kind from slots) k, lateral {cover_sql('(select * from slots x where x.kind=k.kind)', C_START, L_END, 3600, C_NOW, 900)} c)"""
+DONE = "(select * from slots x where x.kind=k.kind and x.status='done')"
+CB = f"""cb as (select k.kind, c.bucket, c.expected, c.done, c.complete from (select distinct kind from slots) k, lateral {cover_sql(DONE, C_START, L_END, 3600, C_NOW, 900)} c)"""
+
+
+def done_slots(s, sf):
+    return B.slots(s, sf).filter("status = 'done'")
 
 
 def hours(s, sf):
-    x = B.slots(s, sf)
-    return coverage.coverage_buckets(x, x, C_START, L_END, 3600, C_NOW)
+    return coverage.coverage_buckets(done_slots(s, sf), B.slots(s, sf), C_START, L_END, 3600, C_NOW)
 
 
 query("coverage_buckets", f"with {SLOTS}, {CB} select * from cb")(hours)
-query("coverage_summary", f"with {SLOTS}, {CB}, l as (select kind, max(file_ts) as last_ts from slots group by 1) select cb.kind, cast(sum(expected) as bigint) as expected, cast(sum(done) as bigint) as done, count(*) filter (complete) as complete_buckets, any_value(last_ts) as last_ts, {r('100.0*sum(done)/sum(expected)', 'percent')}, {C_NOW}-any_value(last_ts)>2700 as stale from cb join l on l.kind=cb.kind group by 1")(
-    lambda s, sf: coverage.coverage_summary(hours(s, sf), B.slots(s, sf), C_NOW))
+query("coverage_summary", f"with {SLOTS}, {CB}, l as (select kind, max(file_ts) as last_ts from slots where status='done' group by 1) select cb.kind, cast(sum(expected) as bigint) as expected, cast(sum(done) as bigint) as done, count(*) filter (complete) as complete_buckets, any_value(last_ts) as last_ts, {r('100.0*sum(done)/sum(expected)', 'percent')}, coalesce({C_NOW}-any_value(last_ts)>2700, true) as stale from cb left join l on l.kind=cb.kind group by 1")(
+    lambda s, sf: coverage.coverage_summary(hours(s, sf), done_slots(s, sf), C_NOW))
 query("missing_slots", f"with {SLOTS} select k.kind, g as file_ts from (select unnest(generate_series({L_START},{L_END - 1},900)) as g) cross join (select distinct kind from slots) k where not exists (select 1 from slots s where s.kind=k.kind and s.file_ts=g)")(lambda s, sf: coverage.missing_slots(B.slots(s, sf), B.slots(s, sf), L_START, L_END))
 query("ledger_summary", f"with {SLOTS} select kind, count(*) filter (status='done') as done, count(*) filter (status='failed') as failed, max(file_ts) filter (status='done') as latest, cast(sum(row_count) as bigint) as rows_parsed, cast(sum(skipped_rows) as bigint) as rows_skipped from slots group by 1")(lambda s, sf: ledger.summary(B.slots(s, sf)))
 for name, status, k in (("recent_failures", "failed", 8), ("recent_batches", "done", 12)):
@@ -551,6 +555,52 @@ def deduplicated_stream(s, sf):
     return s.read.parquet(f"{path}/out").select("event_id", "event_type", "value")
 
 
+def distinct_stream(s, sf):
+    """The events table in three rounds, then all of it again, months behind: every event is there once, whatever the round."""
+    import uuid
+
+    from ..streaming.ingest import ingest_distinct
+
+    path = f"{shared(s)}/distinct-{uuid.uuid4().hex}"
+    rows = B.table(s, sf, "events").select("event_id", "event_type", "ts", "value")
+    for i in range(3):
+        rows.filter((F.col("event_id") % 3 == i) | (F.col("event_id") % 7 == 0)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    for more in (False, True):
+        if more:
+            rows.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        ingest_distinct(s, stream, f"{path}/out", f"{path}/check")
+    return s.read.parquet(f"{path}/out").select("event_id", "event_type", "value")
+
+
+query("stream_distinct", f"select event_id, event_type, {r('value', 'value')} from events")(distinct_stream)
+
+
+def windowed(s, sf):
+    """Hourly windows of the events table, a quarter of its time a round, and at last its first day again: closed windows, open ones, and late rows by type."""
+    import uuid
+
+    from ..streaming.ingest import Windows
+
+    path = f"{shared(s)}/windows-{uuid.uuid4().hex}"
+    rows = B.table(s, sf, "events").select("event_id", "event_type", "ts", "value")
+    quarter = (L_END - L_START) // 4
+    for i in range(5):
+        part = rows.filter((B.epoch("ts") >= L_START + i * quarter) & (B.epoch("ts") < L_START + (i + 1) * quarter)) if i < 4 else rows.filter(B.epoch("ts") < L_START + DAY)
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        windows = Windows(s, f"{path}/out")
+        windows.run(s.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/check")
+    names = ("state", "event_type", "window_start", "n", "total")
+    closed = windows.closed().withColumn("state", F.lit("closed")).select(*names)
+    late = windows.late().groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.lit("late").alias("state"), "event_type", F.lit(None).cast("long").alias("window_start"), "n", "total")
+    return closed.unionByName(windows.open().withColumn("state", F.lit("open")).select(*names)).unionByName(late)
+
+
+WINDOW_OF = "event_type, cast(floor(epoch(ts)/3600)*3600 as bigint)"
+query("stream_windows", f"""with m as (select cast(floor(epoch(max(ts))) as bigint)-7200 as mark from events),
+w as (select {WINDOW_OF} as window_start, count(*) as n, round(sum(value),6)+0.0 as total from events group by 1,2)
+select case when window_start+3600<=mark then 'closed' else 'open' end as state, event_type, window_start, n, total from w, m
+union all select 'late', event_type, null, count(*), round(sum(value),6)+0.0 from events where epoch(ts)<{L_START + DAY} group by 2""")(windowed)
 query("stream_dedup", f"select event_id, event_type, {r('value', 'value')} from events")(deduplicated_stream)
 
 
@@ -589,10 +639,10 @@ query("monthly_index_clean", """select 3 as "Month", cast(c_nationkey as varchar
 
 
 COVERED = (1, 7, 30)
-RANGES_SQL = " union all ".join(f"select {d} as days, k.kind, c.* from (select distinct kind from slots) k, lateral {cover_sql('(select * from slots x where x.kind=k.kind)', coverage.Span(d, C_NOW).start, C_NOW, coverage.Span(d, C_NOW).step, C_NOW, 900)} c" for d in COVERED)
-query("coverage_by_range", f"""with {SLOTS}, b as ({RANGES_SQL}), l as (select kind, max(file_ts) as last_ts from slots group by 1)
-select days, b.kind, cast(sum(expected) as bigint) as expected, cast(sum(done) as bigint) as done, count(*) filter (complete) as complete_buckets, any_value(last_ts) as last_ts, {r('100.0*sum(done)/sum(expected)', 'percent')}, {C_NOW}-any_value(last_ts)>2700 as stale from b join l on l.kind=b.kind group by 1,2""")(
-    lambda s, sf: coverage.coverage_by_range(B.slots(s, sf), COVERED, C_NOW))
+RANGES_SQL = " union all ".join(f"select {d} as days, k.kind, c.* from (select distinct kind from slots) k, lateral {cover_sql(DONE, coverage.Span(d, C_NOW).start, C_NOW, DAY, C_NOW, 900)} c" for d in COVERED)
+query("coverage_by_range", f"""with {SLOTS}, b as ({RANGES_SQL}), l as (select kind, max(file_ts) as last_ts from slots where status='done' group by 1)
+select days, b.kind, cast(sum(expected) as bigint) as expected, cast(sum(done) as bigint) as done, count(*) filter (complete) as complete_buckets, any_value(last_ts) as last_ts, {r('100.0*sum(done)/sum(expected)', 'percent')}, coalesce({C_NOW}-any_value(last_ts)>2700, true) as stale from b left join l on l.kind=b.kind group by 1,2""")(
+    lambda s, sf: coverage.coverage_by_range(done_slots(s, sf), B.slots(s, sf), COVERED, C_NOW))
 
 
 def checked(s, sf):
@@ -632,3 +682,40 @@ def republished(s, sf):
 
 
 query("stream_publish", SQL["ingest_idempotent"])(republished)
+
+
+def republished_on_change(s, sf):
+    """Versions that rounds leave: batches, the same batches again, more batches, the same ones, and the same with another country left out."""
+    import uuid
+    from dataclasses import replace
+
+    from ..streaming.ingest import ingest
+    from .snapshot import content_hash, publish_changed, read_view
+
+    path = f"{shared(s)}/changes-{uuid.uuid4().hex}"
+    rows = B.ev(s, sf).withColumn("kind", F.lit("events")).withColumn("file_ts", S.bucket("file_ts", BATCH))
+    older = F.col("file_ts") < S.bucket(F.lit(NOW), BATCH) - 2 * BATCH
+    made, other = [], replace(B.EVENTS, excluded_geo=("03",))
+    for part, o in ((rows.filter(older), B.EVENTS), (None, B.EVENTS), (rows.filter(~older), B.EVENTS), (None, B.EVENTS), (None, other), (None, other)):
+        if part is not None:
+            part.repartition("kind", "file_ts").write.mode("append").parquet(f"{path}/in")
+        ingest(s, f"{path}/in", rows.schema, f"{path}/out", f"{path}/check")
+        cells = s.read.parquet(f"{path}/out").filter("granularity = 'hour'")
+        data = content_hash(cells).first()["hash"]
+
+        def views(o=o, cells=cells):
+            return {("events", 1095): rollup.window_agg(cells.filter(~F.col("geo_country").isin(*o.excluded_geo)), 0, 1 << 40, ["geo_country"], ["n_events", "sum_w"])}
+
+        made.append(publish_changed(s, views, f"{path}/views", NOW, data, o))
+    out = None
+    for number, version in enumerate(made):
+        if version:
+            part = read_view(s, f"{path}/views", version, "events", 1095).select(F.lit(number).alias("round"), F.lit(version).alias("version"), "geo_country", "n_events", "sum_w")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+OLDER = f"bucket-bucket%{BATCH} < {NOW - NOW % BATCH - 2 * BATCH}"
+query("stream_publish_changes", f"with {GEO} " + " union all ".join(
+    f"select {number} as round, 'v{version:09d}' as version, geo_country, cast(sum(n_events) as bigint) as n_events, {r('sum(sum_w)', 'sum_w')} from geo where {where} group by geo_country"
+    for number, version, where in ((0, 1, f"{OLDER} and geo_country<>'24'"), (2, 2, "geo_country<>'24'"), (4, 3, "geo_country<>'03'"))))(republished_on_change)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -46,6 +47,28 @@ def publish(views: dict[tuple[str, int], DataFrame], path: str, version: str, cr
     return read_manifest(manifest.sparkSession, path, version)
 
 
+def newest(spark: SparkSession, path: str) -> dict | None:
+    """version, data_version and parameter_version of the newest published version; None before the first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in system.listStatus(folder)] if system.exists(folder) else []
+    versions = sorted(n.split("=", 1)[1] for n in names if n.startswith("version="))
+    return read_manifest(spark, path, versions[-1]).first().asDict() if versions else None  # a row a view and range
+
+
+def publish_changed(spark: SparkSession, views: Callable[[], dict[tuple[str, int], DataFrame]], path: str, created_at: int, data_version: object, parameters: object, **more) -> str | None:
+    """Publish a next version where the data or the parameters differ from the newest one's; its name, or None where nothing changed.
+
+    ``data_version`` tells the data's state (a counter, or a hash of the cells), ``parameters`` is any value whose text tells the options; ``views`` is called only for a new version.
+    """
+    last, data, chosen = newest(spark, path), str(data_version), hashlib.sha256(repr(parameters).encode()).hexdigest()
+    if last and (last.get("data_version"), last.get("parameter_version")) == (data, chosen):
+        return None
+    version = f"v{int(last['version'][1:]) + 1 if last else 1:09d}"
+    publish(views(), path, version, created_at, versions={"data_version": data, "parameter_version": chosen}, **more)
+    return version
+
+
 def read_manifest(spark: SparkSession, path: str, version: str) -> DataFrame:
     return spark.read.parquet(f"{path}/manifest/version={version}").withColumn("version", F.lit(version))
 
