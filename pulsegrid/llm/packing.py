@@ -7,9 +7,9 @@ and each document finds its own pieces. When a lane runs dry, a new phase begins
 What is left when all have run dry (less than a window's share each) is packed plainly, and the last window is cut
 into powers of two, so that no padding is needed.
 
-A source whose target is an eighth of a window or more has a lane to itself: there are eight at most. The others, however many, share one lane
+Every source whose target is a token a window or more has a lane to itself: there are ``size`` at most. Those below it, however many, share one lane
 of their joint target, and each is served in it by its own: their documents are cut into quanta of an eighth of a window at most, and
-a quantum's turn is the tokens of its source before it over the source's target. So a source that earns a few tokens a window is
+a quantum's turn is the tokens of its source before it over the source's target. So a source that earns less than a token a window is
 served a quantum in every so many windows. Quanta are sorted by their turns, by ranges, as rows without ids. With a ``mixture``, sources that
 it doesn't name are a lane that begins when all the others have run dry. Nothing about the small sources goes to the driver.
 
@@ -34,7 +34,7 @@ from .tokens import encoder
 
 NULL = "\x00null"
 GRID_BITS = 20
-#: A quantum, and the least share of a lane of one source, is a window's tokens over this.
+#: A quantum of the sources without a lane is a window's tokens over this.
 PARTS = 8
 
 
@@ -49,15 +49,15 @@ class Phase:
 
 
 def shares(weights: list[float], active: list[int], size: int) -> list[int]:
-    """Grid units of each lane: at least those of two tokens a window for an active one, 0 for others."""
+    """Grid units of each lane: at least those of a token a window for an active one, 0 for others."""
     unit = (1 << GRID_BITS) // size
     total = sum(weights[i] for i in active)
     out = [0] * len(weights)
     for i in active:
-        out[i] = max(2 * unit, int((weights[i] / total if total else 1 / len(active)) * (1 << GRID_BITS)))
+        out[i] = max(unit, int((weights[i] / total if total else 1 / len(active)) * (1 << GRID_BITS)))
     spare = (1 << GRID_BITS) - sum(out)
     for i in sorted(active, key=lambda i: -out[i]):  # the largest lanes take what rounding left or took
-        step = max(spare, 2 * unit - out[i]) if spare < 0 else spare
+        step = max(spare, unit - out[i]) if spare < 0 else spare
         out[i] += step
         spare -= step
         if not spare:
@@ -119,10 +119,10 @@ class Layout:
         self.cuts = np.concatenate(([0], np.cumsum(tail_sequences(sum(rest), size)))).astype(np.int64)
 
     def _window(self, p: Phase, lane: int, a: np.ndarray) -> np.ndarray:
-        """The window of a phase that serves the lane's token ``a``; a lane in service gets two tokens a window at least, so the guess is off by one at most."""
+        """The window of a phase that serves the lane's token ``a``; a lane in service gets a token a window at least, so the guess is three too high at most."""
         lo, hi = p.edges[lane], p.edges[lane + 1]
         w = (a << self.shift) // (hi - lo) + 1
-        for _ in range(2):
+        for _ in range(3):
             w = w - ((w * hi >> self.shift) - (w * lo >> self.shift) > a)
         return w
 
@@ -245,10 +245,10 @@ def pack(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 1, size:
         total = total.select("queue", "t", F.col("t").cast("double").alias("w"))
     total = written(total, "queues")
     whole = total.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-    own = total.filter((F.col("w") > 0) & (F.col("w") * PARTS >= F.lit(whole))).orderBy("queue").collect()  # PARTS at most
+    own = total.filter((F.col("w") > 0) & (F.col("w") * size >= F.lit(whole))).orderBy("queue").collect()  # size at most
     mine = spark.createDataFrame([(r["queue"], i) for i, r in enumerate(own)], "queue string, lane int")
     lanes = total.join(F.broadcast(mine), "queue", "left").withColumn("lane", F.coalesce("lane", F.when(F.col("w") > 0, len(own)).otherwise(len(own) + 1)))
-    sizes = {r["lane"]: r for r in lanes.groupBy("lane").agg(F.sum("t").alias("t"), F.sum("w").alias("w")).collect()}  # PARTS + 2 at most
+    sizes = {r["lane"]: r for r in lanes.groupBy("lane").agg(F.sum("t").alias("t"), F.sum("w").alias("w")).collect()}  # size + 2 at most
     layout = Layout(*([sizes[i][c] if i in sizes else 0 for i in range(len(own) + 2)] for c in "tw"), size)
 
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

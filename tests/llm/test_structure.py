@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from pulsegrid.llm import alignment, conversations, line_dedup, queries
+from pulsegrid.llm import alignment, conversations, line_dedup, packing, queries
 from pulsegrid.llm.queries import vocabulary
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -309,3 +309,35 @@ def test_line_dedup_sql(spark):
     got = queries.op13_line_dedup(spark, "/root/testdata/sf0.01")
     assert Counter(map(tuple, got.select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect())) == want
     assert np.sum([n for (_, _, n, _), m in want.items() for _ in range(m)]) > 0
+
+
+def test_packing_fills_every_window_to_target(spark):
+    """All 20 sources of the given table are served their target, within two tokens, in every window until a source runs dry."""
+    sf = "/root/testdata/sf0.01"
+    source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").collect()}
+    by, total = defaultdict(Counter), Counter()
+    for r in queries.op3_packing(spark, sf).collect():
+        by[r["sequence_id"]][source[r["doc_id"]]] += r["length"]
+        total[source[r["doc_id"]]] += r["length"]
+    share = {q: 2048 * n / total.total() for q, n in total.items()}
+    near, left = 0, Counter(total)
+    for s in sorted(by):
+        if min(left.values()) < 200:
+            break
+        assert by[s].total() == 2048 and all(abs(by[s][q] - share[q]) <= 2 for q in share)
+        near += 1
+        left.subtract(by[s])
+    assert len(total) == 20 and near > 0.95 * total.total() / 2048
+
+
+@pytest.mark.parametrize("n", [1, 3, 700, 2048])
+def test_layout_of_thin_lanes(n):
+    """Lanes of about a token a window still find their windows."""
+    totals = [3000 + i % 3 for i in range(n)]
+    layout, by = packing.Layout(totals, [float(t) for t in totals], 2048), Counter()
+    for q in range(0, n, max(1, n // 50)):
+        _, start, length, seq, offset = layout.pieces(q, np.array([0, 100]), np.array([100, totals[q] - 100]))
+        assert length.sum() == totals[q] and (length > 0).all() and (offset + length <= 2048).all()
+        for m, s in zip(length.tolist(), seq.tolist()):
+            by[q, s] += m
+    assert all(m <= 2048 * totals[q] / sum(totals) + 2 for (q, s), m in by.items() if s < layout.phases[0].windows)
