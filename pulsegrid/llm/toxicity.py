@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -112,14 +114,18 @@ class Matcher:
                     safe.append((start, end))
                 elif weight > best.get(start, (0.0, 0))[0]:
                     best[start] = (weight, end)
-        return {s: w for s, w in best.items() if not any(a <= s and w[1] <= b for a, b in safe)} if safe else best
+        if not safe:
+            return best
+        safe.sort()
+        starts, ends = [a for a, _ in safe], [*accumulate((b for _, b in safe), max)]  # the furthest end of the phrases that begin so far
+        return {s: w for s, w in best.items() if not (at := bisect_right(starts, s)) or ends[at - 1] < w[1]}
 
     def features(self, text: str | None) -> tuple[float, float]:
         """log(1 + summed weight) and summed weight a hundred words."""
         if not text:
             return 0.0, 0.0
         total = sum(w for w, _ in self.found(folded(text)).values())
-        return (math.log1p(total), min(10.0, 100.0 * total / max(20, text.count(" ") + 1))) if total else (0.0, 0.0)
+        return (math.log1p(total), min(10.0, 100.0 * total / max(20, len(text.split())))) if total else (0.0, 0.0)
 
     def score(self, text: str | None) -> float:
         a, *b = self.lexicon.curve

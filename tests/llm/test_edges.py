@@ -210,7 +210,7 @@ def plain_found(lexicon, low):
 def plain_score(lexicon, text):
     total = sum(plain_found(lexicon, plain_fold(text or "")).values())
     a, b, c = lexicon.curve
-    z = a + b * math.log1p(total) + c * min(10.0, 100.0 * total / max(20, (text or "").count(" ") + 1))
+    z = a + b * math.log1p(total) + c * min(10.0, 100.0 * total / max(20, len((text or "").split())))
     return 1 / (1 + math.exp(-max(-30, min(30, z))))
 
 
