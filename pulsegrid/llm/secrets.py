@@ -1,20 +1,24 @@
 """Secret scans: fixed patterns, and strings that a primed compressor finds new.
 
 Three patterns give the base spans. The method adds others: behind a word of sensitive context (key,
-secret, credential ...) a candidate string of 16 or more key characters, with a digit or a frequent change of case, is compressed by Zstandard
-behind its surrounding text, primed with a dictionary of common identifiers. Its marginal bytes, that is
+secret, credential ...) a candidate string of 16 or more key characters is compressed by Zstandard behind its surrounding text, primed with a dictionary of
+common identifiers and of the words that the text itself repeats. Its marginal bytes, that is
 the frame with it less the frame without it, tell novelty: an identifier or a word met nearby costs a few bytes,
-a random key most of its entropy. Candidates above ``min_ratio`` marginal bytes a character are reported as 'novel'.
+a random key most of its entropy. Candidates above ``min_ratio`` marginal bytes a character are reported as 'novel'. Base spans are measured
+too (``base_bytes``), and stay whatever they cost. Paths and names made of words with numbers behind or before them aren't candidates.
 
 Null and empty texts have no spans. Spans are in code points, end exclusive. No row leaves its task,
 so hot sources and copies need no care; other columns are not read by ``scan``. Repeated rows are scanned alike; spans that begin together
-are in the order of their kinds. A text is one row of one task, searched in time in proportion to it.
+are in the order of their kinds. A text is one row of one task, searched in time in proportion to it: a run of key characters is cut at the words of context in it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +39,18 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 LEAST = 16
 
 
+#: What parts a path or a name, and a part that is a word or a number, or one beside the other.
+_BREAKS, _PLAIN = re.compile(r"[/_=+-]+"), re.compile(r"[0-9]{0,4}[A-Za-z]?[a-z]*[0-9]{0,4}")
+
+
 def keylike(s: str) -> bool:
-    """Whether the measure may decide: with a digit, or where upper and lower case change at a third or more of the pairs of letters.
+    """Whether the measure may decide: LEAST characters in parts that aren't plain words, with a digit, or where upper and lower case change at a third or more of the pairs of letters.
 
     Long words in letters alone cost as many bytes as the shortest random strings do.
     """
+    odd = [p for p in _BREAKS.split(s) if not _PLAIN.fullmatch(p)]
+    if sum(map(len, odd)) < LEAST:
+        return False
     if re.search("[0-9]", s):
         return True
     case = [c.isupper() for c in s if c.isalpha()]
@@ -59,18 +70,27 @@ IDENTIFIERS = (
 )
 
 
+#: Words of letters that a text repeats, and how many of the commonest (ties: by the word) join the dictionary of its candidates.
+_NAME, NAMES = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z_]{4,32}(?![A-Za-z0-9+/=_-])"), 200
+
+
 class Novelty:
-    """Marginal compressed bytes of a string behind its surroundings."""
+    """Marginal compressed bytes of a string behind its surroundings; ``of`` a text, also behind the words that it repeats."""
 
     def __init__(self, identifiers: str = IDENTIFIERS, level: int = 3):
         import zstandard
 
         words = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.identifiers, self.level = identifiers, level
         self.size = zstandard.ZstdCompressor(level=level, dict_data=words, write_content_size=False, write_checksum=False)
 
+    def of(self, text: str) -> Novelty:
+        often = [(-n, w) for w, n in Counter(_NAME.findall(text)).items() if n > 1]
+        return Novelty(f"{' '.join(w for _, w in sorted(often)[:NAMES])} {self.identifiers}", self.level) if often else self
+
     def marginal(self, before: str, candidate: str, after: str) -> int:
         near = (before + " " + after).encode("utf-8", "surrogatepass")
-        return len(self.size.compress(near + candidate.encode())) - len(self.size.compress(near))
+        return len(self.size.compress(near + candidate.encode("utf-8", "surrogatepass"))) - len(self.size.compress(near))
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -86,15 +106,21 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def novel_spans(text: str, known: list, novelty: Novelty, reach: int, around: int, min_ratio: float) -> list[tuple[int, str, int]]:
-    """Candidates within ``reach`` characters behind a context word that share nothing with a known span."""
+    """Candidates within ``reach`` characters behind a context word that share nothing with a known span.
+
+    A candidate ends with its run of key characters, or is measured up to the next context word in the run; if it is novel, it is
+    reported to the end of the run.
+    """
     low = text.encode("utf-8", "surrogatepass").lower()
     if not any(w in low for w in CONTEXT):
         return []
-    found: dict = {}
-    tried: set = set()
-    run = (0, 0)
-    for word in _CONTEXT.finditer(text):
-        at, limit = word.end(), word.end() + reach
+    words = [m.span() for m in _CONTEXT.finditer(text)]
+    starts, taken = [a for a, _ in words], sorted((a, b) for a, _, b in known)
+    begins, ends = [a for a, _ in taken], [*accumulate((b for _, b in taken), max)]
+    out: list = []
+    run, past, mine = (0, 0), -1, None
+    for _, word_end in words:
+        at, limit = word_end, word_end + reach
         while at < limit:
             if not run[0] <= at < run[1]:  # words within a long run don't search it again
                 m = _RUN.search(text, at)
@@ -103,21 +129,26 @@ def novel_spans(text: str, known: list, novelty: Novelty, reach: int, around: in
                 run = m.span()
             start, end = max(at, run[0]), run[1]
             at = end
-            if start >= limit or end - start < LEAST or start in tried:
+            if start >= limit or end - start < LEAST or start <= past or out and start < out[-1][2]:
                 continue
-            tried.add(start)
-            s = text[start:end]
-            if any(a < end and start < b for a, _, b in known) or not keylike(s):
+            past = start
+            cut = bisect_left(starts, start + LEAST)
+            piece = text[start : min(end, starts[cut])] if cut < len(starts) else text[start:end]
+            near = bisect_left(begins, end)
+            if near and ends[near - 1] > start or not keylike(piece):
                 continue
-            if novelty.marginal(text[max(0, start - around) : start], s, text[end : end + around]) >= min_ratio * len(s):
-                found[start] = (start, "novel", end)
-    out: list = []
-    for span in sorted(found.values()):
-        if not out or span[0] >= out[-1][2]:
-            out.append(span)
+            mine = mine or novelty.of(text)
+            if mine.marginal(text[max(0, start - around) : start], piece, text[end : end + around]) >= min_ratio * len(piece):
+                out.append((start, "novel", end))
     return out
 
 
+def base_bytes(text: str, base: list, novelty: Novelty, around: int) -> list[int]:
+    """Marginal bytes of each base span behind the text around it."""
+    mine = novelty.of(text) if base else novelty
+    return [mine.marginal(text[max(0, a - around) : a], text[a:b], text[b : b + around]) for a, _, b in base]
+
+
 def joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, kind, b in spans)
 
@@ -128,13 +159,13 @@ def _scanner(reach: int, around: int, min_ratio: float):
     def both(text: str | None):
         base = base_spans(text or "")
         more = novel_spans(text or "", base, novelty, reach, around, min_ratio)
-        return base, sorted([*base, *more], key=lambda s: (s[0], KINDS.index(s[1])))
+        return base, sorted([*base, *more], key=lambda s: (s[0], KINDS.index(s[1]))), novelty
 
     return both
 
 
 def scan(docs: DataFrame, reach: int = 48, around: int = 256, min_ratio: float = 0.5) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel of every whole text."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel, base_bytes (marginal bytes of the base spans, comma-joined) of every whole text."""
     small_batches(docs.sparkSession)
 
     def make():
@@ -145,13 +176,14 @@ def scan(docs: DataFrame, reach: int = 48, around: int = 256, min_ratio: float =
             count = lambda kind, which: [sum(s[1] == kind for s in p[which]) for p in pairs]
             return {
                 "doc_id": rows["doc_id"], "n_assign": count("assign", 0), "n_access": count("access", 0), "n_hex": count("hex", 0),
-                "base_sha256": [hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in pairs],
-                "spans": [joined(a) for _, a in pairs], "n_novel": count("novel", 1),
+                "base_sha256": [hashlib.sha256(joined(b).encode()).hexdigest() for b, *_ in pairs],
+                "spans": [joined(a) for _, a, _ in pairs], "n_novel": count("novel", 1),
+                "base_bytes": [",".join(map(str, base_bytes(t or "", b, novelty, around))) for t, (b, _, novelty) in zip(rows["text"], pairs)],
             }
 
         return each
 
-    return rows_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long")
+    return rows_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), make, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long, base_bytes string")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", reach: int = 48, around: int = 256, min_ratio: float = 0.5) -> DataFrame:

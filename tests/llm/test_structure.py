@@ -4,13 +4,14 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from pulsegrid.llm import alignment, conversations, line_dedup, packing, queries
+from pulsegrid.llm import alignment, conversations, line_dedup, packing, queries, secrets, toxicity
 from pulsegrid.llm.queries import vocabulary
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -341,3 +342,62 @@ def test_layout_of_thin_lanes(n):
         for m, s in zip(length.tolist(), seq.tolist()):
             by[q, s] += m
     assert all(m <= 2048 * totals[q] / sum(totals) + 2 for (q, s), m in by.items() if s < layout.phases[0].windows)
+
+
+def spans_of(text):
+    return secrets.novel_spans(text, secrets.base_spans(text), secrets.Novelty(), 48, 256, 0.5)
+
+
+@pytest.mark.parametrize("text", ["see api docs https://example.com/path/to/resource123/item4567 for more", "my key points: 2024annualreportsummary1 and more", "token_type/access_token_expiry_2024/refresh_token_v2"])
+def test_paths_and_names_are_no_secrets(text):
+    assert spans_of(text) == []
+
+
+def test_planted_secrets_by_precision_and_recall():
+    """Random keys behind words of context, without an assignment, among words, paths and repeated names: all are found, and little else."""
+    rng, letters = random.Random(6), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "the report of a value is given by function handleRequest in module parser_utils with config_value and session_handler for version2 path/to/file12 internationalisation".split()
+    found = wrong = 0
+    for i in range(300):
+        key = "".join(rng.choice(letters) for _ in range(rng.randrange(20, 44)))
+        body = [rng.choice(words) for _ in range(80)]
+        at = rng.randrange(80)
+        planted = i % 3 > 0
+        body[at:at] = [rng.choice(["credential", "private key", "bearer", "auth key is", "pwd"]), key if planted else rng.choice(words)]
+        text = " ".join(body)
+        spans = spans_of(text)
+        hits = [text[a:b] == key for a, _, b in spans]
+        found += any(hits)
+        wrong += len(hits) - sum(hits)
+    assert found >= 0.97 * 200 and wrong <= 4
+
+
+def test_secret_time_follows_length():
+    took = []
+    for n in (1000, 8000):
+        text = "".join(f"key{i}x" for i in range(n)) + " the end"
+        start = time.process_time()
+        spans_of(text)
+        took.append(time.process_time() - start)
+    assert took[1] < 20 * took[0] + 0.5
+
+
+def test_a_run_of_keys_is_reported_to_its_end():
+    key = "Q7vX2mN8pL4kR9tZw3apiJ5hT1yU6"
+    text = f"the credential {key} ends"
+    assert [text[a:b] for a, _, b in spans_of(text)] == [key]
+
+
+def test_secret_bytes_of_base_spans(spark):
+    rows = [(1, "token=abcdef0123456789 and token=" + "token" * 5), (2, None), (3, "nothing here")]
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    costs = [*map(int, got[1]["base_bytes"].split(","))]
+    assert len(costs) == 2 and costs[0] > costs[1] and got[2]["base_bytes"] == got[3]["base_bytes"] == ""
+
+
+def test_toxic_exceptions_in_time():
+    m = toxicity.Matcher(toxicity.Lexicon({"bad": 2.0}, {}, ["not bad", "so not bad at all"], (0.0, 1.0, 1.0)))
+    start = time.process_time()
+    assert not m.found("so not bad at all, not bad " * 40_000) and time.process_time() - start < 5
+    assert len(m.found("so not bad at all. bad, not bad; bad not")) == 2
+    assert m.features("bad " + "word " * 199) == m.features("bad\n" + "word\n" * 199)
