@@ -719,3 +719,50 @@ OLDER = f"bucket-bucket%{BATCH} < {NOW - NOW % BATCH - 2 * BATCH}"
 query("stream_publish_changes", f"with {GEO} " + " union all ".join(
     f"select {number} as round, 'v{version:09d}' as version, geo_country, cast(sum(n_events) as bigint) as n_events, {r('sum(sum_w)', 'sum_w')} from geo where {where} group by geo_country"
     for number, version, where in ((0, 1, f"{OLDER} and geo_country<>'24'"), (2, 2, "geo_country<>'24'"), (4, 3, "geo_country<>'03'"))))(republished_on_change)
+
+
+def versions_of_cells(s, sf):
+    """Half of the batches taken in and compacted, then the rest: the first version as it stays for its readers, the newest one with what isn't compacted, after the second compaction and a vacuum, and after retention."""
+    import uuid
+
+    from ..operators.compaction import Compacted, retention
+    from ..streaming.ingest import ingest
+
+    path = f"{shared(s)}/compact-{uuid.uuid4().hex}"
+    rows = B.ev(s, sf).withColumn("kind", F.lit("events")).withColumn("file_ts", S.bucket("file_ts", BATCH))
+    older = F.col("file_ts") < S.bucket(F.lit(NOW), BATCH) - 2 * BATCH
+    cells, out = Compacted(s, f"{path}/out/geo", rollup.GEO_KEYS), []
+
+    def told(name, version=None):
+        part = cells.read(version).groupBy("granularity", "geo_country").agg(F.count(F.lit(1)).alias("cells"), F.sum("n_events").alias("n_events"), F.sum("sum_w").alias("sum_w"))
+        out.append(B.stored(part.select(F.lit(name).alias("state"), "*"), "told"))
+
+    for part in (rows.filter(older), rows.filter(~older)):
+        part.repartition("kind", "file_ts").write.mode("append").parquet(f"{path}/in")
+        ingest(s, f"{path}/in", rows.schema, f"{path}/out/geo", f"{path}/check")
+        if not out:
+            first = cells.compact()
+            told("first")
+    told("pinned", first)
+    told("followed")
+    cells.compact()
+    cells.vacuum(1)
+    told("compacted")
+    batches = rows.select("kind", "file_ts").distinct().withColumn("status", F.lit("done")).withColumn("part", F.lit("a"))
+    rollup.write_partials(batches.drop("part").withColumn("row_count", F.lit(1)), f"{path}/out/ledger")
+    for _ in range(2):
+        retention(s, f"{path}/out", {"geo": rollup.GEO_KEYS}, NOW, KEPT[0], KEPT[1])
+    told("retained")
+    ledger = s.read.parquet(f"{path}/out/ledger").groupBy("status").agg(F.count(F.lit(1)).alias("cells")).select(F.lit("ledger").alias("state"), F.col("status").alias("granularity"), F.lit(None).cast("string").alias("geo_country"), "cells", F.lit(None).cast("long").alias("n_events"), F.lit(None).cast("double").alias("sum_w"))
+    for part in out:
+        ledger = ledger.unionByName(part)
+    return ledger
+
+
+KEPT = (800, 1600)
+CUT = NOW - NOW % DAY
+query("compaction_versions", f"""with {EV}, {YEARLY}, g as (select * from y cross join (values ('hour'), ('day')) g(granularity)), t as (select bucket as file_ts from y group by 1)
+select 'ledger' as state, case when file_ts<{CUT - KEPT[1] * DAY} then 'expired' else 'done' end as granularity, null as geo_country, count(*) as cells, null as n_events, null as sum_w from t group by 2
+""" + "".join(f"union all select '{state}', granularity, geo_country, count(*), cast(sum(n_events) as bigint), {r('sum(sum_w)', 'sum_w')} from g where {where} group by 2,3 " for state, where in (
+    ("first", f"{OLDER}"), ("pinned", f"{OLDER}"), ("followed", "true"), ("compacted", "true"),
+    ("retained", f"bucket>=case granularity when 'hour' then {CUT - KEPT[0] * DAY} else {CUT - KEPT[1] * DAY} end"))))(versions_of_cells)

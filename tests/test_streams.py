@@ -122,3 +122,37 @@ def test_versions_follow_changes(spark, tmp_path, change):
     again = publish_changed(spark, views, str(tmp_path), 6, 2 if change == "data" else 1, Options(prior=21) if change == "options" else Options())
     assert again == (None if change == "nothing" else "v000000002") and len(calls) == (1 if change == "nothing" else 2)
     assert newest(spark, str(tmp_path))["version"] == (again or "v000000001")
+
+
+def test_compaction_is_followed_and_pinned(spark, tmp_path):
+    from pulsegrid.operators.compaction import Compacted, retention
+    from pulsegrid.operators.rollup import new_batches, write_partials
+
+    day, keys = 86_400, ("bucket", "geo_country")
+    cells = Compacted(spark, f"{tmp_path}/geo", keys)
+
+    def take(*rows):
+        write_partials(spark.createDataFrame([("events", ts, g, b, c, n) for ts, g, b, c, n in rows], "kind string, file_ts long, granularity string, bucket long, geo_country string, n_events long"), f"{tmp_path}/geo")
+
+    def read(version=None):
+        return sorted(tuple(r)[1:] for r in cells.read(version).select("kind", "granularity", *keys, "n_events").collect())
+
+    take((0, "day", 0, "US", 1), (day, "day", day, "US", 2))
+    assert read() == [("day", 0, "US", 1), ("day", day, "US", 2)]
+    assert cells.compact() == 1 and cells.compact() is None
+    take((900, "day", 0, "US", 5), (900, "hour", 0, "US", 5), (day, "day", day, "US", 2))
+    assert read(1) == [("day", 0, "US", 1), ("day", day, "US", 2)]
+    want = [("day", 0, "US", 6), ("day", day, "US", 2), ("hour", 0, "US", 5)]
+    assert read() == want and cells.compact() == 2 and read() == want and read(2) == want
+    assert {(r["day"], r["granularity"]): r["place"] for r in cells.days(2).collect()} == {(0, "day"): 2, (0, "hour"): 2, (day, "day"): 1}
+    assert cells.vacuum(1) > 0 and read() == want and cells.versions() == [2] and not [*(tmp_path / "geo").glob("kind=*/file_ts=*")]
+    write_partials(spark.createDataFrame([("events", ts, 1, "done") for ts in (0, 900, day)], "kind string, file_ts long, row_count int, status string"), f"{tmp_path}/ledger")
+    now = 3 * day + 5
+    for made in (3, None):
+        assert retention(spark, str(tmp_path), {"geo": keys}, now, 1, 2) == {"geo": made}
+        assert read() == [("day", day, "US", 2)]
+    ledger = spark.read.parquet(f"{tmp_path}/ledger")
+    assert {r["file_ts"]: r["status"] for r in ledger.collect()} == {0: "expired", 900: "expired", day: "done"}
+    assert [r["file_ts"] for r in new_batches(ledger.select("kind", "file_ts"), ledger).orderBy("file_ts").collect()] == [0, 900]
+    take((0, "day", 0, "US", 7))
+    assert read() == [("day", 0, "US", 7), ("day", day, "US", 2)] and cells.compact() == 4
