@@ -18,7 +18,9 @@ def code(c) -> Column:
 
 def number(c: str) -> Column:
     """A text as a double, or null. What Java alone takes for a number (1.5d, 0x1p3, Infinity) is none; NaN is one."""
-    return F.translate(F.col(c).cast("string"), "dDfFxXpP", "????????").try_cast("double")
+    text = F.col(c).cast("string")
+    x = text.try_cast("double")
+    return F.when(x.isNotNull() & ~text.rlike("[dDfFxXpP]"), x)
 
 
 def finite(x: Column) -> Column:
@@ -97,16 +99,21 @@ def tone_part(c: str, i: int) -> Column:
     return F.expr(f"try_cast(get(split({c}, ','), {i}) as double)")
 
 
-def theme_categories(themes, markers: dict[str, list[str]]) -> Column:
-    """Categories, in order, of which a marker stands in a theme between underscores or at its ends.
+def theme_flags(themes, markers: dict[str, list[str]]) -> dict[str, Column]:
+    """For each category whether a marker stands in a theme between underscores or at its ends.
 
-    The distinct themes are joined once, between bars, and each category is one search for its markers.
+    The themes are joined once, between bars, and each marker is one plain search of that text; null without themes.
     """
     themes = F.col(themes) if isinstance(themes, str) else themes
-    text = F.concat(F.lit("|_"), F.upper(F.array_join(F.array_distinct(themes), "_|_")), F.lit("_|"))
-    patterns = {k: f"_(?:{'|'.join(re.escape(m.rstrip('_')) for m in names)})_" for k, names in markers.items()}
-    found = lambda t: F.filter(F.array(*(F.when(t.rlike(p), F.lit(k)) for k, p in patterns.items())), lambda x: x.isNotNull())
-    return F.get(F.transform(F.array(text), found), F.lit(0))  # the text is made once
+    text = F.concat(F.lit("_"), F.upper(F.array_join(themes, "_|_")), F.lit("_"))
+    found = lambda names: [F.contains(text, F.lit(f"_{m.rstrip('_')}_")) for m in names]
+    return {k: functools.reduce(lambda a, b: a | b, found(names), F.lit(False)) for k, names in markers.items()}
+
+
+def theme_categories(themes, markers: dict[str, list[str]]) -> Column:
+    """The categories of ``theme_flags`` that hold, in order; none without themes."""
+    flags = theme_flags(themes, markers)
+    return F.array_except(F.array(*(F.when(f, F.lit(k)) for k, f in flags.items())), F.array(F.lit(None).cast("string")))
 
 
 def mentions_alias(c: str, aliases: tuple[str, ...]) -> Column:

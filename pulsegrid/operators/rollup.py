@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fields import mentions_alias, theme_categories
+from ..functions.fields import mentions_alias, theme_flags
 from ..functions.scores import DAY, HOUR, bucket, mention_weight, negativity, quad_direction, unit
 from ..options import CATEGORIES, Options
 
@@ -35,14 +35,15 @@ def rollup_geo(ev: DataFrame, grain: str = "day", *extra: str) -> DataFrame:
 
 
 def rollup_articles(art: DataFrame, grain: str = "day", o: Options = Options(), *extra: str) -> DataFrame:
-    """Each article counts once for each of its distinct countries."""
+    """Each article counts once for each of its distinct countries; what is searched in its texts is searched before it is repeated for them."""
+    flags = {f"_is_{c}": F.coalesce(f, F.lit(False)) for c, f in theme_flags("themes", o.themes).items()}
     rows = art.select(
         *extra, bucket("file_ts", SIZES[grain]).alias("bucket"), F.col("tone").cast("double").alias("tone"), F.col("polarity").cast("double").alias("polarity"),
-        theme_categories("themes", o.themes).alias("cats"), mentions_alias("organizations", o.aliases).alias("alias"),
-        F.explode(F.array_distinct("countries")).alias("country"),
+        *(f.alias(k) for k, f in flags.items()), mentions_alias("organizations", o.aliases).alias("alias"), F.array_distinct("countries").alias("_countries"),
     )
+    rows = rows.withColumn("country", F.explode("_countries"))
     neg = negativity("tone")
-    has = {c: F.array_contains("cats", c) for c in CATEGORIES}
+    has = {c: F.col(f"_is_{c}") if f"_is_{c}" in flags else F.lit(False) for c in CATEGORIES}
     measures = [F.count(F.lit(1)).alias("total_docs"), *(F.count_if(h).alias(f"{c}_docs") for c, h in has.items())]
     measures += [F.count_if("alias").alias("alias_docs"), F.count(F.lit(1)).alias("modeled_docs"), *(F.count_if(h).alias(f"{c}_modeled_docs") for c, h in has.items())]
     measures += [F.sum("tone").alias("sum_tone"), F.sum("polarity").alias("sum_polarity"), F.sum("tone").alias("sum_modeled_tone"), F.sum(neg).alias("sum_negative_tone")]

@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all cores by ``key`` where a table has fewer files than there are cores (one file may be one row group, so one task); others stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def epoch(c: str):
     return F.unix_timestamp(F.col(c).cast("timestamp"))
 
@@ -33,7 +39,7 @@ def code(c: str):
 
 
 def ev(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = spread(table(spark, sf, "lineitem"), "l_orderkey").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = rows.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.select(
         (F.floor(epoch("o_orderdate") / 900) * 900).cast("long").alias("file_ts"), F.concat(F.lit("N"), code("c_nationkey")).alias("actor1"),
@@ -65,7 +71,7 @@ def raw_events(spark: SparkSession, sf: str, batch: int = DAY, every: int = 50)
 def art(spark: SparkSession, sf: str) -> DataFrame:
     lang, words = F.upper("lang"), F.upper(F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")))
     themes = F.split(F.concat(lang, F.lit("_"), F.replace(words, F.lit(" "), F.concat(F.lit(" "), lang, F.lit("_")))), " ")
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         "doc_id", (F.lit(1704067200) + F.col("doc_id") % 2880 * 900).cast("long").alias("file_ts"),
         F.array(lang, F.concat(F.lit("S"), F.substring("source", -1, 1))).alias("countries"), ((F.col("n_chars") % 41 - 20) / F.lit(2.0)).cast("double").alias("tone"),
         (F.col("n_chars") % 7).cast("double").alias("polarity"), F.lower("text").alias("organizations"), F.when(words == "", F.expr("cast(array() as array<string>)")).otherwise(themes).alias("themes"),
