@@ -39,6 +39,39 @@ def crosswalk(a: DataFrame, b: DataFrame, supplements: DataFrame) -> DataFrame:
     return known.unionByName(supplements.join(known.select("a_code"), "a_code", "left_anti").select("a_code", "b_code"))
 
 
+def _pieces(text, size):
+    """The distinct pieces of a length of a text; none of a shorter text."""
+    count = F.length(text) - size + 1
+    return F.when(count > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.substr(text, i, size)))).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def _within(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer) of distinct texts where the inner one stands in a longer outer one.
+
+    An inner text's pieces of three letters (of all its letters, where it has fewer) are all among the outer text's. So each inner text meets only the outer texts
+    with that piece of it which the fewest of them have, and the exact test follows.
+    """
+    i, o = F.col("inner"), F.col("outer")
+    held = outer.select("outer", F.explode(F.concat(*(_pieces(o, F.lit(n)) for n in (1, 2, 3)))).alias("_piece"))
+    seen = held.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    own = inner.select("inner", F.explode(_pieces(i, F.least(F.length(i), F.lit(3)))).alias("_piece"))
+    rarest = own.join(seen, "_piece").groupBy("inner").agg(F.min(F.struct("_n", "_piece"))["_piece"].alias("_piece"))
+    return rarest.join(held, "_piece").filter(F.contains(o, i) & (o != i)).select("inner", "outer")
+
+
+def contained_pairs(values: DataFrame, value: str, names: DataFrame, name: str, shortest: int = 2) -> DataFrame:
+    """Pairs of distinct ``value`` and rows of ``names`` where they are equal, or where a name of ``shortest`` letters or more contains the value or is contained in it.
+
+    All three cases are joins on equal keys (the texts, or a rare piece of them), so no value meets all names. Empty texts and nulls match nothing; repeated rows of names stay.
+    """
+    v = values.select(F.col(value).alias("v")).filter("v <> ''").distinct()
+    n = names.select(F.col(name).alias("n")).filter(F.length("n") >= max(shortest, 1)).distinct()
+    inside = _within(v.toDF("inner"), n.toDF("outer")).select(F.col("inner").alias(value), F.col("outer").alias(name))
+    around = _within(n.toDF("inner"), v.toDF("outer")).select(F.col("outer").alias(value), F.col("inner").alias(name))
+    equal = v.withColumnRenamed("v", value).join(names, F.col(value) == F.col(name))
+    return inside.unionByName(around).join(names, name).unionByName(equal)
+
+
 def resolve_countries(df: DataFrame, column: str, a: DataFrame, b: DataFrame, cross: DataFrame, names: DataFrame, excluded_a: tuple[str, ...] = (), excluded_b: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with a_code, b_code and name of a free-form value; null where there is no match, or an excluded one.
 
@@ -52,10 +85,10 @@ def resolve_countries(df: DataFrame, column: str, a: DataFrame, b: DataFrame, cr
     own = a.select(F.col("code").alias("_key"), F.col("code").alias("_a3")).filter(F.length("_key") == 3)
     two = b.filter(F.length("code") == 2).select(F.col("code").alias("_key"), F.col("code").alias("_b2"), F.col("label").alias("_b_label"))
     keys = keys.join(own, "_key", "left").join(two, "_key", "left").join(first_a.withColumnRenamed("b_code", "_b2"), "_b2", "left")
-    open_ = keys.filter("_a3 is null and _b2 is null").select(column, "_raw")
-    pairs = open_.join(names, (F.col("_raw") == F.col("label")) | ((F.length("label") >= 2) & (F.contains(F.col("_raw"), F.col("label")) | F.contains(F.col("label"), F.col("_raw")))))
-    best = pairs.groupBy(column).agg(F.min_by("a_code", F.struct(F.col("_raw") != F.col("label"), "place")).alias("_named"))
-    keys = keys.join(best, column, "left").withColumn("a_code", F.coalesce("_a3", "_from_b", "_named"))
+    open_ = keys.filter("_a3 is null and _b2 is null").select("_raw")
+    pairs = contained_pairs(open_, "_raw", names, "label")
+    best = pairs.groupBy("_raw").agg(F.min_by("a_code", F.struct(F.col("_raw") != F.col("label"), "place")).alias("_named"))
+    keys = keys.join(best, "_raw", "left").withColumn("a_code", F.coalesce("_a3", "_from_b", "_named"))
     labels = a.select(F.col("code").alias("a_code"), F.col("label").alias("_a_label"))
     keys = keys.join(labels, "a_code", "left").join(cross.groupBy("a_code").agg(F.min("b_code").alias("_b")), "a_code", "left")
     out = F.coalesce(F.col("a_code").isin(*excluded_a) | F.col("_key").isin(*excluded_b), F.lit(False)) | F.coalesce("a_code", "_b2").isNull()

@@ -110,14 +110,34 @@ def masses(o: Options = Options()) -> list[Column]:
     return [F.sum(F.when(F.col("root_code").isin(*roots), neg).otherwise(0.0)).alias(f"w_{k}") for k, roots in groups]
 
 
-def aggregates_equal(a: DataFrame, b: DataFrame, keys, measures, rel: float = 1e-10, absolute: float = 1e-8) -> DataFrame:
-    """One row: keys compared, keys on one side only, values beyond tolerance."""
-    x = a.select(*keys, F.struct(*measures).alias("x"))
-    y = b.select(*keys, F.struct(*measures).alias("y"))
-    both = x.join(y, list(keys), "full_outer")
-    far = lambda m: F.abs(F.col("x")[m] - F.col("y")[m]) > F.greatest(F.lit(rel) * F.greatest(F.abs(F.col("x")[m]), F.abs(F.col("y")[m])), F.lit(absolute))
-    off = sum((F.coalesce(far(m), F.lit(False)).cast("int") for m in measures), F.lit(0))
-    return both.agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("one_sided"), F.coalesce(F.sum(off), F.lit(0)).cast("long").alias("mismatches"))
+def _digests(cells: DataFrame, by: list, keys, measures) -> DataFrame:
+    """A row a bucket: how many cells, and two digests of all their values that don't depend on their order."""
+    values = [x for c in (*keys, *measures) for x in (F.col(c), F.col(c).isNull())]
+    row = F.xxhash64(*values)
+    return cells.groupBy(*by).agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(row.cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), *values)).alias("xor")).alias("d"))
+
+
+def aggregates_equal(a: DataFrame, b: DataFrame, keys, measures, rel: float = 1e-10, absolute: float = 1e-8, by: str = "bucket") -> DataFrame:
+    """One row: keys compared, keys on one side only, values beyond tolerance.
+
+    Cells meet only in the buckets (values of ``by``, one of the keys) whose digests differ; of the others only the number of cells is used. Keys are distinct on each side.
+    A null or NaN equals itself alone.
+    """
+    both = _digests(a, [by], keys, measures).withColumnRenamed("d", "x").join(_digests(b, [by], keys, measures).withColumnRenamed("d", "y"), by, "full_outer")
+    same = F.coalesce(F.col("x") == F.col("y"), F.lit(False))
+    alike = both.filter(same).agg(F.coalesce(F.sum("x.n"), F.lit(0)).alias("_alike"))
+    differ = both.filter(~same).select(by)
+    side = lambda df, name: df.join(differ, by, "left_semi").select(*keys, F.struct(*measures).alias(name))
+    rows = side(a, "x").join(side(b, "y"), list(keys), "full_outer")
+    off = F.lit(0)
+    for m in measures:
+        x, y = F.col("x")[m], F.col("y")[m]
+        odd = (x.isNull() != y.isNull()) | (F.isnan(x) != F.isnan(y))
+        far = F.abs(x - y) > F.greatest(F.lit(rel) * F.greatest(F.abs(x), F.abs(y)), F.lit(absolute))
+        off += F.coalesce(odd | (far & ~F.isnan(x)), F.lit(False)).cast("int")
+    one = F.col("x").isNull() | F.col("y").isNull()
+    sums = rows.agg(F.count(F.lit(1)).alias("_rows"), F.count_if(one).alias("one_sided"), F.coalesce(F.sum(F.when(~one, off)), F.lit(0)).cast("long").alias("mismatches"))
+    return sums.crossJoin(alike).select((F.col("_rows") + F.col("_alike")).alias("n_keys"), "one_sided", "mismatches")  # one row each
 
 
 def read_evolved(spark, path: str, measures: list[str]) -> DataFrame:

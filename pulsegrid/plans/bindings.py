@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from ..functions.scores import DAY
 from ..operators.coverage import Span, coverage_buckets
 from ..operators.rollup import rollup_articles, rollup_geo, rollup_relation
 from ..options import Options
+from ..scratch import shared, stored  # noqa: F401
 
 AS_OF, ART_AS_OF = 996_667_200, 1_706_659_200
 SPAN, ART_SPAN = Span(365, AS_OF), Span(30, ART_AS_OF)
@@ -110,21 +108,3 @@ def day_coverage(spark: SparkSession, sf: str, back: int = 0, cells: DataFrame |
 def art_coverage(spark: SparkSession, sf: str) -> DataFrame:
     days = art(spark, sf).select(F.lit("gkg").alias("kind"), "file_ts").distinct()
     return coverage_buckets(days, days, ART_SPAN.start, ART_SPAN.end + DAY, DAY, ART_AS_OF)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, made once; views over cells read it, however often they do."""
-    path = f"{shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def shared(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one in local sessions without it, kept in the session's settings."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.pulsegrid.shared", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="pulsegrid-")
-        spark.conf.set("spark.pulsegrid.shared", base)
-    return f"{base.rstrip('/')}/pulsegrid-{spark.sparkContext.applicationId}"

@@ -232,6 +232,34 @@ def stamped(s, sf):
 
 
 query("view_stamped", f"with {REL}, {COV}, {ATT} select att.*, x.*, 7 as data_version, 1 as parameter_version, 'cells-1' as model_version from att cross join ({COVSUM}) x")(stamped)
+def event_summary(s, sf, cells):
+    """Coverage of the event days in the window, from cells that are stored."""
+    cov = B.day_coverage(s, sf, cells=cells)
+    last = B.ev(s, sf).agg(F.max("file_ts").alias("file_ts")).withColumn("kind", F.lit("events"))
+    return coverage.coverage_summary(cov, last, NOW)
+
+
+def stamped_overview(s, sf, country):
+    rel = B.stored(B.rel_cells(s, sf), "rel")
+    return views.stamped(views.overview(rel, B.SPAN, B.EVENTS, country), event_summary(s, sf, rel), VERSIONS)
+
+
+def stamped_risk(s, sf):
+    geo = stored_geo(s, sf)
+    return views.stamped(views.country_risk(geo, geo, B.day_coverage(s, sf, cells=geo), B.SPAN, B.EVENTS), event_summary(s, sf, geo), VERSIONS)
+
+
+def stamped_enterprise(s, sf):
+    slots = B.art(s, sf).select(F.lit("gkg").alias("kind"), "file_ts").distinct()
+    return views.stamped(views.enterprise_risk(B.gkg_cells(s, sf), B.ART_SPAN, B.ARTICLES), coverage.coverage_summary(B.art_coverage(s, sf), slots, E_NOW), VERSIONS)
+
+
+VERSION_SQL = "7 as data_version, 1 as parameter_version, 'cells-1' as model_version"
+ACOVSUM = f"select cast(sum(expected) as bigint) as expected, cast(sum(done) as bigint) as done, {r('100.0*sum(done)/sum(expected)', 'percent')}, count(*) filter (complete) as complete_days, (select max(file_ts) from art) as last_ts, {E_NOW}-(select max(file_ts) from art)>2700 as stale from {cover_sql('art', E_START, E_END + DAY, DAY, E_NOW, 900)}"
+query("view_country_risk_stamped", f"with {GEO}, {COV}, {MOM}, {CR} select v.*, x.*, {VERSION_SQL} from ({CR_VIEW}) v cross join ({COVSUM}) x")(stamped_risk)
+query("view_enterprise_stamped", f"with {GKG}, {ENT} select ent.*, x.*, {VERSION_SQL} from ent cross join ({ACOVSUM}) x")(stamped_enterprise)
+for name, country, where, partner in OVER:
+    query(f"view_overview_{name}_stamped", f"with {EV}, {COV} select v.*, x.*, {VERSION_SQL} from ({SQL[f'view_overview_{name}']}) v cross join ({COVSUM}) x")(lambda s, sf, country=country: stamped_overview(s, sf, country))
 query("top_roots", f"with {REL} select root_code, cast(sum(n_events) as bigint) as n_events from rel where {WIN} group by 1 order by 2 desc, 1 limit 12")(lambda s, sf: rollup.window_agg(B.rel_cells(s, sf), START, NOW, ["root_code"], ["n_events"]).orderBy(F.desc("n_events"), "root_code").limit(12))
 query("topk_slim", f"with {REL}, {ATT} select actor1, attitude_score, rank from att where rank<=8")(lambda s, sf: views.attitude(B.rel_cells(s, sf), B.SPAN, B.EVENTS).filter("rank <= 8").select("actor1", "attitude_score", "rank"))
 query("expand_series", f"with {GEO} select geo_country, bucket, cast(sum(n_events) as bigint) as n_events from geo where {WIN} and geo_country not in ('06','24') group by 1,2")(lambda s, sf: views.expand_series(views.pack_series(views.daily_counts(B.geo_cells(s, sf), B.SPAN, B.EVENTS), "geo_country", ["n_events"]), "geo_country", ["n_events"]))
@@ -390,6 +418,30 @@ select id, raw, case when not gone then coalesce(code,'') end as a_code, case wh
 query("aggregates_equal", f"with {GEO} select count(*) as n_keys, cast(0 as bigint) as one_sided, cast(0 as bigint) as mismatches from geo")(lambda s, sf: rollup.aggregates_equal(B.geo_cells(s, sf), rollup.to_day(rollup.rollup_geo(B.ev(s, sf), "hour"), rollup.GEO_KEYS), rollup.GEO_KEYS, ["sum_w", "sum_gold_w", "sum_tone"]))
 query("percentile_ties", "select c_custkey, c_nationkey, case when n<=1 then 50 else round(100.0*((r-1)+(t-1)/2.0)/(n-1),6)+0.0 end as percentile from (select c_custkey, c_nationkey, c_mktsegment, rank() over (partition by c_nationkey order by c_mktsegment) as r, count(*) over (partition by c_nationkey) as n, count(*) over (partition by c_nationkey, c_mktsegment) as t from customer)")(
     lambda s, sf: rank.percentile_ties(B.table(s, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_mktsegment", ["c_nationkey"]).drop("c_mktsegment"))
+# the same without a partition: all customers, by a column of few values and by one of many
+PCT = lambda c: f"case when count(*) over ()<=1 then 50 else round(100.0*((rank() over (order by {c})-1)+(count(*) over (partition by {c})-1)/2.0)/(count(*) over ()-1),6)+0.0 end"
+query("percentile_all", f"select c_custkey, {PCT('c_mktsegment')} as segment, {PCT('c_acctbal')} as balance from customer")(
+    lambda s, sf: rank.percentile_ties(rank.percentile_ties(B.table(s, sf, "customer"), "c_mktsegment").withColumnRenamed("percentile", "segment"), "c_acctbal").select("c_custkey", "segment", F.col("percentile").alias("balance")))
+query("rank_all", "select o_orderkey, o_orderpriority, row_number() over (order by o_orderpriority desc, o_orderkey) as rank from orders")(
+    lambda s, sf: rank.ranked_wide(B.table(s, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey"))
+LOOSE = "case c_custkey%4 when 0 then cast(c_custkey as string) when 1 then concat('Supplier#', lpad(cast(c_custkey as string),9,'0'), ' Ltd') when 2 then concat('Supplier#', lpad(cast(c_custkey as string),9,'0')) else c_mktsegment end"
+query("contained_names", f"with v as (select distinct {LOOSE} as value from customer) select value, s_name, s_suppkey from v join supplier on contains(value, s_name) or contains(s_name, value)")(
+    lambda s, sf: dims.contained_pairs(B.table(s, sf, "customer").select(F.expr(LOOSE).alias("value")), "value", B.table(s, sf, "supplier").select("s_name", "s_suppkey"), "s_name"))
+
+
+def planted(s, sf):
+    """Day cells against others with cells of either side alone, and values beyond and within the tolerance."""
+    day = F.expr(f"bucket div {DAY}")
+    cells = B.stored(B.geo_cells(s, sf), "geo")
+    other = rollup.to_day(rollup.rollup_geo(B.ev(s, sf), "hour"), rollup.GEO_KEYS).filter(~((F.col("root_code") == "03") & (day % 7 == 0)))
+    other = other.unionByName(cells.filter((F.col("root_code") == "01") & (day % 13 == 0)).withColumn("root_code", F.lit("99")))
+    other = other.withColumn("sum_w", F.col("sum_w") + F.when((F.col("root_code") == "04") & (day % 11 == 0), 1.0).otherwise(0.0))
+    other = other.withColumn("sum_tone", F.col("sum_tone") * F.when(F.col("root_code") == "05", F.lit(1 + 1e-12)).otherwise(F.lit(1.0)))
+    return rollup.aggregates_equal(cells, other, rollup.GEO_KEYS, ["sum_w", "sum_gold_w", "sum_tone"])
+
+
+PLANTED = {"gone": "root_code='03' and (bucket//86400)%7=0", "more": "root_code='01' and (bucket//86400)%13=0", "off": "root_code='04' and (bucket//86400)%11=0"}
+query("aggregates_differ", f"with {GEO} select count(*)+count(*) filter ({PLANTED['more']}) as n_keys, count(*) filter ({PLANTED['gone']})+count(*) filter ({PLANTED['more']}) as one_sided, count(*) filter ({PLANTED['off']}) as mismatches from geo")(planted)
 W4 = {"social": 0.30, "political": 0.25, "conflict": 0.25, "media": 0.20}
 query("zscore_index", """with p as (select c_nationkey as country, 1 as month, greatest(0,least(100,avg(c_acctbal)/100)) as social, greatest(0,least(100,max(c_acctbal)/100)) as political, greatest(0,least(100,count(*)/10.0)) as conflict, greatest(0,least(100,stddev_pop(c_acctbal)/100)) as media from customer group by 1),
 x as (select *, 0.3*social+0.25*political+0.25*conflict+0.2*media as v from p), y as (select *, avg(v) over () as mu, stddev_pop(v) over () as sd from x)
