@@ -145,17 +145,19 @@ CR = f"""cr as (select geo_country, n_events, {GEV} as evidence, {SUB('sec')} as
   from (select geo_country, {G_SUM} from geo where {WIN} and geo_country not in ('06','24') group by 1) where n_events>=20)"""
 CR_VIEW = f"""select cr.geo_country, n_events, {ROUND(['evidence', 'security', 'social', 'political', 'media', 'conflict', 'avg_tone', 'risk_score'])}, round(coalesce(momentum,50),6)+0.0 as momentum, momentum is not null as momentum_available,
 cast(row_number() over (order by round(risk_score,1) desc, cr.geo_country) as int) as rank from cr left join mom on mom.geo_country=cr.geo_country"""
-def stored_geo(s, sf):
-    return B.stored(B.geo_cells(s, sf), "geo")
+def stored_geo(s, sf, since=None):
+    """Day cells written once; of a view that looks back to ``since``, only those from then on, so that older rows end at the scan."""
+    cells = B.geo_cells(s, sf)
+    return B.stored(cells if since is None else cells.filter(F.col("bucket") >= since), "geo")
 
 
 def ranked_risk(s, sf):
-    geo = stored_geo(s, sf)
+    geo = stored_geo(s, sf, START)
     return views.country_risk(geo, geo, B.day_coverage(s, sf, cells=geo), B.SPAN, B.EVENTS)
 
 
 def risk_trend(s, sf, country=None):
-    geo = stored_geo(s, sf)
+    geo = stored_geo(s, sf, START - 31 * DAY)
     return views.trend_country_risk(geo, geo, B.day_coverage(s, sf, cells=geo), B.day_coverage(s, sf, 31, geo), B.SPAN, B.EVENTS, country)
 
 
@@ -245,7 +247,7 @@ def stamped_overview(s, sf, country):
 
 
 def stamped_risk(s, sf):
-    geo = stored_geo(s, sf)
+    geo = stored_geo(s, sf, START)
     return views.stamped(views.country_risk(geo, geo, B.day_coverage(s, sf, cells=geo), B.SPAN, B.EVENTS), event_summary(s, sf, geo), VERSIONS)
 
 
