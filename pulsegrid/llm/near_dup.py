@@ -8,7 +8,7 @@ Buckets of any size are searched without their square: first each member is comp
 components; then only pairs from different components are left, with at least one side outside the
 bucket's largest component. Those pairs pass a size and a signature filter (512 values for large buckets, five and a half standard
 deviations wide: it leaves out a true pair with a probability of 2e-8) and all links are confirmed on the full sets. In large buckets
-that happens within the blocks, which return a spanning forest of the links between components. Components are contracted by joins;
+that happens within blocks, to which signatures go first and then the sets of members with a fitting partner; they return a spanning forest of the links between components. Components are contracted by joins;
 nothing is collected. Keys with many rows (a bucket, a bucket's first, a large component) are dealt over several tasks.
 
 There are as many bands as leave a pair at the threshold without a common bucket with a probability of ``miss``: 16 at 0.85, 22 at 0.8.
@@ -173,14 +173,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _long_signatures(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """(rep, sig, set) of members of large buckets alone; sig is the low bytes of LONG_PERMS minima and as many maxima."""
-    some = sets.join(large.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct()
+    """(rep, mark, sig) of members of large buckets alone; sig is the low bytes of LONG_PERMS minima and as many maxima, mark tells the set of a rep with several."""
+    some = sets.join(large.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn("mark", F.xxhash64("set")).dropDuplicates(["doc_id", "mark"])
 
     def make():
         minmax = MinMax(LONG_PERMS)
-        return lambda rows: {"rep": rows["doc_id"], "sig": [(minmax(np.frombuffer(x, np.uint64)) & np.uint32(255)).astype(np.uint8).tobytes() for x in rows["set"]], "set": rows["set"]}
+        return lambda rows: {"rep": rows["doc_id"], "mark": rows["mark"], "sig": [(minmax(np.frombuffer(x, np.uint64)) & np.uint32(255)).astype(np.uint8).tobytes() for x in rows["set"]]}
 
-    return written(rows_map(some, make, "rep long, sig binary, set binary"), "long-signatures")
+    return written(rows_map(some, make, "rep long, mark long, sig binary"), "long-signatures")
 
 
 def _mapped(rows: DataFrame, column: str, parent: DataFrame, by: str) -> DataFrame:
@@ -210,27 +210,46 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _block_links(t: pa.Table, least: float, percent: int) -> pa.Table:
-    """Links between members of two parts of a bucket that join components not joined before in this block.
+class _Block:
+    """Members of two parts of a bucket; ``own`` tells the part, ``i`` and ``j`` the two parts of the block."""
 
-    ``own`` tells the part, ``i`` and ``j`` the two parts of the block. Pairs within the bucket's largest component are never looked at.
-    """
-    own, rep, n, comp = (t.column(c).to_numpy() for c in ("own", "rep", "n", "component"))
-    outside, comp = t.column("outside").to_numpy(), comp.copy()
-    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+    def __init__(self, t: pa.Table, least: float):
+        self.own, self.rep, self.n, self.comp, self.outside = (t.column(c).to_numpy() for c in ("own", "rep", "n", "component", "outside"))
+        self.sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        self.least, self.enough = least, least - margin(least, self.sig.shape[1])
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        self.left, self.right, self.same = np.flatnonzero(self.own == i), np.flatnonzero(self.own == j), i == j
+
+    def fitting(self, r: int, comp: np.ndarray) -> np.ndarray:
+        """The rows that row ``r`` may be linked to by component, size and signature; pairs within the bucket's largest component are never looked at."""
+        some = self.right[self.right > r] if self.same else self.right
+        n = self.n[some]
+        some = some[(comp[some] != comp[r]) & (self.outside[some] | self.outside[r]) & (np.minimum(n, self.n[r]) >= self.least * np.maximum(n, self.n[r]))]
+        return some[(self.sig[some] == self.sig[r]).mean(axis=1) >= self.enough] if some.size else some
+
+
+def _block_members(t: pa.Table, least: float) -> pa.Table:
+    """The members of a block that may be linked to another one there: they alone need their sets."""
+    block, near = _Block(t, least), np.zeros(t.num_rows, bool)
+    for r in block.left:
+        some = block.fitting(r, block.comp)
+        near[some] = True
+        near[r] |= some.size > 0
+    return t.filter(pa.array(near))
+
+
+def _block_links(t: pa.Table, least: float, percent: int) -> pa.Table:
+    """Links between members of two parts of a bucket that join components not joined before in this block, confirmed on full sets."""
+    block = _Block(t, least)
+    rep, n, comp = block.rep, block.n, block.comp.copy()
     sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum([x.size for x in sets])
     codes, mark = np.split(codes, ends[:-1]), np.zeros(codes.size, bool)
-    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     a, b = [], []
-    for r in left:
-        some = right[right > r] if i == j else right
-        some = some[(comp[some] != comp[r]) & (outside[some] | outside[r]) & (np.minimum(n[some], n[r]) >= least * np.maximum(n[some], n[r]))]
-        some = some[(sig[some] == sig[r]).mean(axis=1) >= least - margin(least, sig.shape[1])] if some.size else some
+    for r in block.left:
         mark[codes[r]] = True
-        for c in some:
+        for c in block.fitting(r, comp):
             if comp[c] != comp[r]:
                 common = np.count_nonzero(mark[codes[c]])
                 if 100 * common >= percent * (n[r] + n[c] - common):
@@ -245,7 +264,8 @@ def _cross(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     """What a bucket's members in different components give, at least one of a pair outside its largest.
 
     Small buckets give pairs that are still to be confirmed. Large ones are cut into parts by rows and bytes; every two parts are one
-    task, which confirms on full sets and returns only links that join components there: fewer than it has rows.
+    task, which sees sizes and signatures and names the members that may be linked there. Sets go to these alone, and a second task
+    a block confirms on them and returns only links that join components there: fewer than it has rows.
     """
     least = percent / 100
     rows = written(members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), "members")
@@ -262,8 +282,10 @@ def _cross(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     blocks = F.greatest(F.ceil(F.col("total") / BLOCK), F.ceil(F.col("values") / BLOCK_VALUES)).cast("int")
     side = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     side = side.join(_long_signatures(large, sets), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = side.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "component", "outside", "sig", "set")
-    return pairs, side.groupBy("key", "i", "j").applyInArrow(lambda t: _block_links(t, least, percent), "a long, b long")
+    side = side.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "mark", "n", "component", "outside", "sig")
+    near = side.groupBy("key", "i", "j").applyInArrow(lambda t: _block_members(t, least), side.schema)
+    full = near.join(sets.select(F.col("doc_id").alias("rep"), F.xxhash64("set").alias("mark"), "set").dropDuplicates(["rep", "mark"]), ["rep", "mark"])
+    return pairs, full.groupBy("key", "i", "j").applyInArrow(lambda t: _block_links(t, least, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 4, miss: float = 1e-5) -> DataFrame:
@@ -293,7 +315,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest doc_id, with all its texts; rows that repeat its id and text are one."""
+    """``docs`` with one document of each group, the one with the smallest doc_id, with all its texts; rows that repeat its id and text are one.
+
+    Of rows that differ in other columns alone the one whose columns sort first as JSON stays, wherever rows stand. Rows without doc_id all stay.
+    """
     kept = near_duplicates(docs, size, percent).filter("kept").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*(F.col(f"`{c}`") for c in docs.columns))
-    return known.union(docs.filter(F.col("doc_id").isNull()))
+    known = docs.join(kept, "doc_id", "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if others:
+        row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)))
+        one = known.groupBy("doc_id", "text").agg(F.min_by(row, F.to_json(row)).alias("_row"))
+        known = one.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"_row.c{others.index(c)}").alias(c) for c in docs.columns))
+    else:
+        known = known.distinct()
+    return known.select(*(F.col(f"`{c}`") for c in docs.columns)).union(docs.filter(F.col("doc_id").isNull()))

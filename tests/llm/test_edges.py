@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_llm import groups
@@ -151,6 +152,59 @@ def test_ids_with_unlike_texts(spark):
     assert near_dup.one_of_each(alone).count() == 2
 
 
+def test_one_of_each_takes_the_same_row_wherever_rows_stand(spark):
+    rows = [(1, "some words of a text", "en", s, {"k": s}) for s in "qbzafx"] + [(1, "some words of a text", None, "a", None), (2, None, "en", "b", None), (2, None, "en", "a", {})]
+    schema = "doc_id long, text string, lang string, `x.y` string, m map<string, string>"
+    got = [sorted(map(repr, near_dup.one_of_each(spark.createDataFrame(r, schema).repartition(n)).collect())) for r, n in ((rows, 1), (rows[::-1], 5))]
+    assert got[0] == got[1] and len(got[0]) == 2
+
+
+def test_only_members_with_a_partner_get_their_sets():
+    minmax, rng = near_dup.MinMax(near_dup.LONG_PERMS), np.random.default_rng(1)
+    sets = [rng.integers(0, 2**63, 100, dtype=np.uint64) for _ in range(6)]
+    sets[4] = np.concatenate((sets[1][:97], sets[4][:3]))
+    sigs = [(minmax(s) & np.uint32(255)).astype(np.uint8).tobytes() for s in sets]
+    block = lambda comp, out: pa.table({"own": [0, 0, 0, 1, 1, 1], "i": [0] * 6, "j": [1] * 6, "rep": range(6), "n": [100] * 6, "component": comp, "outside": out, "sig": sigs, "set": [s.tobytes() for s in sets]})
+    members = near_dup._block_members(block(range(6), [True] * 6), 0.85)
+    assert members.column("rep").to_pylist() == [1, 4]
+    assert near_dup._block_links(members, 0.85, 85).to_pylist() == [{"a": 1, "b": 4}]
+    assert near_dup._block_members(block([0, 9, 2, 3, 9, 5], [True] * 6), 0.85).num_rows == 0
+    assert near_dup._block_members(block(range(6), [False] * 6), 0.85).num_rows == 0
+
+
+def test_languages_against_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    number = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+
+    def counted(text):
+        low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+        spaced = " " + "".join(w + " " for w in low.split(" ") if w)
+        by = Counter(c for c in spaced if c != " ")
+        for n in (2, 3):
+            by.update(spaced[i : i + n] for i in range(len(spaced) - n + 1))
+        return by
+
+    best = lambda by: [number(g) for g in sorted(by, key=lambda g: (-by[g], number(g)))[:300]]
+    plain = defaultdict(Counter)
+    for r in rows:
+        if r["lang"] is not None and r["text"] is not None:
+            plain[r["lang"]].update(counted(r["text"]))
+    profiles = langid.fit(docs)
+    assert profiles == {k: best(v) for k, v in plain.items()}
+    ranks = {k: {g: i for i, g in enumerate(v)} for k, v in sorted(profiles.items())}
+    want = {}
+    for r in rows[:100]:
+        own = best(counted(r["text"] or ""))
+        away = {k: sum(abs(rank[g] - i) if g in rank else 300 for i, g in enumerate(own)) / (300 * len(own)) for k, rank in ranks.items()}
+        lang = min(away, key=away.get)
+        want[r["doc_id"]] = lang, 1 / sum(math.exp(-20 * (x - away[lang])) for x in away.values())
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, profiles).collect()}
+    assert len(want) == min(100, len(rows))
+    for d, (lang, score) in want.items():
+        assert got[d] == (lang, pytest.approx(score))
+
+
 def test_ties():
     profiles = {"b": [97, 98], "a": [97, 98]}
     assert langid.Judge(profiles, 300, 20.0)("ab")[0] == "a"
