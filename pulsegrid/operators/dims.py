@@ -48,28 +48,27 @@ def _pieces(text, size):
 def _within(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """(inner, outer) of distinct texts where the inner one stands in a longer outer one.
 
-    An inner text's pieces of three letters (of all its letters, where it has fewer) are all among the outer text's. So each inner text meets only the outer texts
-    with that piece of it which the fewest of them have, and the exact test follows.
+    An outer text is cut into all its pieces of those lengths that inner texts have, and the pieces are looked up: pairs that don't match never meet. Cut pieces are many
+    more than Spark expects, so neither side is broadcast. The lengths go to the driver, a row a length.
     """
-    i, o = F.col("inner"), F.col("outer")
-    held = outer.select("outer", F.explode(F.concat(*(_pieces(o, F.lit(n)) for n in (1, 2, 3)))).alias("_piece"))
-    seen = held.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
-    own = inner.select("inner", F.explode(_pieces(i, F.least(F.length(i), F.lit(3)))).alias("_piece"))
-    rarest = own.join(seen, "_piece").groupBy("inner").agg(F.min(F.struct("_n", "_piece"))["_piece"].alias("_piece"))
-    return rarest.join(held, "_piece").filter(F.contains(o, i) & (o != i)).select("inner", "outer")
+    longest = outer.agg(F.max(F.length("outer"))).first()[0] or 0
+    lengths = sorted(r[0] for r in inner.select(F.length("inner").alias("n")).filter(F.col("n") < longest).distinct().collect())
+    sized = outer.select("outer", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("_size")).filter(F.length("outer") > F.col("_size"))
+    held = sized.select("outer", F.explode(_pieces(F.col("outer"), F.col("_size"))).alias("inner"))
+    return held.hint("merge").join(inner, "inner").select("inner", "outer")
 
 
 def contained_pairs(values: DataFrame, value: str, names: DataFrame, name: str, shortest: int = 2) -> DataFrame:
     """Pairs of distinct ``value`` and rows of ``names`` where they are equal, or where a name of ``shortest`` letters or more contains the value or is contained in it.
 
-    All three cases are joins on equal keys (the texts, or a rare piece of them), so no value meets all names. Empty texts and nulls match nothing; repeated rows of names stay.
+    All three cases are joins on equal keys (the texts, or pieces of them), so no value meets a name that it doesn't match. Empty texts and nulls match nothing; repeated rows of names stay.
     """
     v = values.select(F.col(value).alias("v")).filter("v <> ''").distinct()
     n = names.select(F.col(name).alias("n")).filter(F.length("n") >= max(shortest, 1)).distinct()
     inside = _within(v.toDF("inner"), n.toDF("outer")).select(F.col("inner").alias(value), F.col("outer").alias(name))
     around = _within(n.toDF("inner"), v.toDF("outer")).select(F.col("outer").alias(value), F.col("inner").alias(name))
-    equal = v.withColumnRenamed("v", value).join(names, F.col(value) == F.col(name))
-    return inside.unionByName(around).join(names, name).unionByName(equal)
+    equal = v.withColumnRenamed("v", value).hint("merge").join(names, F.col(value) == F.col(name))
+    return inside.unionByName(around).hint("merge").join(names, name).unionByName(equal)
 
 
 def resolve_countries(df: DataFrame, column: str, a: DataFrame, b: DataFrame, cross: DataFrame, names: DataFrame, excluded_a: tuple[str, ...] = (), excluded_b: tuple[str, ...] = ()) -> DataFrame:

@@ -57,6 +57,13 @@ def test_contained_pairs(spark, shortest):
     assert "NestedLoop" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_contained_pairs_are_not_broadcast(spark):
+    """What a text is cut into is many times what Spark expects of it, so a broadcast would fill the driver; nor does a number meet names that only share three of its digits."""
+    names = spark.range(2000).select(F.format_string("Supplier#%09d", "id").alias("name"))
+    pairs = contained_pairs(spark.range(10_000, 12_000).select(F.col("id").cast("string").alias("v")), "v", names, "name")
+    assert pairs.count() == 0 and "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_aggregates_differ(spark):
     cell = "bucket long, code string, n double, m long"
     a = spark.createDataFrame([(0, "x", 1.0, 1), (0, "y", 2.0, 1), (1, "x", None, 1), (1, "y", float("nan"), 1), (2, "x", 5.0, 1), (3, "x", 1e6, 1), (4, "x", None, 7)], cell)
