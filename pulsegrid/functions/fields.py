@@ -19,8 +19,7 @@ def code(c) -> Column:
 def number(c: str) -> Column:
     """A text as a double, or null. What Java alone takes for a number (1.5d, 0x1p3, Infinity) is none; NaN is one."""
     text = F.col(c).cast("string")
-    x = text.try_cast("double")
-    return F.when(x.isNotNull() & ~text.rlike("[dDfFxXpP]"), x)
+    return F.when(~text.rlike("[dDfFxXpP]"), text.try_cast("double"))
 
 
 def finite(x: Column) -> Column:
@@ -54,13 +53,24 @@ def score_bad(c: str) -> Column:
 COUNTS, SCORES = ("mentions", "sources", "articles"), ("goldstein", "tone")
 
 
+def with_numbers(rows: DataFrame, counts: dict[str, str], scores: dict[str, str]) -> DataFrame:
+    """``rows`` with new columns of count_value and score_value by name, from the text columns named.
+
+    Each text becomes a double once, in a projection of its own: within one expression, its uses would each cast it again, and their code outgrows what Spark compiles.
+    """
+    made = rows.withColumns({f"_d_{k}": number(c) for k, c in (counts | scores).items()})
+    values = {k: F.when(blank(c), F.lit(0).cast("long")).otherwise(whole(F.col(f"_d_{k}"))) for k, c in counts.items()}
+    return made.withColumns(values | {k: finite(F.col(f"_d_{k}")) for k in scores}).drop(*(f"_d_{k}" for k in counts | scores))
+
+
 def with_event_status(rows: DataFrame, o: Options = Options()) -> DataFrame:
     """``rows`` with row_status, the first rule that a raw row meets in the order of the checks: 'ok', 'skip_*' or 'reject_*'.
 
-    Texts become numbers once, in a projection of their own; the checks then look at numbers.
+    Texts become numbers once, in a projection of their own; the checks then look at numbers. The status is a row made of each row: filters on it are not
+    moved before it, where they would repeat its whole expression.
     """
     texts = (*COUNTS, *SCORES, "quad")
-    made = rows.withColumns({f"_x_{c}": score_value(c) if c in SCORES else count_value(c) for c in texts})
+    made = with_numbers(rows, {f"_x_{c}": c for c in (*COUNTS, "quad")}, {f"_x_{c}": c for c in SCORES})
     x = {c: F.col(f"_x_{c}") for c in texts}
     any_of = lambda tests: functools.reduce(lambda a, b: a | b, tests)
     region = F.col("actor1").isin(*o.excluded_actors) | F.col("actor2").isin(*o.excluded_actors) | F.col("geo").isin(*o.excluded_geo)
@@ -75,7 +85,7 @@ def with_event_status(rows: DataFrame, o: Options = Options()) -> DataFrame:
         .when(any_of(x[c].isNull() for c in SCORES), "skip_score")
         .otherwise("ok")
     )
-    return made.withColumn("row_status", status).drop(*(f"_x_{c}" for c in texts))
+    return made.select(*rows.columns, F.explode(F.array(status)).alias("row_status"))
 
 
 def article_status(countries, tone: str, polarity: str | None = None) -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.fields import article_status, code, count_value, location_countries, score_value, with_event_status
+from ..functions.fields import COUNTS, SCORES, article_status, code, location_countries, score_value, with_event_status, with_numbers
 from ..options import Options
 
 MOST_BYTES = 1 << 30
@@ -159,8 +159,7 @@ def checked_events(lines: DataFrame, o: Options = Options()) -> DataFrame:
 
 def typed_events(rows: DataFrame) -> DataFrame:
     """Checked rows with numbers as numbers, as the rollups take them."""
-    numbers = {**{c: count_value(c) for c in ("mentions", "sources", "articles")}, **{c: score_value(c) for c in ("goldstein", "tone")}, "quad": count_value("quad").cast("int")}
-    return rows.withColumns(numbers)
+    return with_numbers(rows, {c: c for c in (*COUNTS, "quad")}, {c: c for c in SCORES}).withColumn("quad", F.col("quad").cast("int"))
 
 
 def article_records(lines: DataFrame) -> DataFrame:

@@ -40,6 +40,17 @@ def test_golden_momentum(spark, last, want):
     assert momentum(daily, cover, "geo_country", 86_400 * 3, 0).first()["momentum"] == want
 
 
+def test_filters_stay_behind_the_status(spark):
+    """A filter that is moved before the status repeats its whole expression, in which each use of a number casts its text again."""
+    from pulsegrid.functions.fields import with_event_status
+
+    text = ("actor1", "actor2", "geo", "event_code", "root_code", "quad", "goldstein", "sources", "articles", "mentions", "tone")
+    rows = spark.createDataFrame([("USA", "CHN", "US", "19", "19", "4", "1.5", "2", m, "5", "0") for m in ("3", "x", "")], ", ".join(f"{c} string" for c in text))
+    good = with_event_status(rows).filter("row_status = 'ok'")
+    assert [r["articles"] for r in good.collect()] == ["3", ""]
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 6  # a number each
+
+
 def test_options_are_checked():
     for bad in ({"attitude": (0.7, 0.2, 0.2)}, {"security_roots": ("14",)}, {"prior": 0}, {"power": 2}, {"momentum_days": 31}, {"min_docs": 0}):
         with pytest.raises(ValueError):
