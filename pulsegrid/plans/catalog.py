@@ -533,6 +533,8 @@ query("snapshot_view", f"with v as ({SQL['view_country_risk']}) select *, cast(n
 
 # streams of batches, schema versions, published files -------------------------------------------------------------------
 BATCH = 366 * DAY
+#: Rows in a file of a batch that the ingest stream is given.
+MOST_ROWS = 4_000_000
 
 
 def ingested(s, sf, late: bool):
@@ -561,7 +563,7 @@ query("stream_late", SQL["ingest_idempotent"])(lambda s, sf: ingested(s, sf, lat
 
 
 def in_files(s, sf) -> str:
-    """The folder of cells after batches that come in three files each, one file a round."""
+    """The folder of cells after batches that come in three runs, in some files each: tasks write by batch and files are bounded in rows, so no task writes a third of all."""
     import uuid
 
     from ..streaming.ingest import ingest
@@ -569,8 +571,8 @@ def in_files(s, sf) -> str:
     path = f"{shared(s)}/files-{uuid.uuid4().hex}"
     rows = B.ev(s, sf).withColumn("kind", F.lit("events")).withColumn("file_ts", S.bucket("file_ts", BATCH))
     for i in range(3):
-        rows.filter(F.col("order_id") % 3 == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    ingest(s, f"{path}/in", rows.schema, f"{path}/out", f"{path}/check", per_round=1)
+        rows.filter(F.col("order_id") % 3 == i).repartition("kind", "file_ts").write.option("maxRecordsPerFile", MOST_ROWS).mode("append").parquet(f"{path}/in")
+        ingest(s, f"{path}/in", rows.schema, f"{path}/out", f"{path}/check")
     return f"{path}/out"
 
 
@@ -610,20 +612,16 @@ def deduplicated_stream(s, sf):
 
 
 def distinct_stream(s, sf):
-    """The events table in three rounds, then all of it again, months behind: every event is there once, whatever the round."""
+    """The events table in three rounds, then all of it again, months behind: every event is there once, whatever the round. A round's files are as many as the table's tasks."""
     import uuid
 
     from ..streaming.ingest import ingest_distinct
 
     path = f"{shared(s)}/distinct-{uuid.uuid4().hex}"
     rows = B.table(s, sf, "events").select("event_id", "event_type", "ts", "value")
-    for i in range(3):
-        rows.filter((F.col("event_id") % 3 == i) | (F.col("event_id") % 7 == 0)).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    for more in (False, True):
-        if more:
-            rows.coalesce(1).write.mode("append").parquet(f"{path}/in")
-        stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-        ingest_distinct(s, stream, f"{path}/out", f"{path}/check")
+    for part in (*(rows.filter((F.col("event_id") % 3 == i) | (F.col("event_id") % 7 == 0)) for i in range(3)), rows):
+        part.write.mode("append").parquet(f"{path}/in")
+        ingest_distinct(s, s.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/check")
     return s.read.parquet(f"{path}/out").select("event_id", "event_type", "value")
 
 
@@ -641,7 +639,7 @@ def windowed(s, sf):
     quarter = (L_END - L_START) // 4
     for i in range(5):
         part = rows.filter((B.epoch("ts") >= L_START + i * quarter) & (B.epoch("ts") < L_START + (i + 1) * quarter)) if i < 4 else rows.filter(B.epoch("ts") < L_START + DAY)
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        part.write.mode("append").parquet(f"{path}/in")
         windows = Windows(s, f"{path}/out")
         windows.run(s.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/check")
     names = ("state", "event_type", "window_start", "n", "total")

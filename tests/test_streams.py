@@ -156,3 +156,12 @@ def test_compaction_is_followed_and_pinned(spark, tmp_path):
     assert [r["file_ts"] for r in new_batches(ledger.select("kind", "file_ts"), ledger).orderBy("file_ts").collect()] == [0, 900]
     take((0, "day", 0, "US", 7))
     assert read() == [("day", 0, "US", 7), ("day", day, "US", 2)] and cells.compact() == 4
+
+
+def test_files_of_batches_are_bounded(spark, sf, monkeypatch):
+    """Files that the stream is given grow by number: one task that wrote them all would hold the sorters of all its joins."""
+    from pulsegrid.plans import catalog
+
+    monkeypatch.setattr(catalog, "MOST_ROWS", 1000, raising=False)
+    given = spark.read.parquet(catalog.in_files(spark, sf).removesuffix("/out") + "/in").selectExpr("_metadata.file_path as path")
+    assert max(r["count"] for r in given.groupBy("path").count().collect()) <= 1000
