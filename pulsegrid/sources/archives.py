@@ -22,6 +22,8 @@ from ..options import Options
 MOST_BYTES = 1 << 30
 #: Bytes of lines in an archive that is written; a longer line has an archive to itself.
 PART_BYTES = 1 << 24
+#: Bytes of lines that are compressed at once.
+WRITE_BYTES = 1 << 20
 #: Names of heads, without the numbered parts.
 HEADS = "*[!0-9].zip"
 #: The most characters that may follow an article record on lines of their own.
@@ -90,7 +92,7 @@ def write_archives(lines: DataFrame, folder: str, part_bytes: int = PART_BYTES)
     Heads take theirs last, so that a batch whose head is there is whole.
     """
     stem = F.create_map(*(F.lit(x) for kind, suffix in SUFFIXES.items() for x in (kind, suffix.removesuffix(".zip"))))[F.col("kind")]
-    named = lines.select(F.concat(F.date_format(F.timestamp_seconds("file_ts"), "yyyyMMddHHmmss"), stem).alias("name"), "line_no", "line")
+    named = lines.select(F.concat(F.date_format(F.timestamp_seconds("file_ts"), "yyyyMMddHHmmss"), stem).alias("name"), "line_no", "line").repartition("name", "line_no")  # made once: both uses of the rows read this shuffle
     sizes = named.groupBy("name").agg(F.ceil(F.sum(F.octet_length("line") + F.lit(1)) / F.lit(part_bytes)).alias("n"), F.min("line_no").alias("first"))
     part = F.when(F.col("line_no") == F.col("first"), F.lit(0)).otherwise(F.pmod(F.xxhash64("line_no", "line"), F.greatest("n", F.lit(1))))  # the head isn't empty
     dealt = named.join(F.broadcast(sizes), "name").select("name", part.cast("long").alias("part"), "line_no", "line")
@@ -105,10 +107,13 @@ def write_archives(lines: DataFrame, folder: str, part_bytes: int = PART_BYTES)
         system, base = base_of()
         system.create_dir(base, recursive=True)
         now = temporary = stream = archive = member = None
-        size = roll = 0
+        size = roll = kept = 0
         heads: list[tuple] = []
+        lines: list[bytes] = []
 
         def close():
+            member.write(b"".join(lines))
+            lines.clear()
             member.close()
             archive.close()
             stream.close()
@@ -124,12 +129,16 @@ def write_archives(lines: DataFrame, folder: str, part_bytes: int = PART_BYTES)
                     if now:
                         close()
                     roll = roll + 1 if (name, part) == now else 0
-                    now, temporary, size = (name, part), f"{base}/_{uuid.uuid4().hex}", 0
+                    now, temporary, size, kept = (name, part), f"{base}/_{uuid.uuid4().hex}", 0, 0
                     stream = system.open_output_stream(temporary, compression=None)
                     archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
                     member = archive.open(zipfile.ZipInfo(name), "w", force_zip64=True)
-                member.write(raw)
-                size += len(raw)
+                lines.append(raw)
+                size, kept = size + len(raw), kept + len(raw)
+                if kept >= WRITE_BYTES:
+                    member.write(b"".join(lines))
+                    lines.clear()
+                    kept = 0
         if now:
             close()
         yield pa.RecordBatch.from_pydict({k: pa.array([h[i] for h in heads], pa.string()) for i, k in enumerate(("temporary", "head"))})
