@@ -537,6 +537,11 @@ BATCH = 366 * DAY
 MOST_ROWS = 4_000_000
 
 
+def give(rows: DataFrame, path: str) -> None:
+    """Add batches to the files of a stream: a batch stays with one task while it is small, and is dealt over as many as its bytes ask for; there may be few batches of many rows."""
+    rows.hint("rebalance", F.col("kind"), F.col("file_ts")).write.option("maxRecordsPerFile", MOST_ROWS).mode("append").parquet(path)
+
+
 def ingested(s, sf, late: bool):
     """Batches through the ingest stream, one file holding whole batches.
 
@@ -551,7 +556,7 @@ def ingested(s, sf, late: bool):
     older = F.col("file_ts") < S.bucket(F.lit(NOW), BATCH) - 2 * BATCH
     for part in (rows.filter(~older), rows.filter(older)) if late else (rows, None):
         if part is not None:
-            part.repartition("kind", "file_ts").write.mode("append").parquet(f"{path}/in")
+            give(part, f"{path}/in")
         ingest(s, f"{path}/in", rows.schema, f"{path}/out", f"{path}/check")
     if not late:
         ingest(s, f"{path}/in", rows.schema, f"{path}/out", f"{path}/check-new")
@@ -571,7 +576,7 @@ def in_files(s, sf) -> str:
     path = f"{shared(s)}/files-{uuid.uuid4().hex}"
     rows = B.ev(s, sf).withColumn("kind", F.lit("events")).withColumn("file_ts", S.bucket("file_ts", BATCH))
     for i in range(3):
-        rows.filter(F.col("order_id") % 3 == i).repartition("kind", "file_ts").write.option("maxRecordsPerFile", MOST_ROWS).mode("append").parquet(f"{path}/in")
+        give(rows.filter(F.col("order_id") % 3 == i), f"{path}/in")
         ingest(s, f"{path}/in", rows.schema, f"{path}/out", f"{path}/check")
     return f"{path}/out"
 
@@ -727,7 +732,7 @@ def republished(s, sf):
         publish({("events", 1095): rollup.window_agg(cells, 0, 1 << 40, ["geo_country"], ["n_events", "sum_w"])}, f"{path}/views", f"v{number:09d}", NOW)
 
     for part in (rows.filter(older), rows.filter(~older)):
-        part.repartition("kind", "file_ts").write.mode("append").parquet(f"{path}/in")
+        give(part, f"{path}/in")
         ingest(s, f"{path}/in", rows.schema, f"{path}/out", f"{path}/check", then=then)
     newest = s.read.parquet(f"{path}/views/manifest").agg(F.max("version")).first()[0]
     return read_view(s, f"{path}/views", newest, "events", 1095)
@@ -750,7 +755,7 @@ def republished_on_change(s, sf):
     made, other = [], replace(B.EVENTS, excluded_geo=("03",))
     for part, o in ((rows.filter(older), B.EVENTS), (None, B.EVENTS), (rows.filter(~older), B.EVENTS), (None, B.EVENTS), (None, other), (None, other)):
         if part is not None:
-            part.repartition("kind", "file_ts").write.mode("append").parquet(f"{path}/in")
+            give(part, f"{path}/in")
         ingest(s, f"{path}/in", rows.schema, f"{path}/out", f"{path}/check")
         cells = s.read.parquet(f"{path}/out").filter("granularity = 'hour'")
         data = content_hash(cells).first()["hash"]
@@ -790,7 +795,7 @@ def versions_of_cells(s, sf):
         out.append(B.stored(part.select(F.lit(name).alias("state"), "*"), "told"))
 
     for part in (rows.filter(older), rows.filter(~older)):
-        part.repartition("kind", "file_ts").write.mode("append").parquet(f"{path}/in")
+        give(part, f"{path}/in")
         ingest(s, f"{path}/in", rows.schema, f"{path}/out/geo", f"{path}/check")
         if not out:
             first = cells.compact()
@@ -800,7 +805,7 @@ def versions_of_cells(s, sf):
     cells.compact()
     cells.vacuum(1)
     told("compacted")
-    batches = rows.select("kind", "file_ts").distinct().withColumn("status", F.lit("done")).withColumn("part", F.lit("a"))
+    batches = s.read.parquet(f"{path}/in").select("kind", "file_ts").distinct().withColumn("status", F.lit("done")).withColumn("part", F.lit("a"))
     rollup.write_partials(batches.drop("part").withColumn("row_count", F.lit(1)), f"{path}/out/ledger")
     for _ in range(2):
         retention(s, f"{path}/out", {"geo": rollup.GEO_KEYS}, NOW, KEPT[0], KEPT[1])

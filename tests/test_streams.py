@@ -165,3 +165,25 @@ def test_files_of_batches_are_bounded(spark, sf, monkeypatch):
     monkeypatch.setattr(catalog, "MOST_ROWS", 1000, raising=False)
     given = spark.read.parquet(catalog.in_files(spark, sf).removesuffix("/out") + "/in").selectExpr("_metadata.file_path as path")
     assert max(r["count"] for r in given.groupBy("path").count().collect()) <= 1000
+
+
+def test_batches_are_given_by_bytes(spark, monkeypatch):
+    """A batch of many rows is dealt over several tasks: there were as many as batches at most, at any size."""
+    from pulsegrid.plans import catalog
+
+    given = []
+    monkeypatch.setattr("pulsegrid.streaming.ingest.ingest", lambda s, source, *rest, **more: given.append(source))
+    small = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    for name in small:
+        spark.conf.set(name, "8k")
+    try:
+        catalog.ingested(spark, "/root/testdata/sf0.01", late=True)
+    except Exception as e:  # nothing was taken in, so there are no cells to read
+        assert "PATH_NOT_FOUND" in str(e)
+    finally:
+        for name in small:
+            spark.conf.unset(name)
+    rows = spark.read.parquet(given[-1])
+    of_batch = max(r["count"] for r in rows.groupBy("file_ts").count().collect())
+    of_file = max(r["count"] for r in rows.selectExpr("_metadata.file_path as path").groupBy("path").count().collect())
+    assert of_file < of_batch / 2 and rows.count() == spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").count()
