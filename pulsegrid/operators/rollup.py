@@ -34,16 +34,25 @@ def rollup_geo(ev: DataFrame, grain: str = "day", *extra: str) -> DataFrame:
     return some.withColumn("bucket", bucket("file_ts", SIZES[grain])).groupBy(*extra, *GEO_KEYS).agg(*_event_measures(False))
 
 
+def article_flags(art: DataFrame, o: Options = Options()) -> DataFrame:
+    """Articles with what is searched in their texts in place of the texts, as ``rollup_flagged`` takes them."""
+    flags = {f"_is_{c}": F.coalesce(f, F.lit(False)) for c, f in theme_flags("themes", o.themes).items()}
+    return art.select(*(c for c in art.columns if c not in ("themes", "organizations")), *(f.alias(k) for k, f in flags.items()), mentions_alias("organizations", o.aliases).alias("alias"))
+
+
 def rollup_articles(art: DataFrame, grain: str = "day", o: Options = Options(), *extra: str) -> DataFrame:
     """Each article counts once for each of its distinct countries; what is searched in its texts is searched before it is repeated for them."""
-    flags = {f"_is_{c}": F.coalesce(f, F.lit(False)) for c, f in theme_flags("themes", o.themes).items()}
+    return rollup_flagged(article_flags(art, o), grain, *extra)
+
+
+def rollup_flagged(art: DataFrame, grain: str = "day", *extra: str) -> DataFrame:
     rows = art.select(
         *extra, bucket("file_ts", SIZES[grain]).alias("bucket"), F.col("tone").cast("double").alias("tone"), F.col("polarity").cast("double").alias("polarity"),
-        *(f.alias(k) for k, f in flags.items()), mentions_alias("organizations", o.aliases).alias("alias"), F.array_distinct("countries").alias("_countries"),
+        *(c for c in art.columns if c.startswith("_is_")), "alias", F.array_distinct("countries").alias("_countries"),
     )
     rows = rows.withColumn("country", F.explode("_countries"))
     neg = negativity("tone")
-    has = {c: F.col(f"_is_{c}") if f"_is_{c}" in flags else F.lit(False) for c in CATEGORIES}
+    has = {c: F.col(f"_is_{c}") if f"_is_{c}" in art.columns else F.lit(False) for c in CATEGORIES}
     measures = [F.count(F.lit(1)).alias("total_docs"), *(F.count_if(h).alias(f"{c}_docs") for c, h in has.items())]
     measures += [F.count_if("alias").alias("alias_docs"), F.count(F.lit(1)).alias("modeled_docs"), *(F.count_if(h).alias(f"{c}_modeled_docs") for c, h in has.items())]
     measures += [F.sum("tone").alias("sum_tone"), F.sum("polarity").alias("sum_polarity"), F.sum("tone").alias("sum_modeled_tone"), F.sum(neg).alias("sum_negative_tone")]
@@ -61,9 +70,10 @@ def to_day(cells: DataFrame, keys) -> DataFrame:
 
 
 def both_grains(hours: DataFrame, keys, *extra: str) -> DataFrame:
-    """Hour cells and the day cells made of them, told apart by ``granularity``."""
-    days = to_day(hours, (*extra, *keys))
-    return hours.withColumn("granularity", F.lit("hour")).unionByName(days.withColumn("granularity", F.lit("day")))
+    """Hour cells and the day cells made of them, told apart by ``granularity``; the hours are made once for both."""
+    grains = F.array(*(F.struct(F.lit(name).alias("granularity"), bucket("bucket", size).alias("bucket")) for name, size in SIZES.items()))
+    each = hours.withColumn("_grain", F.explode(grains)).withColumns({"granularity": F.col("_grain.granularity"), "bucket": F.col("_grain.bucket")}).drop("_grain")
+    return merge_partials(each, (*extra, *keys, "granularity")).select(*hours.columns, "granularity")
 
 
 def finite_cells(cells: DataFrame) -> DataFrame:

@@ -21,17 +21,30 @@ BATCH, EVERY = 90 * DAY, 27
 
 
 def at_places(places: dict[str, int], n: int):
-    """A line of ``n`` fields, empty but for the named columns."""
-    by = {i: c for c, i in places.items()}
-    return F.concat_ws("\t", *(F.coalesce(F.col(by[i]).cast("string"), F.lit("")) if i in by else F.lit("") for i in range(n)))
+    """A line of ``n`` fields, empty but for the named columns. The tabs between two of them are one text: code for every field would be more than is compiled."""
+    by, pieces, at = sorted((i, c) for c, i in places.items()), [], 0
+    for i, c in by:
+        pieces += [F.lit("\t" * (i - at)), F.coalesce(F.col(c).cast("string"), F.lit(""))]
+        at = i
+    return F.concat(*pieces, F.lit("\t" * (n - 1 - at)))
 
 
-def event_archives(s, sf, path: str | None = None, rows=None) -> str:
-    """The folder of archives of raw events in batches of 90 days, five of 27 with rows that reject them; both layouts stand in each."""
+def event_archives(s, sf, path: str | None = None, second: bool = False) -> str:
+    """The folder of archives of raw events in batches of 90 days, five of 27 with rows that reject them; both layouts stand in each.
+
+    Second: a copy without these rows, in which odd batches have a broken count in every row.
+    """
     path = path or f"{C.shared(s)}/archives-{uuid.uuid4().hex}"
-    rows = (B.raw_events(s, sf, BATCH, EVERY) if rows is None else rows).withColumn("event_id", F.concat_ws("-", "order_id", "line_id"))
-    line = F.when(F.col("order_id") % 2 == 0, at_places(PLACES | {"geo": 53}, 61)).otherwise(at_places(PLACES | {"geo": 51}, 58))
-    A.write_archives(rows.select("kind", S.bucket("file_ts", BATCH).alias("file_ts"), (F.col("order_id") * 8 + F.col("line_id")).alias("line_no"), line.alias("line")), path)
+
+    def render(events):
+        rows = B.as_text(events, BATCH, 1 << 40 if second else EVERY, "name").withColumn("event_id", F.concat_ws("-", "order_id", "line_id"))
+        if second:
+            rows = rows.withColumn("mentions", F.when(F.floor(F.col("file_ts") / BATCH) % 2 == 1, "broken").otherwise(F.col("mentions")))
+        line = F.when(F.col("order_id") % 2 == 0, at_places(PLACES | {"geo": 53}, 61)).otherwise(at_places(PLACES | {"geo": 51}, 58))
+        return rows.withColumn("line", line)
+
+    events = B.ev(s, sf).withColumns({"kind": F.lit("events"), "file_ts": S.bucket("file_ts", BATCH), "line_no": F.col("order_id") * 8 + F.col("line_id")})
+    A.write_archives(events, path, render=render)
     return path
 
 
@@ -41,17 +54,21 @@ def article_archives(s, sf, spoilt: bool, path: str | None = None) -> str:
     Spoilt: every 13th has an id after which no line may go on, every 17th a page title that is closed before the line end.
     """
     path = path or f"{C.shared(s)}/archives-{uuid.uuid4().hex}"
-    rows, doc = B.art(s, sf), F.col("doc_id")
+    doc = F.col("doc_id")
     title = F.when(doc % 17 == 0, "<PAGE_LINKS>a</PAGE_TITLE>").otherwise("<PAGE_LINKS>a") if spoilt else F.lit("<PAGE_LINKS>a")
     stamp = F.when(doc % 13 == 0, "x").otherwise("20240101000000") if spoilt else F.lit("20240101000000")
-    rows = rows.withColumns({
-        "id": F.concat_ws("-", stamp, "doc_id"), "listed": F.array_join("themes", ";"),
-        "places": F.array_join(F.transform("countries", lambda c: F.concat(F.lit("1#name#"), F.lower(c), F.lit("#x"))), ";"),
-        "words": F.regexp_replace("organizations", "[\\t\\r\\n]+", " "), "tones": F.concat_ws(",", "tone", F.lit("1"), F.lit("2"), "polarity"), "extras": title,
-    })
-    line = at_places({"id": 0, "listed": 7, "places": 9, "words": 13, "tones": 15, "extras": 26}, 27)
-    line = F.when(doc % 3 == 0, F.concat(line, F.lit("\nmore</PAGE_TITLE>"))).otherwise(line)
-    A.write_archives(rows.select(F.lit("gkg").alias("kind"), S.bucket("file_ts", DAY).alias("file_ts"), doc.alias("line_no"), line.alias("line")), path)
+
+    def render(documents):
+        rows = B.articles(documents, "name").withColumns({
+            "id": F.concat_ws("-", stamp, "doc_id"), "listed": F.array_join("themes", ";"),
+            "places": F.array_join(F.transform("countries", lambda c: F.concat(F.lit("1#name#"), F.lower(c), F.lit("#x"))), ";"),
+            "words": F.regexp_replace("organizations", "[\\t\\r\\n]+", " "), "tones": F.concat_ws(",", "tone", F.lit("1"), F.lit("2"), "polarity"), "extras": title,
+        })
+        line = at_places({"id": 0, "listed": 7, "places": 9, "words": 13, "tones": 15, "extras": 26}, 27)
+        return rows.withColumn("line", F.when(doc % 3 == 0, F.concat(line, F.lit("\nmore</PAGE_TITLE>"))).otherwise(line))
+
+    documents = B.table(s, sf, "documents").withColumns({"kind": F.lit("gkg"), "file_ts": S.bucket(B.article_ts(), DAY), "line_no": doc})
+    A.write_archives(documents, path, render=render)  # texts are dealt: their lines are two and a half times as long
     return path
 
 
@@ -61,7 +78,7 @@ query("read_event_rows", f"with {BATCHED} select kind, file_ts, order_id||'-'||l
 query("batch_key", "select distinct 'gkg' as kind, cast(1704067200+(doc_id%2880)*900 as bigint) as file_ts from documents union all select null, null")(
     lambda s, sf: A.batch_key(B.art(s, sf).select(F.concat(F.lit("file:/in/"), F.date_format(F.timestamp_seconds("file_ts"), "yyyyMMddHHmmss"), F.lit(".gkg.csv.zip")).alias("path")).distinct().union(s.range(1).select(F.lit("file:/in/notes.zip")))).drop("path"))
 query("gkg_records", "select case when doc_id%13=0 then 'x' else '20240101000000' end||'-'||doc_id as record_id, doc_id%3<>0 or (doc_id%13<>0 and doc_id%17<>0) as valid from documents")(
-    lambda s, sf: A.article_records(A.read_lines(s, article_archives(s, sf, True))).select(F.get(F.split("line", "\t"), F.lit(0)).alias("record_id"), "valid"))
+    lambda s, sf: A.read_records(s, article_archives(s, sf, True)).select(F.get(F.split("line", "\t"), F.lit(0)).alias("record_id"), "valid"))
 
 
 def archived_articles(s, sf):
@@ -110,9 +127,7 @@ def sent_again(s, sf) -> str:
     path = f"{C.shared(s)}/again-{uuid.uuid4().hex}"
     event_archives(s, sf, f"{path}/in/first")
     ingest_archives(s, f"{path}/in", f"{path}/out", f"{path}/check", o=OPTIONS)
-    rows = B.raw_events(s, sf, BATCH, 1 << 40)
-    rows = rows.withColumn("mentions", F.when(F.floor(F.col("file_ts") / BATCH) % 2 == 1, "broken").otherwise(F.col("mentions")))
-    event_archives(s, sf, f"{path}/in/second", rows)
+    event_archives(s, sf, f"{path}/in/second", second=True)
     ingest_archives(s, f"{path}/in", f"{path}/out", f"{path}/check", o=OPTIONS)
     return f"{path}/out"
 
@@ -142,8 +157,7 @@ def copies_in_one_run(s, sf):
 
     path = f"{C.shared(s)}/copies-{uuid.uuid4().hex}"
     event_archives(s, sf, f"{path}/in/a")
-    rows = B.raw_events(s, sf, BATCH, 1 << 40)
-    event_archives(s, sf, f"{path}/in/b", rows.withColumn("mentions", F.when(F.floor(F.col("file_ts") / BATCH) % 2 == 1, "broken").otherwise(F.col("mentions"))))
+    event_archives(s, sf, f"{path}/in/b", second=True)
     ingest_archives(s, f"{path}/in", f"{path}/out", f"{path}/check", o=OPTIONS, now=lambda: C.NOW)
     cells = s.read.parquet(f"{path}/out/relation").filter("granularity = 'day'").groupBy("file_ts").agg(F.sum("n_events").alias("n"), F.sum("sum_w").alias("total"))
     copies = read_copies(s, f"{path}/out/copies").groupBy("file_ts").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", F.element_at(F.split("path", "/"), -2), "status"))), ",").alias("copies"))

@@ -64,13 +64,17 @@ def ev(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raw_events(spark: SparkSession, sf: str, batch: int = DAY, every: int = 50) -> DataFrame:
-    """Event rows as text. Some are to be skipped; of every ``every`` batches five hold rows that must reject them: a broken count, another
+    return as_text(ev(spark, sf), batch, every)
+
+
+def as_text(events: DataFrame, batch: int, every: int, *more: str) -> DataFrame:
+    """Event rows as text, beside ``more`` of their columns. Some are to be skipped; of every ``every`` batches five hold rows that must reject them: a broken count, another
     root code, a negative count beside an empty score, a broken score, a placeholder with a score."""
-    rows = ev(spark, sf).withColumn("k", F.when(F.col("line_id") == 1, F.floor(F.col("file_ts") / batch) % every))
+    rows = events.withColumn("k", F.when(F.col("line_id") == 1, F.floor(F.col("file_ts") / batch) % every))
     text = {c: F.col(c).cast("string") for c in ("quad", "goldstein", "sources", "articles", "mentions", "tone")}
     none, k = F.col("order_id") % 89 == 0, F.coalesce("k", F.lit(-1))
     return rows.select(
-        F.lit("events").alias("kind"), "file_ts", "order_id", "line_id", F.concat(F.lit(" "), F.lower("actor1")).alias("actor1"), "actor2", "geo",
+        *more, F.lit("events").alias("kind"), "file_ts", "order_id", "line_id", F.concat(F.lit(" "), F.lower("actor1")).alias("actor1"), "actor2", "geo",
         F.when(none | (k == 4), "---").otherwise(F.col("root_code")).alias("event_code"),
         F.when(none, "---").when(k == 4, "--").when(k == 1, "21").otherwise(F.col("root_code")).alias("root_code"),
         F.when(F.col("order_id") % 5 == 0, F.concat(text["quad"], F.lit(".0"))).otherwise(text["quad"]).alias("quad"),
@@ -81,10 +85,19 @@ def raw_events(spark: SparkSession, sf: str, batch: int = DAY, every: int = 50)
 
 
 def art(spark: SparkSession, sf: str) -> DataFrame:
+    return articles(spread(table(spark, sf, "documents"), "doc_id"))
+
+
+def article_ts():
+    return (F.lit(1704067200) + F.col("doc_id") % 2880 * 900).cast("long")
+
+
+def articles(documents: DataFrame, *more: str) -> DataFrame:
+    """Articles made of each document, beside ``more`` of its columns."""
     lang, words = F.upper("lang"), F.upper(F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")))
     themes = F.split(F.concat(lang, F.lit("_"), F.replace(words, F.lit(" "), F.concat(F.lit(" "), lang, F.lit("_")))), " ")
-    return spread(table(spark, sf, "documents"), "doc_id").select(
-        "doc_id", (F.lit(1704067200) + F.col("doc_id") % 2880 * 900).cast("long").alias("file_ts"),
+    return documents.select(
+        *more, "doc_id", article_ts().alias("file_ts"),
         F.array(lang, F.concat(F.lit("S"), F.substring("source", -1, 1))).alias("countries"), ((F.col("n_chars") % 41 - 20) / F.lit(2.0)).cast("double").alias("tone"),
         (F.col("n_chars") % 7).cast("double").alias("polarity"), F.lower("text").alias("organizations"), F.when(words == "", F.expr("cast(array() as array<string>)")).otherwise(themes).alias("themes"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,21 @@ def shared(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/pulsegrid-{spark.sparkContext.applicationId}"
 
 
+#: Spark's setting for it.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed(spark: SparkSession):
+    """Within, a query's shuffle files go when it has ended; else they stay until the driver happens to collect its garbage, those of all steps of a job beside each other."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def clear(spark: SparkSession) -> None:
     """Remove the folder of this application, once the results that read from it are stored."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared(spark))

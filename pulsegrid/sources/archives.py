@@ -6,24 +6,29 @@ A batch is an archive of the batch's name, its head, and as many numbered parts
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import uuid
 import zipfile
 import zlib
+from collections.abc import Callable
 from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import COUNTS, SCORES, article_status, code, location_countries, score_value, with_event_status, with_numbers
 from ..options import Options
+from ..scratch import freed
 
 MOST_BYTES = 1 << 30
 #: Bytes of lines in an archive that is written; a longer line has an archive to itself.
 PART_BYTES = 1 << 24
 #: Bytes of lines that are compressed at once.
 WRITE_BYTES = 1 << 20
+#: How far lines are compressed: the next levels take twice the time or more and save a tenth of the bytes of texts, a fifth of those of events.
+LEVEL = 3
 #: Names of heads, without the numbered parts.
 HEADS = "*[!0-9].zip"
 #: The most characters that may follow an article record on lines of their own.
@@ -32,6 +37,7 @@ MOST_TAIL = 1 << 20
 SUFFIXES = {"events": ".export.CSV.zip", "gkg": ".gkg.csv.zip"}
 FILES = "path string, modificationTime timestamp, length long, content binary"
 RECORD_ID = r"^\d{14}-\d+"
+_RECORD_ID = re.compile(RECORD_ID, re.ASCII)
 
 
 def batch_key(df: DataFrame, column: str = "path") -> DataFrame:
@@ -49,33 +55,89 @@ def read_lines(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) ->
 def lines_of(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """path, line_no, line, error: lines of each archive's only member; archives that aren't so end with a row with an error."""
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(zip(*rows), _TYPES)], names=["path", "line_no", "line", "error"])
+    def run(batches):
+        yield from _tables(((name, *row) for name, content in _contents(batches) for row in _lines(content, most_bytes)), LINE)
+
+    return files.select("path", "content").mapInArrow(run, LINE)
+
+
+def records_of(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """``article_records`` of the lines of archives: the task that reads a file makes its records, so no text moves."""
 
     def run(batches):
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows: list[tuple] = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        members = [m for m in z.infolist() if not m.is_dir()]
-                        if len(members) != 1 or not 0 < members[0].file_size <= most_bytes:
-                            raise ValueError("one member of an allowed size is needed")
-                        with z.open(members[0]) as f:
-                            for no, raw in enumerate(f):
-                                rows.append((name, no, raw.decode("utf-8", "replace").rstrip("\r\n"), None))
-                                if len(rows) >= 10_000:
-                                    yield batch_of(rows)
-                                    rows = []
-                except (ValueError, NotImplementedError, zipfile.BadZipFile, zlib.error, EOFError) as e:
-                    rows.append((name, -1, None, str(e)))
-                if rows:
-                    yield batch_of(rows)
-
-    return files.select("path", "content").mapInArrow(run, "path string, line_no long, line string, error string")
-
-
-_TYPES = (pa.string(), pa.int64(), pa.string(), pa.string())
+        yield from _tables(((name, *row) for name, content in _contents(batches) for row in _gathered(line for _, line, _ in _lines(content, most_bytes))), GATHERED)
+
+    return _records(files.select("path", "content").mapInArrow(run, GATHERED))
+
+
+def read_records(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    return records_of(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path), most_bytes)
+
+
+#: Rows as tasks make them: lines, and lines gathered to records by number.
+LINE, GATHERED = "path string, line_no long, line string, error string", "path string, record long, l array<string>, good boolean"
+_TYPES = {LINE: (pa.string(), pa.int64(), pa.string(), pa.string()), GATHERED: (pa.string(), pa.int64(), pa.list_(pa.string()), pa.bool_())}
+
+
+def _contents(batches):
+    for batch in batches:
+        yield from zip(batch.column(0).to_pylist(), batch.column(1))
+
+
+def _tables(rows, schema: str):
+    """Rows as tables of bounded numbers of rows and of characters of their third column, a text or a list of them."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    some, size = [], 0
+    for row in itertools.chain(rows, [None]):
+        if row:
+            some.append(row)
+            size += sum(len(x or "") for x in (row[2] if isinstance(row[2], list) else [row[2]]))
+        if some and (row is None or len(some) >= 10_000 or size >= PART_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(zip(*some), _TYPES[schema])], names=names)
+            some, size = [], 0
+
+
+def _lines(content, most_bytes: int):
+    """Number, line and error of an archive's lines; one with a fault ends with a row of number -1."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+            members = [m for m in z.infolist() if not m.is_dir()]
+            if len(members) != 1 or not 0 < members[0].file_size <= most_bytes:
+                raise ValueError("one member of an allowed size is needed")
+            with z.open(members[0]) as f:
+                for no, raw in enumerate(f):
+                    yield no, raw.decode("utf-8", "replace").rstrip("\r\n"), None
+    except (ValueError, NotImplementedError, zipfile.BadZipFile, zlib.error, EOFError) as e:
+        yield -1, None, str(e)
+
+
+def _gathered(lines):
+    """The lines of a file, in order, as records: number, lines that are kept, and whether all are whole and may follow the first.
+
+    A line of 27 fields or more starts a record. Number 0 holds what stands before the first, and the mark (None) of a file with a fault, and comes last.
+    """
+    number, kept, good, tail, some, loose, fault = 0, [], True, 0, False, None, False
+    for line in lines:
+        if line is None:
+            fault = True
+            continue
+        if line.count("\t") >= 26:
+            if number:
+                yield number, kept, good
+            elif some:
+                loose = kept
+            number, kept, good, tail, some = number + 1, [line], True, 0, True
+            continue
+        tail, some = tail + len(line), True
+        good = good and tail <= MOST_TAIL and "\t" not in line and not _RECORD_ID.match(line)
+        if tail <= MOST_TAIL:
+            kept.append(line)
+    if number:
+        yield number, kept, good
+    elif some:
+        loose = kept
+    if fault or loose is not None:
+        yield 0, [*([None] if fault else []), *(loose or [])], False
 
 
 def parts_of(spark: SparkSession, heads: list[str]) -> DataFrame:
@@ -84,19 +146,19 @@ def parts_of(spark: SparkSession, heads: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load([f"{x}{{.zip,.*.zip}}" for x in plain])
 
 
-def write_archives(lines: DataFrame, folder: str, part_bytes: int = PART_BYTES) -> None:
+def write_archives(rows: DataFrame, folder: str, part_bytes: int = PART_BYTES, render: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Archives of at most ``part_bytes`` of lines for each (kind, file_ts) in the shared ``folder``; each has its lines in the order of line_no.
 
-    A row's line is a whole record and isn't cut. Rows are dealt over a batch's parts by a hash; a part that grows too large goes on in a further file.
+    A row's line is a whole record and isn't cut. ``render`` gives rows their line once they are dealt, where that is more bytes than what it is made of;
+    without it the rows have one. Rows move once: a batch stays with one task while it is small, and is dealt over as many as its bytes ask for; each task
+    writes its own parts, and goes on in a further file where one grows too large.
     Lines are streamed into a file with a name of its own, which then takes the part's name: a repeated attempt of a task leaves the same archives.
-    Heads take theirs last, so that a batch whose head is there is whole.
+    A batch that is written again replaces its parts. Heads take their name last, so that a batch whose head is there is whole.
     """
     stem = F.create_map(*(F.lit(x) for kind, suffix in SUFFIXES.items() for x in (kind, suffix.removesuffix(".zip"))))[F.col("kind")]
-    named = lines.select(F.concat(F.date_format(F.timestamp_seconds("file_ts"), "yyyyMMddHHmmss"), stem).alias("name"), "line_no", "line").repartition("name", "line_no")  # made once: both uses of the rows read this shuffle
-    sizes = named.groupBy("name").agg(F.ceil(F.sum(F.octet_length("line") + F.lit(1)) / F.lit(part_bytes)).alias("n"), F.min("line_no").alias("first"))
-    part = F.when(F.col("line_no") == F.col("first"), F.lit(0)).otherwise(F.pmod(F.xxhash64("line_no", "line"), F.greatest("n", F.lit(1))))  # the head isn't empty
-    dealt = named.join(F.broadcast(sizes), "name").select("name", part.cast("long").alias("part"), "line_no", "line")
-    spread = dealt.repartition("name", "part").sortWithinPartitions("name", "part", "line_no").select("name", "part", "line")
+    named = rows.withColumn("name", F.concat(F.date_format(F.timestamp_seconds("file_ts"), "yyyyMMddHHmmss"), stem))
+    dealt = named.hint("rebalance", F.col("name")).sortWithinPartitions("name", "line_no")
+    spread = (render(dealt) if render else dealt).select("name", F.spark_partition_id().cast("long").alias("part"), "line")
 
     def base_of():
         from pyarrow import fs
@@ -108,7 +170,7 @@ def write_archives(lines: DataFrame, folder: str, part_bytes: int = PART_BYTES)
         system.create_dir(base, recursive=True)
         now = temporary = stream = archive = member = None
         size = roll = kept = 0
-        heads: list[tuple] = []
+        firsts: dict[tuple, list] = {}
         lines: list[bytes] = []
 
         def close():
@@ -117,10 +179,11 @@ def write_archives(lines: DataFrame, folder: str, part_bytes: int = PART_BYTES)
             member.close()
             archive.close()
             stream.close()
-            if now[1] or roll:
+            if roll:
                 system.move(temporary, f"{base}/{now[0]}.{now[1]}.{roll}.zip")
+                firsts[now][1] = roll
             else:
-                heads.append((temporary, f"{base}/{now[0]}.zip"))
+                firsts[now] = [temporary, 0]
 
         for batch in batches:
             for name, part, line in zip(*(batch.column(j).to_pylist() for j in range(3))):
@@ -131,8 +194,8 @@ def write_archives(lines: DataFrame, folder: str, part_bytes: int = PART_BYTES)
                     roll = roll + 1 if (name, part) == now else 0
                     now, temporary, size, kept = (name, part), f"{base}/_{uuid.uuid4().hex}", 0, 0
                     stream = system.open_output_stream(temporary, compression=None)
-                    archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
-                    member = archive.open(zipfile.ZipInfo(name), "w", force_zip64=True)
+                    archive = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED, compresslevel=LEVEL)
+                    member = archive.open(name, "w", force_zip64=True)  # by name: a ZipInfo of its own would be stored as it is
                 lines.append(raw)
                 size, kept = size + len(raw), kept + len(raw)
                 if kept >= WRITE_BYTES:
@@ -141,11 +204,32 @@ def write_archives(lines: DataFrame, folder: str, part_bytes: int = PART_BYTES)
                     kept = 0
         if now:
             close()
-        yield pa.RecordBatch.from_pydict({k: pa.array([h[i] for h in heads], pa.string()) for i, k in enumerate(("temporary", "head"))})
-
-    system, _ = base_of()
-    for temporary, head in spread.mapInArrow(run, "temporary string, head string").collect():  # a row a batch
-        system.move(temporary, head)
+        columns = zip(*((name, part, *last) for (name, part), last in firsts.items())) if firsts else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64()))], names=["name", "part", "temporary", "roll"])
+
+    with freed(rows.sparkSession):
+        made = spread.mapInArrow(run, "name string, part long, temporary string, roll long").collect()  # a row for each task of a batch
+    system, base = base_of()
+    heads: dict[str, str] = {}
+    kept = {f"{r['name']}.{r['part']}.{i}.zip" for r in made for i in range(1, r["roll"] + 1)}
+    for r in sorted(made, key=lambda r: (r["name"], r["part"])):
+        if r["name"] in heads:
+            kept.add(part := f"{r['name']}.{r['part']}.0.zip")
+            system.move(r["temporary"], f"{base}/{part}")
+        else:
+            heads[r["name"]] = r["temporary"]
+    for f in _parts_in(system, base) if heads else ():
+        if f.base_name not in kept and re.sub(r"\.\d+\.\d+\.zip$", "", f.base_name) in heads:
+            system.delete_file(f.path)
+    for name, temporary in heads.items():
+        system.move(temporary, f"{base}/{name}.zip")
+
+
+def _parts_in(system, base: str) -> list:
+    """The files of numbered parts in a folder."""
+    from pyarrow import fs
+
+    return [f for f in system.get_file_info(fs.FileSelector(base)) if f.is_file and re.search(r"\.\d+\.\d+\.zip$", f.base_name)]
 
 
 def event_rows(lines: DataFrame) -> DataFrame:
@@ -174,22 +258,24 @@ def typed_events(rows: DataFrame) -> DataFrame:
 def article_records(lines: DataFrame) -> DataFrame:
     """Logical article records: a short line continues the last field of the record before it while its page title is open.
 
-    Lines of a file stay in one task, as files are bounded in size; of longer tails than MOST_TAIL no more than that is kept.
+    Lines of a file go to one task, as files are bounded in size; of longer tails than MOST_TAIL no more than that is kept. ``records_of`` moves no lines.
     """
-    f = F.split("line", "\t")
-    file = Window.partitionBy("path").orderBy("line_no")
-    rows = lines.withColumn("starts", F.coalesce(F.size(f) >= 27, F.lit(False))).withColumn("record", F.sum(F.col("starts").cast("int")).over(file))
-    tail = F.sum(F.when(~F.col("starts"), F.length("line"))).over(Window.partitionBy("path", "record").orderBy("line_no"))
-    fits = F.coalesce(tail, F.lit(0)) <= MOST_TAIL
-    plain = F.col("starts") | (F.col("line").isNotNull() & ~F.contains("line", F.lit("\t")) & ~F.col("line").rlike(RECORD_ID))
-    rows = rows.select("path", "record", fits.alias("fits"), F.coalesce(plain, F.lit(False)).alias("plain"), F.struct("line_no", "line").alias("l"))
-    whole = rows.groupBy("path", "record").agg(F.array_sort(F.collect_list(F.when(F.col("fits"), F.col("l")))).alias("l"), F.bool_and(F.col("fits") & F.col("plain")).alias("good"))
-    parts = F.col("l")["line"]
+
+    def run(batches):
+        rows = (row for batch in batches for row in zip(*(batch.column(j).to_pylist() for j in range(2))))
+        yield from _tables(((path, *row) for path, some in itertools.groupby(rows, lambda r: r[0]) for row in _gathered(line for _, line in some)), GATHERED)
+
+    return _records(lines.repartition("path").sortWithinPartitions("path", "line_no").select("path", "line").mapInArrow(run, GATHERED))
+
+
+def _records(gathered: DataFrame) -> DataFrame:
+    """path, record, line, valid: what may follow its first line makes a record where the title is open."""
+    parts = F.col("l")
     first, before = F.split(F.get(parts, F.lit(0)), "\t"), F.array_join(F.slice(parts, 1, F.greatest(F.size("l") - 1, F.lit(0))), "\n")
     extras = F.array_join(F.slice(F.split(before, "\t"), 27, 1 << 20), "\t")
     open_ = F.get(first, F.lit(0)).rlike(RECORD_ID + "$") & F.contains(extras, F.lit("<PAGE_LINKS>")) & ~F.contains(extras, F.lit("</PAGE_TITLE>"))
     valid = (F.col("record") > 0) & F.col("good") & ((F.size("l") == 1) | open_)
-    return whole.select("path", "record", F.array_join(parts, "\n").alias("line"), F.coalesce(valid, F.lit(False)).alias("valid"))
+    return gathered.select("path", "record", F.array_join(parts, "\n").alias("line"), F.coalesce(valid, F.lit(False)).alias("valid"))
 
 
 def checked_articles(records: DataFrame, o: Options = Options()) -> DataFrame:

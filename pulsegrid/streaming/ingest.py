@@ -9,13 +9,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ledger import accepted, account
-from ..operators.rollup import ARTICLE_KEYS, GEO_KEYS, RELATION_KEYS, both_grains, rollup_articles, rollup_geo, rollup_relation, write_partials
+from ..functions.fields import COUNTS, SCORES
+from ..operators.ledger import account
+from ..operators.rollup import ARTICLE_KEYS, GEO_KEYS, RELATION_KEYS, article_flags, both_grains, rollup_flagged, rollup_geo, rollup_relation, write_partials
 from ..options import Options
-from ..sources.archives import FILES, HEADS, article_records, batch_key, checked_articles, checked_events, lines_of, parts_of, typed_articles, typed_events
+from ..scratch import freed
+from ..sources.archives import FILES, HEADS, batch_key, checked_articles, checked_events, lines_of, parts_of, records_of, typed_articles, typed_events
 
 
 BATCH = ("kind", "file_ts")
+#: Columns of events that are numbers.
+NUMBERS = (*COUNTS, *SCORES, "quad")
+#: Bytes of archives that are taken in at once: what a round keeps and moves is bounded by it, or by its largest batch.
+GROUP_BYTES = 1 << 29
 LEDGER = "kind string, file_ts long, row_count long, skipped_rows long, rejected long, status string, attempts long, retry_attempts long, round int, error string, done_at long"
 #: A copy of a batch: a head in some folder, told by its path and length. Tried ones are done or failed; the others wait, or are spare.
 COPIES = "kind string, file_ts long, copy string, path string, length long, round int, row_count long, skipped_rows long, rejected long, status string, error string, tried_at long"
@@ -57,20 +63,40 @@ def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: st
     stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _sized(spark: SparkSession, heads: list[str]) -> list[list[str]]:
+    """Heads in groups of GROUP_BYTES of archives at most, with all their parts; a larger batch is a group."""
+    whole = F.regexp_replace("path", r"(\.\d+\.\d+)?\.zip$", ".zip")
+    sizes = dict(parts_of(spark, heads).groupBy(whole).agg(F.sum("length")).collect())  # a row a head
+    groups, size = [], 0
+    for head in heads:
+        size += sizes.get(head, 0)
+        if not groups or size > GROUP_BYTES:
+            groups, size = [*groups, []], sizes.get(head, 0)
+        groups[-1].append(head)
+    return groups
+
+
 def _take_in(spark: SparkSession, heads: list[str], target: str, o: Options) -> list[dict]:
-    """Check the rows of one copy each of some batches and write the cells of those without a rejected row; a verdict a batch."""
-    named = batch_key(parts_of(spark, heads))
-    events = checked_events(lines_of(named.filter("kind = 'events'")), o).persist()
-    articles = checked_articles(article_records(lines_of(named.filter("kind = 'gkg'"))), o).persist()
-    good = typed_events(accepted(events))
-    for name, hours, keys in (
-        ("relation", rollup_relation(good, "hour", *BATCH), RELATION_KEYS), ("geo", rollup_geo(good, "hour", *BATCH), GEO_KEYS),
-        ("articles", rollup_articles(typed_articles(accepted(articles)), "hour", o, *BATCH), ARTICLE_KEYS),
-    ):
-        write_partials(both_grains(hours, keys, *BATCH), f"{target}/{name}")
+    """Check the rows of one copy each of some batches and write the cells of those without a rejected row; a verdict a batch.
+
+    Archives are read once. What is kept meanwhile is what cells need: numbers, and what is searched in texts in their place.
+    """
+    named, ok = batch_key(parts_of(spark, heads)), F.col("row_status") == "ok"
+    events = checked_events(lines_of(named.filter("kind = 'events'")), o)
+    events = typed_events(events.withColumns({c: F.when(ok, F.col(c)) for c in NUMBERS})).select(*BATCH, "row_status", "actor1", "actor2", "geo", "root_code", *NUMBERS).persist()
+    articles = typed_articles(checked_articles(records_of(named.filter("kind = 'gkg'")), o)).drop("record", "record_id", "locations", "tones", "valid")
+    articles = article_flags(articles, o).persist()
     rows = events.select(*BATCH, "row_status").union(articles.select(*BATCH, "row_status"))
     first = rows.groupBy(*BATCH).agg(F.min(F.when(F.col("row_status").startswith("reject"), F.col("row_status"))).alias("error"))
     out = [r.asDict() for r in account(rows).join(first, [*BATCH]).collect()]  # a row a head
+    done = F.broadcast(spark.createDataFrame([(v["kind"], v["file_ts"]) for v in out if v["status"] == "done"], "kind string, file_ts long"))
+    good, whole = (df.filter(ok).join(done, [*BATCH], "left_semi") for df in (events, articles))
+    pairs = good.repartition(*BATCH, *RELATION_KEYS[1:])  # pairs of actors seldom come twice to a task, so rows move: cells are wider
+    for name, hours, keys in (
+        ("relation", rollup_relation(pairs, "hour", *BATCH), RELATION_KEYS), ("geo", rollup_geo(good, "hour", *BATCH), GEO_KEYS),
+        ("articles", rollup_flagged(whole, "hour", *BATCH), ARTICLE_KEYS),
+    ):
+        write_partials(both_grains(hours, keys, *BATCH), f"{target}/{name}")
     events.unpersist()
     articles.unpersist()
     return out
@@ -97,7 +123,7 @@ def try_copies(spark: SparkSession, copies: list[dict], target: str, o: Options,
         own = [r for r in past if (r["kind"], r["file_ts"]) == k]
         s["attempts"], s["retry_attempts"] = len(own), sum(r["round"] == s["round"] for r in own)
     while turn := {k: q.pop(0) for k, q in queues.items() if q and state[k]["status"] != "done" and state[k]["retry_attempts"] < most}:
-        verdicts = {(v["kind"], v["file_ts"]): v for v in _take_in(spark, [c["path"] for c in turn.values()], target, o)}
+        verdicts = {(v["kind"], v["file_ts"]): v for heads in _sized(spark, [c["path"] for c in turn.values()]) for v in _take_in(spark, heads, target, o)}
         for k, c in turn.items():
             s = state[k]
             s |= verdicts.get(k) or {"row_count": 0, "skipped_rows": 0, "rejected": 0, "status": "failed", "error": "no rows"}
@@ -131,7 +157,8 @@ def ingest_archives(spark: SparkSession, source: str, target: str, checkpoint: s
     def step(files: DataFrame, number: int) -> None:
         heads = batch_key(files.select("path", "length")).filter("kind is not null and file_ts is not null").collect()  # per_round at most
         if heads:
-            try_copies(spark, [r.asDict() for r in heads], target, o, now())
+            with freed(spark):
+                try_copies(spark, [r.asDict() for r in heads], target, o, now())
 
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", HEADS).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_round)
     files.load(source).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -148,7 +175,8 @@ def reopen(spark: SparkSession, target: str, o: Options = Options(), per_round:
         wanted = F.broadcast(spark.createDataFrame([(r["kind"], r["file_ts"]) for r in rows], "kind string, file_ts long"))
         waiting = [r.asDict() for r in read_copies(spark, f"{target}/copies").filter("status = 'waiting'").join(wanted, [*BATCH]).select(*BATCH, "path", "length").collect()]
         if waiting:
-            try_copies(spark, waiting, target, o, now())
+            with freed(spark):
+                try_copies(spark, waiting, target, o, now())
         if any(r["status"] == "exhausted" for r in read_ledger(spark, f"{target}/ledger").join(wanted, [*BATCH]).collect()):
             break  # again used up: not a second time in one call
     return opened
