@@ -82,8 +82,9 @@ query("gkg_records", "select case when doc_id%13=0 then 'x' else '20240101000000
 
 
 def archived_articles(s, sf):
-    rows = A.checked_articles(A.article_records(A.read_lines(s, article_archives(s, sf, False))), B.ARTICLES)
-    return rollup.rollup_articles(A.typed_articles(ledger.accepted(rows)), "day", B.ARTICLES)
+    rows = A.typed_articles(A.checked_articles(A.read_records(s, article_archives(s, sf, False)), B.ARTICLES))
+    flagged = B.stored(rollup.article_flags(rows, B.ARTICLES), "articles")  # both uses of the rows read it, in place of all texts
+    return rollup.rollup_flagged(ledger.accepted(flagged))
 
 
 query("read_article_rows", f"with {C.GKG} select * replace ({ROUND(GD)}) from gkg where country not in ('ES','S9')")(archived_articles)

@@ -86,3 +86,19 @@ def test_a_round_is_taken_in_by_bytes(spark, tmp_path, monkeypatch):
     assert {(r["file_ts"], r["row_count"], r["status"]) for r in ingest.read_ledger(spark, f"{tmp_path}/out/ledger").collect()} == {(t, 200, "done") for t in (0, 900, 1800)}
     cells = spark.read.parquet(f"{tmp_path}/out/relation").groupBy("granularity").agg({"n_events": "sum"}).collect()
     assert {tuple(r) for r in cells} == {("hour", 600), ("day", 600)}
+
+
+def test_articles_are_kept_without_their_texts(spark, sf):
+    """Their texts were read from the archives and moved once for the rejects and once for the rows."""
+    from pathlib import Path
+
+    from pulsegrid import scratch
+    from pulsegrid.plans import archived
+
+    folder = Path(scratch.shared(spark).removeprefix("file://"))
+    before = set(folder.glob("articles-*"))
+    cells = archived.archived_articles(spark, sf)
+    assert "BinaryFile" not in cells._jdf.queryExecution().executedPlan().toString()
+    (made,) = set(folder.glob("articles-*")) - before
+    kept = spark.read.parquet(f"file://{made}")
+    assert kept.count() == spark.read.parquet(f"{sf}/documents.parquet").count() and not {"themes", "organizations", "line"} & set(kept.columns)
