@@ -53,19 +53,24 @@ def read_lines(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) ->
 
 
 def lines_of(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """path, line_no, line, error: lines of each archive's only member; archives that aren't so end with a row with an error."""
+    """path, kind, file_ts, line_no, line, error: lines of each archive's only member; archives that aren't so end with a row with an error.
+
+    The batch is read from a file's name once, not in every row.
+    """
 
     def run(batches):
-        yield from _tables(((name, *row) for name, content in _contents(batches) for row in _lines(content, most_bytes)), LINE)
+        for *file, content in _files(batches):
+            yield from _tables(file, _lines(content, most_bytes), LINE)
 
-    return files.select("path", "content").mapInArrow(run, LINE)
+    return batch_key(files).select("path", "kind", "file_ts", "content").mapInArrow(run, LINE)
 
 
 def records_of(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``article_records`` of the lines of archives: the task that reads a file makes its records, so no text moves."""
 
     def run(batches):
-        yield from _tables(((name, *row) for name, content in _contents(batches) for row in _gathered(line for _, line, _ in _lines(content, most_bytes))), GATHERED)
+        for *file, content in _files(batches):
+            yield from _tables(file, _gathered(line for _, line, _ in _lines(content, most_bytes)), GATHERED)
 
     return _records(files.select("path", "content").mapInArrow(run, GATHERED))
 
@@ -74,26 +79,29 @@ def read_records(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -
     return records_of(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path), most_bytes)
 
 
-#: Rows as tasks make them: lines, and lines gathered to records by number.
-LINE, GATHERED = "path string, line_no long, line string, error string", "path string, record long, l array<string>, good boolean"
-_TYPES = {LINE: (pa.string(), pa.int64(), pa.string(), pa.string()), GATHERED: (pa.string(), pa.int64(), pa.list_(pa.string()), pa.bool_())}
+#: Rows as tasks make them: lines, and lines gathered to records by number. Those of a file have its columns first.
+LINE, GATHERED = "path string, kind string, file_ts long, line_no long, line string, error string", "path string, record long, l array<string>, good boolean"
+_TYPES = {LINE: (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), GATHERED: (pa.string(), pa.int64(), pa.list_(pa.string()), pa.bool_())}
 
 
-def _contents(batches):
+def _files(batches):
+    """Rows of files; contents, the last column, are taken one at a time."""
     for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), batch.column(1))
+        yield from zip(*(batch.column(j).to_pylist() for j in range(batch.num_columns - 1)), batch.column(batch.num_columns - 1))
 
 
-def _tables(rows, schema: str):
-    """Rows as tables of bounded numbers of rows and of characters of their third column, a text or a list of them."""
-    names = [c.split()[0] for c in schema.split(", ")]
+def _tables(file: list, rows, schema: str):
+    """Rows of a file as tables, bounded in rows and in characters of the texts, or lists of texts, that stand second in a row."""
+    names, types = [c.split()[0] for c in schema.split(", ")], _TYPES[schema]
     some, size = [], 0
     for row in itertools.chain(rows, [None]):
         if row:
             some.append(row)
-            size += sum(len(x or "") for x in (row[2] if isinstance(row[2], list) else [row[2]]))
+            text = row[1]
+            size += len(text) if isinstance(text, str) else sum(len(x or "") for x in text or ())
         if some and (row is None or len(some) >= 10_000 or size >= PART_BYTES):
-            yield pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(zip(*some), _TYPES[schema])], names=names)
+            columns = [pa.repeat(pa.scalar(v, t), len(some)) for v, t in zip(file, types)]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, t) for c, t in zip(zip(*some), types[len(file):]))], names=names)
             some, size = [], 0
 
 
@@ -240,7 +248,8 @@ def event_rows(lines: DataFrame) -> DataFrame:
     codes = {"actor1": at(7), "actor2": at(17), "event_code": at(26), "root_code": at(28), "geo": geo}
     rest = {"quad": at(29), "goldstein": at(30), "mentions": at(31), "sources": at(32), "articles": at(33), "tone": at(34)}
     ok = F.coalesce(F.size(f).isin(58, 61), F.lit(False))
-    return batch_key(lines).select("kind", "file_ts", "line_no", at(0).alias("event_id"), ok.alias("layout_ok"), *(code(c).alias(k) for k, c in codes.items()), *(c.alias(k) for k, c in rest.items()))
+    named = lines if {"kind", "file_ts"} <= {*lines.columns} else batch_key(lines)
+    return named.select("kind", "file_ts", "line_no", at(0).alias("event_id"), ok.alias("layout_ok"), *(code(c).alias(k) for k, c in codes.items()), *(c.alias(k) for k, c in rest.items()))
 
 
 def checked_events(lines: DataFrame, o: Options = Options()) -> DataFrame:
@@ -263,7 +272,8 @@ def article_records(lines: DataFrame) -> DataFrame:
 
     def run(batches):
         rows = (row for batch in batches for row in zip(*(batch.column(j).to_pylist() for j in range(2))))
-        yield from _tables(((path, *row) for path, some in itertools.groupby(rows, lambda r: r[0]) for row in _gathered(line for _, line in some)), GATHERED)
+        for path, some in itertools.groupby(rows, lambda r: r[0]):
+            yield from _tables([path], _gathered(line for _, line in some), GATHERED)
 
     return _records(lines.repartition("path").sortWithinPartitions("path", "line_no").select("path", "line").mapInArrow(run, GATHERED))
 

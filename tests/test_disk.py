@@ -2,7 +2,7 @@
 
 import zipfile
 
-from pulsegrid.sources.archives import article_records, batch_key, read_lines, read_records, write_archives
+from pulsegrid.sources.archives import article_records, batch_key, event_rows, read_lines, read_records, write_archives
 from pulsegrid.streaming import ingest
 
 LINE = "\t".join({0: "e", 7: "USA", 17: "FRA", 26: "010", 28: "01", 29: "1", 30: "1", 31: "1", 32: "1", 33: "1", 34: "1", 53: "US"}.get(i, "") for i in range(61))
@@ -102,3 +102,11 @@ def test_articles_are_kept_without_their_texts(spark, sf):
     (made,) = set(folder.glob("articles-*")) - before
     kept = spark.read.parquet(f"file://{made}")
     assert kept.count() == spark.read.parquet(f"{sf}/documents.parquet").count() and not {"themes", "organizations", "line"} & set(kept.columns)
+
+
+def test_batches_are_told_once_a_file(spark, tmp_path):
+    write_archives(events(spark, 20), f"file://{tmp_path}")
+    rows = event_rows(read_lines(spark, str(tmp_path)))
+    above, reading = rows._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow", 1)
+    assert "regexp_extract" in reading and "regexp_extract" not in above
+    assert {(r["kind"], r["file_ts"], r["n"]) for r in rows.groupBy("kind", "file_ts").count().toDF("kind", "file_ts", "n").collect()} == {("events", t, 20) for t in (0, 900, 1800)}
